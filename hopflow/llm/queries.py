@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hopflow.llm import exact_dedup, language_id, lm_scoring, packing, quality_rules, sharding, simhash
+from hopflow.llm import exact_dedup, html_extraction, language_id, lm_scoring, packing, quality_rules, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,7 +45,11 @@ def op9_packing(spark: SparkSession, sf_dir: str, vocabulary: str | None = None)
     return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary or public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_exact_dedup, op4_quality_rules, op5_lm_scoring, op6_simhash, op9_packing)}
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(_table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_exact_dedup, op4_quality_rules, op5_lm_scoring, op6_simhash, op9_packing, op10_html_extraction)}
 
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": """
