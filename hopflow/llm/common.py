@@ -67,3 +67,12 @@ def ascii_lower(text: Column) -> Column:
 def total_bytes(df: DataFrame, text_col: str = "text") -> int:
     """UTF-8 bytes of a text column over all rows."""
     return df.agg(F.sum(F.octet_length(text_col)).alias("b")).first()["b"] or 0
+
+
+def with_rows(docs: DataFrame, name: str = "_row") -> DataFrame:
+    """docs with a number for each row that is the same whenever the result is read.
+
+    A table that is read from files has one by its reading order; anything else is written first."""
+    if not docs.inputFiles():
+        docs = written(docs, "rows")
+    return docs.withColumn(name, F.monotonically_increasing_id())

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hopflow.llm import exact_dedup, html_extraction, language_id, lm_scoring, packing, quality_rules, sharding, simhash
+from hopflow.llm import exact_dedup, html_extraction, language_id, lm_scoring, mixing, packing, quality_classifier, quality_rules, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,14 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     import public_tokenizers
 
@@ -49,7 +57,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(_table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_exact_dedup, op4_quality_rules, op5_lm_scoring, op6_simhash, op9_packing, op10_html_extraction)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_exact_dedup, op4_quality_rules, op5_lm_scoring, op6_simhash, op7_mixing, op8_quality_classifier, op9_packing, op10_html_extraction)}
 
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": """
