@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hopflow.llm.common import ascii_lower, words_of
+from hopflow.llm.common import ascii_lower, let, words_of
 
 BINS = 16
 #: Labelled rows that a fit reads, at most: those with the smallest hash of their id.
@@ -27,28 +27,35 @@ NO_LETTER = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SHAPES = ("symbols", "capitals", "exclamations", "echoes", "word_length", "size")
 
 
-def described(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with _n (words), _tokens (lower-cased runs of letters) and one bin `_<shape>` for each shape."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    count = lambda chars: F.length(F.regexp_replace(text, f"[^{chars}]+", ""))
-    raw = docs.withColumns({
-        "_n": F.size(words_of(F.col(text_col))).cast("long"), "_tokens": F.array_remove(F.split(ascii_lower(F.col(text_col)), NO_LETTER), ""),
-        "_s": count("#*$%&|<>"), "_c": count("A-Z"), "_x": count("!"), "_l": F.length(text),
-    })
-    # A token that the next one repeats; the slice makes the comparison one zip.
-    raw = raw.withColumn("_e", F.size(F.filter(F.zip_with(F.col("_tokens"), F.slice("_tokens", 2, F.greatest(F.size("_tokens"), F.lit(1))), lambda a, b: a == b), lambda same: same)))
+def describe(text: Column) -> Column:
+    """A struct of a text: n (words), tokens (lower-cased runs of letters), bins (one for each shape).
 
-    def scaled(part: str, whole: Column) -> Column:
-        return F.when(whole > 0, F.least(F.lit(BINS - 2), F.floor(F.log2(1 + 1024 * F.col(part) / whole)).cast("int"))).otherwise(BINS - 1)
+    One expression that binds what it uses again, so that moving it into a filter or a projection repeats nothing."""
+    whole = F.coalesce(text, F.lit(""))
+    count = lambda t, chars: F.length(F.regexp_replace(t, f"[^{chars}]+", ""))
 
-    n = F.col("_n")
-    bins = {
-        "_symbols": scaled("_s", n), "_capitals": scaled("_c", F.col("_l")), "_exclamations": scaled("_x", n), "_echoes": scaled("_e", F.size("_tokens")),
-        "_word_length": F.when(n > 0, F.least(F.lit(BINS - 2), F.floor(F.col("_l") / n).cast("int"))).otherwise(BINS - 1),
-    }
-    size = sum((F.when(n < limit, 1).otherwise(0) for limit in SIZES), F.lit(0))
-    bins = {c: b + BINS * size for c, b in bins.items()} | {"_size": size}
-    return raw.withColumns(bins).drop("_s", "_c", "_x", "_l", "_e")
+    def measured(t: Column) -> Column:
+        return F.struct(
+            F.size(words_of(t)).cast("long").alias("n"), F.array_remove(F.split(ascii_lower(t), NO_LETTER), "").alias("tokens"),
+            count(t, "#*$%&|<>").alias("symbols"), count(t, "A-Z").alias("capitals"), count(t, "!").alias("exclamations"), F.length(t).alias("length"),
+        )
+
+    def scaled(part: Column, of: Column) -> Column:
+        return F.when(of > 0, F.least(F.lit(BINS - 2), F.floor(F.log2(1 + 1024 * part / of)).cast("int"))).otherwise(BINS - 1)
+
+    def binned(m: Column) -> Column:
+        n, tokens = m["n"], m["tokens"]
+        # Tokens that the next one repeats; the slice makes the comparison one zip.
+        again = F.zip_with(tokens, F.slice(tokens, 2, F.greatest(F.size(tokens), F.lit(1))), lambda x, y: x == y)
+        echoes = F.size(F.filter(again, lambda same: same))
+        size = sum((F.when(n < limit, 1).otherwise(0) for limit in SIZES), F.lit(0))
+        bins = (
+            scaled(m["symbols"], n), scaled(m["capitals"], m["length"]), scaled(m["exclamations"], n), scaled(echoes, F.size(tokens)),
+            F.when(n > 0, F.least(F.lit(BINS - 2), F.floor(m["length"] / n).cast("int"))).otherwise(BINS - 1),
+        )
+        return F.struct(n.alias("n"), tokens.alias("tokens"), F.array(*[x + BINS * size for x in bins], size).alias("bins"))
+
+    return let(whole, lambda t: let(measured(t), binned))
 
 
 @dataclass
@@ -73,16 +80,15 @@ def fit(docs: DataFrame, labelled: DataFrame, classes: list[str], id_col: str =
 
     The sample bounds what is broadcast; what comes to the driver is bounded by the bins and the lexicon."""
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample_labels(labelled, sample)), "id")
-    known = described(chosen).persist()
+    known = chosen.select("class", describe(F.col("text")).alias("d")).select("class", F.col("d.tokens").alias("tokens"), F.col("d.bins").alias("bins")).persist()
     try:
-        pairs = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.col(f"_{s}").alias("b")) for s in SHAPES]))
-        rows = known.select("class", pairs.alias("p")).groupBy("class", "p.s", "p.b").agg(F.count("*").alias("n")).collect()
+        rows = known.select("class", F.posexplode("bins").alias("s", "b")).groupBy("class", "s", "b").agg(F.count("*").alias("n")).collect()
         place = {c: k for k, c in enumerate(classes)}
         blocks = len(SIZES) + 1
         tables = {s: [[0.5] * (blocks if s == "size" else BINS * blocks) for _ in classes] for s in SHAPES}
         for r in rows:
             if r["class"] in place:
-                tables[r["s"]][place[r["class"]]][r["b"]] += r["n"]
+                tables[SHAPES[r["s"]]][place[r["class"]]][r["b"]] += r["n"]
         texts = [sum(t) - 0.5 * blocks for t in tables["size"]]
         shapes = {s: [_conditional(t, blocks if s == "size" else BINS) for t in table] for s, table in tables.items()}
         prior = [math.log((x + 1) / (sum(texts) + len(classes))) for x in texts]
@@ -103,7 +109,7 @@ def _conditional(counts: list[float], width: int) -> list[float]:
 
 def _lexicon(known: DataFrame, classes: list[str], texts: list[float], size: int) -> list[dict]:
     """The words that tell one class from the rest most clearly."""
-    each = known.select("class", F.explode(F.array_distinct("_tokens")).alias("word"))
+    each = known.select("class", F.explode(F.array_distinct("tokens")).alias("word"))
     counts = each.groupBy("word").agg(*[F.sum(F.when(F.col("class") == c, 1).otherwise(0)).alias(c) for c in classes])
     total = sum(texts)
     clear = []
@@ -117,28 +123,27 @@ def _lexicon(known: DataFrame, classes: list[str], texts: list[float], size: int
     return [r.asDict() for r in ranked.collect()]
 
 
-def log_likelihoods(e: Evidence) -> list[Column]:
-    """log P(text | class) + const for each class, over the columns of `described`."""
-    out = []
-    found = F.array_intersect(F.col("_tokens"), F.array(*[F.lit(w) for w in e.lexicon])) if e.lexicon else None
-    for k in range(len(e.classes)):
-        parts = [F.element_at(F.array(*[F.lit(x) for x in e.shapes[s][k]]), F.col(f"_{s}") + 1) for s in SHAPES]
-        value = sum(parts[1:], parts[0])
-        if found is not None:
-            value = value + e.absent[k]
-        out.append(value)
-    if found is None:
-        return out
-    table = F.create_map(*[x for w, row in zip(e.lexicon, e.present, strict=True) for x in (F.lit(w), F.array(*[F.lit(v) for v in row]))])
-    # One pass over the few lexicon words of a text, for all classes at once.
-    start = F.array(*out)
-    total = F.aggregate(found, start, lambda sums, w: F.zip_with(sums, F.element_at(table, w), lambda a, b: a + b))
-    return [F.element_at(total, k + 1) for k in range(len(e.classes))]
-
-
-def posteriors(docs: DataFrame, e: Evidence, text_col: str = "text", name: str = "_posterior") -> DataFrame:
-    """docs with _n and an array of class posteriors."""
-    scored = described(docs, text_col).withColumn("_ll", F.array(*[x + p for x, p in zip(log_likelihoods(e), e.prior, strict=True)]))
-    scored = scored.withColumn("_ll", F.transform("_ll", lambda x: F.exp(x - F.array_max("_ll"))))
-    total = F.aggregate("_ll", F.lit(0.0), lambda a, b: a + b)
-    return scored.withColumn(name, F.transform("_ll", lambda x: x / total)).drop("_ll", "_tokens", *[f"_{s}" for s in SHAPES])
+def log_likelihoods(e: Evidence, text: Column) -> Column:
+    """log P(text | class) + const for each class, as an array."""
+
+    def of(d: Column) -> Column:
+        shapes = [
+            sum((F.element_at(F.array(*[F.lit(x) for x in e.shapes[s][k]]), d["bins"][i] + 1) for i, s in enumerate(SHAPES)), F.lit(e.absent[k]))
+            for k in range(len(e.classes))
+        ]
+        if not e.lexicon:
+            return F.array(*shapes)
+        found = F.array_intersect(d["tokens"], F.array(*[F.lit(w) for w in e.lexicon]))
+        table = F.create_map(*[x for w, row in zip(e.lexicon, e.present, strict=True) for x in (F.lit(w), F.array(*[F.lit(v) for v in row]))])
+        # One pass over the few lexicon words of a text, for all classes at once.
+        return F.aggregate(found, F.array(*shapes), lambda sums, w: F.zip_with(sums, F.element_at(table, w), lambda a, b: a + b))
+
+    return let(describe(text), of)
+
+
+def posterior(e: Evidence, text: Column) -> Column:
+    """The class posteriors of a text, as an array."""
+    prior = F.array(*[F.lit(p) for p in e.prior])
+    above = lambda ll: let(F.array_max(ll), lambda top: F.transform(ll, lambda x: F.exp(x - top)))
+    shares = lambda w: let(F.aggregate(w, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(w, lambda x: x / total))
+    return let(F.zip_with(log_likelihoods(e, text), prior, lambda a, b: a + b), lambda ll: let(above(ll), shares))

@@ -14,12 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hopflow.llm import evidence
-from hopflow.llm.common import written
+from hopflow.llm.common import let, words_of, written
 
 DOMAINS = ["clean", "low", "toxic"]
 TARGETS = {"clean": 0.96, "low": 0.02, "toxic": 0.02}
 LEXICON = 256
-STEPS, TOLERANCE = 25, 0.002
+STEPS, TOLERANCE = 30, 0.002
 
 
 def domain_labels(labels: DataFrame) -> DataFrame:
@@ -33,15 +33,16 @@ def rate(posterior: Column, steps: list[list[float]]) -> Column:
     if not steps:
         return F.lit(1.0)
     moves = F.array(*[F.array(*[F.lit(float(x)) for x in g]) for g in steps])
-    dot = lambda g: F.aggregate(F.zip_with(posterior, g, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    return F.round(F.aggregate(moves, F.lit(1.0), lambda r, g: F.least(F.lit(1.0), F.greatest(F.lit(0.0), r - dot(g)))), 2)
+    dot = lambda p, g: F.aggregate(F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    # let: the posteriors are found once for each row, not once for each step.
+    return let(posterior, lambda p: F.round(F.aggregate(moves, F.lit(1.0), lambda r, g: F.least(F.lit(1.0), F.greatest(F.lit(0.0), r - dot(p, g)))), 2))
 
 
 def fit_steps(members: DataFrame, targets: dict[str, float], domains: list[str]) -> list[list[float]]:
     """The steps for a table with columns tokens and posterior.
 
-    Domain totals are weighted by the inverse of their targets, so that small domains count. The targets are as large
-    as the scarcest domain allows when nothing is repeated."""
+    All domains weigh alike: taking tokens from one to spare another pays only where the classifier tells them apart.
+    The targets are as large as the scarcest domain allows when nothing is repeated."""
     k = range(len(domains))
     p = [F.element_at("posterior", c + 1) for c in k]
     weight = np.asarray([max(targets.get(d, 0.0), 0.0) for d in domains])
@@ -51,31 +52,26 @@ def fit_steps(members: DataFrame, targets: dict[str, float], domains: list[str])
         return []
     weight = weight / weight.sum()
     goal = weight * min(have[c] / weight[c] for c in k if weight[c] > 0 and have[c] > 0)
-    scale = 1 / (goal + 0.001 * goal.sum())
     gram = np.asarray([[first[f"m{min(a, b)}_{max(a, b)}"] for b in k] for a in k])
-    root = np.sqrt(scale)
-    size = 1 / max(np.linalg.eigvalsh(root[:, None] * gram * root).max(), 1e-12)
+    size = 1 / max(np.linalg.eigvalsh(gram).max(), 1e-12)
     steps: list[list[float]] = []
     now = have
     for _ in range(STEPS):
         if np.abs(now - goal).max() <= TOLERANCE * goal.sum():
             break
-        steps.append((size * scale * (now - goal)).tolist())
+        steps.append((size * (now - goal)).tolist())
         r = rate(F.col("posterior"), steps)
         got = members.withColumn("_r", r).agg(*[F.sum(F.col("_r") * F.col("tokens") * p[c]).alias(f"t{c}") for c in k]).first()
         now = np.asarray([got[f"t{c}"] for c in k])
     return steps
 
 
-def _members(docs: DataFrame, e: evidence.Evidence, text_col: str) -> DataFrame:
-    return evidence.posteriors(docs, e, text_col).withColumnsRenamed({"_posterior": "posterior", "_n": "tokens"})
-
-
 def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[evidence.Evidence, list[list[float]], DataFrame]:
     """The classifier, the steps, and the written table (id, tokens, posterior) of all documents."""
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     e = evidence.fit(slim, domain_labels(labels), DOMAINS, "id", "text", lexicon_size=LEXICON)
-    members = written(_members(slim, e, "text").select("id", "tokens", "posterior"), "members")
+    tokens = F.size(words_of(F.col("text"))).cast("long")
+    members = written(slim.select("id", tokens.alias("tokens"), evidence.posterior(e, F.col("text")).alias("posterior")), "members")
     return e, fit_steps(members, targets or TARGETS, DOMAINS), members
 
 
@@ -99,6 +95,4 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
 def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that the mixture has, with their own columns."""
     e, steps, _ = fit(docs, labels, targets, id_col, text_col)
-    own = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    done = _members(own, e, "_text").filter(chosen(F.col("_id"), rate(F.col("posterior"), steps)))
-    return done.select("_row.*")
+    return docs.filter(chosen(F.col(id_col), rate(evidence.posterior(e, F.col(text_col)), steps)))

@@ -31,9 +31,8 @@ class Model:
     share: float
 
 
-def _likelihood_ratio(e: evidence.Evidence) -> Column:
-    bad, good = evidence.log_likelihoods(e)
-    return good - bad
+def _likelihood_ratio(e: evidence.Evidence, text: Column) -> Column:
+    return let(evidence.log_likelihoods(e, text), lambda ll: ll[1] - ll[0])
 
 
 def _logit(p: Column) -> Column:
@@ -61,9 +60,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     Site shares are sums over the classifier's posteriors of every document, added up on the map side."""
     labelled = labels.select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "bad").alias("class"))
     e = evidence.fit(docs, labelled, CLASSES, id_col, text_col, sample=sample)
-    alone = evidence.described(docs.select(F.col(host_col).alias("_host"), F.col(path_col).alias("_path"), F.col(text_col).alias("_text")), "_text")
-    p = _sigmoid(_likelihood_ratio(e) + (e.prior[1] - e.prior[0]))
-    paths = written(alone.withColumn("_p", p).groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum("_p").alias("good")), "paths")
+    p = _sigmoid(_likelihood_ratio(e, F.col(text_col)) + (e.prior[1] - e.prior[0]))
+    alone = docs.select(F.col(host_col).alias("_host"), F.col(path_col).alias("_path"), p.alias("_p"))
+    paths = written(alone.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum("_p").alias("good")), "paths")
     hosts = paths.groupBy("_host").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good"))
     total = paths.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
     share = min(max((total["good"] or 0.0) / (total["n"] or 1), EDGE), 1 - EDGE) if total["n"] else 0.5
@@ -79,7 +78,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", host_col: str =
     """docs with a struct `_quality`: evidence, host_share, path_share, quality_score.
 
     Sites that the model has not seen take the share of all documents."""
-    scored = evidence.described(docs, text_col).withColumn("_evidence", _likelihood_ratio(model.evidence)).drop("_n", "_tokens", *[f"_{s}" for s in evidence.SHAPES])
+    scored = docs.withColumn("_evidence", _likelihood_ratio(model.evidence, F.col(text_col)))
     met = scored.join(model.sites, scored[host_col].eqNullSafe(model.sites["_host"]) & scored[path_col].eqNullSafe(model.sites["_path"]), "left")
     host, path = F.coalesce("_host_share", F.lit(model.share)), F.coalesce("_path_share", F.lit(model.share))
     prior = F.least(F.greatest(path, F.lit(EDGE)), F.lit(1 - EDGE))
