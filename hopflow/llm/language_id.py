@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Runs of letters; digits and the underscore are left out.
@@ -31,6 +31,12 @@ ROUNDS, SMOOTHING = 3, 0.05
 #: Words whose scores a worker remembers.
 MEMORY = 600_000
 UNDETERMINED = "und"
+#: Rows whose words are scored together.
+TOGETHER = 512
+HASH_BASE = np.uint64(0x9E3779B97F4A7C15)
+HASH_SPREAD = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+#: Bins of the sampling histogram for each halving of the share of rows.
+CUTS = 16
 
 
 def words(text: str) -> list[str]:
@@ -39,8 +45,8 @@ def words(text: str) -> list[str]:
     return [p for w in found for p in ([w] if len(w) <= LONGEST else [w[i : i + LONGEST] for i in range(0, len(w), LONGEST)])]
 
 
-def has_letter(text: str | None) -> bool:
-    return bool(text) and any(w.isalpha() or any(c.isalpha() for c in w) for w in LETTERS.findall(text))
+def has_letter(found: list[str]) -> bool:
+    return any(c.isalpha() for w in found for c in w)
 
 
 def read_pieces(vocabulary_path: str) -> list[str]:
@@ -63,12 +69,48 @@ class Model:
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
+class PieceTable:
+    """Finds the pieces of many strings at once, by a polynomial hash of their characters."""
+
+    def __init__(self, pieces: list[str]):
+        keys = np.zeros(len(pieces), np.uint64)
+        for k, piece in enumerate(pieces):
+            h = 0
+            for c in piece:
+                h = (h * int(HASH_BASE) + ord(c) + 1) % 2**64
+            keys[k] = h
+        self.size = 1 << 20
+        self.keys = np.zeros((2, self.size), np.uint64)
+        self.ids = np.full((2, self.size), -1, np.int64)
+        order = np.arange(len(pieces))
+        for level in (0, 1):  # those that share a place in the first table are in the second
+            _, first = np.unique(self._place(keys[order], level), return_index=True)
+            at = self._place(keys[order[first]], level)
+            self.keys[level][at], self.ids[level][at] = keys[order[first]], order[first]
+            order = np.delete(order, first)
+        if len(order):
+            raise ValueError("pieces share a place in both tables")
+
+    def _place(self, h: np.ndarray, level: int) -> np.ndarray:
+        return ((h * HASH_SPREAD[level]) >> np.uint64(44)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of the piece with each hash, or -1."""
+        at = self._place(h, 0)
+        out = np.where(self.keys[0][at] == h, self.ids[0][at], -1)
+        at = self._place(h, 1)
+        return np.where(self.keys[1][at] == h, self.ids[1][at], out)
+
+
 class Reader:
     """Finds pieces in words and remembers the scores of words; one for each worker and model."""
 
     def __init__(self, model: Model):
-        self.rows = [tuple(r) for r in model.p.tolist()]
+        self.rows = model.p.tolist()
+        self.p = np.concatenate([model.p, np.zeros((1, model.p.shape[1]))])
         self.n = len(model.languages)
+        self.longest = max(map(len, model.pieces), default=1)
+        self.table = PieceTable(model.pieces)
         self.unknown = len(model.pieces)
         self.tree: dict = {}
         for k, piece in enumerate(model.pieces):
@@ -96,35 +138,45 @@ class Reader:
                 out.append((i, i + 1, self.unknown))
         return out
 
-    def word(self, word: str) -> np.ndarray:
-        """log P(word) in each language."""
-        n = len(word) + 1
-        alpha: list = [None] * (n + 1)
-        alpha[0] = (1.0,) * self.n
-        rows = self.rows
-        for i, j, k in self.arcs(word):
-            at = alpha[j]
-            if at is None:
-                alpha[j] = [x * y for x, y in zip(alpha[i], rows[k])]
-            else:
-                alpha[j] = [a + x * y for a, x, y in zip(at, alpha[i], rows[k])]
-        return np.log(alpha[n])
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """log P of each word in each language: one forward pass for all words of a length."""
+        out = np.empty((len(words), self.n))
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        for n in np.unique(sizes).tolist():
+            rows = np.flatnonzero(sizes == n)
+            marked = "".join([SPACE + words[k] for k in rows.tolist()])
+            codes = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(rows), n + 1).T.astype(np.uint64) + np.uint64(1)
+            alpha = np.zeros((n + 2, len(rows), self.n))
+            alpha[0] = 1.0
+            for i in range(n + 1):
+                h = np.zeros(len(rows), np.uint64)
+                for j in range(i, min(n + 1, i + self.longest)):
+                    h = h * HASH_BASE + codes[j]
+                    found = self.table.find(h)
+                    if j == i:
+                        found[found < 0] = self.unknown
+                    # Row -1 is zero: what is no piece adds nothing.
+                    alpha[j + 1] += alpha[i] * self.p.take(found, axis=0, mode="wrap")
+            out[rows] = np.log(alpha[n + 1])
+        return out
+
+    def learn(self, found: set[str]) -> None:
+        """Remembers the scores of words that are not yet known."""
+        missing = sorted(found.difference(self.index))
+        if not missing:
+            return
+        if len(self.index) + len(missing) > MEMORY:
+            self.index.clear()
+            missing = sorted(found)
+        need = len(self.index) + len(missing)
+        if need > len(self.scores):
+            self.scores = np.concatenate([self.scores, np.zeros((max(need, 2 * len(self.scores)) - len(self.scores), self.n))])
+        self.scores[len(self.index) : need] = self.word_scores(missing)
+        self.index.update(zip(missing, range(len(self.index), need), strict=True))
 
     def text(self, found: list[str]) -> np.ndarray:
-        """log P of a list of words in each language."""
-        index = self.index
-        missing = set(found).difference(index)
-        if missing:
-            if len(index) + len(missing) > MEMORY:
-                index.clear()
-                missing = set(found)
-            need = len(index) + len(missing)
-            if need > len(self.scores):
-                self.scores = np.concatenate([self.scores, np.zeros((max(need, 2 * len(self.scores)) - len(self.scores), self.n))])
-            for w in missing:
-                self.scores[len(index)] = self.word(w)
-                index[w] = len(index)
-        at = np.fromiter(map(index.__getitem__, found), np.int64, len(found))
+        """log P of a list of known words in each language."""
+        at = np.fromiter(map(self.index.__getitem__, found), np.int64, len(found))
         return self.scores[at].sum(axis=0)
 
     def expected(self, word: str, language: int) -> list[tuple[int, float]]:
@@ -152,17 +204,23 @@ def _reader(model: Model) -> Reader:
 def fit(labelled: DataFrame, vocabulary_path: str, lang_col: str = "lang", text_col: str = "text", sample: int = SAMPLE) -> Model | None:
     """Learns a model from rows with a language; None if there are none with a letter.
 
-    At most `sample` documents of each language are used (more only where texts are equal), chosen by a hash of the
-    text. What comes to the driver is one row for each language, and one for each piece and language."""
+    At most `sample` documents of each language are used (more only where texts are equal), those with the smallest
+    hash of the text. What comes to the driver: a bounded histogram for each language, and a row for each piece."""
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
-    ranked = rows.select("lang", "h").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= sample)
-    cuts = {r["lang"]: r["h"] for r in ranked.groupBy("lang").agg(F.max("h").alias("h")).collect()}
+    # The share of rows with a smaller hash, on a logarithmic scale: the last bins hold the smallest.
+    share = (F.pmod("h", F.lit(1 << 53)) + 1) / float(1 << 53)
+    binned = rows.withColumn("b", F.floor(-F.log2(share) * CUTS).cast("int"))
+    cuts: dict[str, int] = {}
+    seen: dict[str, int] = {}
+    for r in sorted(binned.groupBy("lang", "b").agg(F.count("*").alias("n")).collect(), key=lambda r: (r["lang"], -r["b"])):
+        if seen.get(r["lang"], 0) + r["n"] <= sample or r["lang"] not in cuts:
+            cuts[r["lang"]] = r["b"]
+        seen[r["lang"]] = seen.get(r["lang"], 0) + r["n"]
     if not cuts:
         return None
     languages = sorted(cuts)
-    seen = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     limits = F.create_map(*[F.lit(x) for l in languages for x in (l, cuts[l])])
-    chosen = rows.filter(F.col("h") <= limits[F.col("lang")]).select("lang", "text")
+    chosen = binned.filter(F.col("b") >= limits[F.col("lang")]).select("lang", "text")
     place = {l: k for k, l in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,17 +292,18 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", name:
         reader = _reader(m)
         for batch in batches:
             langs, scores = [], []
-            for t in batch.column(len(other)):
-                text = t.as_py()
-                found = words(text) if text else []
-                if not found or not has_letter(text):
-                    langs.append(UNDETERMINED)
-                    scores.append(0.0)
-                    continue
-                x = reader.text(found) + m.prior
-                k = int(np.argmax(x))
-                langs.append(m.languages[k])
-                scores.append(1.0 / math.fsum(np.exp(x - x[k])))
+            for at in range(0, batch.num_rows, TOGETHER):
+                found = [words(t) if t else [] for t in batch.column(len(other)).slice(at, TOGETHER).to_pylist()]
+                reader.learn(set().union(*found))
+                for x in found:
+                    if not has_letter(x):
+                        langs.append(UNDETERMINED)
+                        scores.append(0.0)
+                        continue
+                    ll = reader.text(x) + m.prior
+                    k = int(np.argmax(ll))
+                    langs.append(m.languages[k])
+                    scores.append(1.0 / math.fsum(np.exp(ll - ll[k])))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*other, "lang_pred", "score"])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in other)
