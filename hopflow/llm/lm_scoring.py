@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from hopflow.llm.common import written
 
 #: Rows of a block at most, blocks at least (where there are so many rows), and the share of blocks held out.
-BLOCK_ROWS, LEAST_BLOCKS, HELD_EVERY = 4096, 20, 5
+BLOCK_ROWS, LEAST_BLOCKS, HELD_EVERY = 2048, 20, 5
 #: Buckets of context frequency: 0, 1, 2-3, 4-7, ...; steps of the learning histogram for each doubling of a ratio.
 BUCKETS, STEPS, ROUNDS = 48, 4, 60
 NEVER = -(1 << 20)
@@ -52,11 +52,13 @@ def unpack(data: bytes) -> np.ndarray:
 
 def pack_counts(x: np.ndarray) -> bytes:
     kind = "<u1" if not len(x) or x.max() < 256 else "<u4" if x.max() < 1 << 32 else "<u8"
-    return kind.encode() + x.astype(kind).tobytes()
+    return kind.encode() + x.astype(kind).view(np.uint8).reshape(-1, int(kind[2])).T.tobytes()
 
 
 def unpack_counts(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, data[:3].decode(), offset=3).astype(np.int64)
+    kind = np.dtype(data[:3].decode())
+    planes = np.frombuffer(data, np.uint8, offset=3).reshape(kind.itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel().astype(np.int64)
 
 
 class Block:
@@ -199,13 +201,14 @@ def _counter(parts: int):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["part", "block", "held", "kind", "keys", "counts"])
 
         for batch in batches:
-            for b, h, t, x in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if b != now:
-                    if texts:
-                        yield flush()
-                    now, held, train, texts = b, h, [], []
-                train.append(t)
-                texts.append(x)
+            for at in range(0, batch.num_rows, 256):
+                for b, h, t, x in zip(*[c.to_pylist() for c in batch.slice(at, 256).columns], strict=True):
+                    if b != now:
+                        if texts:
+                            yield flush()
+                        now, held, train, texts = b, h, [], []
+                    train.append(t)
+                    texts.append(x)
         if texts:
             yield flush()
 
