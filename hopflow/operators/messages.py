@@ -72,7 +72,7 @@ def unweighted_aggregate(edges: DataFrame, rows: DataFrame, width: int) -> DataF
 
 def block_aggregate(weighted: DataFrame, rows: DataFrame, width: int, targets: DataFrame | None = None) -> DataFrame:
     """(batch, layer, dst, x) over block edges with weights; targets without samples get zeros."""
-    sums = weighted_sum(scatter_src(weighted, rows), ["batch", "layer", "dst"], "x", width)
+    sums = weighted_sum(scatter_src(weighted, rows), ["batch", "layer", "dst"], "x", width, F.col("weight"))
     if targets is None:
         return sums
     return targets.join(sums, ["batch", "layer", "dst"], "left").withColumn("x", F.coalesce("x", F.array_repeat(F.lit(0.0), width)))
