@@ -36,7 +36,7 @@ def parse_train_log(lines: DataFrame) -> DataFrame:
     number = r"([-+0-9.eE]+)"
     line = F.col("value")
     found = lines.select(
-        F.expr("try_cast(nullif(regexp_extract(value, '[Ee]poch\\\\D*(\\\\d+)', 1), '') AS int)").alias("epoch"),
+        F.expr("try_cast(nullif(regexp_extract(value, '[Ee]poch[\\\\s\\\\[:]*(\\\\d+)', 1), '') AS int)").alias("epoch"),
         F.regexp_extract(line, rf"[Tt]ime\D*?{number}", 1).alias("seconds"), F.regexp_extract(line, rf"[Ll]oss\D*?{number}", 1).alias("loss"),
         F.regexp_extract(line, rf"Train Acc:\s*{number}\s+(\d+)\s+(\d+)", 1).alias("acc"), F.regexp_extract(line, rf"Train Acc:\s*{number}\s+(\d+)\s+(\d+)", 2).alias("correct"), F.regexp_extract(line, rf"Train Acc:\s*{number}\s+(\d+)\s+(\d+)", 3).alias("total"),
     )
