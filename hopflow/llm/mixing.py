@@ -42,7 +42,8 @@ def fit_steps(members: DataFrame, targets: dict[str, float], domains: list[str])
     """The steps for a table with columns tokens and posterior.
 
     All domains weigh alike: taking tokens from one to spare another pays only where the classifier tells them apart.
-    The targets are as large as the scarcest domain allows when nothing is repeated."""
+    The targets are those that keep the domain of the largest weight whole; where another has fewer tokens than its
+    target the rest stays lacking, since nothing is repeated."""
     k = range(len(domains))
     p = [F.element_at("posterior", c + 1) for c in k]
     weight = np.asarray([max(targets.get(d, 0.0), 0.0) for d in domains])
@@ -51,7 +52,7 @@ def fit_steps(members: DataFrame, targets: dict[str, float], domains: list[str])
     if have.sum() <= 0 or weight.sum() <= 0:
         return []
     weight = weight / weight.sum()
-    goal = weight * min(have[c] / weight[c] for c in k if weight[c] > 0 and have[c] > 0)
+    goal = weight * have[weight.argmax()] / weight.max()
     gram = np.asarray([[first[f"m{min(a, b)}_{max(a, b)}"] for b in k] for a in k])
     size = 1 / max(np.linalg.eigvalsh(gram).max(), 1e-12)
     steps: list[list[float]] = []

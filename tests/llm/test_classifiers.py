@@ -41,6 +41,14 @@ def test_mixture_meets_targets(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in rows if r["chosen"])
 
 
+def test_a_scarce_domain_takes_nothing_from_the_others(spark):
+    rows = [(i, 100, [0.99, 0.01, 0.0]) for i in range(500)] + [(i, 100, [0.02, 0.0, 0.98]) for i in range(500, 600)]
+    members = spark.createDataFrame(rows, "id long, tokens long, posterior array<double>")
+    steps = mixing.fit_steps(members, {"clean": 0.96, "low": 0.02, "toxic": 0.02}, mixing.DOMAINS)
+    got = {r["id"]: r["r"] for r in members.select("id", mixing.rate(F.col("posterior"), steps).alias("r")).collect()}
+    assert all(got[i] > 0.99 for i in range(500)) and all(got[i] < 0.3 for i in range(500, 600))
+
+
 def test_rate_is_projected_descent(spark):
     steps = [[0.5, -0.2], [0.9, 0.1], [-0.3, 0.0]]
     df = spark.createDataFrame([([0.7, 0.3],), ([0.1, 0.9],)], "p array<double>")
