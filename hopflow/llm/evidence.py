@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hopflow.llm.common import ascii_lower, let, words_of
+from hopflow.llm.common import let
 
 BINS = 16
 #: Labelled rows that a fit reads, at most: those with the smallest hash of their id.
@@ -28,32 +28,36 @@ SHAPES = ("symbols", "capitals", "exclamations", "echoes", "word_length", "size"
 
 
 def describe(text: Column) -> Column:
-    """A struct of a text: n (words), tokens (lower-cased runs of letters), bins (one for each shape).
+    """A struct of a text: n (its tokens), tokens (lower-cased runs of letters), bins (one for each shape).
 
     One expression that binds what it uses again, so that moving it into a filter or a projection repeats nothing."""
     whole = F.coalesce(text, F.lit(""))
-    count = lambda t, chars: F.length(F.regexp_replace(t, f"[^{chars}]+", ""))
 
     def measured(t: Column) -> Column:
-        return F.struct(
-            F.size(words_of(t)).cast("long").alias("n"), F.array_remove(F.split(ascii_lower(t), NO_LETTER), "").alias("tokens"),
-            count(t, "#*$%&|<>").alias("symbols"), count(t, "A-Z").alias("capitals"), count(t, "!").alias("exclamations"), F.length(t).alias("length"),
-        )
+        # The few characters that are counted, kept in one pass.
+        marks = F.regexp_replace(t, r"[^#*$%&|<>A-Z!]+", "")
+        tokens = F.array_remove(F.split(F.lower(t), NO_LETTER), "")
+        return let(marks, lambda m: F.struct(
+            tokens.alias("tokens"), F.length(t).alias("length"), F.length(F.translate(m, "#*$%&|<>", "")).alias("others"),
+            F.length(F.translate(m, "!", "")).alias("not_exclaimed"), F.length(m).alias("marks"),
+        ))
 
     def scaled(part: Column, of: Column) -> Column:
         return F.when(of > 0, F.least(F.lit(BINS - 2), F.floor(F.log2(1 + 1024 * part / of)).cast("int"))).otherwise(BINS - 1)
 
     def binned(m: Column) -> Column:
-        n, tokens = m["n"], m["tokens"]
+        tokens, n = m["tokens"], F.size(m["tokens"])
+        symbols, exclamations = m["marks"] - m["others"], m["marks"] - m["not_exclaimed"]
+        capitals = m["marks"] - symbols - exclamations
         # Tokens that the next one repeats; the slice makes the comparison one zip.
         again = F.zip_with(tokens, F.slice(tokens, 2, F.greatest(F.size(tokens), F.lit(1))), lambda x, y: x == y)
         echoes = F.size(F.filter(again, lambda same: same))
         size = sum((F.when(n < limit, 1).otherwise(0) for limit in SIZES), F.lit(0))
         bins = (
-            scaled(m["symbols"], n), scaled(m["capitals"], m["length"]), scaled(m["exclamations"], n), scaled(echoes, F.size(tokens)),
+            scaled(symbols, n), scaled(capitals, m["length"]), scaled(exclamations, n), scaled(echoes, n),
             F.when(n > 0, F.least(F.lit(BINS - 2), F.floor(m["length"] / n).cast("int"))).otherwise(BINS - 1),
         )
-        return F.struct(n.alias("n"), tokens.alias("tokens"), F.array(*[x + BINS * size for x in bins], size).alias("bins"))
+        return F.struct(n.cast("long").alias("n"), tokens.alias("tokens"), F.array(*[x + BINS * size for x in bins], size).alias("bins"))
 
     return let(whole, lambda t: let(measured(t), binned))
 
@@ -125,6 +129,10 @@ def _lexicon(known: DataFrame, classes: list[str], texts: list[float], size: int
 
 def log_likelihoods(e: Evidence, text: Column) -> Column:
     """log P(text | class) + const for each class, as an array."""
+    return let(describe(text), lambda d: _log_likelihoods(e, d))
+
+
+def _log_likelihoods(e: Evidence, description: Column) -> Column:
 
     def of(d: Column) -> Column:
         shapes = [
@@ -138,12 +146,13 @@ def log_likelihoods(e: Evidence, text: Column) -> Column:
         # One pass over the few lexicon words of a text, for all classes at once.
         return F.aggregate(found, F.array(*shapes), lambda sums, w: F.zip_with(sums, F.element_at(table, w), lambda a, b: a + b))
 
-    return let(describe(text), of)
+    return of(description)
 
 
-def posterior(e: Evidence, text: Column) -> Column:
-    """The class posteriors of a text, as an array."""
+def judged(e: Evidence, text: Column) -> Column:
+    """A struct of a text: tokens (their number) and posterior, an array of class posteriors."""
     prior = F.array(*[F.lit(p) for p in e.prior])
     above = lambda ll: let(F.array_max(ll), lambda top: F.transform(ll, lambda x: F.exp(x - top)))
     shares = lambda w: let(F.aggregate(w, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(w, lambda x: x / total))
-    return let(F.zip_with(log_likelihoods(e, text), prior, lambda a, b: a + b), lambda ll: let(above(ll), shares))
+    scored = lambda d: let(F.zip_with(_log_likelihoods(e, d), prior, lambda a, b: a + b), lambda ll: let(above(ll), shares))
+    return let(describe(text), lambda d: F.struct(d["n"].alias("tokens"), scored(d).alias("posterior")))

@@ -2,9 +2,9 @@
 
 A classifier fitted on the labelled table gives each document posteriors over domains. Rates r in [0, 1] are fitted
 to the documents so that the expected tokens of domain c, the sum of r * tokens * posterior(c), match targets, by
-least squares with projected gradients. A document's rate depends on its posteriors alone: step k moves it by the
-inner product of the posteriors with the gradient g_k and clips it, so the fit keeps the few g_k, each found by one
-aggregation over all documents, and no rates.
+least squares with projected gradients and momentum. A document's rate depends on its posteriors alone: step k moves it
+by the inner product of the posteriors with the gradient g_k and clips it, so the fit keeps the few g_k, each found by
+one aggregation over all documents, and no rates.
 """
 
 from __future__ import annotations
@@ -14,12 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hopflow.llm import evidence
-from hopflow.llm.common import let, words_of, written
+from hopflow.llm.common import let, written
 
 DOMAINS = ["clean", "low", "toxic"]
 TARGETS = {"clean": 0.96, "low": 0.02, "toxic": 0.02}
 LEXICON = 256
-STEPS, TOLERANCE = 30, 0.002
+STEPS, TOLERANCE = 14, 0.002
 
 
 def domain_labels(labels: DataFrame) -> DataFrame:
@@ -28,14 +28,26 @@ def domain_labels(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("doc_id").alias("id"), kind.alias("class"))
 
 
-def rate(posterior: Column, steps: list[list[float]]) -> Column:
-    """The rate after the given steps, from 1; rounded to hundredths so that a hair's breadth drops nothing."""
-    if not steps:
-        return F.lit(1.0)
-    moves = F.array(*[F.array(*[F.lit(float(x)) for x in g]) for g in steps])
-    dot = lambda p, g: F.aggregate(F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+def _walk(posterior: Column, steps: list[list[float]]) -> Column:
+    """A struct of the rate after the given steps, and the rate before the last one, starting at 1.
+
+    A step is its momentum, then the gradient by domain: the rate moves on from where momentum carries it, and is
+    clipped to 0 .. 1. One fold over the steps for each row."""
+    k = range(len(steps[0]) - 1)
+    moves = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
+    start = F.struct(F.lit(1.0).alias("now"), F.lit(1.0).alias("last"))
+
+    def step(p: Column, at: Column, m: Column) -> Column:
+        ahead = at["now"] + m[0] * (at["now"] - at["last"]) - sum((p[c] * m[c + 1] for c in k), F.lit(0.0))
+        return F.struct(F.least(F.lit(1.0), F.greatest(F.lit(0.0), ahead)).alias("now"), at["now"].alias("last"))
+
     # let: the posteriors are found once for each row, not once for each step.
-    return let(posterior, lambda p: F.round(F.aggregate(moves, F.lit(1.0), lambda r, g: F.least(F.lit(1.0), F.greatest(F.lit(0.0), r - dot(p, g)))), 2))
+    return let(posterior, lambda p: F.aggregate(moves, start, lambda at, m: step(p, at, m)))
+
+
+def rate(posterior: Column, steps: list[list[float]]) -> Column:
+    """The rate after the given steps, rounded to hundredths so that a hair's breadth drops nothing."""
+    return F.round(_walk(posterior, steps)["now"], 2) if steps else F.lit(1.0)
 
 
 def fit_steps(members: DataFrame, targets: dict[str, float], domains: list[str]) -> list[list[float]]:
@@ -56,13 +68,18 @@ def fit_steps(members: DataFrame, targets: dict[str, float], domains: list[str])
     gram = np.asarray([[first[f"m{min(a, b)}_{max(a, b)}"] for b in k] for a in k])
     size = 1 / max(np.linalg.eigvalsh(gram).max(), 1e-12)
     steps: list[list[float]] = []
-    now = have
+    now, t = have, 1.0
     for _ in range(STEPS):
         if np.abs(now - goal).max() <= TOLERANCE * goal.sum():
             break
-        steps.append((size * (now - goal)).tolist())
-        r = rate(F.col("posterior"), steps)
-        got = members.withColumn("_r", r).agg(*[F.sum(F.col("_r") * F.col("tokens") * p[c]).alias(f"t{c}") for c in k]).first()
+        following = (1 + (1 + 4 * t * t) ** 0.5) / 2
+        momentum = (t - 1) / following if steps else 0.0
+        steps.append([momentum, *(size * (now - goal)).tolist()])
+        # The totals where the next step's momentum carries the rates.
+        t, ahead = following, (following - 1) / ((1 + (1 + 4 * following * following) ** 0.5) / 2)
+        at = members.select("tokens", "posterior", _walk(F.col("posterior"), steps).alias("w"))
+        r = F.col("w.now") + ahead * (F.col("w.now") - F.col("w.last"))
+        got = at.agg(*[F.sum(r * F.col("tokens") * p[c]).alias(f"t{c}") for c in k]).first()
         now = np.asarray([got[f"t{c}"] for c in k])
     return steps
 
@@ -71,22 +88,21 @@ def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     """The classifier, the steps, and the written table (id, tokens, posterior) of all documents."""
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     e = evidence.fit(slim, domain_labels(labels), DOMAINS, "id", "text", lexicon_size=LEXICON)
-    tokens = F.size(words_of(F.col("text"))).cast("long")
-    members = written(slim.select("id", tokens.alias("tokens"), evidence.posterior(e, F.col("text")).alias("posterior")), "members")
+    members = written(slim.select("id", evidence.judged(e, F.col("text")).alias("j")).select("id", "j.tokens", "j.posterior"), "members")
     return e, fit_steps(members, targets or TARGETS, DOMAINS), members
 
 
 def chosen(doc_id: Column, rate_: Column, seed: int = 7) -> Column:
     """Whether a document with this rate is in the mixture; the id decides, so a second run chooses alike."""
     draw = F.pmod(F.xxhash64(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(1 << 30)) / float(1 << 30)
-    return draw < rate_
+    return draw < F.coalesce(rate_, F.lit(0.0))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id of every row, n_tokens, p_clean, p_low, p_toxic, rate, chosen.
 
     A null or empty text has no tokens, weighs nothing and is judged by the bins that texts without words have.
-    Repeated rows are weighed each; those with one id are chosen alike. Without labels all posteriors are even; without
+    Tokens are runs of letters. Repeated rows are weighed each; those with one id are chosen alike. Without labels all posteriors are even; without
     tokens, or targets, all rates are 1. An empty table gives no rows; other columns are ignored."""
     _, steps, members = fit(docs, labels, targets, id_col, text_col)
     done = members.withColumn("rate", rate(F.col("posterior"), steps))
@@ -96,4 +112,4 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
 def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that the mixture has, with their own columns."""
     e, steps, _ = fit(docs, labels, targets, id_col, text_col)
-    return docs.filter(chosen(F.col(id_col), rate(evidence.posterior(e, F.col(text_col)), steps)))
+    return docs.filter(chosen(F.col(id_col), rate(evidence.judged(e, F.col(text_col))["posterior"], steps)))

@@ -50,12 +50,12 @@ def test_a_scarce_domain_takes_nothing_from_the_others(spark):
 
 
 def test_rate_is_projected_descent(spark):
-    steps = [[0.5, -0.2], [0.9, 0.1], [-0.3, 0.0]]
+    steps = [[0.0, 0.5, -0.2], [0.3, 0.9, 0.1], [0.4, -0.3, 0.0]]
     df = spark.createDataFrame([([0.7, 0.3],), ([0.1, 0.9],)], "p array<double>")
     for r in df.select("p", mixing.rate(F.col("p"), steps).alias("r")).collect():
-        x = 1.0
-        for g in steps:
-            x = min(1.0, max(0.0, x - sum(a * b for a, b in zip(r["p"], g))))
+        x = last = 1.0
+        for m, *g in steps:
+            x, last = min(1.0, max(0.0, x + m * (x - last) - sum(a * b for a, b in zip(r["p"], g)))), x
         assert math.isclose(r["r"], round(x, 2), abs_tol=0.011)
 
 
