@@ -27,7 +27,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go. Null texts are judged like empty ones."""
     model = quality_classifier.fit(docs, _labels(spark, sf_dir))
     scored = quality_classifier.score(docs, model)
-    return scored.filter(F.col("_quality.quality_score") >= quality_classifier.KEEP_FROM).drop("_quality")
+    # coalesce: without it Spark also filters for scores that are not null, below the join, and finds each score twice.
+    return scored.filter(F.coalesce("_quality.quality_score", F.lit(0.0)) >= quality_classifier.KEEP_FROM).drop("_quality")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
