@@ -7,7 +7,7 @@ expectation-maximisation on counts that are held out of the estimates; the final
 
 The table is cut into blocks of rows in reading order. A block counts its own n-grams and sends each distinct one
 once, as sorted runs of 64-bit keys, to the part of the key space that it falls in. There the blocks' counts are
-added, and only n-grams that several blocks have go back to those blocks; all others a block knows by itself. No row
+added, and only counts of n-grams that several blocks have go back to those blocks; all others a block knows by itself. No row
 for each token or for each n-gram of a document is ever shuffled. Whole blocks are held out to learn the weights.
 """
 
@@ -26,7 +26,7 @@ from hopflow.llm.common import written
 #: Rows of a block at most, blocks at least (where there are so many rows), and the share of blocks held out.
 BLOCK_ROWS, LEAST_BLOCKS, HELD_EVERY = 2048, 20, 5
 #: Buckets of context frequency: 0, 1, 2-3, 4-7, ...; steps of the learning histogram for each doubling of a ratio.
-BUCKETS, STEPS, ROUNDS = 48, 4, 60
+BUCKETS, STEPS, ROUNDS = 48, 2, 60
 NEVER = -(1 << 20)
 START, END = b" start", b" end"  # no word has a space
 
@@ -92,30 +92,35 @@ class Block:
         self.count1[1] = int(np.sum(train))
         self.count2 = np.bincount(self.pair[use], minlength=len(pairs)).astype(np.int64)
 
-    def runs(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(kind, ascending keys, counts): 0 words, 1 pairs, 2 the start of a document."""
-        for kind, keys, counts in ((0, np.delete(self.keys1, 1), np.delete(self.count1, 1)), (1, self.keys2, self.count2), (2, self.keys1[1:2], self.count1[1:2])):
-            order = np.argsort(keys)
-            yield kind, keys[order], counts[order]
-
-    def take(self, rows: list[tuple[int, bytes, bytes, bytes]], own: bool) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(main, held) counts of words and of pairs: from `rows` where given; else the block's own, as main, or none."""
-        zero = lambda x: x.copy() if own else np.zeros_like(x)
-        out = [(zero(self.count1), np.zeros_like(self.count1)), (zero(self.count2), np.zeros_like(self.count2))]
-        for kinds, keys, (main, held) in (((0, 2), self.keys1, out[0]), ((1,), self.keys2, out[1])):
-            mine = [r for r in rows if r[0] in kinds]
-            if not mine:
+    def runs(self, parts: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(kind, part, places, ascending keys): 0 words, 1 pairs, 2 the start of a document."""
+        for kind, places, keys in ((0, np.delete(np.arange(len(self.keys1)), 1), self.keys1), (1, np.arange(len(self.keys2)), self.keys2), (2, np.asarray([1]), self.keys1)):
+            places = places[np.argsort(keys[places])]
+            part = ((keys[places] >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+            for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                if a < b:
+                    yield kind, p, places[a:b], keys[places[a:b]]
+
+    def take(self, rows: dict[tuple[int, int], tuple[int, bytes, bytes]], parts: int, own: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of words and of pairs: from `rows` where several blocks have them; else the block's own, or none."""
+        out = (self.count1.copy(), self.count2.copy()) if own else (np.zeros_like(self.count1), np.zeros_like(self.count2))
+        for kind, part, places, keys in self.runs(parts):
+            if (kind, part) not in rows:
                 continue
-            known = np.concatenate([unpack(r[1]) for r in mine])
-            m, h = (np.concatenate([unpack_counts(r[k]) for r in mine]) for k in (2, 3))
-            order = np.argsort(known)
-            known, m, h = known[order], m[order], h[order]
-            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-            hit = known[at] == keys
-            main[hit], held[hit] = m[at[hit]], h[at[hit]]
+            check, mask, counts = rows[kind, part]
+            if check != checksum(keys):
+                raise ValueError("the table was read in another order than before")
+            shared = np.unpackbits(np.frombuffer(mask, np.uint8), count=len(keys)).astype(bool)
+            out[kind == 1][places[shared]] = unpack_counts(counts)
         return out
 
 
+def checksum(keys: np.ndarray) -> int:
+    """Tells whether two runs of keys are the same."""
+    return int((np.bitwise_xor.reduce(keys) ^ np.uint64(len(keys))).astype(np.int64))
+
+
 def bucket(c: np.ndarray) -> np.ndarray:
     return np.minimum(np.frexp(c.astype(float))[1], BUCKETS - 1)
 
@@ -168,18 +173,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     parts = max(32, -(-slim.count() // BLOCK_ROWS))
 
     runs = slim.select("block", held_block.alias("held"), "train", "text").mapInArrow(_counter(parts), "part int, block long, held boolean, kind int, keys binary, counts binary")
-    met = written(runs.groupBy("part").applyInArrow(_meet, "block long, kind int, keys binary, main binary, held binary, tokens_main long, tokens_held long, types_main long, types long"), "ngrams")
+    met = written(runs.groupBy("part").applyInArrow(_meet, "part int, block long, kind int, run long, shared binary, main binary, total binary, tokens_main long, tokens_held long, types_main long, types long"), "ngrams")
     sums = met.filter("block is null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens_main", "tokens_held", "types_main", "types")]).first()
-    back = met.filter("block is not null").select("block", "kind", "keys", "main", "held")
+    back = met.filter("block is not null").select("block", "kind", "part", "run", "shared", "main", "total")
 
-    learning = slim.filter(held_block & F.col("train")).select("block", "text")
-    seen = learning.groupBy("block").cogroup(back.filter(held_block).groupBy("block")).applyInArrow(_observer(sums["tokens_main"], sums["types_main"]), "b int, q2 int, q1 int, n long")
+    learning = slim.filter(held_block).select("block", "train", "text")
+    seen = learning.groupBy("block").cogroup(back.filter(held_block).groupBy("block")).applyInArrow(_observer(parts, sums["tokens_main"], sums["types_main"]), "b int, q2 int, q1 int, n long")
     histogram = seen.groupBy("b", "q2", "q1").agg(F.sum("n").alias("n")).collect()  # bounded by the steps, not by the rows
     weights = learn_weights([tuple(r) for r in histogram])
 
     id_type = docs.schema[id_col].dataType.simpleString()
     out = f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    scorer = _scorer(sums["tokens_main"] + sums["tokens_held"], sums["types"], weights)
+    scorer = _scorer(parts, sums["tokens_main"] + sums["tokens_held"], sums["types"], weights)
     done = slim.select("block", "id", "train", "held_out", "text").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(scorer, out)
     return done.withColumnRenamed("id", id_col)
 
@@ -191,11 +196,8 @@ def _counter(parts: int):
         now, held, train, texts = None, False, [], []
 
         def flush() -> pa.RecordBatch:
-            out = []
-            for kind, keys, counts in Block(texts, train).runs():
-                part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-                cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
-                out += [(p, now, held, kind, pack(keys[a:b]), pack_counts(counts[a:b])) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+            block = Block(texts, train)
+            out = [(p, now, held, kind, pack(keys), pack_counts((block.count2 if kind == 1 else block.count1)[places])) for kind, p, places, keys in block.runs(parts)]
             cols = list(zip(*out, strict=True))
             kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["part", "block", "held", "kind", "keys", "counts"])
@@ -215,12 +217,13 @@ def _counter(parts: int):
     return run
 
 
-_MET = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("main", pa.binary()), ("held", pa.binary())] + [(c, pa.int64()) for c in ("tokens_main", "tokens_held", "types_main", "types")])
+_MET = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("run", pa.int64()), ("shared", pa.binary()), ("main", pa.binary()), ("total", pa.binary())] + [(c, pa.int64()) for c in ("tokens_main", "tokens_held", "types_main", "types")])
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Adds the counts of one part of the key space; what several blocks have goes back to each of them."""
-    rows = table.select(["block", "held", "kind", "keys", "counts"]).to_pylist()
+    """Adds the counts of one part of the key space. What several blocks have goes back to each of them, as a mask over
+    the run that it sent and the counts of what the mask marks."""
+    rows = table.select(["part", "block", "held", "kind", "keys", "counts"]).to_pylist()
     out = []
     for kind in (0, 1, 2):
         mine = [r for r in rows if r["kind"] == kind]
@@ -228,60 +231,62 @@ def _meet(table: pa.Table) -> pa.Table:
             continue
         each = [unpack(r["keys"]) for r in mine]
         keys, counts = np.concatenate(each), np.concatenate([unpack_counts(r["counts"]) for r in mine])
-        source = np.repeat(np.arange(len(mine)), [len(k) for k in each])
-        is_held = np.asarray([r["held"] for r in mine])
+        is_held = np.repeat(np.asarray([r["held"] for r in mine]), [len(k) for k in each])
         order = np.argsort(keys, kind="stable")
-        keys, counts, source = keys[order], counts[order], source[order]
+        keys = keys[order]
         starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         sizes = np.diff(np.append(starts, len(keys)))
-        total = np.add.reduceat(counts, starts)
-        held = np.add.reduceat(np.where(is_held[source], counts, 0), starts)
-        main = total - held
+        total = np.add.reduceat(counts[order], starts)
+        main = np.add.reduceat(np.where(is_held, 0, counts)[order], starts)
         if kind == 0:
-            out.append((None, None, None, None, None, int(main.sum()), int(held.sum()), int((main > 0).sum()), int((total > 0).sum())))
-        shared = np.repeat(sizes > 1, sizes)
-        group = np.repeat(np.arange(len(starts)), sizes)[shared]
-        source, keys = source[shared], keys[shared]
-        order = np.argsort(source, kind="stable")
-        source, keys, group = source[order], keys[order], group[order]
-        cuts = np.searchsorted(source, np.arange(len(mine) + 1))
-        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            if a < b:
-                out.append((mine[k]["block"], kind, pack(keys[a:b]), pack_counts(main[group[a:b]]), pack_counts(held[group[a:b]]), 0, 0, 0, 0))
+            out.append((rows[0]["part"], None, None, None, None, None, None, int(main.sum()), int((total - main).sum()), int((main > 0).sum()), int((total > 0).sum())))
+        group = np.empty(len(keys), np.int64)
+        group[order] = np.repeat(np.arange(len(starts)), sizes)
+        at = 0
+        for r, k in zip(mine, each, strict=True):
+            g = group[at : at + len(k)]
+            at += len(k)
+            shared = sizes[g] > 1
+            if shared.any():
+                g = g[shared]
+                out.append((r["part"], r["block"], kind, checksum(k), np.packbits(shared).tobytes(), pack_counts(main[g]) if r["held"] else None, pack_counts(total[g]), 0, 0, 0, 0))
     cols = list(zip(*out, strict=True)) if out else [[] for _ in _MET]
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _MET, strict=True)], schema=_MET)
 
 
-def _rows(back: pa.Table) -> list[tuple[int, bytes, bytes, bytes]]:
-    return list(zip(*[back.column(c).to_pylist() for c in ("kind", "keys", "main", "held")], strict=True))
+def _rows(back: pa.Table, counts: str) -> dict[tuple[int, int], tuple[int, bytes, bytes]]:
+    columns = [back.column(c).to_pylist() for c in ("kind", "part", "run", "shared", counts)]
+    return {(k, p): (check, mask, c) for k, p, check, mask, c in zip(*columns, strict=True)}
 
 
-def _observer(tokens: int, types: int):
+def _observer(parts: int, tokens: int, types: int):
     """Of the held-out tokens of a block: how far each estimate lies above the uniform share, by context frequency.
 
-    No main document is in a held-out block, so n-grams that only this block has have main count 0."""
+    No main document is in a held-out block, so n-grams that only this block has have main count 0; its test documents
+    are read, so that its runs are those that it sent, but not observed."""
 
     def run(docs: pa.Table, back: pa.Table) -> pa.Table:
         texts = docs.column("text").to_pylist()
-        x = Block(texts, [False] * len(texts))
-        (c1, _), (c2, _) = x.take(_rows(back), own=False)
-        context, uniform = c1[x.context], 1 / (types + 1)
+        train = docs.column("train").to_pylist()
+        x = Block(texts, train)
+        c1, c2 = x.take(_rows(back, "main"), parts, own=False)
+        use = np.repeat(np.asarray(train, bool), x.lengths)
+        pair, word, context, uniform = x.pair[use], x.word[use], c1[x.context[use]], 1 / (types + 1)
         with np.errstate(divide="ignore", invalid="ignore"):
             steps = lambda p: np.where(p > 0, np.rint(STEPS * np.log2(p / uniform)), NEVER).astype(np.int64)
-            q2 = steps(np.where(context > 0, c2[x.pair] / context, 0.0))
-            q1 = steps(c1[x.word] / max(tokens, 1))
+            q2 = steps(np.where(context > 0, c2[pair] / context, 0.0))
+            q1 = steps(c1[word] / max(tokens, 1))
         found, n = np.unique(np.stack([bucket(context), q2, q1], axis=1), axis=0, return_counts=True)
         return pa.table({"b": pa.array(found[:, 0], pa.int32()), "q2": pa.array(found[:, 1], pa.int32()), "q1": pa.array(found[:, 2], pa.int32()), "n": pa.array(n, pa.int64())})
 
     return run
 
 
-def _scorer(tokens: int, types: int, weights: np.ndarray):
+def _scorer(parts: int, tokens: int, types: int, weights: np.ndarray):
     def run(docs: pa.Table, back: pa.Table) -> pa.Table:
         texts, train = docs.column("text").to_pylist(), docs.column("train").to_pylist()
         x = Block(texts, train)
-        (m1, h1), (m2, h2) = x.take(_rows(back), own=True)
-        c1, c2 = m1 + h1, m2 + h2
+        c1, c2 = x.take(_rows(back, "total"), parts, own=True)
         word, context = c1[x.word], c1[x.context]
         w = weights[bucket(context)]
         p = w[:, 0] * c2[x.pair] / np.maximum(context, 1) + w[:, 1] * word / max(tokens, 1) + w[:, 2] / (types + 1)
