@@ -7,7 +7,9 @@ the map side, so no host is ever gathered. Classes with enough pages and tokens
 accepts a class if its tokens come in the template's order and lie inside one gap of the classes accepted before (or
 the other way round). Text blocks of accepted classes are part of the template; all others fill its slots. Slots in
 menus, headers, footers and the like are left out by the containers around them, and where a page marks an article or
-main part, the slots in it are the text.
+main part that has slots, these slots are the text.
+
+A host may have several layouts. A token is judged by the pages that have its place, the containers it lies in.
 """
 
 from __future__ import annotations
@@ -25,8 +27,10 @@ from pyspark.sql import functions as F
 
 from hopflow.llm.common import written
 
-#: A class belongs to the template from this many pages and this share of the host's pages on.
+#: A class belongs to the template from this many pages and this share of the pages with its place on.
 LEAST_PAGES, LEAST_SHARE = 5, 0.6
+#: A place counts as one of the host's layouts from this share of the host's pages on, which bounds the template.
+LEAST_LAYOUT = 0.05
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -160,6 +164,11 @@ def _hash(token: str) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def places(tokens: list[str], texts: list[Text]) -> list[str]:
+    """The place of each token; that of a tag ends where its name starts."""
+    return [texts[int(t[1:])].place if t[0] == "\0" else t[: t.index("<")] for t in tokens]
+
+
 def hashed(tokens: list[str], texts: list[Text]) -> list[int]:
     return [_hash(f"{texts[int(t[1:])].place}={texts[int(t[1:])].text}" if t[0] == "\0" else t) for t in tokens]
 
@@ -188,20 +197,24 @@ def accept(classes: list[list[int]], tokens: list[int]) -> set[int]:
 def main_text(source: str, classes: list[list[int]] | None) -> str:
     tokens, texts = read_page(source)
     inside = [t for t in texts if not t.outside]
-    if any(t.article for t in inside):
-        return " ".join(t.text for t in inside if t.article)
-    if any(t.main for t in inside):
-        return " ".join(t.text for t in inside if t.main)
+    slots = inside
     if classes:
-        # No part is marked: what is the same on the host's pages is template, the rest fills its slots.
+        # What is the same on the pages of a layout is template, the rest fills its slots.
         fixed = accept(classes, ids := hashed(tokens, texts))
-        slots = {int(t[1:]) for t, h in zip(tokens, ids, strict=True) if t[0] == "\0" and h not in fixed}
-        return " ".join(t.text for k, t in enumerate(texts) if k in slots and not t.outside)
-    return " ".join(t.text for t in inside)
+        own = {int(t[1:]) for t, h in zip(tokens, ids, strict=True) if t[0] == "\0" and h not in fixed}
+        slots = [t for k, t in enumerate(texts) if k in own and not t.outside]
+    # Pages that are the same throughout have no slots; the part they mark is their text.
+    for found in (slots, inside) if not slots else (slots,):
+        for part in ([t for t in found if t.article], [t for t in found if t.main]):
+            if part:
+                return " ".join(t.text for t in part)
+    return " ".join(t.text for t in slots)
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """(host, token, signature, pages, place) over columns host, html; token 0 stands for the page itself."""
+    """(host, token, at, signature, pages, place) over columns host, html; at is the token of the token's place.
+
+    Token 0 stands for the page itself; it and the tokens of places have no `at`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n = TaskContext.get().partitionId(), 0
@@ -210,8 +223,8 @@ def occurrences(pages: DataFrame) -> DataFrame:
         def out() -> pa.RecordBatch:
             keys, values = list(seen), list(seen.values())
             batch = pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), *[pa.array([v[i] for v in values], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))]],
-                names=["host", "token", "signature", "pages", "place"],
+                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), *[pa.array([v[i] for v in values], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64()))]],
+                names=["host", "token", "at", "signature", "pages", "place"],
             )
             seen.clear()
             return batch
@@ -219,34 +232,38 @@ def occurrences(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 n += 1
-                ids = hashed(*read_page(source or ""))
-                count: dict[int, list] = {0: [1, 0.0]}
-                for k, t in enumerate(ids):
-                    c = count.setdefault(t, [0, k / len(ids)])
+                page = read_page(source or "")
+                ids, around = hashed(*page), places(*page)
+                named = {p: _hash(f"\1{p}") for p in set(around)}
+                count: dict[int, list] = {0: [1, 0.0, None]} | {t: [1, 0.0, None] for t in named.values()}
+                for k, (t, p) in enumerate(zip(ids, around, strict=True)):
+                    c = count.setdefault(t, [0, k / len(ids), named[p]])
                     c[0] += 1
-                for t, (c, place) in count.items():
-                    mine = seen.setdefault((host, t), [0, 0, 0.0])
-                    mine[0] ^= _hash(f"{task}:{n}:{c}")
-                    mine[1] += 1
-                    mine[2] += place
+                for t, (c, place, at) in count.items():
+                    mine = seen.setdefault((host, t), [at, 0, 0, 0.0])
+                    mine[1] ^= _hash(f"{task}:{n}:{c}")
+                    mine[2] += 1
+                    mine[3] += place
             if len(seen) > 200_000:
                 yield out()
         if seen:
             yield out()
 
-    rows = pages.select("host", "html").mapInArrow(run, "host string, token long, signature long, pages long, place double")
-    return rows.groupBy("host", "token").agg(F.bit_xor("signature").alias("signature"), F.sum("pages").alias("pages"), F.sum("place").alias("place"))
+    rows = pages.select("host", "html").mapInArrow(run, "host string, token long, at long, signature long, pages long, place double")
+    return rows.groupBy("host", "token").agg(F.min("at").alias("at"), F.bit_xor("signature").alias("signature"), F.sum("pages").alias("pages"), F.sum("place").alias("place"))
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, classes): the token lists of each host's valid classes, in page order.
 
-    A class has two tokens or more, and the pages that LEAST_PAGES and LEAST_SHARE ask for; the lists of a host hold at
-    most 1 / LEAST_SHARE times the tokens of a mean page."""
+    A class has two tokens or more, and the pages that LEAST_PAGES, LEAST_SHARE and LEAST_LAYOUT ask for; the lists of a
+    host hold at most 1 / (LEAST_SHARE * LEAST_LAYOUT) times the tokens of a mean page."""
     found = occurrences(pages).filter(F.col("pages") >= LEAST_PAGES)
     found = written(found, "tokens")
     size = found.filter("token = 0").select("host", F.col("pages").alias("host_pages"))
-    frequent = found.filter("token <> 0").join(size, "host").filter(F.col("pages") >= F.col("host_pages") * LEAST_SHARE)
+    layouts = found.filter("at is null and token <> 0").join(size, "host").filter(F.col("pages") >= F.col("host_pages") * LEAST_LAYOUT)
+    layouts = layouts.select("host", F.col("token").alias("at"), F.col("pages").alias("layout_pages"))
+    frequent = found.join(layouts, ["host", "at"]).filter(F.col("pages") >= F.col("layout_pages") * LEAST_SHARE)
     classes = frequent.groupBy("host", "signature").agg(F.sort_array(F.collect_list(F.struct((F.col("place") / F.col("pages")).alias("place"), "token"))).alias("t")).filter(F.size("t") > 1)
     return classes.groupBy("host").agg(F.collect_list("t.token").alias("classes"))
 

@@ -50,3 +50,17 @@ def test_classes_must_be_ordered_and_nested():
     assert H.accept([[1, 2, 3], [4, 5]], [1, 4, 5, 2, 3]) == {1, 2, 3, 4, 5}
     assert H.accept([[1, 2, 3], [4, 5]], [1, 4, 2, 5, 3]) == {1, 2, 3}
     assert H.accept([[1, 2, 3], [4, 5]], [3, 4, 5, 2, 1]) == {4, 5}
+
+
+MARKED = "<html><body><article><h1>Head {0}</h1><div class=note>Read more on our site</div><p>Text {0}</p></article></body></html>"
+TEASER = "<html><body class=b><article>Our best offers</article><div class=story><p>Story {0}</p><p>goes on {0}</p></div></body></html>"
+
+
+def test_template_inside_article_and_of_each_layout(spark):
+    rows = [(i, "http://h.example/", (TEASER if i >= 14 else MARKED).format(f"w{i}")) for i in range(20)]
+    # The same page throughout: nothing tells its text from a template.
+    rows += [(100 + i, "http://same.example/", MARKED.format("w")) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Head w{i} Text w{i}" for i in range(14))
+    assert all(got[i] == f"Story w{i} goes on w{i}" for i in range(14, 20))
+    assert got[100] == "Head w Read more on our site Text w"
