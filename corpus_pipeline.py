@@ -10,8 +10,8 @@ from hopflow.llm.common import with_rows, written
 
 #: SQL cannot express the classifiers, the fingerprints or the tokenizer.
 ORACLE_SQL: str | None = None
-#: The mixture is to hold hardly anything but clean text; what the classifier thinks low or toxic gets a low rate.
-TARGETS = {"clean": 0.98, "low": 0.01, "toxic": 0.01}
+#: The mixture is to hold nothing but clean text, however common the rest is.
+TARGETS = {"clean": 1.0, "low": 0.0, "toxic": 0.0}
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:

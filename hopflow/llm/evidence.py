@@ -72,6 +72,8 @@ class Evidence:
     lexicon: list[str]
     present: list[list[float]]
     absent: list[float]
+    #: labelled texts that the fit has read
+    texts: float = 0.0
 
 
 def sample_labels(labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -102,7 +104,7 @@ def fit(docs: DataFrame, labelled: DataFrame, classes: list[str], id_col: str =
     p = [[(w[c] + 0.1) / (texts[k] + 0.2) if texts[k] else 0.5 for k, c in enumerate(classes)] for w in words]
     present = [[math.log(x / (1 - x)) for x in row] for row in p]
     absent = [sum(math.log(1 - row[k]) for row in p) for k in range(len(classes))]
-    return Evidence(classes, prior, shapes, [w["word"] for w in words], present, absent)
+    return Evidence(classes, prior, shapes, [w["word"] for w in words], present, absent, sum(texts))
 
 
 def _conditional(counts: list[float], width: int) -> list[float]:

@@ -2,6 +2,7 @@ import math
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from hopflow.llm import evidence, mixing, quality_classifier as Q
 
 SF = "/root/testdata/sf0.01"
@@ -68,3 +69,22 @@ def test_edge_cases(spark):
         assert Q.classify(docs.limit(0), known).collect() == [] and mixing.mix(docs.limit(0), known).collect() == []
     assert all(r["rate"] == 1.0 for r in mixing.mix(docs, labels, {"clean": 0.0}).collect())
     assert evidence.SAMPLE >= 1000
+
+
+def test_toxic_documents_go_however_common_they_are(spark):
+    for toxic in (5, 50, 500):
+        rows = [(i, 100, [0.998, 0.001, 0.001]) for i in range(1000)] + [(i, 100, [0.01, 0.0, 0.99]) for i in range(1000, 1000 + toxic)]
+        members = spark.createDataFrame(rows, "id long, tokens long, posterior array<double>")
+        share = {}
+        for name, targets in (("none", corpus_pipeline.TARGETS), ("some", {"clean": 0.998, "low": 0.001, "toxic": 0.001 + 0.2 * toxic / 1000})):
+            steps = mixing.fit_steps(members, targets, mixing.DOMAINS)
+            got = {r["id"]: r["r"] for r in members.select("id", mixing.rate(F.col("posterior"), steps).alias("r")).collect()}
+            assert all(got[i] > 0.98 for i in range(1000))
+            share[name] = got[1000]
+        assert share["none"] < 0.02 and abs(share["some"] - 0.2) < 0.03
+
+
+def test_without_labels_all_stay(spark):
+    docs = spark.createDataFrame([(i, f"the cat {i}", "s", "l") for i in range(50)], "doc_id long, text string, source string, lang string")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert mixing.mixture(docs, none, corpus_pipeline.TARGETS).count() == 50
