@@ -21,6 +21,8 @@ WEAKEST, STRONGEST, EDGE = 5.0, 1000.0, 0.02
 #: A document is kept from this posterior on; below one half, since a good document lost weighs more than a bad one kept.
 KEEP_FROM = 0.25
 CLASSES = ["bad", "good"]
+#: Words of the learned lexicon, at most.
+LEXICON = 256
 
 
 @dataclass
@@ -59,7 +61,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Site shares are sums over the classifier's posteriors of every document, added up on the map side."""
     labelled = labels.select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "bad").alias("class"))
-    e = evidence.fit(docs, labelled, CLASSES, id_col, text_col, sample=sample)
+    e = evidence.fit(docs, labelled, CLASSES, id_col, text_col, lexicon_size=LEXICON, sample=sample)
     p = _sigmoid(_likelihood_ratio(e, F.col(text_col)) + (e.prior[1] - e.prior[0]))
     alone = docs.select(F.col(host_col).alias("_host"), F.col(path_col).alias("_path"), p.alias("_p"))
     paths = written(alone.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum("_p").alias("good")), "paths")

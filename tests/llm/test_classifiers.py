@@ -88,3 +88,12 @@ def test_without_labels_all_stay(spark):
     docs = spark.createDataFrame([(i, f"the cat {i}", "s", "l") for i in range(50)], "doc_id long, text string, source string, lang string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert mixing.mixture(docs, none, corpus_pipeline.TARGETS).count() == 50
+
+
+def test_words_tell_bad_documents_of_ordinary_shape(spark):
+    common, bad = "garden window bridge summer letter", "casino wallet payout poker7 lotto7".replace("7", "s")
+    text = lambda i: " ".join(f"{w} {common.split()[i % 5]}" for w in (bad if i % 4 == 0 else "forest doctor market orange silver").split())
+    docs = spark.createDataFrame([(i, text(i), "s", "l") for i in range(400)], "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"] for r in Q.classify(docs, labels).filter("kept").collect()}
+    assert kept == {i for i in range(400) if i % 4}
