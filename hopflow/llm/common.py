@@ -69,6 +69,28 @@ def total_bytes(df: DataFrame, text_col: str = "text") -> int:
     return df.agg(F.sum(F.octet_length(text_col)).alias("b")).first()["b"] or 0
 
 
+#: A key with this share of all rows is hot: there are at most 1 / HOT_SHARE of them, which bounds what is broadcast.
+HOT_SHARE, SALTS = 0.005, 64
+
+
+def hot_keys(counts: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """The keys, of a table with one row for each and its number of rows `n`, that have HOT_SHARE of all rows."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return counts.filter(F.col(n) >= max(HOT_SHARE * total, 2)).select(*keys)
+
+
+def salted_join(rows: DataFrame, found: DataFrame, keys: list[str], hot: DataFrame, by: Column, how: str = "inner") -> DataFrame:
+    """rows joined with found, which has each key once, so that the rows of hot keys are dealt over SALTS tasks by `by`.
+
+    Rows of other keys, and those with null keys, have one salt."""
+    few = F.broadcast(hot.select(*keys).withColumn("_hot", F.lit(True)))  # at most 1 / HOT_SHARE rows
+    one = F.array(F.lit(0))
+    left = rows.join(few, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(by, F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(one)
+    right = found.join(few, keys, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
 def with_rows(docs: DataFrame, name: str = "_row") -> DataFrame:
     """docs with a number for each row that is the same whenever the result is read.
 

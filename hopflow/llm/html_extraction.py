@@ -9,23 +9,26 @@ the other way round). Text blocks of accepted classes are part of the template;
 menus, headers, footers and the like are left out by the containers around them, and where a page marks an article or
 main part that has slots, these slots are the text.
 
-A host may have several layouts. A token is judged by the pages that have its place, the containers it lies in.
+A host may have several layouts. A token is judged by the pages that have its place, the containers it lies in. Hosts
+with few pages share the template of their domain.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hopflow.llm.common import written
+from hopflow.llm.common import hot_keys, salted_join, written
 
 #: A class belongs to the template from this many pages and this share of the pages with its place on.
 LEAST_PAGES, LEAST_SHARE = 5, 0.6
@@ -36,7 +39,7 @@ HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not text of the page's article.
-OUTSIDE = frozenset("head title script style noscript template iframe object svg math canvas nav footer aside form button select textarea dialog menu".split())
+OUTSIDE = frozenset("head header title script style noscript template iframe object svg math canvas nav footer aside form button select textarea dialog menu".split())
 #: The content of these holds no tags.
 RAW = ("script", "style", "textarea", "title", "iframe", "noscript", "template")
 #: Containers that make up the place of a token.
@@ -58,18 +61,27 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 @dataclass(slots=True)
 class Text:
-    """A text block: its place, its words, whether its place rules it out, whether it is in an article or main part."""
+    """A text block: its words, whether its place rules it out, whether it is in an article or main part."""
 
-    place: str
     text: str
     outside: bool
     article: bool
     main: bool
 
 
-def _attributes(name: str, source: str, in_article: bool) -> tuple[str, bool]:
+@dataclass(slots=True)
+class Page:
+    """The tokens of a page in order: what each is, the place it lies in, and the text block it stands for (-1: a tag)."""
+
+    ids: list[int]
+    around: list[int]
+    block: list[int]
+    texts: list[Text]
+
+
+def _attributes(name: str, source: str) -> tuple[str, bool]:
     """The class and id of a tag, for its place, and whether the element is outside the article."""
-    outside = name in OUTSIDE or (name == "header" and not in_article)
+    outside = name in OUTSIDE
     if not source or source.isspace():
         return "", outside
     label = ""
@@ -88,16 +100,31 @@ def _attributes(name: str, source: str, in_article: bool) -> tuple[str, bool]:
     return label, outside
 
 
-def read_page(source: str) -> tuple[list[str], list[Text]]:
-    """The tag tokens and the text blocks of a page, in order; in `tokens`, block k stands as `\\0k`.
+def _hash(token: str) -> int:
+    x = xxhash.xxh64_intdigest(token)
+    return x - (1 << 64) if x >> 63 else x
+
+
+#: The place outside all containers.
+ROOT = 0
 
-    Tags may be unclosed, crossed or cut off. Character references are decoded; white space inside a block is one space."""
-    tokens: list[str] = []
-    texts: list[Text] = []
-    open_: list[tuple[str, str, bool, bool, bool]] = []  # name, place, outside, article, main
-    place, outside, article, main = "", False, False, False
+
+def read_page(source: str) -> Page:
+    """The tokens and text blocks of a page, in one pass; time and memory grow with the page, whatever its depth.
+
+    A place is a hash of the place around it and the container's name, class and id. Tags may be unclosed, crossed or
+    cut off. Character references are decoded; white space inside a block is one space."""
+    page = Page([], [], [], [])
+    open_: list[tuple[str, int, bool, bool, bool]] = []  # name, and what was around it: place, outside, article, main
+    opened: Counter = Counter()
+    place, outside, article, main = ROOT, False, False, False
     run: list[str] = []
 
+    def token(what: str, block: int = -1) -> None:
+        page.ids.append(_hash(f"{place}{what}"))
+        page.around.append(place)
+        page.block.append(block)
+
     def close() -> None:
         if run:
             text = "".join(run)
@@ -105,8 +132,12 @@ def read_page(source: str) -> tuple[list[str], list[Text]]:
             if "&" in text:
                 text = html_lib.unescape(text)
             if text := " ".join(text.split()):
-                tokens.append(f"\0{len(texts)}")
-                texts.append(Text(place, text, outside, article, main))
+                token(f"={text}", len(page.texts))
+                page.texts.append(Text(text, outside, article, main))
+
+    def push(name: str) -> None:
+        open_.append((name, place, outside, article, main))
+        opened[name] += 1
 
     at, end = 0, len(source)
     while at < end:
@@ -121,56 +152,44 @@ def read_page(source: str) -> tuple[list[str], list[Text]]:
         name = name.lower()
         if name in INLINE and (closing or not outside):
             # Inline elements neither end a block nor change its place, unless they are marked as outside.
-            if not closing and rest and not rest.isspace() and _attributes(name, rest, article)[1]:
+            if not closing and rest and not rest.isspace() and _attributes(name, rest)[1]:
                 close()
-                open_.append((name, place, outside, article, main))
+                push(name)
                 outside = True
             elif closing and open_ and open_[-1][0] == name:
                 close()
                 _, place, outside, article, main = open_.pop()
+                opened[name] -= 1
             continue
         if name in INLINE:
-            open_.append((name, place, outside, article, main))
+            push(name)
             continue
         close()
         if closing:
-            for k in range(len(open_) - 1, -1, -1):
-                if open_[k][0] == name:
-                    _, place, outside, article, main = open_[k]
-                    del open_[k:]
-                    break
-            tokens.append(f"{place}</{name}")
+            if opened[name]:  # else nothing that it could close is open
+                while True:
+                    last, place, outside, article, main = open_.pop()
+                    opened[last] -= 1
+                    if last == name:
+                        break
+            token(f"</{name}")
             continue
-        label, out = _attributes(name, rest, article)
-        tokens.append(f"{place}<{name}{label}")
+        label, out = _attributes(name, rest)
+        token(f"<{name}{label}")
         if name in VOID or rest.endswith("/"):
             continue
         if name in RAW:
             stop = re.compile(f"</{name}\\s*>", re.I).search(source, at)
             at = stop.end() if stop else end
             continue
-        open_.append((name, place, outside, article, main))
+        push(name)
         if name in CONTAINERS:
-            place = f"{place}/{name}{label}"
+            place = _hash(f"{place}/{name}{label}")
         outside |= out
         article |= name == "article" and not outside
         main |= name == "main" and not outside
     close()
-    return tokens, texts
-
-
-def _hash(token: str) -> int:
-    x = xxhash.xxh64_intdigest(token)
-    return x - (1 << 64) if x >> 63 else x
-
-
-def places(tokens: list[str], texts: list[Text]) -> list[str]:
-    """The place of each token; that of a tag ends where its name starts."""
-    return [texts[int(t[1:])].place if t[0] == "\0" else t[: t.index("<")] for t in tokens]
-
-
-def hashed(tokens: list[str], texts: list[Text]) -> list[int]:
-    return [_hash(f"{texts[int(t[1:])].place}={texts[int(t[1:])].text}" if t[0] == "\0" else t) for t in tokens]
+    return page
 
 
 def accept(classes: list[list[int]], tokens: list[int]) -> set[int]:
@@ -182,7 +201,8 @@ def accept(classes: list[list[int]], tokens: list[int]) -> set[int]:
     found: set[int] = set()
 
     def one_gap(outer: list[int], inner: list[int]) -> bool:
-        return all(not inner[0] < p < inner[-1] for p in outer)
+        """Whether no token of the outer class lies between the first and the last of the inner one."""
+        return bisect_right(outer, inner[0]) == bisect_left(outer, inner[-1])
 
     for c in sorted(classes, key=len, reverse=True):
         at = [first[t] for t in c if t in first]
@@ -195,14 +215,13 @@ def accept(classes: list[list[int]], tokens: list[int]) -> set[int]:
 
 
 def main_text(source: str, classes: list[list[int]] | None) -> str:
-    tokens, texts = read_page(source)
-    inside = [t for t in texts if not t.outside]
+    page = read_page(source)
+    inside = [t for t in page.texts if not t.outside]
     slots = inside
     if classes:
         # What is the same on the pages of a layout is template, the rest fills its slots.
-        fixed = accept(classes, ids := hashed(tokens, texts))
-        own = {int(t[1:]) for t, h in zip(tokens, ids, strict=True) if t[0] == "\0" and h not in fixed}
-        slots = [t for k, t in enumerate(texts) if k in own and not t.outside]
+        fixed = accept(classes, page.ids)
+        slots = [t for t, i in ((page.texts[b], i) for b, i in zip(page.block, page.ids, strict=True) if b >= 0) if i not in fixed and not t.outside]
     # Pages that are the same throughout have no slots; the part they mark is their text.
     for found in (slots, inside) if not slots else (slots,):
         for part in ([t for t in found if t.article], [t for t in found if t.main]):
@@ -211,10 +230,19 @@ def main_text(source: str, classes: list[list[int]] | None) -> str:
     return " ".join(t.text for t in slots)
 
 
-def occurrences(pages: DataFrame) -> DataFrame:
-    """(host, token, at, signature, pages, place) over columns host, html; at is the token of the token's place.
+def counted(page: Page) -> dict[int, list]:
+    """Of each token of a page: how often it occurs, the first occurrence as a share of the page, the token of its place.
 
-    Token 0 stands for the page itself; it and the tokens of places have no `at`."""
+    Token 0 stands for the page; it and the tokens of places have no place of their own."""
+    named = {p: _hash(f"\1{p}") for p in set(page.around)}
+    out: dict[int, list] = {0: [1, 0.0, None]} | {t: [1, 0.0, None] for t in named.values()}
+    for k, (t, p) in enumerate(zip(page.ids, page.around, strict=True)):
+        out.setdefault(t, [0, k / len(page.ids), named[p]])[0] += 1
+    return out
+
+
+def occurrences(pages: DataFrame) -> DataFrame:
+    """(host, token, at, signature, pages, place) over columns host, html; at is the token of the token's place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n = TaskContext.get().partitionId(), 0
@@ -232,48 +260,57 @@ def occurrences(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 n += 1
-                page = read_page(source or "")
-                ids, around = hashed(*page), places(*page)
-                named = {p: _hash(f"\1{p}") for p in set(around)}
-                count: dict[int, list] = {0: [1, 0.0, None]} | {t: [1, 0.0, None] for t in named.values()}
-                for k, (t, p) in enumerate(zip(ids, around, strict=True)):
-                    c = count.setdefault(t, [0, k / len(ids), named[p]])
-                    c[0] += 1
-                for t, (c, place, at) in count.items():
+                for t, (c, place, at) in counted(read_page(source or "")).items():
                     mine = seen.setdefault((host, t), [at, 0, 0, 0.0])
                     mine[1] ^= _hash(f"{task}:{n}:{c}")
                     mine[2] += 1
                     mine[3] += place
-            if len(seen) > 200_000:
-                yield out()
+                if len(seen) > 200_000:
+                    yield out()
         if seen:
             yield out()
 
     rows = pages.select("host", "html").mapInArrow(run, "host string, token long, at long, signature long, pages long, place double")
-    return rows.groupBy("host", "token").agg(F.min("at").alias("at"), F.bit_xor("signature").alias("signature"), F.sum("pages").alias("pages"), F.sum("place").alias("place"))
+    return _added(rows, "host")
+
+
+def _added(rows: DataFrame, host: str) -> DataFrame:
+    return rows.groupBy(F.col(host).alias("host"), "token").agg(F.min("at").alias("at"), F.bit_xor("signature").alias("signature"), F.sum("pages").alias("pages"), F.sum("place").alias("place"))
+
+
+def domain(host: Column) -> Column:
+    """What a host shares with similar ones: its last two labels, under a name that no host has."""
+    return F.concat(F.lit("*."), F.array_join(F.slice(F.split(host, r"\."), F.greatest(F.size(F.split(host, r"\.")) - 1, F.lit(1)), 2), "."))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, classes): the token lists of each host's valid classes, in page order.
+    """(host, pages, classes): the token lists of each host's valid classes, in page order.
 
     A class has two tokens or more, and the pages that LEAST_PAGES, LEAST_SHARE and LEAST_LAYOUT ask for; the lists of a
-    host hold at most 1 / (LEAST_SHARE * LEAST_LAYOUT) times the tokens of a mean page."""
-    found = occurrences(pages).filter(F.col("pages") >= LEAST_PAGES)
-    found = written(found, "tokens")
+    host hold at most 1 / (LEAST_SHARE * LEAST_LAYOUT) times the tokens of a mean page. Hosts with fewer pages than
+    LEAST_PAGES are counted together as one host for each domain, `*.domain`; vectors are sums, so nothing is read again."""
+    found = written(occurrences(pages), "tokens")
+    size = found.filter("token = 0").select("host", F.col("pages").alias("host_pages"))
+    few = size.filter(F.col("host_pages") < LEAST_PAGES).select("host")
+    together = _added(found.join(few, "host").withColumn("domain", domain(F.col("host"))), "domain")
+    found = found.join(few, "host", "left_anti").unionByName(together).filter(F.col("pages") >= LEAST_PAGES)
+    found = written(found, "template_tokens")
     size = found.filter("token = 0").select("host", F.col("pages").alias("host_pages"))
     layouts = found.filter("at is null and token <> 0").join(size, "host").filter(F.col("pages") >= F.col("host_pages") * LEAST_LAYOUT)
     layouts = layouts.select("host", F.col("token").alias("at"), F.col("pages").alias("layout_pages"))
     frequent = found.join(layouts, ["host", "at"]).filter(F.col("pages") >= F.col("layout_pages") * LEAST_SHARE)
     classes = frequent.groupBy("host", "signature").agg(F.sort_array(F.collect_list(F.struct((F.col("place") / F.col("pages")).alias("place"), "token"))).alias("t")).filter(F.size("t") > 1)
-    return classes.groupBy("host").agg(F.collect_list("t.token").alias("classes"))
+    lists = classes.groupBy("host").agg(F.collect_list("t.token").alias("classes"))
+    return size.join(lists, "host", "left").select("host", F.col("host_pages").alias("pages"), F.coalesce("classes", F.array().cast("array<array<bigint>>")).alias("classes"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The id and url of every row, text, and n_chars (its code points).
 
-    Null or empty html gives an empty text. A null url, or one without a host, belongs to the host with an empty name;
-    hosts with few pages have no template, and the places of the blocks alone decide. Repeated rows and null ids are
-    pages like others; pages are read whole. An empty table gives no rows; other columns are ignored."""
+    Null or empty html gives an empty text. A null url, or one without a host, belongs to the host with an empty name.
+    A host with few pages takes the template of all such hosts of its domain; where these are few as well there is no
+    template, and the containers of the blocks alone decide. Repeated rows and null ids are pages like others; pages are
+    read whole. An empty table gives no rows; other columns are ignored."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), HOST, 1))
     slim = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).alias("html"))
     known = written(templates(slim), "templates")
@@ -284,5 +321,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    done = slim.join(known, "host", "left").select("id", "url", "html", "classes").mapInArrow(run, f"id {kind}, url {pages.schema[url_col].dataType.simpleString()}, text string, n_chars long")
+    hot = hot_keys(known, ["host"], "pages")
+    own = salted_join(slim.withColumn("_domain", domain(F.col("host"))), known.select("host", "classes"), ["host"], hot, F.xxhash64("html"), "left")
+    shared = known.filter(F.col("host").startswith("*.")).select(F.col("host").alias("_domain"), F.col("classes").alias("_shared"))
+    both = salted_join(own, shared, ["_domain"], hot.withColumnRenamed("host", "_domain"), F.xxhash64("html"), "left")
+    done = both.select("id", "url", "html", F.coalesce("classes", "_shared").alias("classes")).mapInArrow(run, f"id {kind}, url {pages.schema[url_col].dataType.simpleString()}, text string, n_chars long")
     return done.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")

@@ -1,6 +1,8 @@
 import html as html_lib
 import re
 
+from pyspark.sql import functions as F
+
 from hopflow.llm import html_extraction as H
 
 
@@ -64,3 +66,70 @@ def test_template_inside_article_and_of_each_layout(spark):
     assert all(got[i] == f"Head w{i} Text w{i}" for i in range(14))
     assert all(got[i] == f"Story w{i} goes on w{i}" for i in range(14, 20))
     assert got[100] == "Head w Read more on our site Text w"
+
+
+def test_whole_table_without_marked_articles(spark):
+    """Without <article> and <main> tags, templates and containers alone find the same text."""
+    df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = {r["page_id"]: r["html"] for r in df.collect()}
+    bare = df.withColumn("html", F.regexp_replace("html", r"</?(article|main)>", ""))
+    for r in H.extract(bare).collect():
+        assert r["text"] == expected(rows[r["page_id"]])
+
+
+def test_templates_against_plain_code(spark):
+    """Classes of tokens with equal occurrence vectors, found by writing out the vectors."""
+    df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").withColumn("host", F.regexp_extract("url", H.HOST, 1))
+    hosts = {}
+    for r in df.collect():
+        hosts.setdefault(r["host"], []).append(H.counted(H.read_page(r["html"])))
+    keys = {}
+    for host, pages in hosts.items():
+        keys.setdefault(host if len(pages) >= H.LEAST_PAGES else "*." + ".".join(host.split(".")[-2:]), []).extend(pages)
+    want = {}
+    for host, pages in keys.items():
+        if len(pages) < H.LEAST_PAGES:
+            continue
+        vectors, at = {}, {}
+        for n, page in enumerate(pages):
+            for t, (c, _, place) in page.items():
+                vectors.setdefault(t, {})[n] = c
+                at[t] = place
+        layouts = {t: len(v) for t, v in vectors.items() if t and at[t] is None and len(v) >= max(H.LEAST_PAGES, H.LEAST_LAYOUT * len(pages))}
+        classes = {}
+        for t, v in vectors.items():
+            if at[t] in layouts and len(v) >= max(H.LEAST_PAGES, H.LEAST_SHARE * layouts[at[t]]):
+                classes.setdefault(tuple(sorted(v.items())), set()).add(t)
+        want[host] = {frozenset(c) for c in classes.values() if len(c) > 1}
+    got = {r["host"]: {frozenset(c) for c in r["classes"]} for r in H.templates(df).collect()}
+    assert got == want and sum(map(len, want.values())) > 20
+
+
+def test_small_hosts_share_the_template_of_their_domain(spark):
+    page = "<html><body><div class=w><p>Our shop since 1990</p><div class=s><p>Story {0}</p><p>goes on {0}</p></div><p>Call us</p></div></body></html>"
+    rows = [(i, f"http://h{i // 2}.shops.example/{i}", page.format(f"w{i}")) for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story w{i} goes on w{i}" for i in range(12)}
+
+
+def test_hostile_markup_takes_linear_time_and_memory():
+    import time
+    import tracemalloc
+
+    for source in ("<div>" * 200_000, "<p>" * 150_000 + "</b>" * 150_000 + "</td>" * 150_000, "<div class=x>" * 50_000 + "y" + "</div>" * 50_000, "<a <" * 250_000, "<a href=\"" * 100_000, "<!--" * 250_000):
+        tracemalloc.start()
+        began = time.time()
+        H.main_text(source, None)
+        assert time.time() - began < 20 and tracemalloc.get_traced_memory()[1] < 200 << 20
+        tracemalloc.stop()
+
+
+def test_hot_host_is_dealt_over_tasks(spark):
+    rows = [(i, "http://hot.example/", MARKED.format(f"w{i}")) for i in range(300)] + [(1000 + i, f"http://c{i % 40}.example/", MARKED.format(f"v{i}")) for i in range(400)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = {r["page_id"]: r["text"] for r in H.extract(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {i: f"Head {w} Text {w}" for i, _, h in rows for w in [h.split("Head ")[1].split("<")[0]]}
