@@ -20,12 +20,14 @@ _folders: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which all executors share.
 
-    Where that setting is absent (a local session) a temporary folder takes its place.
-    The folder is removed when the Python process ends."""
+    Where that setting is absent a temporary folder takes its place, in local sessions only: on a cluster it would
+    scatter a table over machines. The folder is removed when the Python process ends."""
     app = spark.sparkContext.applicationId
     if app not in _folders:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="hopflow-")
         _folders[app] = f"{base.rstrip('/')}/hopflow-{app}-{uuid.uuid4().hex[:8]}"
         atexit.register(_remove, spark, _folders[app])
@@ -91,10 +93,15 @@ def salted_join(rows: DataFrame, found: DataFrame, keys: list[str], hot: DataFra
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
-def with_rows(docs: DataFrame, name: str = "_row") -> DataFrame:
-    """docs with a number for each row that is the same whenever the result is read.
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a number for each row, as a written table: whoever reads it again meets the same numbers, whatever
+    docs is made of. `name` must be no column of docs; see fresh."""
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
 
-    A table that is read from files has one by its reading order; anything else is written first."""
-    if not docs.inputFiles():
-        docs = written(docs, "rows")
-    return docs.withColumn(name, F.monotonically_increasing_id())
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """name, or name with underscores before it: a name that no column of docs has, in any case of letters."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hopflow.llm import evidence
-from hopflow.llm.common import let, written
+from hopflow.llm.common import fresh, let, written
 
 #: Bounds of the shrinkage strength, in documents, and of the share that a site may reach.
 WEAKEST, STRONGEST, EDGE = 5.0, 1000.0, 0.02
@@ -76,16 +76,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(e, written(sites, "sites"), share)
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
-    """docs with a struct `_quality`: evidence, host_share, path_share, quality_score.
+def score(docs: DataFrame, model: Model, text_col: str = "text", host_col: str = "source", path_col: str = "lang", name: str = "_quality") -> DataFrame:
+    """docs with a struct `name`: evidence, host_share, path_share, quality_score. Columns of docs keep their values.
 
     Sites that the model has not seen take the share of all documents."""
-    scored = docs.withColumn("_evidence", _likelihood_ratio(model.evidence, F.col(text_col)))
-    met = scored.join(model.sites, scored[host_col].eqNullSafe(model.sites["_host"]) & scored[path_col].eqNullSafe(model.sites["_path"]), "left")
-    host, path = F.coalesce("_host_share", F.lit(model.share)), F.coalesce("_path_share", F.lit(model.share))
-    prior = F.least(F.greatest(path, F.lit(EDGE)), F.lit(1 - EDGE))
-    found = F.struct(F.col("_evidence").alias("evidence"), host.alias("host_share"), path.alias("path_share"), _sigmoid(F.col("_evidence") + _logit(prior)).alias("quality_score"))
-    return met.withColumn("_quality", found).drop("_evidence", "_host", "_path", "_host_share", "_path_share")
+    seen, host, path, of_host, of_path = (fresh(docs, c) for c in ("_seen", "_host", "_path", "_host_share", "_path_share"))
+    sites = model.sites.select(F.col("_host").alias(host), F.col("_path").alias(path), F.col("_host_share").alias(of_host), F.col("_path_share").alias(of_path))
+    scored = docs.withColumn(seen, _likelihood_ratio(model.evidence, F.col(text_col)))
+    met = scored.join(sites, F.col(host_col).eqNullSafe(F.col(host)) & F.col(path_col).eqNullSafe(F.col(path)), "left")
+    host_share, path_share = F.coalesce(of_host, F.lit(model.share)), F.coalesce(of_path, F.lit(model.share))
+    prior = F.least(F.greatest(path_share, F.lit(EDGE)), F.lit(1 - EDGE))
+    found = F.struct(F.col(seen).alias("evidence"), host_share.alias("host_share"), path_share.alias("path_share"), _sigmoid(F.col(seen) + _logit(prior)).alias("quality_score"))
+    return met.withColumn(name, found).select(*[F.col(f"`{c}`") for c in docs.columns], name)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:

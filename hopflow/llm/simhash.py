@@ -63,57 +63,69 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return left.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, fp long")
 
 
-def _shifts() -> np.ndarray:
-    """For each syndrome of the Hamming code of length 31, the changes of at most 2 of its bits that reach a code word.
-
-    Row s: bit s alone and all pairs i ^ j = s; for 0 none. Unused places repeat the first."""
-    bit = [0] + [1 << (p - 1) for p in range(1, 32)]
-    rows = []
-    for s in range(32):
-        found = [bit[s]] + [bit[i] | bit[i ^ s] for i in range(1, 32) if s and i ^ s > i]
-        rows.append(found + found[:1] * (16 - len(found)))
-    return np.asarray(rows, np.uint32)
-
-
-SHIFTS = _shifts()
-_MASKS = [sum(1 << (p - 1) for p in range(1, 32) if p >> k & 1) for k in range(5)]
-
-
-def anchors(half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For values of 32 bits: the row and the code word of every anchor within 2 bits."""
-    low = half & np.uint32(0x7FFFFFFF)
-    syndrome = np.zeros(len(half), np.uint32)
-    for k, mask in enumerate(_MASKS):
-        syndrome |= (np.bitwise_count(low & np.uint32(mask)) & 1).astype(np.uint32) << np.uint32(k)
-    own = half[:, None] ^ SHIFTS[syndrome]
-    # With the free bit changed as well, only the nearest code word is within 2.
-    flipped = half ^ SHIFTS[syndrome, 0] ^ np.uint32(0x80000000)
-    all_ = np.concatenate([own, flipped[:, None]], axis=1)
-    keep = np.ones(all_.shape, bool)
-    keep[syndrome == 0, 1:16] = False
-    rows, cols = np.nonzero(keep)
-    return rows, all_[rows, cols]
-
-
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        fp = batch.column(0).to_numpy(zero_copy_only=False)
-        bits = fp.view(np.uint64)
-        for at in range(0, len(fp), 4096):
-            keys, values = [], []
-            for side, shift in ((0, 32), (1, 0)):
-                part = ((bits[at : at + 4096] >> np.uint64(shift)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                rows, code = anchors(part)
-                keys.append(code.astype(np.int64) | (side << 32))
-                values.append(fp[at : at + 4096][rows])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(values))], names=["anchor", "fp"])
-
-
-def forest(fp: np.ndarray, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
-    """Links that connect distinct fingerprints exactly as all links within the threshold do, one fewer than each
-    component has members."""
-    bits, out = fp.view(np.uint64), []
-    left = np.arange(len(fp))
+class Code:
+    """A covering code of radius 1: the Hamming code on the first 2**checks - 1 bits of a block, the other `free` bits as
+    they are."""
+
+    def __init__(self, checks: int, free: int):
+        self.length = (1 << checks) - 1
+        self.width = self.length + free
+        bit = [0] + [1 << (p - 1) for p in range(1, self.length + 1)]
+        # For each syndrome the changes of at most 2 Hamming bits that reach a code word: bit s alone, and all pairs
+        # i ^ j = s; for 0 none. Unused places repeat the first.
+        rows = [[bit[s]] + [bit[i] | bit[i ^ s] for i in range(1, 1 << checks) if s and i ^ s > i] for s in range(1 << checks)]
+        most = max(map(len, rows))
+        self.shifts = np.asarray([r + r[:1] * (most - len(r)) for r in rows], np.uint32)
+        self.masks = [sum(1 << (p - 1) for p in range(1, self.length + 1) if p >> k & 1) for k in range(checks)]
+        self.flips = np.asarray([1 << k for k in range(self.length, self.width)], np.uint32)
+        # Two changes of free bits are left over only for a value that is a code word.
+        self.twice = np.asarray([1 << i | 1 << j for i in range(self.length, self.width) for j in range(self.length, i)], np.uint32)
+
+    def anchors(self, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For values of `width` bits: the row and the code word of every anchor within radius + 1 = 2 bits."""
+        syndrome = np.zeros(len(block), np.uint32)
+        for k, mask in enumerate(self.masks):
+            syndrome |= (np.bitwise_count(block & np.uint32(mask)) & 1).astype(np.uint32) << np.uint32(k)
+        nearest = (block ^ self.shifts[syndrome, 0])[:, None]
+        found = np.concatenate([block[:, None] ^ self.shifts[syndrome], nearest ^ self.flips, nearest ^ self.twice], axis=1)
+        keep = np.ones(found.shape, bool)
+        keep[syndrome == 0, 1 : self.shifts.shape[1]] = False
+        keep[syndrome != 0, found.shape[1] - len(self.twice) :] = False
+        rows, cols = np.nonzero(keep)
+        return rows, found[rows, cols]
+
+
+#: The anchors of 32-bit halves: a Hamming code on 31 bits, and the last bit free.
+HALVES = Code(5, 1)
+
+
+def spread(code: Code, blocks: int, per_word: int):
+    """Of rows (node, bits, words...): a row (anchor, node, bits) for each anchor of each block of the words.
+
+    A word of 64 bits has `per_word` blocks of `code.width` bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, bits = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            words = [batch.column(2 + k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(batch.num_columns - 2)]
+            for at in range(0, len(node), 2048):
+                keys, rows = [], []
+                for b in range(blocks):
+                    word = words[b // per_word][at : at + 2048] >> np.uint64(b % per_word * 32)
+                    mine, anchor = code.anchors((word & np.uint64((1 << code.width) - 1)).astype(np.uint32))
+                    keys.append(anchor.astype(np.int64) | (b << 32))
+                    rows.append(mine + at)
+                where = np.concatenate(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(node[where]), pa.array(bits[where])], names=["anchor", "node", "bits"])
+
+    return run
+
+
+def forest(node: np.ndarray, bits: np.ndarray, threshold: int) -> list[tuple[int, int]]:
+    """Links that connect nodes exactly as all links of bits within the threshold do, one fewer than each component has
+    members."""
+    bits, out = bits.view(np.uint64), []
+    left = np.arange(len(node))
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
@@ -121,64 +133,74 @@ def forest(fp: np.ndarray, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
             near = np.bitwise_count(bits[left] ^ bits[k]) <= threshold
             if near.any():
                 found = left[near]
-                out += [(int(fp[k]), int(x)) for x in fp[found]]
+                out += [(int(node[k]), int(x)) for x in node[found]]
                 queue += found.tolist()
                 left = left[~near]
     return out
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links at each cell, of rows (cell..., fp) that come with equal cells in a row. Cells have a bounded size."""
-    pending: list[np.ndarray] = []
+def _compare(threshold: int):
+    """Links at each cell, of rows (anchor, cell, node, bits) that come with equal cells in a row. Cells have a bounded
+    size."""
 
     def links(block: np.ndarray) -> np.ndarray:
-        """block: columns anchor, i, j, fp; whole cells."""
-        new = np.flatnonzero(np.any(block[1:, :3] != block[:-1, :3], axis=1)) + 1
+        """block: whole cells."""
+        new = np.flatnonzero(np.any(block[1:, :2] != block[:-1, :2], axis=1)) + 1
         starts = np.concatenate([[0], new])
         sizes = np.diff(np.append(starts, len(block)))
         two = starts[sizes == 2]
-        a, b = block[two, 3], block[two + 1, 3]
-        near = np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)) <= THRESHOLD
-        out = [np.stack([a[near], b[near]], axis=1)]
+        near = np.bitwise_count(block[two, 3].view(np.uint64) ^ block[two + 1, 3].view(np.uint64)) <= threshold
+        out = [np.stack([block[two, 2][near], block[two + 1, 2][near]], axis=1)]
         for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            if found := forest(np.ascontiguousarray(block[s : s + n, 3])):
+            if found := forest(block[s : s + n, 2], np.ascontiguousarray(block[s : s + n, 3]), threshold):
                 out.append(np.asarray(found, np.int64))
         return np.concatenate(out)
 
     def batch_of(x: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, 0])), pa.array(np.ascontiguousarray(x[:, 1]))], names=["u", "v"])
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)], axis=1)
-        if pending:
-            rows = np.concatenate([*pending, rows])
-        last = rows[-1, :3]
-        whole = len(rows) - int(np.argmax(np.any(rows[::-1, :3] != last, axis=1))) if np.any(rows[:, :3] != last) else 0
-        pending = [rows[whole:]]
-        if whole > 1:
-            yield batch_of(links(rows[:whole]))
-    if pending and len(pending[0]) > 1:
-        yield batch_of(links(pending[0]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pending: list[np.ndarray] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)], axis=1)
+            if pending:
+                rows = np.concatenate([*pending, rows])
+            other = np.any(rows[:, :2] != rows[-1, :2], axis=1)
+            whole = len(rows) - int(np.argmax(other[::-1])) if other.any() else 0
+            pending = [rows[whole:]]
+            if whole > 1:
+                yield batch_of(links(rows[:whole]))
+        if pending and len(pending[0]) > 1:
+            yield batch_of(links(pending[0]))
+
+    return run
+
+
+def link_at_anchors(spread_: DataFrame, threshold: int, block: int = BLOCK) -> DataFrame:
+    """(u, v): of rows (anchor, node, bits), links that connect the nodes of each anchor as all its pairs of bits within
+    the threshold do.
+
+    Anchors with more than `block` nodes are cut into blocks; every pair of blocks is a cell of its own, so no task
+    holds more than two blocks of an anchor at once and no pair is lost."""
+    zero = F.lit(0).cast("long")
+    sizes = spread_.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
+    met = spread_.join(sizes, "anchor").withColumn("blocks", F.ceil(F.col("n") / block).cast("long"))
+    cells = met.withColumn("own", F.pmod(F.xxhash64("node"), "blocks")).select(
+        "anchor", "node", "bits", "own",
+        F.explode(F.when(F.col("blocks") == 1, F.array(zero)).otherwise(F.sequence(zero, F.col("blocks") - 1))).alias("other"),
+    )
+    cell = F.shiftleft(F.least("own", "other"), 31) + F.greatest("own", "other")
+    together = cells.select("anchor", cell.alias("cell"), "node", "bits").repartition("anchor", "cell").sortWithinPartitions("anchor", "cell")
+    return together.mapInArrow(_compare(threshold), "u long, v long")
 
 
 def link_fingerprints(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(u, v): links that connect the distinct fingerprints of column `fp` as all pairs within the threshold do.
-
-    Anchors with more than `block` fingerprints are cut into blocks; every pair of blocks is a cell of its own, so no
-    task holds more than two blocks of an anchor at once and no pair is lost."""
-    spread = distinct.select("fp").mapInArrow(_spread, "anchor long, fp long")
-    sizes = spread.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
-    met = spread.join(sizes, "anchor").withColumn("blocks", F.ceil(F.col("n") / block).cast("long"))
-    own = F.pmod(F.xxhash64("fp"), "blocks")
-    cells = met.withColumn("own", own).select(
-        "anchor", "fp", "own",
-        F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).alias("other"),
-    )
-    cells = cells.select("anchor", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
-    together = cells.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
-    return together.mapInArrow(_compare, "u long, v long")
+    """(u, v): links that connect the distinct fingerprints of column `fp` as all pairs within the threshold do."""
+    fp = F.col("fp")
+    rows = distinct.select(fp.alias("node"), fp.alias("bits"), fp.alias("w")).mapInArrow(spread(HALVES, 2, 2), "anchor long, node long, bits long")
+    return link_at_anchors(rows, THRESHOLD, block)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -84,10 +84,19 @@ def test_links_connect_as_all_pairs(spark, block):
     assert parts(links) == parts(every)
 
 
-def test_anchor_code_covers():
+@pytest.mark.parametrize("code", [simhash.HALVES, simhash.Code(4, 11), simhash.Code(3, 5)])
+def test_anchor_code_covers(code):
     rng = np.random.default_rng(3)
-    for x in rng.integers(0, 2**32, 50, dtype=np.uint64).astype(np.uint32):
-        mine = set(simhash.anchors(np.asarray([x]))[1].tolist())
+    of = lambda x: simhash.Code.anchors(code, np.asarray([x], np.uint32))[1].tolist()
+    words = None
+    if code.width < 16:
+        every = np.arange(1 << code.width, dtype=np.uint32)
+        words = [int(x) for x in every if (int(x) & of(x)[0]) == int(x) == of(x)[0]]
+    for x in rng.integers(0, 2**code.width, 50, dtype=np.uint64).astype(np.uint32):
+        mine = of(x)
+        assert len(mine) == len(set(mine))
         assert any((int(x) ^ a).bit_count() <= 1 for a in mine) and all((int(x) ^ a).bit_count() <= 2 for a in mine)
-        for k in range(32):
-            assert mine & set(simhash.anchors(np.asarray([x ^ np.uint32(1 << k)]))[1].tolist())
+        if words is not None:
+            assert set(mine) == {w for w in words if (w ^ int(x)).bit_count() <= 2}
+        for k in range(code.width):
+            assert set(mine) & set(of(x ^ np.uint32(1 << k)))
