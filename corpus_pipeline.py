@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopflow.llm import exact_dedup, mixing, packing, quality_classifier, simhash
-from hopflow.llm.common import with_rows, written
+from hopflow.llm import exact_dedup, mixing, near_texts, packing, quality_classifier
+from hopflow.llm.common import fresh, numbered, written
 
 #: SQL cannot express the classifiers, the fingerprints or the tokenizer.
 ORACLE_SQL: str | None = None
@@ -18,40 +18,64 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs (with _row) without the rows named in `dropped` (column _row)."""
-    return docs.join(dropped, "_row", "left_anti").drop("_row")
+def _without(rows: DataFrame, row: str, dropped: DataFrame) -> DataFrame:
+    """rows, numbered in column `row`, without those that `dropped` names. Written first, so that its size is known:
+    Spark sends it to the documents if it is small and shuffles both sides otherwise."""
+    return rows.join(written(dropped, "dropped"), row, "left_anti").drop(row)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go. Null texts are judged like empty ones."""
+    """Documents that the quality classifier rejects go.
+
+    Null and empty texts are judged by the bins that texts without words have; repeated rows are judged alike and all
+    stay or go; null sources and languages are sites of their own. Without labels nothing goes but by an even prior. An
+    empty table stays empty; other columns, whatever their names, are kept."""
     model = quality_classifier.fit(docs, _labels(spark, sf_dir))
-    scored = quality_classifier.score(docs, model)
+    name = fresh(docs, "_quality")
+    scored = quality_classifier.score(docs, model, name=name)
     # coalesce: without it Spark also filters for scores that are not null, below the join, and finds each score twice.
-    return scored.filter(F.coalesce("_quality.quality_score", F.lit(0.0)) >= quality_classifier.KEEP_FROM).drop("_quality")
+    return scored.filter(F.coalesce(F.col(name)["quality_score"], F.lit(0.0)) >= quality_classifier.KEEP_FROM).drop(name)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
-    rows = with_rows(docs)
-    found = exact_dedup.exact_dedup(rows.select(F.struct("doc_id", "_row").alias("id"), "text"), "id", "text")
-    return _without(rows, found.filter(~F.col("kept")).select("id._row"))
+    """Of equal texts (lower-cased in A-Z) the row with the largest doc_id stays.
+
+    Null counts as empty; a null doc_id is smaller than any other; of rows that repeat a doc_id and text exactly one
+    stays. An empty table stays empty; other columns, whatever their names, are kept."""
+    row = fresh(docs, "_row")
+    rows = numbered(docs, row)
+    found = exact_dedup.exact_dedup(rows.select(F.struct("doc_id", F.col(row).alias("row")).alias("id"), "text"), "id", "text")
+    return _without(rows, row, found.filter(~F.col("kept")).select(F.col("id.row").alias(row)))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the row with the smallest doc_id stays."""
-    rows = with_rows(docs)
-    found = simhash.near_duplicates(rows.select(F.struct("doc_id", "_row").alias("id"), "text"), "id", "text")
-    return _without(rows, found.filter(F.col("id._row") != F.col("component_id._row")).select("id._row"))
+    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the row with the smallest doc_id stays.
+
+    Texts without words, null among them, are copies of each other; of rows that repeat a doc_id and text exactly one
+    stays, and a null doc_id is smaller than any other. An empty table stays empty; other columns are kept."""
+    row = fresh(docs, "_row")
+    rows = numbered(docs, row)
+    groups = written(near_texts.near_groups(rows.select(F.col(row).alias("row"), "text")), "groups")
+    several = groups.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1").select("group")
+    members = groups.join(several, "group").join(rows.select(F.col(row).alias("row"), "doc_id"), "row")
+    first = members.groupBy("group").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("group", F.col("first.row").alias("stays"))
+    return _without(rows, row, groups.join(first, "group").filter("row <> stays").select(F.col("row").alias(row)))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stay at the rates that bring the expected tokens of each domain to the targets."""
+    """Documents stay at the rates that bring the expected tokens of each domain to the targets.
+
+    Null and empty texts have no tokens and are judged by the bins that texts without words have; rows with one doc_id
+    are chosen alike if their texts are. Without labels or tokens every document stays. An empty table stays empty;
+    other columns, whatever their names, are kept."""
     return mixing.mixture(docs, _labels(spark, sf_dir), TARGETS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the remaining documents in sequences of at most 4096 tokens."""
+    """The pieces of the remaining documents in sequences of at most 4096 tokens.
+
+    A null or empty text is the end id alone; repeated rows are packed each; an empty table gives no rows. Of the columns
+    doc_id and text are read."""
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
