@@ -2,31 +2,30 @@
 
 A classifier fitted on the labelled table gives each document posteriors over domains. Rates r in [0, 1] are fitted
 to the documents so that the expected tokens of domain c, the sum of r * tokens * posterior(c), match targets, by
-least squares. Of all such rates those nearest 1 are taken: a document's rate is 1 less the inner product of its
-posteriors with one multiplier for each domain, clipped, so the fit keeps the multipliers and no rates. They minimise a
-convex function of as many variables as there are domains, which needs of the documents only the tokens and mean
-posteriors in cells of like posteriors: one aggregation over all documents, and Newton steps in the driver until the
-gradient vanishes.
+distributed projected-gradient least squares: every step adds up over all documents what is missed, and moves and
+projects every rate. Of all rates that match, those nearest 1 are taken; then a document's rate is 1 less the inner
+product of its posteriors with one multiplier for each domain, clipped, so what a step changes is as many numbers as
+there are domains, and the documents are only read.
 """
 
 from __future__ import annotations
 
 import warnings
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hopflow.llm import evidence
-from hopflow.llm.common import let, written
+from hopflow.llm.common import fresh, written
 
 DOMAINS = ["clean", "low", "toxic"]
 TARGETS = {"clean": 0.96, "low": 0.02, "toxic": 0.02}
 LEXICON = 256
-#: The solver stops where the gradient is below this share of all tokens; what a multiplier of 1 may miss, likewise.
-STEPS, TOLERANCE, SLACK = 1000, 1e-7, 1e-4
-#: Cells of posteriors: so many for each factor e of the odds against the first domain, and the largest exponent.
-CELLS, FARTHEST = 8, 12
+#: The fit ends where the gradient is below this share of all tokens; what a multiplier of 1 may miss, likewise; passes
+#: over the documents after which it gives up with a warning.
+TOLERANCE, SLACK, PASSES = 1e-7, 1e-4, 200
 
 
 def domain_labels(labels: DataFrame) -> DataFrame:
@@ -35,104 +34,124 @@ def domain_labels(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("doc_id").alias("id"), kind.alias("class"))
 
 
-def _walk(posterior: Column, steps: list[list[float]]) -> Column:
-    """A struct of the rate after the given steps, and the rate before the last one, starting at 1.
+def rate(posterior: Column, multipliers: list[float]) -> Column:
+    """1 less the inner product of posteriors and multipliers, clipped to 0 .. 1."""
+    if not multipliers:
+        return F.lit(1.0)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - _inner(posterior, multipliers)))
 
-    A step is its momentum, then the gradient by domain: the rate moves on from where momentum carries it, and is
-    clipped to 0 .. 1. One fold over the steps for each row."""
-    k = range(len(steps[0]) - 1)
-    moves = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
-    start = F.struct(F.lit(1.0).alias("now"), F.lit(1.0).alias("last"))
 
-    def step(p: Column, at: Column, m: Column) -> Column:
-        ahead = at["now"] + m[0] * (at["now"] - at["last"]) - sum((p[c] * m[c + 1] for c in k), F.lit(0.0))
-        return F.struct(F.least(F.lit(1.0), F.greatest(F.lit(0.0), ahead)).alias("now"), at["now"].alias("last"))
+def _inner(posterior: Column, multipliers: list[float]) -> Column:
+    return sum((F.element_at(posterior, c + 1) * float(m) for c, m in enumerate(multipliers)), F.lit(0.0))
 
-    # let: the posteriors are found once for each row, not once for each step.
-    return let(posterior, lambda p: F.aggregate(moves, start, lambda at, m: step(p, at, m)))
 
+@dataclass
+class Mix:
+    """Multipliers, the targets in tokens and what was reached, by domain, and the number of passes over the documents."""
 
-def rate(posterior: Column, steps: list[list[float]]) -> Column:
-    """The rate after the given steps, rounded to hundredths so that a hair's breadth drops nothing."""
-    return F.round(_walk(posterior, steps)["now"], 2) if steps else F.lit(1.0)
+    multipliers: list[float]
+    goal: list[float]
+    reached: list[float]
+    passes: int
 
 
-def fit_steps(members: DataFrame, targets: dict[str, float], domains: list[str]) -> list[list[float]]:
-    """The steps for a table with columns tokens and posterior.
+def _pass(members: DataFrame, multipliers: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """One aggregation over all documents: with s the inner product and r the rate, the sum of tokens * ((r - 1)^2 / 2 + s r),
+    the tokens of each domain at these rates and at rate 1, and the sum of tokens * p p^T over the rates that can move."""
+    k = range(len(multipliers))
+    p = [F.element_at("posterior", c + 1) for c in k]
+    rows = members.filter("tokens > 0").select("tokens", "posterior", _inner(F.col("posterior"), multipliers).alias("s"), rate(F.col("posterior"), list(multipliers)).alias("r"))
+    moves = F.when(((F.col("r") > 0) & (F.col("r") < 1)) | (F.col("s") == 0), F.col("tokens")).otherwise(0.0)
+    sums = [F.sum(F.col("tokens") * (F.pow(F.col("r") - 1, 2) / 2 + F.col("s") * F.col("r")))]
+    sums += [F.sum(F.col("tokens") * F.col("r") * p[c]) for c in k] + [F.sum(F.col("tokens") * p[c]) for c in k]
+    sums += [F.sum(moves * p[c] * p[d]) for c in k for d in k]
+    found = np.asarray([x or 0.0 for x in rows.agg(*[x.alias(f"x{i}") for i, x in enumerate(sums)]).first()], float)
+    n = len(multipliers)
+    return found[0], found[1 : n + 1], found[n + 1 : 2 * n + 1], found[2 * n + 1 :].reshape(n, n)
+
+
+def fit_rates(members: DataFrame, targets: dict[str, float], domains: list[str]) -> Mix:
+    """The multipliers for a table with columns tokens and posterior, by projected gradient steps.
+
+    Each step is one pass over the documents: it adds up what the present rates miss of each domain's target, moves all
+    rates against that gradient, weighed by the documents' posteriors and the curvature that the pass found, and projects
+    them to 0 .. 1. Rates are a function of posteriors and multipliers, so a pass reads and writes none. It ends where the
+    gradient, what is missed less what the pull towards the nearest rates (SLACK) explains, is below TOLERANCE of all tokens.
 
-    All domains weigh alike: taking tokens from one to spare another pays only where the classifier tells them apart.
     The targets are those that keep the domain of the largest weight whole; where another has fewer tokens than its
     target the rest stays lacking, since nothing is repeated."""
-    k = range(len(domains))
-    p = [F.element_at("posterior", c + 1) for c in k]
     weight = np.asarray([max(targets.get(d, 0.0), 0.0) for d in domains])
-    odds = [F.log(F.greatest(p[c], F.lit(1e-12)) / F.greatest(p[0], F.lit(1e-12))) for c in k[1:]]
-    cell = [F.floor(CELLS * F.least(F.lit(FARTHEST), F.greatest(F.lit(-FARTHEST), x))).alias(f"o{c}") for c, x in enumerate(odds)]
-    rows = members.filter("tokens > 0").groupBy(*cell).agg(F.sum("tokens").alias("n"), *[F.sum(F.col("tokens") * p[c]).alias(f"t{c}") for c in k]).collect()
-    tokens = np.asarray([r["n"] for r in rows], float)
-    if not len(rows) or weight.sum() <= 0:
-        return []
-    sums = np.asarray([[r[f"t{c}"] for c in k] for r in rows])
-    have = sums.sum(axis=0)
+    m = np.zeros(len(domains))
+    value, reached, have, curve = _pass(members, m)
+    total = have.sum()
+    if not total or weight.sum() <= 0:
+        return Mix([], have.tolist(), have.tolist(), 1)
     weight = weight / weight.sum()
     goal = weight * have[weight.argmax()] / weight.max()
-    return [[0.0, *multipliers(tokens / tokens.sum(), sums / tokens[:, None], goal / tokens.sum()).tolist()]]
-
 
-def multipliers(share: np.ndarray, p: np.ndarray, goal: np.ndarray) -> np.ndarray:
-    """The m for which the rates clip(1 - p m) bring the sums of share * rate * p to the goal, as near as rates can.
+    def convex(v: float, at: np.ndarray) -> float:
+        """What the multipliers minimise: its gradient is goal - reached + SLACK * m, in shares of all tokens."""
+        return (goal @ at - v) / total + SLACK / 2 * at @ at
 
-    m minimises a convex function: its gradient is goal - sums + SLACK * m, so what is missed is SLACK * m."""
-
-    def at(m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        s = p @ m
-        r = np.clip(1 - s, 0, 1)
-        value = -(share * ((r - 1) ** 2 / 2 + s * r)).sum() + goal @ m + SLACK / 2 * m @ m
-        return value, goal - (share * r) @ p + SLACK * m, r
-
-    m = np.zeros(len(goal))
-    value, gradient, r = at(m)
-    for _ in range(STEPS):
-        if np.abs(gradient).max() <= TOLERANCE:
-            return m
-        free = (r > 0) & (r < 1) | (p @ m == 0)
-        move = np.linalg.solve((p[free].T * share[free]) @ p[free] + SLACK * np.eye(len(m)), gradient)
+    gradient, passes = (goal - reached) / total, 1
+    while np.abs(gradient).max() > TOLERANCE and passes < PASSES:
+        move = np.linalg.solve(curve / total + SLACK * np.eye(len(m)), gradient)
         size = 1.0
-        while size > 1e-12 and at(m - size * move)[0] > value - 1e-4 * size * (gradient @ move):
-            size /= 2
-        m = m - size * move
-        value, gradient, r = at(m)
-    warnings.warn(f"mixing: gradient {np.abs(gradient).max():.1e} of all tokens after {STEPS} steps", stacklevel=2)
-    return m
-
-
-def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[evidence.Evidence, list[list[float]], DataFrame]:
-    """The classifier, the steps, and the written table (id, tokens, posterior) of all documents."""
+        while True:
+            to = m - size * move
+            new = _pass(members, to)
+            passes += 1
+            if convex(new[0], to) <= convex(value, m) - 1e-4 * size * (gradient @ move) or size < 1e-9 or passes >= PASSES:
+                break
+            size /= 4
+        m, (value, reached, _, curve) = to, new
+        gradient = (goal - reached) / total + SLACK * m
+    if np.abs(gradient).max() > TOLERANCE:
+        warnings.warn(f"mixing: gradient {np.abs(gradient).max():.1e} of all tokens after {passes} passes", stacklevel=2)
+    return Mix(m.tolist(), goal.tolist(), reached.tolist(), passes)
+
+
+def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[Mix, DataFrame]:
+    """The fitted mixture, and the written table (id, row, tokens, posterior) of all documents."""
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     e = evidence.fit(slim, domain_labels(labels), DOMAINS, "id", "text", lexicon_size=LEXICON)
-    members = written(slim.select("id", evidence.judged(e, F.col("text")).alias("j")).select("id", "j.tokens", "j.posterior"), "members")
+    members = slim.select("id", F.monotonically_increasing_id().alias("row"), evidence.judged(e, F.col("text")).alias("j")).select("id", "row", "j.tokens", "j.posterior")
+    members = written(members, "members")
     # Without a labelled text the posteriors say nothing, and every document stays.
-    return e, fit_steps(members, targets or TARGETS, DOMAINS) if e.texts else [], members
+    return fit_rates(members, targets or TARGETS, DOMAINS) if e.texts else Mix([], [], [], 0), members
+
+
+def _key(doc_id: Column, row: Column) -> Column:
+    return F.coalesce(doc_id.cast("string"), F.concat(F.lit("row "), row.cast("string")))
 
 
-def chosen(doc_id: Column, rate_: Column, seed: int = 7) -> Column:
-    """Whether a document with this rate is in the mixture; the id decides, so a second run chooses alike."""
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(1 << 30)) / float(1 << 30)
+def chosen(key: Column, rate_: Column, seed: int = 7) -> Column:
+    """Whether a row with this rate is in the mixture; the key decides, so a second run chooses alike."""
+    draw = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) / float(1 << 30)
     return draw < F.coalesce(rate_, F.lit(0.0))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id of every row, n_tokens, p_clean, p_low, p_toxic, rate, chosen.
+    """The id of every row, n_tokens, p_clean, p_low, p_toxic, rate, chosen, and the same in all rows for each domain:
+    goal_<domain> and reached_<domain>, tokens that the targets ask for and that the rates give.
 
     A null or empty text has no tokens, weighs nothing and is judged by the bins that texts without words have.
-    Tokens are runs of letters. Repeated rows are weighed each; those with one id are chosen alike. Without labels all posteriors are even; without
-    labels, tokens, or targets, all rates are 1. An empty table gives no rows; other columns are ignored."""
-    _, steps, members = fit(docs, labels, targets, id_col, text_col)
-    done = members.withColumn("rate", rate(F.col("posterior"), steps))
-    return done.select(F.col("id").alias(id_col), F.col("tokens").alias("n_tokens"), *[F.element_at("posterior", k + 1).alias(f"p_{d}") for k, d in enumerate(DOMAINS)], "rate", chosen(F.col("id"), F.col("rate")).alias("chosen"))
+    Tokens are runs of letters. Repeated rows are weighed each; those with one id are chosen alike, a null id by its row.
+    Without labels all posteriors are even; without labels, tokens, or targets, all rates are 1 and goals null. An empty
+    table gives no rows; other columns are ignored."""
+    found, members = fit(docs, labels, targets, id_col, text_col)
+    done = members.withColumn("rate", rate(F.col("posterior"), found.multipliers))
+    ends = [F.lit(v[k] if v else None).cast("double").alias(f"{name}_{d}") for name, v in (("goal", found.goal), ("reached", found.reached)) for k, d in enumerate(DOMAINS)]
+    return done.select(F.col("id").alias(id_col), F.col("tokens").alias("n_tokens"), *[F.element_at("posterior", k + 1).alias(f"p_{d}") for k, d in enumerate(DOMAINS)], "rate", chosen(_key(F.col("id"), F.col("row")), F.col("rate")).alias("chosen"), *ends)
 
 
 def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that the mixture has, with their own columns."""
-    e, steps, _ = fit(docs, labels, targets, id_col, text_col)
-    return docs.filter(chosen(F.col(id_col), rate(evidence.judged(e, F.col(text_col))["posterior"], steps)))
+    """The rows of docs that the mixture has, with their own columns; a null id is drawn by its row.
+
+    The posteriors are found once and written beside the rows, then read by the fit and by the choice."""
+    judged, row = fresh(docs, "_judged"), fresh(docs, "_row")
+    e = evidence.fit(docs, domain_labels(labels), DOMAINS, id_col, text_col, lexicon_size=LEXICON)
+    rows = written(docs.withColumn(judged, evidence.judged(e, F.col(text_col))).withColumn(row, F.monotonically_increasing_id()), "judged")
+    found = fit_rates(rows.select(F.col(judged)["tokens"].alias("tokens"), F.col(judged)["posterior"].alias("posterior")), targets or TARGETS, DOMAINS) if e.texts else Mix([], [], [], 0)
+    kept = rows.filter(chosen(_key(F.col(id_col), F.col(row)), rate(F.col(judged)["posterior"], found.multipliers)))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
