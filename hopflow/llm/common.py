@@ -43,15 +43,33 @@ def _remove(spark: SparkSession, folder: str) -> None:
         pass
 
 
+#: Tables of the shared folder that nobody has released.
+_tables: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     schema = df.schema
     df.write.parquet(path)
+    _tables.append(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def release(docs: DataFrame) -> None:
+    """Deletes the tables that `written` has made, but for those that docs reads. For a chain of jobs each of which
+    writes its result: what the job before it needed on the way is spent once its result is docs."""
+    spark, needed = docs.sparkSession, docs.inputFiles()
+    for path in _tables[:]:
+        name = path.rsplit("/", 1)[1]
+        if not any(f"/{name}/" in file for file in needed):
+            _tables.remove(path)
+            _remove(spark, path)
+    # Spark deletes the files of shuffles that nothing refers to any more when the driver's JVM collects garbage.
+    spark._jvm.System.gc()
+
+
 def let(value: Column, body) -> Column:
     """body(x) with x bound to value, so that value is evaluated once however often body uses x."""
     return F.element_at(F.transform(F.array(value), body), 1)

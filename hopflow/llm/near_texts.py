@@ -63,16 +63,17 @@ def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """(node, shingles): the distinct hashes of the shingles of rows (row, text)."""
+    """(node, shingles): the distinct hashes of the shingles of rows (row, text), by their lower 32 bits, which takes some
+    one in four billion pairs of shingles for equal."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                sets = [np.unique(shingle_hashes(t.as_py() or b"", width)).view(np.int64) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+                sets = [np.unique(shingle_hashes(t.as_py() or b"", width).astype(np.uint32)).view(np.int32) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["node", "shingles"])
 
-    return docs.select("row", F.col("text").cast("binary")).mapInArrow(run, "node long, shingles array<long>")
+    return docs.select("row", F.col("text").cast("binary")).mapInArrow(run, "node long, shingles array<int>")
 
 
 def _judged(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

@@ -185,8 +185,9 @@ def link_at_anchors(spread_: DataFrame, threshold: int, block: int = BLOCK) -> D
     Anchors with more than `block` nodes are cut into blocks; every pair of blocks is a cell of its own, so no task
     holds more than two blocks of an anchor at once and no pair is lost."""
     zero = F.lit(0).cast("long")
-    sizes = spread_.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
-    met = spread_.join(sizes, "anchor").withColumn("blocks", F.ceil(F.col("n") / block).cast("long"))
+    # Written, so that its size is known: few anchors are large, and Spark then needs no shuffle to join them.
+    large = written(spread_.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > block), "anchors")
+    met = spread_.join(large, "anchor", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("long"))
     cells = met.withColumn("own", F.pmod(F.xxhash64("node"), "blocks")).select(
         "anchor", "node", "bits", "own",
         F.explode(F.when(F.col("blocks") == 1, F.array(zero)).otherwise(F.sequence(zero, F.col("blocks") - 1))).alias("other"),
