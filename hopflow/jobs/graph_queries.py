@@ -13,6 +13,7 @@ from hopflow.operators import batching, hotset, messages, model, nodes, partitio
 from hopflow.sources import edges as edge_files
 from hopflow.sources import node_files
 from hopflow.sources.fixtures import VIEWS, WIDTH, Graph
+from hopflow.sources.scratch import folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,38 +49,83 @@ R6 = "round({}, 6) + 0.0"
 
 @query("SELECT l_orderkey AS src, l_partkey AS dst, CASE WHEN l_linenumber % 2 = 0 THEN l_quantity END AS weight FROM lineitem WHERE l_linenumber % 5 <> 0")
 def read_edges_text(g: Graph) -> DataFrame:
-    """Lines written from lineitem: some with weights, some comments."""
+    """Text files written from lineitem: some lines with weights, some comments."""
     weight = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("  "), F.col("l_quantity").cast("string"))).otherwise("")
     line = F.concat(F.when(F.col("l_linenumber") % 5 == 0, F.lit("# ")).otherwise(" "), F.col("l_orderkey"), F.lit("\t"), F.col("l_partkey"), weight)
-    return edge_files.parse_edges(g.table("lineitem").select(line.alias("value")))
+    return edge_files.read_edges_text(g.spark, _text(g, g.table("lineitem").select(line.alias("value"))))
+
+
+def _text(g: Graph, lines: DataFrame) -> str:
+    """The path of text files with these lines."""
+    path = folder(g.spark, "lines")
+    lines.select("value").write.text(path)
+    return path
+
+
+def _lineitem_edges(g: Graph) -> DataFrame:
+    return g.table("lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_extendedprice").alias("weight"))
 
 
 @query("SELECT l_orderkey AS src, l_partkey AS dst FROM lineitem")
+def read_edges_binary(g: Graph) -> DataFrame:
+    """Binary files written from lineitem and read back."""
+    path = folder(g.spark, "edges")
+    edge_files.save_edges_binary(_lineitem_edges(g), path)
+    return edge_files.read_edges_binary(g.spark, path)
+
+
+@query("SELECT l_orderkey AS src, l_partkey AS dst, round(CAST(CAST(l_extendedprice AS FLOAT) AS DOUBLE), 3) + 0.0 AS weight FROM lineitem")
 def write_edges_binary(g: Graph) -> DataFrame:
-    """The blocks that the binary writer makes, taken apart again by SQL functions."""
-    blocks = edge_files.write_edges_binary(g.table("lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")))
-    words = blocks.select(F.explode(F.expr("transform(sequence(0, length(data) div 8 - 1), i -> hex(substring(data, cast(i * 8 + 1 AS int), 8)))")).alias("h"))
-    number = lambda at: F.conv(F.concat(*[F.substring("h", at + 6 - 2 * k, 2) for k in range(4)]), 16, 10).cast("long")
-    return words.select(number(1).alias("src"), number(9).alias("dst"))
+    """Binary files with the bits of a weight behind each edge."""
+    path = folder(g.spark, "weighted")
+    edge_files.save_edges_binary(_lineitem_edges(g), path, weighted=True)
+    return rounded(edge_files.read_edges_binary(g.spark, path, weighted=True), "weight", digits=3)
 
 
-@query("SELECT id, pos, round(value, 4) + 0.0 AS value FROM x WHERE pos < 8")
+def _numbers(sep: str):
+    return F.array_join(F.transform("features", lambda v: v.cast("string")), sep)
+
+
+@query("SELECT id, pos, round(value, 4) + 0.0 AS value FROM x")
 def read_features(g: Graph) -> DataFrame:
-    f = g.features().select("id", F.slice("features", 1, 8).alias("f"))
-    lines = f.select(F.concat_ws(" ", F.col("id").cast("string"), F.array_join(F.transform("f", lambda v: v.cast("string")), "  ")).alias("value"))
-    return V.exploded(node_files.parse_features(lines, 8), ["id"], "features", 4)
+    lines = g.features().select(F.concat_ws(" ", F.col("id").cast("string"), _numbers("  ")).alias("value"))
+    return V.exploded(node_files.read_features(g.spark, _text(g, lines), WIDTH), ["id"], "features", 4)
+
+
+@query("SELECT dense_rank() OVER (ORDER BY id) - 1 AS id, pos, round(value, 4) + 0.0 AS value FROM x")
+def read_features_csv(g: Graph) -> DataFrame:
+    """Comma lines in id order; the line number is the id."""
+    lines = g.features().orderBy("id").select(_numbers(", ").alias("value"))
+    return V.exploded(node_files.read_features_csv(g.spark, _text(g, lines), WIDTH), ["id"], "features", 4)
+
+
+@query("SELECT id, label FROM lab")
+def read_labels(g: Graph) -> DataFrame:
+    return node_files.read_labels(g.spark, _text(g, g.labels().select(F.concat_ws(" ", F.col("id").cast("string"), F.col("label").cast("string")).alias("value"))))
+
+
+@query("SELECT row_number() OVER (ORDER BY vec_id) - 1 AS id, CAST(label AS VARCHAR) || ' ' || CAST(vec_id AS VARCHAR) AS value FROM embeddings")
+def number_rows(g: Graph) -> DataFrame:
+    """Headerless comma lines in id order, numbered, written with blanks between, and read again."""
+    lines = g.labels().orderBy("id").select(F.concat_ws(",", F.col("label").cast("string"), F.col("id").cast("string")).alias("value"))
+    target = folder(g.spark, "numbered")
+    node_files.save_numbered(g.spark, _text(g, lines), target)
+    t = F.split("value", " ", 2)
+    return g.spark.read.text(target).select(t[0].cast("long").alias("id"), t[1].alias("value"))
 
 
 @query("SELECT vec_id AS id, CASE label % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 2 ELSE 3 END AS mask FROM embeddings")
 def read_mask(g: Graph) -> DataFrame:
     words = F.array(*[F.lit(w) for w in ("train", "eval", "val", "test", "other")])
-    return g.labels().select("id", node_files.mask_code(F.element_at(words, (F.col("label") % 5 + 1).cast("int"))).alias("mask"))
+    lines = g.labels().select(F.concat_ws(" ", F.col("id").cast("string"), F.element_at(words, (F.col("label") % 5 + 1).cast("int"))).alias("value"))
+    return node_files.read_mask(g.spark, _text(g, lines))
 
 
-@query("SELECT id, CASE WHEN id % 7 = 0 THEN 2 WHEN id % 5 = 0 THEN 1 WHEN id % 2 = 0 THEN 0 END AS mask FROM v")
+@query("SELECT id, CASE WHEN label % 7 = 0 THEN 2 WHEN label % 5 = 0 THEN 1 WHEN label % 2 = 0 THEN 0 END AS mask FROM lab")
 def read_split_files(g: Graph) -> DataFrame:
-    v = g.vertices()
-    return nodes.split_codes(v.filter("id % 2 = 0"), v.filter("id % 5 = 0"), v.filter("id % 7 = 0"), v)
+    """Three files of ids that overlap; the later one wins."""
+    ids = lambda k: node_files.read_ids(g.spark, _text(g, g.labels().filter(F.col("label") % k == 0).select(F.col("id").cast("string").alias("value"))))
+    return nodes.split_codes(ids(2), ids(5), ids(7), g.vertices())
 
 
 # 2.2 preparation
@@ -122,12 +168,12 @@ def transpose_graph(g: Graph) -> DataFrame:
 
 @query("SELECT id, deg AS degree FROM od")
 def out_degree(g: Graph) -> DataFrame:
-    return prepare.out_degree(g.sparse(), g.n)
+    return prepare.out_degree(g.edges(), g.n)
 
 
 @query("SELECT id, greatest(deg, 1) AS degree FROM ind")
 def in_degree(g: Graph) -> DataFrame:
-    return prepare.in_degree(g.sparse(), g.n, 1)
+    return prepare.in_degree(g.edges(), g.n, 1)
 
 
 @query("SELECT v.id, count(e.id) AS degree FROM v LEFT JOIN (SELECT src AS id FROM raw UNION ALL SELECT dst FROM raw) e ON e.id = v.id GROUP BY v.id")
@@ -135,36 +181,39 @@ def undirected_degree(g: Graph) -> DataFrame:
     return prepare.undirected_degree(g.raw(), g.n)
 
 
+CHUNK = 100
+
+
 def _csc(key: str, other: str) -> str:
     return f"""
-SELECT v.id, coalesce(string_agg(CAST({other} AS VARCHAR), ',' ORDER BY {other}), '') AS nbrs,
-       CAST(sum(count({other})) OVER (ORDER BY v.id) - count({other}) AS BIGINT) AS "offset"
-FROM v LEFT JOIN sp ON sp.{key} = v.id GROUP BY v.id"""
+SELECT id, chunk, nbrs, CAST(sum(c) OVER (ORDER BY id, chunk) - c AS BIGINT) AS "offset" FROM (
+  SELECT v.id, coalesce({other} // {CHUNK}, 0) AS chunk, coalesce(string_agg(CAST({other} AS VARCHAR), ',' ORDER BY {other}), '') AS nbrs, count({other}) AS c
+  FROM v LEFT JOIN g ON g.{key} = v.id GROUP BY v.id, coalesce({other} // {CHUNK}, 0))"""
 
 
 @query(_csc("dst", "src"))
 def build_csc(g: Graph) -> DataFrame:
-    return prepare.build_csc(g.sparse(), g.n).select("id", F.array_join("nbrs", ",").alias("nbrs"), "offset")
+    return prepare.build_csc(g.edges(), g.n, CHUNK).withColumn("nbrs", F.array_join("nbrs", ","))
 
 
 @query(_csc("src", "dst"))
 def build_csr(g: Graph) -> DataFrame:
-    return prepare.build_csr(g.sparse(), g.n).select("id", F.array_join("nbrs", ",").alias("nbrs"), "offset")
+    return prepare.build_csr(g.edges(), g.n, CHUNK).withColumn("nbrs", F.array_join("nbrs", ","))
 
 
 @query("SELECT src, dst, round(weight, 9) AS weight FROM w")
 def gcn_edge_weight(g: Graph) -> DataFrame:
-    return rounded(prepare.gcn_edge_weight(g.sparse(), g.n), "weight", digits=9)
+    return rounded(prepare.gcn_edge_weight(g.edges(), g.n), "weight", digits=9)
 
 
 @query("SELECT src, dst, round(weight / count(*) OVER (PARTITION BY dst), 9) AS weight FROM w")
 def mean_edge_weight(g: Graph) -> DataFrame:
-    return rounded(prepare.mean_edge_weight(g.sparse(), g.n), "weight", digits=9)
+    return rounded(prepare.mean_edge_weight(g.edges(), g.n), "weight", digits=9)
 
 
-@query("SELECT src, dst, 1.0 / (1 + abs(src - dst)) AS weight FROM sp")
+@query("SELECT src, dst, 1.0 / (1 + abs(src - dst)) AS weight FROM g")
 def edge_weight_fn(g: Graph) -> DataFrame:
-    return prepare.edge_weight_fn(g.sparse(), F.lit(1.0) / (1 + F.abs(F.col("src") - F.col("dst"))))
+    return prepare.edge_weight_fn(g.edges(), F.lit(1.0) / (1 + F.abs(F.col("src") - F.col("dst"))))
 
 
 # 2.3 partitioning
@@ -181,11 +230,11 @@ cut AS (SELECT * FROM (WITH RECURSIVE k(part, lo, hi, done) AS (
       ELSE (SELECT coalesce(max(c), done) FROM run WHERE p >= hi AND c - done <= ((SELECT max(c) FROM run) - done) / ({PARTS} - part - 1.0)) END
   FROM k WHERE part < {PARTS - 1}) SELECT * FROM k) WHERE part >= 0),
 rg AS (SELECT part, least(lo * {PAGE}, {N}) AS lo, least(hi * {PAGE}, {N}) AS hi FROM cut),
-own AS (SELECT src, dst, a.part, b.part AS src_part FROM sp JOIN rg a ON dst >= a.lo AND dst < a.hi JOIN rg b ON src >= b.lo AND src < b.hi)"""
+own AS (SELECT src, dst, a.part, b.part AS src_part FROM g JOIN rg a ON dst >= a.lo AND dst < a.hi JOIN rg b ON src >= b.lo AND src < b.hi)"""
 
 
 def _ranges(g: Graph) -> list[tuple[int, int, int]]:
-    return partition.balanced_ranges(g.sparse(), g.n, PARTS, PAGE)
+    return partition.balanced_ranges(g.edges(), g.n, PARTS, PAGE)
 
 
 @query("SELECT part, lo, hi FROM rg", RANGES)
@@ -200,22 +249,22 @@ def assign_partition(g: Graph) -> DataFrame:
 
 @query("SELECT part, src_part, count(*) AS edges FROM own GROUP BY ALL", RANGES)
 def partition_edges(g: Graph) -> DataFrame:
-    return partition.partition_edges(g.sparse(), _ranges(g))
+    return partition.partition_edges(g.edges(), _ranges(g))
 
 
 @query("SELECT part, src, row_number() OVER (PARTITION BY part ORDER BY src) - 1 AS mirror_idx FROM (SELECT DISTINCT part, src FROM own)", RANGES)
 def mirrors(g: Graph) -> DataFrame:
-    return partition.mirrors(g.sparse(), _ranges(g), page=100)
+    return partition.mirrors(g.edges(), _ranges(g), page=100)
 
 
 @query("SELECT src, string_agg(CAST(part AS VARCHAR), ',' ORDER BY part) AS parts, count(*) AS copies FROM (SELECT DISTINCT part, src FROM own) GROUP BY src", RANGES)
 def mirror_presence(g: Graph) -> DataFrame:
-    return partition.mirror_presence(g.sparse(), _ranges(g))
+    return partition.mirror_presence(g.edges(), _ranges(g))
 
 
 @query("SELECT part, src_part, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets FROM own GROUP BY ALL", RANGES)
 def active_counts(g: Graph) -> DataFrame:
-    return partition.active_counts(g.sparse(), _ranges(g))
+    return partition.active_counts(g.edges(), _ranges(g))
 
 
 # 2.4 nodes
@@ -323,7 +372,7 @@ def _weighted_block(g: Graph, kind: str = "sum") -> DataFrame:
 
 @query("SELECT id, least(deg, 3) AS size FROM ind")
 def sample_sizes(g: Graph) -> DataFrame:
-    return sampling.sample_sizes(prepare.in_degree(g.sparse(), g.n), 3)
+    return sampling.sample_sizes(prepare.in_degree(g.edges(), g.n), 3)
 
 
 @query("SELECT * FROM s0", KHOP)
@@ -341,10 +390,10 @@ def sample_khop_merged(g: Graph) -> DataFrame:
     return sampling.sample_khop(_batches(g).select("batch", "id"), g.hub(), list(FANOUTS), SEED, merge=True)
 
 
-@query("""SELECT batch, 0 AS layer, f0.dst, src FROM f0 JOIN sp ON sp.dst = f0.dst
-UNION ALL SELECT DISTINCT f.batch, 1, f.dst, sp.src FROM (SELECT DISTINCT batch, src AS dst FROM f0 JOIN sp ON sp.dst = f0.dst) f JOIN sp ON sp.dst = f.dst""", KHOP)
+@query("""SELECT batch, 0 AS layer, f0.dst, src FROM f0 JOIN g ON g.dst = f0.dst
+UNION ALL SELECT DISTINCT f.batch, 1, f.dst, g.src FROM (SELECT DISTINCT batch, src AS dst FROM f0 JOIN g ON g.dst = f0.dst) f JOIN g ON g.dst = f.dst""", KHOP)
 def all_neighbors(g: Graph) -> DataFrame:
-    return sampling.sample_khop(_batches(g).select("batch", "id"), g.sparse(), [-1, -1], SEED)
+    return sampling.sample_khop(_batches(g).select("batch", "id"), g.edges(), [-1, -1], SEED)
 
 
 @query("SELECT * FROM s0 UNION ALL SELECT * FROM s1 WHERE dst % 3 <> 0", KHOP)
@@ -391,8 +440,8 @@ def block_stats(g: Graph) -> DataFrame:
 # 2.7 hot set
 
 HOT = f"""{KHOP}, c0 AS (SELECT super_batch, id, 1 AS c FROM bt),
-c1 AS (SELECT super_batch, src AS id, sum(c) AS c FROM c0 JOIN sp ON sp.dst = c0.id GROUP BY ALL),
-c2 AS (SELECT super_batch, src AS id, CAST(sum(c) AS BIGINT) AS "count" FROM c1 JOIN sp ON sp.dst = c1.id GROUP BY ALL),
+c1 AS (SELECT super_batch, src AS id, sum(c) AS c FROM c0 JOIN g ON g.dst = c0.id GROUP BY ALL),
+c2 AS (SELECT super_batch, src AS id, CAST(sum(c) AS BIGINT) AS "count" FROM c1 JOIN g ON g.dst = c1.id GROUP BY ALL),
 rk AS (SELECT super_batch, id, "count", row_number() OVER (PARTITION BY super_batch ORDER BY "count" DESC, id) - 1 AS slot, count(*) OVER (PARTITION BY super_batch) AS k FROM c2),
 hot AS (SELECT super_batch, slot, id, "count" FROM rk WHERE slot < CAST(floor((k + 1) * {RATE}) AS BIGINT)),
 need AS (SELECT DISTINCT b.super_batch, s.src AS id FROM s0 s JOIN (SELECT DISTINCT batch, super_batch FROM bt) b USING (batch)),
@@ -400,7 +449,7 @@ fl AS (SELECT need.super_batch, need.id, hot.id IS NOT NULL AS hit FROM need LEF
 
 
 def _counts(g: Graph) -> DataFrame:
-    return hotset.hop_counts(_batches(g).select("super_batch", "id"), g.sparse(), 2)
+    return hotset.hop_counts(_batches(g).select("super_batch", "id"), g.edges(), 2)
 
 
 def _hot(g: Graph) -> DataFrame:
@@ -414,7 +463,7 @@ def _need(g: Graph) -> DataFrame:
 
 @query(f"SELECT id, degree, row_number() OVER (ORDER BY degree DESC, id) - 1 AS slot FROM (SELECT id, deg AS degree FROM od ORDER BY deg DESC, id LIMIT CAST(floor({N} * {RATE}) AS BIGINT))")
 def hot_by_degree(g: Graph) -> DataFrame:
-    return hotset.hot_by_degree(prepare.out_degree(g.sparse(), g.n), g.n, RATE)
+    return hotset.hot_by_degree(prepare.out_degree(g.edges(), g.n), g.n, RATE)
 
 
 @query('SELECT super_batch, id, "count" FROM c2', HOT)
@@ -432,9 +481,20 @@ def presample_hot_fixed(g: Graph) -> DataFrame:
     return hotset.presample_hot_fixed(_counts(g), 40)
 
 
+def _saved(g: Graph) -> DataFrame:
+    path = folder(g.spark, "hot")
+    hotset.save_hot_set(_hot(g), path)
+    return g.spark.read.parquet(path)
+
+
+@query("SELECT super_batch, slot, id FROM hot", HOT)
+def save_hot_set(g: Graph) -> DataFrame:
+    return _saved(g).select(F.col("super_batch").cast("long").alias("super_batch"), "slot", "id")
+
+
 @query("SELECT super_batch, slot, id FROM (SELECT *, count(*) OVER (PARTITION BY super_batch) AS c FROM hot) WHERE slot < CAST(floor(c * 0.5) AS BIGINT)", HOT)
 def load_hot_set(g: Graph) -> DataFrame:
-    return hotset.load_hot_set(_hot(g), 0.5)
+    return hotset.load_hot_set(_saved(g), 0.5).select(F.col("super_batch").cast("long").alias("super_batch"), "slot", "id")
 
 
 @query("SELECT id, super_batch, slot FROM hot", HOT)
@@ -467,7 +527,7 @@ def gather_features(g: Graph) -> DataFrame:
 
 @query(GATHERED, HOT)
 def gather_features_cached(g: Graph) -> DataFrame:
-    hot = hotset.hot_by_degree(prepare.out_degree(g.sparse(), g.n), g.n, RATE)
+    hot = hotset.hot_by_degree(prepare.out_degree(g.edges(), g.n), g.n, RATE)
     return flat(hotset.gather_features_cached(_need(g), g.features(), hot), "super_batch", "id", vector="features")
 
 
@@ -501,7 +561,7 @@ def accumulate_hot_gradients(g: Graph) -> DataFrame:
 
 @query(f"SELECT count(*) AS edges, round(sum(weight), 6) AS total, round(avg(weight), 9) AS mean FROM w WHERE dst IN (SELECT id FROM od ORDER BY deg DESC, id LIMIT CAST(floor({N} * {RATE}) AS BIGINT))")
 def hot_edge_weight_avg(g: Graph) -> DataFrame:
-    out = hotset.hot_edge_weight_avg(prepare.gcn_edge_weight(g.sparse(), g.n), hotset.hot_by_degree(prepare.out_degree(g.sparse(), g.n), g.n, RATE))
+    out = hotset.hot_edge_weight_avg(prepare.gcn_edge_weight(g.edges(), g.n), hotset.hot_by_degree(prepare.out_degree(g.edges(), g.n), g.n, RATE))
     return rounded(rounded(out, "total"), "mean", digits=9)
 
 
@@ -523,43 +583,58 @@ def _x(g: Graph) -> DataFrame:
     return g.features().select("id", F.col("features").alias("x"))
 
 
-@query("SELECT src, dst, pos, round(value, 6) + 0.0 AS value FROM hub JOIN x ON x.id = src WHERE pos < 4")
+#: Edge rows hold whole vectors; the query gives one number for each, in which every element counts differently.
+MARK = "round(sum(value * (pos + 1)), 5) + 0.0 AS mark"
+
+
+def marked(edge_rows: DataFrame) -> DataFrame:
+    steps = F.aggregate(F.transform("x", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, b: a + b)
+    return rounded(edge_rows.select("src", "dst", steps.alias("mark")), "mark", digits=5)
+
+
+@query(f"SELECT src, dst, {MARK} FROM hub JOIN x ON x.id = src GROUP BY ALL")
 def scatter_src(g: Graph) -> DataFrame:
-    return flat(messages.scatter_src(g.hub(), _x(g).withColumn("x", F.slice("x", 1, 4))), "src", "dst")
+    return marked(messages.scatter_src(g.hub(), _x(g)))
 
 
-@query("SELECT src, dst, pos, round(value, 6) + 0.0 AS value FROM hub JOIN x ON x.id = dst WHERE pos < 4")
+@query(f"SELECT src, dst, {MARK} FROM hub JOIN x ON x.id = dst GROUP BY ALL")
 def scatter_dst(g: Graph) -> DataFrame:
-    return flat(messages.scatter_dst(g.hub(), _x(g).withColumn("x", F.slice("x", 1, 4))), "src", "dst")
+    return marked(messages.scatter_dst(g.hub(), _x(g)))
 
 
-@query("SELECT src, dst, pos, round(value, 6) + 0.0 AS value FROM hub JOIN x ON x.id = src WHERE pos < 4 UNION ALL SELECT src, dst, pos + 4, round(value, 6) + 0.0 FROM hub JOIN x ON x.id = dst WHERE pos < 4")
+@query(f"SELECT src, dst, {MARK} FROM (SELECT src, dst, pos, value FROM hub JOIN x ON x.id = src UNION ALL SELECT src, dst, pos + 64, value FROM hub JOIN x ON x.id = dst) GROUP BY ALL")
 def scatter_src_dst(g: Graph) -> DataFrame:
-    return flat(messages.scatter_src_dst(g.hub(), _x(g).withColumn("x", F.slice("x", 1, 4))), "src", "dst")
+    return marked(messages.scatter_src_dst(g.hub(), _x(g)))
 
 
-@query("SELECT dst, pos, round(sum(value), 6) + 0.0 AS value FROM sp JOIN x ON x.id = src GROUP BY ALL")
+@query("SELECT id, pos, round(sum(value), 5) + 0.0 AS value FROM (SELECT src AS id, pos, value FROM hub JOIN x ON x.id = src UNION ALL SELECT dst, pos, value FROM hub JOIN x ON x.id = dst) GROUP BY ALL")
+def scatter_src_dst_backward(g: Graph) -> DataFrame:
+    """The halves of edge gradients added up at both ends."""
+    return V.exploded(messages.scatter_src_dst_backward(messages.scatter_src_dst(g.hub(), _x(g)), WIDTH), ["id"], "x", 5)
+
+
+@query("SELECT dst, pos, round(sum(value), 6) + 0.0 AS value FROM g JOIN x ON x.id = src GROUP BY ALL")
 def aggregate_dst_sum(g: Graph) -> DataFrame:
-    return flat(messages.aggregate_dst_sum(messages.scatter_src(g.sparse(), _x(g)), WIDTH), "dst")
+    return flat(messages.aggregate_dst_sum(messages.scatter_src(g.edges(), _x(g)), WIDTH), "dst")
 
 
-@query("SELECT src, dst, pos, round(value, 6) + 0.0 AS value FROM sp JOIN x ON x.id = dst WHERE pos < 4")
+@query(f"SELECT src, dst, {MARK} FROM g JOIN x ON x.id = dst GROUP BY ALL")
 def aggregate_dst_sum_backward(g: Graph) -> DataFrame:
-    return flat(messages.aggregate_dst_sum_backward(g.sparse(), _x(g).withColumn("x", F.slice("x", 1, 4))), "src", "dst")
+    return marked(messages.aggregate_dst_sum_backward(g.edges(), _x(g)))
 
 
 def _extreme(order: str) -> str:
-    return f"SELECT dst, pos, value, src FROM (SELECT dst, pos, value, src, row_number() OVER (PARTITION BY dst, pos ORDER BY value {order}, src) AS r FROM sp JOIN x ON x.id = src) WHERE r = 1"
+    return f"SELECT dst, pos, value, src FROM (SELECT dst, pos, value, src, row_number() OVER (PARTITION BY dst, pos ORDER BY value {order}, src) AS r FROM g JOIN x ON x.id = src) WHERE r = 1"
 
 
 @query(_extreme("DESC"))
 def aggregate_dst_max(g: Graph) -> DataFrame:
-    return messages.aggregate_dst_extreme(messages.scatter_src(g.sparse(), _x(g)), WIDTH)
+    return messages.aggregate_dst_extreme(messages.scatter_src(g.edges(), _x(g)), WIDTH)
 
 
 @query(_extreme("ASC"))
 def aggregate_dst_min(g: Graph) -> DataFrame:
-    return messages.aggregate_dst_extreme(messages.scatter_src(g.sparse(), _x(g)), WIDTH, largest=False)
+    return messages.aggregate_dst_extreme(messages.scatter_src(g.edges(), _x(g)), WIDTH, largest=False)
 
 
 @query(f"SELECT src, w.dst, w.pos, x.value FROM ({_extreme('DESC')}) w JOIN x ON x.id = w.dst AND x.pos = w.pos")
@@ -569,12 +644,12 @@ def aggregate_dst_max_backward(g: Graph) -> DataFrame:
 
 @query("SELECT dst AS id, pos, round(sum(weight * value), 6) + 0.0 AS value FROM w JOIN x ON x.id = src GROUP BY ALL")
 def gcn_aggregate(g: Graph) -> DataFrame:
-    return flat(messages.gcn_aggregate(prepare.gcn_edge_weight(g.sparse(), g.n), _x(g), WIDTH), "id")
+    return flat(messages.gcn_aggregate(prepare.gcn_edge_weight(g.edges(), g.n), _x(g), WIDTH), "id")
 
 
 @query("SELECT src AS id, pos, round(sum(weight * value), 6) + 0.0 AS value FROM w JOIN x ON x.id = dst GROUP BY ALL")
 def gcn_aggregate_backward(g: Graph) -> DataFrame:
-    return flat(messages.gcn_aggregate_backward(prepare.gcn_edge_weight(g.sparse(), g.n), _x(g), WIDTH), "id")
+    return flat(messages.gcn_aggregate_backward(prepare.gcn_edge_weight(g.edges(), g.n), _x(g), WIDTH), "id")
 
 
 @query("SELECT batch, layer, dst, pos, round(sum(weight * value), 6) + 0.0 AS value FROM bw JOIN x ON x.id = src GROUP BY ALL", KHOP)
@@ -582,11 +657,11 @@ def block_aggregate(g: Graph) -> DataFrame:
     return flat(messages.block_aggregate(_weighted_block(g), _x(g), WIDTH), "batch", "layer", "dst")
 
 
-@query("SELECT batch, layer, src, pos, round(sum(weight * value), 6) + 0.0 AS value FROM bw JOIN x ON x.id = dst WHERE pos < 8 GROUP BY ALL", KHOP)
+@query("SELECT batch, layer, src, pos, round(sum(weight * value), 6) + 0.0 AS value FROM bw JOIN x ON x.id = dst GROUP BY ALL", KHOP)
 def block_aggregate_backward(g: Graph) -> DataFrame:
     block = _weighted_block(g)
-    grads = block.select("batch", "layer", "dst").distinct().join(_x(g).select(F.col("id").alias("dst"), F.slice("x", 1, 8).alias("x")), "dst")
-    return flat(messages.block_aggregate_backward(block, grads, 8), "batch", "layer", "src")
+    grads = block.select("batch", "layer", "dst").distinct().join(_x(g).withColumnRenamed("id", "dst"), "dst")
+    return flat(messages.block_aggregate_backward(block, grads, WIDTH), "batch", "layer", "src")
 
 
 @query("SELECT batch, layer, dst, pos, round(sum(weight * value) / count(*), 6) + 0.0 AS value FROM bw JOIN x ON x.id = src GROUP BY ALL", KHOP)
@@ -600,22 +675,22 @@ def unweighted_aggregate(g: Graph) -> DataFrame:
 
 
 @query(f"""SELECT super_batch, p.dst, pos, round(sum(value), 6) + 0.0 AS value FROM p JOIN x ON x.id = p.src GROUP BY ALL""",
-       f"{HOT}, hf AS (SELECT super_batch AS batch, id AS dst FROM hot), {_sample('hf', 'sp', FANOUTS[0], 0, 'p0')}, p AS (SELECT batch AS super_batch, dst, src FROM p0)")
+       f"{HOT}, hf AS (SELECT super_batch AS batch, id AS dst FROM hot), {_sample('hf', 'g', FANOUTS[0], 0, 'p0')}, p AS (SELECT batch AS super_batch, dst, src FROM p0)")
 def pushdown_hot_aggregate(g: Graph) -> DataFrame:
     """One layer computed once for the hot ids of each super-batch."""
     frontier = _hot(g).select(F.col("super_batch").alias("batch"), F.col("id").alias("dst"))
-    block = sampling.sample_neighbors(frontier, g.sparse(), FANOUTS[0], 0, SEED).withColumn("weight", F.lit(1.0))
+    block = sampling.sample_neighbors(frontier, g.edges(), FANOUTS[0], 0, SEED).withColumn("weight", F.lit(1.0))
     return flat(messages.block_aggregate(block, _x(g), WIDTH).withColumnRenamed("batch", "super_batch"), "super_batch", "dst")
 
 
 @query("SELECT dst AS id, pos, round(sum(weight * value), 6) + 0.0 AS value FROM w JOIN x ON x.id = src WHERE dst % 3 <> 0 GROUP BY ALL")
 def aggregate_skip_hot(g: Graph) -> DataFrame:
-    return flat(messages.aggregate_skip(prepare.gcn_edge_weight(g.sparse(), g.n), _x(g), WIDTH, g.vertices().filter("id % 3 = 0")), "id")
+    return flat(messages.aggregate_skip(prepare.gcn_edge_weight(g.edges(), g.n), _x(g), WIDTH, g.vertices().filter("id % 3 = 0")), "id")
 
 
-@query("SELECT part, o.src AS id, pos, round(value, 6) + 0.0 AS value FROM (SELECT DISTINCT part, src FROM own) o JOIN x ON x.id = o.src WHERE pos < 4", RANGES)
+@query("SELECT part, o.src AS id, pos, round(value, 6) + 0.0 AS value FROM (SELECT DISTINCT part, src FROM own) o JOIN x ON x.id = o.src", RANGES)
 def fetch_dep_neighbors(g: Graph) -> DataFrame:
-    return flat(messages.fetch_dep_neighbors(partition.mirrors(g.sparse(), _ranges(g)), _x(g).withColumn("x", F.slice("x", 1, 4))), "part", "id")
+    return flat(messages.fetch_dep_neighbors(partition.mirrors(g.edges(), _ranges(g)), _x(g)), "part", "id")
 
 
 SCORES = f"sc AS (SELECT src, dst, ({hash_sql(4, 'src', 'dst')} % 20001 - 10000) / 10.0 AS score FROM hub), sm AS (SELECT src, dst, e / sum(e) OVER (PARTITION BY dst) AS a FROM (SELECT src, dst, exp(score - max(score) OVER (PARTITION BY dst)) AS e FROM sc))"
@@ -650,7 +725,7 @@ z2 AS (SELECT dst AS id, c, sum(weight * v) AS v FROM w JOIN z1 ON z1.id = src G
 
 
 def _gcn(g: Graph) -> DataFrame:
-    return model.gcn_infer(prepare.gcn_edge_weight(g.sparse(), g.n), g.features(), model._layers([WIDTH, 8, 5]))
+    return model.gcn_infer(prepare.gcn_edge_weight(g.edges(), g.n), g.features(), model._layers([WIDTH, 8, 5]))
 
 
 @query("SELECT id, c AS pos, round(v - ln(sum(exp(v)) OVER (PARTITION BY id)), 6) + 0.0 AS value FROM z2", LAYER1)
@@ -664,9 +739,23 @@ def vertex_map(g: Graph) -> DataFrame:
     return rounded(model.vertex_map(_x(g), even, "value").select("id", "value"), "value")
 
 
-@query("SELECT src, dst, round(value * 3 - 1, 6) AS value FROM sp JOIN x ON x.id = src WHERE pos = 0")
+@query("SELECT src, dst, round(sum(value * value) * 3 - 1, 6) AS value FROM g JOIN x ON x.id = src GROUP BY ALL")
 def edge_map(g: Graph) -> DataFrame:
-    return rounded(messages.edge_map(messages.scatter_src(g.sparse(), _x(g)), F.get("x", F.lit(0)) * 3 - 1, "value").select("src", "dst", "value"), "value")
+    return rounded(messages.edge_map(messages.scatter_src(g.edges(), _x(g)), V.dot(F.col("x"), F.col("x")) * 3 - 1, "value").select("src", "dst", "value"), "value")
+
+
+@query("SELECT dst, max(src - before) AS widest, count(*) AS edges FROM (SELECT dst, src, lag(src, 1, src) OVER (PARTITION BY dst ORDER BY src) AS before FROM g) GROUP BY dst")
+def grouped_dst_map(g: Graph) -> DataFrame:
+    """Of each dst the widest gap between sources: a function of its in-edges in order."""
+
+    def widest(rows):
+        import numpy as np
+        import pyarrow as pa
+
+        src = np.sort(rows.column("src").to_numpy())
+        return pa.table({"dst": rows.column("dst").slice(0, 1), "widest": [int(np.diff(src, prepend=src[0]).max())], "edges": [len(src)]})
+
+    return model.grouped_dst_map(g.edges(), widest, "dst long, widest long, edges long")
 
 
 @query("SELECT round(sum(value * value), 6) AS total FROM x WHERE id % 2 = 0")
@@ -729,9 +818,9 @@ def accuracy_minibatch(g: Graph) -> DataFrame:
     return rounded(model.accuracy_minibatch(rows), "accuracy", digits=9)
 
 
-@query("SELECT a.pos AS i, b.pos AS j, round(sum(a.value * b.value), 5) + 0.0 AS v FROM x a JOIN x b USING (id) WHERE a.pos < 6 AND b.pos < 4 GROUP BY ALL")
+@query("SELECT a.pos AS i, b.pos AS j, round(sum(a.value * b.value), 5) + 0.0 AS v FROM x a JOIN x b USING (id) GROUP BY ALL")
 def gradient_sum(g: Graph) -> DataFrame:
-    total = model.gradient_sum(g.features().select(F.slice("features", 1, 6).alias("x"), F.slice("features", 1, 4).alias("g")))
+    total = model.gradient_sum(g.features().select(F.col("features").alias("x"), F.col("features").alias("g")))
     cells = [(i, j, float(total[i, j])) for i in range(total.shape[0]) for j in range(total.shape[1])]
     return rounded(g.spark.createDataFrame(cells, "i int, j int, v double"), "v", digits=5)
 
@@ -744,34 +833,82 @@ def _attention(width: int, out: int, salt: int):
 
 GAT = f"""h0 AS (SELECT id, j, sum(value * {_matrix(64, 0).format(i='pos', j='j')}) AS v FROM x, (SELECT unnest(range(6)) AS j) GROUP BY ALL),
 en AS (SELECT id, sum(v * {_matrix(6, 10).format(i='j', j='0')}) AS l, sum(v * {_matrix(6, 20).format(i='j', j='0')}) AS r FROM h0 GROUP BY id),
-ss AS (SELECT src, dst, CASE WHEN a.l + b.r > 0 THEN a.l + b.r ELSE (a.l + b.r) * 0.2 END AS s FROM sp JOIN en a ON a.id = src JOIN en b ON b.id = dst),
+ss AS (SELECT src, dst, CASE WHEN a.l + b.r > 0 THEN a.l + b.r ELSE (a.l + b.r) * 0.2 END AS s FROM g JOIN en a ON a.id = src JOIN en b ON b.id = dst),
 al AS (SELECT src, dst, e / sum(e) OVER (PARTITION BY dst) AS a FROM (SELECT src, dst, exp(s - max(s) OVER (PARTITION BY dst)) AS e FROM ss))"""
 
 
 @query("SELECT dst AS id, j AS pos, round(greatest(sum(a * v), 0), 6) + 0.0 AS value FROM al JOIN h0 ON h0.id = src GROUP BY ALL", GAT)
 def gat_layer(g: Graph) -> DataFrame:
-    return flat(model.gat_layer(g.sparse(), _x(g), *_attention(WIDTH, 6, 0)), "id")
+    return flat(model.gat_layer(g.edges(), _x(g), *_attention(WIDTH, 6, 0)), "id")
 
 
-@query()
+GAT2 = GAT + f""", x1 AS (SELECT dst AS id, j AS pos, greatest(sum(a * v), 0) AS value FROM al JOIN h0 ON h0.id = src GROUP BY ALL),
+k0 AS (SELECT id, j, sum(value * {_matrix(6, 1).format(i='pos', j='j')}) AS v FROM x1, (SELECT unnest(range(5)) AS j) GROUP BY ALL),
+en2 AS (SELECT id, sum(v * {_matrix(5, 11).format(i='j', j='0')}) AS l, sum(v * {_matrix(5, 21).format(i='j', j='0')}) AS r FROM k0 GROUP BY id),
+s2 AS (SELECT src, dst, CASE WHEN a.l + b.r > 0 THEN a.l + b.r ELSE (a.l + b.r) * 0.2 END AS s FROM g JOIN en2 a ON a.id = src JOIN en2 b ON b.id = dst),
+al2 AS (SELECT src, dst, e / sum(e) OVER (PARTITION BY dst) AS a FROM (SELECT src, dst, exp(s - max(s) OVER (PARTITION BY dst)) AS e FROM s2)),
+x2 AS (SELECT dst AS id, j, greatest(sum(a * v), 0) AS v FROM al2 JOIN k0 ON k0.id = src GROUP BY ALL)"""
+
+
+@query("SELECT id, j AS pos, round(v - ln(sum(exp(v)) OVER (PARTITION BY id)), 6) + 0.0 AS value FROM x2", GAT2)
 def gat_infer(g: Graph) -> DataFrame:
-    return flat(model.gat_infer(g.sparse(), g.features(), [_attention(WIDTH, 6, 0), _attention(6, 5, 1)]), "id", vector="logp")
+    return flat(model.gat_infer(g.edges(), g.features(), [_attention(WIDTH, 6, 0), _attention(6, 5, 1)]), "id", vector="logp")
 
 
 @query("SELECT id, c AS pos, round(v - ln(sum(exp(v)) OVER (PARTITION BY id)), 6) + 0.0 AS value FROM z2", "mw AS (SELECT src, dst, weight / count(*) OVER (PARTITION BY dst) AS weight FROM w), " + LAYER1.replace("FROM w JOIN", "FROM mw JOIN"))
 def sage_infer(g: Graph) -> DataFrame:
-    return flat(model.gcn_infer(prepare.mean_edge_weight(g.sparse(), g.n), g.features(), model._layers([WIDTH, 8, 5])), "id", vector="logp")
+    return flat(model.gcn_infer(prepare.mean_edge_weight(g.edges(), g.n), g.features(), model._layers([WIDTH, 8, 5])), "id", vector="logp")
+
+
+@query(
+    "SELECT (id * 31 + pos) % 4 AS part, pos, id, round(w - 0.05 * nm / (1 - 0.9 * 0.9 * 0.9) / (sqrt(nv / (1 - pow(0.999, 3))) + 1e-9), 6) + 0.0 AS w, round(nm, 9) + 0.0 AS m, round(nv, 9) + 0.0 AS v, "
+    "round(w - 0.05 * nm / (sqrt(nv) + 1e-9), 6) + 0.0 AS plain FROM au",
+    "au AS (SELECT id, pos, value AS w, 0.9 * (value * 0.1) + 0.1 * (pos / 64.0 - value + 0.001 * value) AS nm, 0.999 * (value * value * 0.2) + 0.001 * (pos / 64.0 - value + 0.001 * value) * (pos / 64.0 - value + 0.001 * value) AS nv FROM x)",
+)
+def adam_update(g: Graph) -> DataFrame:
+    """Every number of the vectors is a parameter with its own state; with and without the correction of the bias."""
+    rows = g.features().select("id", F.posexplode("features").alias("pos", "w"))
+    state = rows.select("id", "pos", ((F.col("id") * 31 + F.col("pos")) % 4).alias("part"), "w", (F.col("w") * 0.1).alias("m"), (F.col("w") * F.col("w") * 0.2).alias("v"), (F.col("pos") / 64.0 - F.col("w")).alias("g"))
+    done = model.adam_update(state, 3, 0.05, 0.001)
+    plain = model.adam_update(state, 3, 0.05, 0.001, bias_correction=False).select("id", "pos", F.col("w").alias("plain"))
+    return rounded(rounded(done.join(plain, ["id", "pos"]), "w", "plain"), "m", "v", digits=9)
+
+
+TRAIN = f"""{KHOP}, a0 AS (SELECT batch, dst AS id, pos, sum(weight * value) AS v FROM bw JOIN x ON x.id = src WHERE layer = 1 GROUP BY ALL),
+hd0 AS (SELECT batch, id, j, greatest(sum(v * {_matrix(64, 0).format(i='pos', j='j')}), 0) AS v FROM a0, (SELECT unnest(range(8)) AS j) GROUP BY ALL),
+a1 AS (SELECT bw.batch, dst AS id, j, sum(weight * v) AS v FROM bw JOIN hd0 ON hd0.batch = bw.batch AND hd0.id = src WHERE layer = 0 GROUP BY ALL),
+z AS (SELECT batch, id, c, sum(v * {_matrix(8, 1).format(i='a1.j', j='c')}) AS v FROM a1, (SELECT unnest(range(10)) AS c) GROUP BY ALL),
+lp AS (SELECT batch, id, c, v - ln(sum(exp(v)) OVER (PARTITION BY batch, id)) AS lp FROM z)"""
+
+
+@query(f"SELECT round(-avg(lp), 9) AS loss FROM lp JOIN lab ON lab.id = lp.id AND lab.label = c WHERE batch < {PIPELINE}", TRAIN)
+def first_loss(g: Graph) -> DataFrame:
+    """The loss of the first step of an epoch: the forward pass over sampled blocks."""
+    return rounded(g.spark.createDataFrame(_epoch(g, 1), "super_batch long, loss double").select("loss"), "loss", digits=9)
+
+
+def _epoch(g: Graph, steps: int | None = None) -> list[tuple[int, float]]:
+    import numpy as np
+
+    layers = [model.Adam(np.asarray(w)) for w in model._layers([WIDTH, 8, 10])]
+    batches = _batches(g) if steps is None else _batches(g).filter(F.col("super_batch") < steps)
+    return model.train_epoch(batches, g.hub(), g.n, g.features(), g.labels(), layers, list(FANOUTS), seed=SEED)
 
 
 @query()
 def train_epoch(g: Graph) -> DataFrame:
-    """The losses of two steps."""
+    """The losses of the steps of an epoch."""
+    return g.spark.createDataFrame(_epoch(g), "super_batch long, loss double")
+
+
+@query()
+def full_batch_step(g: Graph) -> DataFrame:
+    """The losses of two steps on the whole graph."""
     import numpy as np
 
     layers = [model.Adam(np.asarray(w)) for w in model._layers([WIDTH, 8, 10])]
-    weighted = prepare.gcn_edge_weight(g.sparse(), g.n).persist()
-    losses = [(k, float(model.train_epoch(weighted, g.features(), g.labels(), g.seeds(), layers))) for k in range(2)]
-    weighted.unpersist()
+    weighted = written(prepare.gcn_edge_weight(g.edges(), g.n), "weighted")
+    losses = [(k, float(model.full_batch_step(weighted, g.features(), g.labels(), g.seeds(), layers))) for k in range(2)]
     return g.spark.createDataFrame(losses, "epoch int, loss double")
 
 
@@ -833,6 +970,8 @@ def _metric_lines(g: Graph) -> DataFrame:
     return g.table("orders").select(F.col("o_custkey").cast("string").alias("run"), F.explode(lines).alias("value"))
 
 
-@query("SELECT CAST(o_custkey AS VARCHAR) AS run, CAST(max(o_orderkey) AS DOUBLE) AS seconds FROM orders GROUP BY 1")
+@query("SELECT 'gcn_' || CAST(o_custkey AS VARCHAR) || '_cache_push' AS run, CAST(max(o_orderkey) AS DOUBLE) AS seconds FROM orders GROUP BY 1")
 def epoch_time_table(g: Graph) -> DataFrame:
-    return runlogs.epoch_time_table(runlogs.parse_metrics(_metric_lines(g)))
+    """Runs have names of four parts, of which the last comes second in the table."""
+    named = F.concat(F.lit("gcn_cache_push_"), F.col("run"))
+    return runlogs.epoch_time_table(runlogs.parse_metrics(_metric_lines(g).withColumn("run", named)))

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hopflow.operators import ranking
+
 
 def hot_by_degree(degrees: DataFrame, n: int, rate: float) -> DataFrame:
     """(id, degree, slot): the int(n * rate) vertices of the largest degree; ties by id."""
-    top = degrees.orderBy(F.desc("degree"), "id").limit(int(n * rate))
-    # The cache holds as many rows as its rate allows; numbering them is the last step.
-    return top.select("id", "degree", (F.row_number().over(Window.orderBy(F.desc("degree"), "id")) - 1).cast("long").alias("slot"))
+    return ranking.top(degrees.select("id", "degree"), "degree", F.lit(int(n * rate))).select("id", "degree", "slot")
 
 
 def hop_counts(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
@@ -21,19 +21,14 @@ def hop_counts(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     return now
 
 
-def _ranked(counts: DataFrame) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("super_batch").orderBy(F.desc("count"), "id"))
-    return counts.withColumn("slot", rank.cast("long") - 1)
-
-
 def presample_hot(counts: DataFrame, rate: float) -> DataFrame:
     """(super_batch, slot, id, count): of each super-batch the int((vertices + 1) * rate) most counted; ties by id."""
-    size = counts.groupBy("super_batch").agg(F.floor((F.count("*") + 1) * rate).alias("k"))
-    return _ranked(counts).join(size, "super_batch").filter(F.col("slot") < F.col("k")).select("super_batch", "slot", "id", "count")
+    size = F.floor((F.col("_all") + 1) * rate)
+    return ranking.top(counts, "count", size, ["super_batch"]).select("super_batch", "slot", "id", "count")
 
 
 def presample_hot_fixed(counts: DataFrame, k: int) -> DataFrame:
-    return _ranked(counts).filter(F.col("slot") < k).select("super_batch", "slot", "id", "count")
+    return ranking.top(counts, "count", F.lit(k), ["super_batch"]).select("super_batch", "slot", "id", "count")
 
 
 def save_hot_set(hot: DataFrame, path: str) -> None:

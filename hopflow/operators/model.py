@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from hopflow.functions import vectors as V
 from hopflow.functions.hashing import M, hash_of
-from hopflow.operators import messages
+from hopflow.operators import messages, sampling
+from hopflow.operators.prepare import in_degree, out_degree
+from hopflow.sources.scratch import written
 
 
 def fixed_weights(rows: int, cols: int, salt: int = 0) -> list[list[float]]:
@@ -41,8 +43,8 @@ def linear(rows: DataFrame, w: list[list[float]], out: str = "x", keep: str = "i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            y = x @ shared.value if batch.num_rows else np.empty((0, shared.value.shape[1]))
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(shared.value))
+            y = x @ shared.value
             offsets = pa.array(np.arange(batch.num_rows + 1) * y.shape[1], pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(y.ravel()))], names=[keep, out])
 
@@ -93,16 +95,16 @@ def gcn_infer(weighted: DataFrame, features: DataFrame, layers: list[list[list[f
     for k, w in enumerate(layers):
         wide, narrow = len(w), len(w[0])
         if narrow < wide:
-            rows = messages.gcn_aggregate(weighted, rows.select("id", V.times_matrix(F.col("x"), w).alias("x")), narrow)
+            rows = messages.gcn_aggregate(weighted, linear(rows, w), narrow)
         else:
-            rows = messages.gcn_aggregate(weighted, rows, wide).select("id", V.times_matrix(F.col("x"), w).alias("x"))
+            rows = linear(messages.gcn_aggregate(weighted, rows, wide), w)
         rows = rows.select("id", V.relu(F.col("x")).alias("x")) if k < len(layers) - 1 else rows
     return rows.select("id", V.log_softmax(F.col("x")).alias("logp"))
 
 
 def gat_layer(edges: DataFrame, rows: DataFrame, w: list[list[float]], left: list[float], right: list[float], slope: float = 0.2) -> DataFrame:
     """(id, x): relu of the attention-weighted sum of h = x W over the in-edges; scores from left . h_src + right . h_dst."""
-    h = rows.select("id", V.times_matrix(F.col("x"), w).alias("x"))
+    h = linear(rows, w)
     numbers = lambda a: F.array(*[F.lit(float(v)) for v in a])
     ends = h.select("id", V.dot(F.col("x"), numbers(left)).alias("left"), V.dot(F.col("x"), numbers(right)).alias("right"))
     attended = messages.edge_softmax(messages.attention_scores(edges, ends, slope)).select("src", "dst", F.col("a").alias("weight"))
@@ -156,7 +158,64 @@ class Adam:
         self.w = self.w - rate * m / (np.sqrt(v) + eps)
 
 
-def train_epoch(weighted: DataFrame, features: DataFrame, labels: DataFrame, seeds: DataFrame, layers: list[Adam], rate: float = 0.01) -> float:
+def adam_update(rows: DataFrame, step: int, rate: float = 0.01, decay: float = 0.0, b1: float = 0.9, b2: float = 0.999, eps: float = 1e-9, bias_correction: bool = True) -> DataFrame:
+    """The same update for parameters that are rows (..., w, m, v, g), such as vertex embeddings: new w, m and v."""
+    g = F.col("g") + decay * F.col("w")
+    m, v = b1 * F.col("m") + (1 - b1) * g, b2 * F.col("v") + (1 - b2) * g * g
+    fixed_m, fixed_v = (m / (1 - b1**step), v / (1 - b2**step)) if bias_correction else (m, v)
+    w = F.col("w") - rate * fixed_m / (F.sqrt(fixed_v) + eps)
+    return rows.select(*[c for c in rows.columns if c not in ("w", "m", "v", "g")], w.alias("w"), m.alias("m"), v.alias("v"))
+
+
+def _matmul(rows: DataFrame, w: np.ndarray, keys: list[str]) -> DataFrame:
+    """rows (keys, x) with x W."""
+    return linear(rows.select(F.struct(*keys).alias("_k"), "x"), w.tolist(), keep="_k").select("_k.*", "x")
+
+
+def train_epoch(batches: DataFrame, edges: DataFrame, n: int, features: DataFrame, labels: DataFrame, layers: list[Adam], fanouts: list[int], rate: float = 0.01, seed: int = 0, drop: float = 0.0) -> list[tuple[int, float]]:
+    """An epoch of a GCN of two layers by sampled batches (id, batch, super_batch): (super_batch, mean loss) of each step.
+
+    A step takes the batches of one super-batch: forward over their sampled blocks, loss at the seeds, backward, the sum
+    of the gradients, one Adam update of each matrix. Samples and the sums of raw features over the outer layer need no
+    weights, so all batches of the epoch have them made once, in one job each. Rows stay distributed; per step the
+    gradients of the small matrices come back, and the number of steps is seeds / (batch size * batches of a step).
+    Labels and super-batches without rows give no step. `drop`: dropout of hidden values."""
+    group = batches.select("batch", "super_batch").distinct()
+    block = sampling.sampled_weights(sampling.sample_khop(batches.select("batch", "id"), edges, fanouts, seed), out_degree(edges, n), in_degree(edges, n))
+    block = written(block.join(group, "batch"), "block")
+    raw = features.select("id", F.col("features").alias("x"))
+    (w0, w1), wide = [a.w for a in layers], layers[0].w.shape[0]
+    outer = messages.block_aggregate(block.filter("layer = 1"), raw, wide).select("batch", F.col("dst").alias("id"), F.col("x").alias("a0"))
+    outer = written(outer.join(group, "batch"), "outer")
+    inner = block.filter("layer = 0").select("super_batch", "batch", "src", "dst", "weight")
+    truth = batches.select("super_batch", "batch", "id").join(labels, "id")
+    losses = []
+    for k in [r[0] for r in batches.select("super_batch").distinct().orderBy("super_batch").collect()]:
+        mine = F.col("super_batch") == k
+        w0, w1 = (a.w for a in layers)
+        z0 = _matmul(outer.filter(mine).select("batch", "id", "a0", F.col("a0").alias("x")), w0, ["batch", "id", "a0"])
+        z0 = written(dropout(z0.select("batch", "id", "a0", F.col("x").alias("z"), V.relu(F.col("x")).alias("x")), drop, seed + k), "hidden")
+        near = inner.filter(mine)
+        hidden = near.join(z0.select("batch", F.col("id").alias("src"), "x"), ["batch", "src"])
+        a1 = V.weighted_sum(hidden, ["batch", "dst"], "x", w0.shape[1], F.col("weight")).withColumnRenamed("dst", "id")
+        scored = _matmul(a1.join(truth.filter(mine), ["batch", "id"]).select("batch", "id", "label", F.col("x").alias("a"), "x"), w1, ["batch", "id", "label", "a"])
+        scored = written(scored.select("batch", "id", "label", "a", V.log_softmax(F.col("x")).alias("logp")), "scored")
+        count = scored.count()
+        if not count:
+            continue
+        losses.append((k, float(nll_loss(scored).first()["loss"])))
+        out = scored.select("batch", "id", F.col("a").alias("x"), F.transform("logp", lambda v, i: (F.exp(v) - F.when(i == F.col("label"), 1.0).otherwise(0.0)) / count).alias("g"))
+        back = _matmul(out.select("batch", "id", F.col("g").alias("x")), w1.T, ["batch", "id"])
+        into = V.weighted_sum(near.join(back.select("batch", F.col("id").alias("dst"), "x"), ["batch", "dst"]), ["batch", "src"], "x", w0.shape[1], F.col("weight"))
+        into = dropout(into.select("batch", F.col("src").alias("id"), "x"), drop, seed + k).withColumnRenamed("x", "d")
+        inside = z0.select("batch", "id", F.col("a0").alias("x"), "z").join(into, ["batch", "id"])
+        g0 = gradient_sum(inside.select("x", F.zip_with("z", "d", lambda z, d: F.when(z > 0, d).otherwise(0.0)).alias("g")))
+        for state, g in zip(layers, (g0, gradient_sum(out)), strict=True):
+            state.update(g if g.size else np.zeros_like(state.w), rate)
+    return losses
+
+
+def full_batch_step(weighted: DataFrame, features: DataFrame, labels: DataFrame, seeds: DataFrame, layers: list[Adam], rate: float = 0.01) -> float:
     """One step of a GCN of two layers over the seeds (id): forward, loss, backward, an Adam update of each matrix.
 
     Returns the mean loss. Forward rows stay distributed; only the gradients of the small matrices come back."""

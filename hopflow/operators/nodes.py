@@ -28,7 +28,7 @@ def synthetic_nodes(vertices: DataFrame, width: int, classes: int, seed: int = 5
 
 def tag_union_splits(train: DataFrame, eval_: DataFrame, test: DataFrame) -> DataFrame:
     tagged = [d.select("id", F.lit(t).alias("split")) for d, t in ((train, "train"), (eval_, "eval"), (test, "test"))]
-    return tagged[0].unionByName(tagged[1]).unionByName(tagged[2]).orderBy("id")
+    return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
 
 
 def nodes_of_split(masks: DataFrame, mask: int) -> DataFrame:

@@ -6,29 +6,44 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hopflow.operators.prepare import out_degree
+from hopflow.sources.scratch import written
 
 
-def balanced_ranges(edges: DataFrame, n: int, parts: int, page: int = 1024, alpha: int | None = None) -> list[tuple[int, int, int]]:
+def balanced_ranges(edges: DataFrame, n: int, parts: int, page: int = 1024, alpha: int | None = None, book: int = 4096) -> list[tuple[int, int, int]]:
     """(part, lo, hi) of `parts` ranges of ids. The work of a vertex is its out-degree + alpha (12 * (parts + 1)).
 
     A range ends at the first vertex where its work exceeds the remaining work over the remaining parts, floored to a
-    page, so sums by page decide exactly; they are all that comes to the driver, n / page rows."""
+    page, so sums by page decide exactly. They are written, and added up by book of `book` pages; the driver reads one
+    row for each book, and the pages of the book in which a range ends."""
     alpha = 12 * (parts + 1) if alpha is None else alpha
-    degrees = out_degree(edges, n)
-    pages = {r["p"]: r["w"] for r in degrees.groupBy(F.floor(F.col("id") / page).alias("p")).agg(F.sum(F.col("degree") + alpha).alias("w")).collect()}
-    work = [pages.get(p, 0) for p in range(-(-n // page))]
-    left, start, out = sum(work), 0, []
+    work = out_degree(edges, n).groupBy(F.floor(F.col("id") / page).alias("p")).agg(F.sum(F.col("degree") + alpha).alias("w"))
+    pages = written(work.withColumn("b", F.floor(F.col("p") / book)), "page_work")
+    books = {r["b"]: r["w"] for r in pages.groupBy("b").agg(F.sum("w").alias("w")).collect()}
+    last = -(-n // page)
+    before, total = {}, 0  # work in the books before each book
+    for b in range(-(-last // book)):
+        before[b] = total
+        total += books.get(b, 0)
+
+    def end(limit: float) -> tuple[int, int]:
+        """The first page at whose end more than `limit` work has been met, and the work before it."""
+        b = max((k for k, w in before.items() if w <= limit), default=0)
+        got, found = before.get(b, 0), {r["p"]: r["w"] for r in pages.filter(F.col("b") == b).select("p", "w").collect()}
+        for p in range(b * book, min((b + 1) * book, last)):
+            if got + found.get(p, 0) > limit:
+                return p, got
+            got += found.get(p, 0)
+        return min((b + 1) * book, last), got
+
+    start, done, out = 0, 0, []
     for part in range(parts):
         if part == parts - 1:
-            out.append((part, start * page if start * page < n else n, n))
+            out.append((part, min(start * page, n), n))
             break
-        target, got, end = left / (parts - part), 0, start
-        while end < len(work) and got + work[end] <= target:
-            got += work[end]
-            end += 1
-        out.append((part, min(start * page, n), min(end * page, n)))
-        left -= got
-        start = end
+        stop, met = end(done + (total - done) / (parts - part))
+        stop, met = (stop, met) if stop > start else (start, done)
+        out.append((part, min(start * page, n), min(stop * page, n)))
+        start, done = stop, met
     return out
 
 

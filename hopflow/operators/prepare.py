@@ -4,9 +4,14 @@ Ids are longs. Rows with a null end are no edges and are dropped by the operator
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hopflow.operators import ranking
+
+#: Ids that one list of neighbours spans.
+CHUNK = 1 << 16
+
 
 def _vertices(edges: DataFrame, n: int) -> DataFrame:
     return edges.sparkSession.range(n)
@@ -62,34 +67,30 @@ def undirected_degree(edges: DataFrame, n: int) -> DataFrame:
     return _degree(edges.select(F.explode(F.array("src", "dst")).alias("end")), "end", n, 0)
 
 
-def _adjacency(edges: DataFrame, key: str, other: str, n: int) -> DataFrame:
-    lists = edges.groupBy(F.col(key).alias("id")).agg(F.sort_array(F.collect_list(other)).alias("nbrs"))
-    return _vertices(edges, n).join(lists, "id", "left").select("id", F.coalesce("nbrs", F.array().cast("array<bigint>")).alias("nbrs"))
-
+def offsets(degrees: DataFrame, page: int = ranking.PAGE) -> DataFrame:
+    """(id, degree, offset): exclusive running sum of degrees in id order."""
+    return ranking.running(degrees.select("id", "degree"), "degree", "offset", page=page).select("id", "degree", "offset")
 
-def offsets(degrees: DataFrame, page: int = 1024) -> DataFrame:
-    """(id, degree, offset): exclusive running sum of degrees in id order.
 
-    Two levels: inside pages of ids, and over the sums of the pages, so that only page sums meet in one place."""
-    from pyspark.sql import Window
+def _adjacency(edges: DataFrame, key: str, other: str, n: int, chunk: int) -> DataFrame:
+    lists = edges.groupBy(F.col(key).alias("id"), F.floor(F.col(other) / chunk).alias("chunk")).agg(F.sort_array(F.collect_list(other)).alias("nbrs"))
+    starts = offsets(_degree(edges, key, n, 0)).select("id", F.col("offset").alias("_start"))
+    before = Window.partitionBy("id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    inside = lists.withColumn("_before", F.coalesce(F.sum(F.size("nbrs")).over(before), F.lit(0)))
+    both = starts.join(inside, "id", "left")
+    return both.select("id", F.coalesce("chunk", F.lit(0)).alias("chunk"), F.coalesce("nbrs", F.array().cast("array<bigint>")).alias("nbrs"), (F.col("_start") + F.coalesce("_before", F.lit(0))).alias("offset"))
 
-    paged = degrees.withColumn("page", F.floor(F.col("id") / page))
-    sums = paged.groupBy("page").agg(F.sum("degree").alias("s"))
-    # One row for every `page` vertices: the only part in a single task.
-    before = sums.withColumn("base", F.coalesce(F.sum("s").over(Window.orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("page", "base")
-    inside = F.coalesce(F.sum("degree").over(Window.partitionBy("page").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return paged.withColumn("inside", inside).join(before, "page").select("id", "degree", (F.col("base") + F.col("inside")).alias("offset"))
 
+def build_csc(edges: DataFrame, n: int, chunk: int = CHUNK) -> DataFrame:
+    """(id, chunk, nbrs, offset): sorted in-neighbours of each vertex, and where the list starts.
 
-def build_csc(edges: DataFrame, n: int) -> DataFrame:
-    """(id, nbrs, offset): sorted in-neighbours of each vertex, and where its list starts."""
-    lists = _adjacency(edges, "dst", "src", n)
-    return lists.join(offsets(in_degree(edges, n)).select("id", "offset"), "id")
+    A list holds the neighbours within one range of `chunk` ids, so a hub has several, in order of `chunk`; a vertex
+    without neighbours has one empty list."""
+    return _adjacency(edges, "dst", "src", n, chunk)
 
 
-def build_csr(edges: DataFrame, n: int) -> DataFrame:
-    lists = _adjacency(edges, "src", "dst", n)
-    return lists.join(offsets(out_degree(edges, n)).select("id", "offset"), "id")
+def build_csr(edges: DataFrame, n: int, chunk: int = CHUNK) -> DataFrame:
+    return _adjacency(edges, "src", "dst", n, chunk)
 
 
 def gcn_edge_weight(edges: DataFrame, n: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -55,6 +55,13 @@ def parse_metrics(lines: DataFrame, run: str = "run") -> DataFrame:
     return found.filter("name <> ''").select("run", "name", F.expr("try_cast(v AS double)").alias("value"))
 
 
+def reordered(run: Column) -> Column:
+    """A run's name with the last of its parts (by _) put before the two that precede it; shorter names stay."""
+    parts = F.split(run, "_")
+    moved = F.concat(F.slice(parts, 1, F.greatest(F.size(parts) - 3, F.lit(0))), F.slice(parts, -1, 1), F.slice(parts, -3, 2))
+    return F.when(F.size(parts) >= 3, F.array_join(moved, "_")).otherwise(run)
+
+
 def epoch_time_table(metrics: DataFrame, name: str = "average epoch time") -> DataFrame:
-    """(run, seconds): one row for each run, picked by the name of the metric."""
-    return metrics.filter(F.lower(F.col("name")) == name).groupBy("run").agg(F.max("value").alias("seconds"))
+    """(run, seconds): one row for each run, by its reordered name, picked by the name of the metric."""
+    return metrics.filter(F.lower(F.col("name")) == name).groupBy(reordered(F.col("run")).alias("run")).agg(F.max("value").alias("seconds"))

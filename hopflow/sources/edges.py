@@ -7,40 +7,74 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RECORD = 8
-
-
-def read_edges_binary(spark: SparkSession, path: str) -> DataFrame:
-    """(src, dst) of little-endian pairs of uint32, split across tasks; a trailing part of a record is an error."""
-    jvm = spark._jvm
+def read_edges_binary(spark: SparkSession, path: str, weighted: bool = False) -> DataFrame:
+    """(src, dst), and weight if `weighted`, of the records that write_edges_binary makes; large files are split across
+    tasks; a trailing part of a record is an error."""
+    jvm, kind = spark._jvm, _records(weighted)
     where = jvm.org.apache.hadoop.fs.Path(path)
     size = where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
-    if size % RECORD:
+    if size % kind.itemsize:
         raise ValueError(f"{path}: {size} bytes are no whole number of records")
 
-    def read(rows: Iterator[bytes]) -> Iterator[dict]:
+    def read(rows: Iterator[bytes]) -> Iterator[tuple]:
         while block := b"".join(islice(rows, 65536)):
-            yield from map(tuple, np.frombuffer(block, "<u4").reshape(-1, 2).astype(np.int64).tolist())
+            yield from np.frombuffer(block, kind).tolist()
 
     # The one place where a DataFrame reader does not exist: fixed-width records without a header.
-    records = spark.sparkContext.binaryRecords(path, RECORD)
-    return spark.createDataFrame(records.mapPartitions(read), "src long, dst long")
+    records = spark.sparkContext.binaryRecords(path, kind.itemsize)
+    return spark.createDataFrame(records.mapPartitions(read), "src long, dst long" + (", weight double" if weighted else ""))
+
 
+def _records(weighted: bool) -> np.dtype:
+    return np.dtype([("src", "<u4"), ("dst", "<u4")] + ([("weight", "<f4")] if weighted else []))
 
-def write_edges_binary(edges: DataFrame) -> DataFrame:
-    """(data): the bytes of each partition's edges, for a binary sink; ids outside uint32 are an error."""
+
+def write_edges_binary(edges: DataFrame, weighted: bool = False) -> DataFrame:
+    """(data): the bytes of the edges, some thousand to a row, little-endian uint32 pairs, each followed by the bits of its
+    weight as float32 if `weighted`; ids outside uint32 are an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
-            if len(ids) and (ids.min() < 0 or ids.max() >= 1 << 32):
-                raise ValueError("an id does not fit in 32 bits")
-            yield pa.RecordBatch.from_arrays([pa.array([ids.astype("<u4").tobytes()], pa.binary())], names=["data"])
+            out = np.empty(batch.num_rows, _records(weighted))
+            for k, name in enumerate(out.dtype.names):
+                x = batch.column(k).to_numpy(zero_copy_only=False)
+                if name != "weight" and len(x) and (x.min() < 0 or x.max() >= 1 << 32):
+                    raise ValueError("an id does not fit in 32 bits")
+                out[name] = x
+            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["data"])
+
+    return edges.select("src", "dst", *(["weight"] if weighted else [])).mapInArrow(run, "data binary")
 
-    return edges.select("src", "dst").mapInArrow(run, "data binary")
+
+def save_edges_binary(edges: DataFrame, path: str, weighted: bool = False) -> int:
+    """Binary edge files below path, one for each partition; returns the number of edges.
+
+    A file is written under a name of its attempt and renamed when it is whole, so a task that is run again or twice
+    leaves one file. path: a folder that executors can write by pyarrow.fs."""
+    uri = path if "://" in path else f"file://{path}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        files, folder = fs.FileSystem.from_uri(uri)
+        files.create_dir(folder, recursive=True)
+        task = TaskContext.get()
+        part, n = f"{folder}/part-{task.partitionId():06d}.bin", 0
+        attempt = f"{folder}/_attempt-{task.taskAttemptId()}"
+        with files.open_output_stream(attempt) as out:
+            for batch in batches:
+                for data in batch.column(0):
+                    out.write(data.as_py())
+                    n += len(data.as_py())
+        files.move(attempt, part)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    written = write_edges_binary(edges, weighted).mapInArrow(run, "n long").agg(F.sum("n").alias("n")).first()["n"] or 0
+    return written // _records(weighted).itemsize
 
 
 def parse_edges(lines: DataFrame) -> DataFrame:

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopflow.functions.hashing import hash_of, hash_sql
-from hopflow.operators import prepare
+from hopflow.operators import model, prepare
 
 WIDTH = 64
 TRAIN, EVAL = 0.65, 0.10
@@ -28,14 +27,11 @@ class Graph:
     def edges(self) -> DataFrame:
         return prepare.prepare_graph(self.raw(), self.n)
 
-    def sparse(self) -> DataFrame:
-        return self.edges().filter(hash_of(1, F.col("src"), F.col("dst")) % 8 == 0)
-
     def hub(self) -> DataFrame:
-        return prepare.dedup_edges(self.sparse().unionByName(self.spark.range(self.n).select(F.col("id").alias("src"), (F.col("id") % 5).alias("dst"))))
+        return prepare.dedup_edges(self.edges().unionByName(self.vertices().select(F.col("id").alias("src"), (F.col("id") % 5).alias("dst"))))
 
     def vertices(self) -> DataFrame:
-        return self.spark.range(self.n)
+        return self.table("embeddings").select(F.col("vec_id").alias("id"))
 
     def features(self) -> DataFrame:
         return self.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("features"))
@@ -51,25 +47,24 @@ class Graph:
         return self.masks().filter("mask = 0").select("id")
 
     def scores(self, classes: int = 10) -> DataFrame:
-        logits = F.array(*[(hash_of(9, F.col("id"), c) % 2001 - 1000) / 250.0 for c in range(classes)])
-        return self.vertices().select("id", logits.alias("logits"))
+        """Class scores of every vertex: its whole vector through a fixed matrix."""
+        return model.linear(self.features().select("id", F.col("features").alias("x")), model.fixed_weights(WIDTH, classes, 9), out="logits")
 
 
 #: The same views for DuckDB, as the head of a WITH clause.
 VIEWS = f"""
 WITH n AS (SELECT count(*) AS n FROM embeddings),
-v AS (SELECT unnest(range((SELECT n FROM n))) AS id),
+v AS (SELECT vec_id AS id FROM embeddings),
 raw AS (SELECT l_orderkey % (SELECT n FROM n) AS src, l_partkey % (SELECT n FROM n) AS dst FROM lineitem),
-g AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM raw UNION ALL SELECT dst, src FROM raw UNION ALL SELECT id, id FROM v)),
-sp AS (SELECT src, dst FROM g WHERE {hash_sql(1, "src", "dst")} % 8 = 0),
-hub AS (SELECT src, dst FROM sp UNION SELECT id, id % 5 FROM v),
+g AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM raw UNION ALL SELECT dst, src FROM raw UNION ALL SELECT id, id FROM v)),
+hub AS MATERIALIZED (SELECT src, dst FROM g UNION SELECT id, id % 5 FROM v),
 x AS (SELECT vec_id AS id, unnest(range(64)) AS pos, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings),
 m AS (SELECT id, CASE WHEN id < CAST(floor((SELECT n FROM n) * {TRAIN}) AS BIGINT) THEN 0
   WHEN id < CAST(floor((SELECT n FROM n) * {TRAIN}) AS BIGINT) + CAST(floor((SELECT n FROM n) * {EVAL}) AS BIGINT) THEN 1 ELSE 2 END AS mask FROM v),
 lab AS (SELECT vec_id AS id, CAST(label AS BIGINT) AS label FROM embeddings),
-lg AS (SELECT id, c, ({hash_sql(9, "id", "c")} % 2001 - 1000) / 250.0 AS z FROM v, (SELECT unnest(range(10)) AS c)),
-od AS (SELECT v.id, count(e.src) AS deg FROM v LEFT JOIN sp e ON e.src = v.id GROUP BY v.id),
-ind AS (SELECT v.id, count(e.dst) AS deg FROM v LEFT JOIN sp e ON e.dst = v.id GROUP BY v.id),
-w AS (SELECT sp.src, sp.dst, 1 / (sqrt(greatest(od.deg, 1)) * sqrt(greatest(ind.deg, 1))) AS weight
-  FROM sp JOIN od ON od.id = sp.src JOIN ind ON ind.id = sp.dst)
+lg AS (SELECT id, c, sum(value * sin(31.0 * pos + c + 9) / sqrt(64.0)) AS z FROM x, (SELECT unnest(range(10)) AS c) GROUP BY ALL),
+od AS (SELECT v.id, count(e.src) AS deg FROM v LEFT JOIN g e ON e.src = v.id GROUP BY v.id),
+ind AS (SELECT v.id, count(e.dst) AS deg FROM v LEFT JOIN g e ON e.dst = v.id GROUP BY v.id),
+w AS (SELECT g.src, g.dst, 1 / (sqrt(greatest(od.deg, 1)) * sqrt(greatest(ind.deg, 1))) AS weight
+  FROM g JOIN od ON od.id = g.src JOIN ind ON ind.id = g.dst)
 """

@@ -26,6 +26,12 @@ def number_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "id long, value string")
 
 
+def save_numbered(spark: SparkSession, source: str, target: str, sep: str = ",") -> None:
+    """Each line of headerless CSV files with its number before it and blanks between: label and feature tables."""
+    rows = number_lines(spark, source)
+    rows.select(F.concat_ws(" ", F.col("id").cast("string"), F.replace("value", F.lit(sep), F.lit(" "))).alias("value")).write.text(target)
+
+
 def read_features_csv(spark: SparkSession, path: str, width: int) -> DataFrame:
     """(id, features) of comma lines; the line number is the id."""
     t = number_lines(spark, path).select("id", F.split("value", ",").alias("t"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from hopflow.functions import vectors as V
 from hopflow.functions.hashing import hash_of, hash_py
-from hopflow.operators import batching, hotset, messages, model, nodes, partition, prepare, runlogs, sampling
+from hopflow.operators import batching, hotset, messages, model, nodes, partition, prepare, ranking, runlogs, sampling
 from hopflow.sources import edges as edge_files
 from hopflow.sources import node_files
 
@@ -195,7 +195,7 @@ def test_gradients_against_differences(spark, small):
             self.gradient = gradient
 
     layers = [Plain(w0), Plain(w1)]
-    got = model.train_epoch(prepare.gcn_edge_weight(e, 10), features, spark.createDataFrame([(i, int(labels[i])) for i in range(10)], "id long, label long"), spark.createDataFrame([(i,) for i in seeds], "id long"), layers)
+    got = model.full_batch_step(prepare.gcn_edge_weight(e, 10), features, spark.createDataFrame([(i, int(labels[i])) for i in range(10)], "id long, label long"), spark.createDataFrame([(i,) for i in seeds], "id long"), layers)
     assert math.isclose(got, loss(w0, w1), rel_tol=1e-9)
     for k in (0, 1):
         assert np.allclose(layers[k].gradient, slopes(k), atol=1e-6)
@@ -232,3 +232,76 @@ def test_run_logs(spark):
     assert [tuple(r) for r in runlogs.parse_train_log(lines).collect()] == [(3, 0.5, 0.77, 0.76, 12, 16)]
     usage = spark.createDataFrame([("a", 10.0, 500), ("a", 20.0, 501), ("a", 40.0, 2000)], "name string, rate double, ts long")
     assert runlogs.cpu_usage(usage, 1000, 1400).collect()[0]["rate"] == 20.0
+
+
+def test_ranks_and_running_sums_by_pages(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, i, int(v)) for k in range(3) for i, v in zip(rng.permutation(200).tolist(), rng.integers(0, 6, 200))]
+    df = spark.createDataFrame(rows, "k long, id long, value long")
+    for page in (1, 7, 4096):
+        got = {(r["k"], r["id"]): r["s"] for r in ranking.running(df, "value", "s", ["k"], page).collect()}
+        assert got == {(k, i): sum(w for j, h, w in rows if j == k and h < i) for k, i, _ in rows}
+        best = sorted((r["k"], r["slot"], r["id"]) for r in ranking.top(df, "value", F.floor(F.col("_all") * 0.3), ["k"], page).collect())
+        assert best == [(k, s, i) for k in range(3) for s, (_, i) in enumerate(sorted((-v, i) for j, i, v in rows if j == k)[:60])]
+
+
+def test_ranges_do_not_depend_on_books(spark, small):
+    _, e = small
+    for parts, page in ((1, 1), (3, 1), (4, 2), (9, 1)):
+        assert partition.balanced_ranges(e, 10, parts, page, book=2) == partition.balanced_ranges(e, 10, parts, page)
+
+
+def test_lists_of_hubs_come_in_chunks(spark):
+    e = edges(spark, [(i, 0) for i in range(50)] + [(3, 1)])
+    got = prepare.build_csc(e, 60, 8).collect()
+    hub = sorted((r["chunk"], r["offset"], r["nbrs"]) for r in got if r["id"] == 0)
+    assert hub == [(k, 8 * k, list(range(8 * k, min(8 * k + 8, 50)))) for k in range(7)]
+    assert [tuple(r) for r in got if r["id"] == 59] == [(59, 0, [], 51)] and len(got) == 7 + 59
+
+
+def test_binary_files_with_weights(spark, tmp_path):
+    rows = [(i, 2**32 - 1 - i, i / 4) for i in range(1000)]
+    n = edge_files.save_edges_binary(spark.createDataFrame(rows, "src long, dst long, weight double").repartition(3), str(tmp_path / "w"), weighted=True)
+    assert n == 1000 and sorted(tuple(r) for r in edge_files.read_edges_binary(spark, str(tmp_path / "w"), weighted=True).collect()) == rows
+
+
+@pytest.mark.parametrize("drop", [0.0, 0.5])
+def test_epoch_of_sampled_batches(spark, small, drop):
+    """Losses and weights after an epoch of three steps against plain numpy on the same samples."""
+    _, e = small
+    x, _ = vectors(spark)
+    features = spark.createDataFrame([(i, x[i].tolist()) for i in range(10)], "id long, features array<double>")
+    labels = np.arange(10) % 4
+    truth = spark.createDataFrame([(i, int(labels[i])) for i in range(10)], "id long, label long")
+    batches = batching.make_batches(batching.shuffle_nodes(spark.range(9), 2), 2, 2)
+    block = sampling.sampled_weights(sampling.sample_khop(batches.select("batch", "id"), e, [2, 2], 3), prepare.out_degree(e, 10), prepare.in_degree(e, 10)).toPandas()
+    where = batches.toPandas()
+    mine, plain = ([model.Adam(np.asarray(model.fixed_weights(*s))) for s in ((3, 5), (5, 4))] for _ in range(2))
+    losses = model.train_epoch(batches, e, 10, features, truth, mine, [2, 2], 0.01, 3, drop)
+    assert len(losses) == 3
+    for step, got in losses:
+        gradients, total, count = [np.zeros((3, 5)), np.zeros((5, 4))], 0.0, 0
+        rows = where[where["super_batch"] == step]
+        for b in sorted(rows["batch"].unique()):
+            a = [np.zeros((10, 10)), np.zeros((10, 10))]
+            for r in block[block["batch"] == b].itertuples():
+                a[r.layer][r.dst, r.src] = r.weight
+            reached = a[1].any(axis=1)[:, None]
+            keep = np.asarray([[hash_py(3 + step, i, j) >= int(drop * 2**31) for j in range(5)] for i in range(10)]) / (1 - drop)
+            a0 = a[1] @ x
+            z0 = a0 @ plain[0].w
+            a1 = a[0] @ (np.maximum(z0, 0) * keep * reached)
+            z = a1 @ plain[1].w
+            logp = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+            seeds = [i for i in rows[rows["batch"] == b]["id"] if a[0][i].any()]
+            g = np.zeros_like(z)
+            for i in seeds:
+                total -= logp[i, labels[i]]
+                count += 1
+                g[i] = np.exp(logp[i]) - np.eye(4)[labels[i]]
+            gradients[1] += a1.T @ g
+            gradients[0] += a0.T @ ((a[0].T @ (g @ plain[1].w.T)) * keep * (z0 > 0))
+        assert math.isclose(got, total / count, rel_tol=1e-9)
+        for state, g in zip(plain, gradients, strict=True):
+            state.update(g / count)
+    assert all(np.allclose(p.w, m.w) for p, m in zip(plain, mine, strict=True))
