@@ -123,7 +123,10 @@ def spread(code: Code, blocks: int, per_word: int):
 
 def forest(node: np.ndarray, bits: np.ndarray, threshold: int) -> list[tuple[int, int]]:
     """Links that connect nodes exactly as all links of bits within the threshold do, one fewer than each component has
-    members."""
+    members.
+
+    The search starts at the first node: with nodes in order the smallest of a group is the hub at most anchors where the
+    group meets, so that the links of all anchors are few different ones."""
     bits, out = bits.view(np.uint64), []
     left = np.arange(len(node))
     while len(left) > 1:
@@ -140,8 +143,8 @@ def forest(node: np.ndarray, bits: np.ndarray, threshold: int) -> list[tuple[int
 
 
 def _compare(threshold: int):
-    """Links at each cell, of rows (anchor, cell, node, bits) that come with equal cells in a row. Cells have a bounded
-    size."""
+    """Links at each cell, of rows (anchor, cell, node, bits) that come with equal cells in a row, nodes in order. Cells
+    have a bounded size."""
 
     def links(block: np.ndarray) -> np.ndarray:
         """block: whole cells."""
@@ -193,7 +196,7 @@ def link_at_anchors(spread_: DataFrame, threshold: int, block: int = BLOCK) -> D
         F.explode(F.when(F.col("blocks") == 1, F.array(zero)).otherwise(F.sequence(zero, F.col("blocks") - 1))).alias("other"),
     )
     cell = F.shiftleft(F.least("own", "other"), 31) + F.greatest("own", "other")
-    together = cells.select("anchor", cell.alias("cell"), "node", "bits").repartition("anchor", "cell").sortWithinPartitions("anchor", "cell")
+    together = cells.select("anchor", cell.alias("cell"), "node", "bits").repartition("anchor", "cell").sortWithinPartitions("anchor", "cell", "node")
     return together.mapInArrow(_compare(threshold), "u long, v long")
 
 
