@@ -87,14 +87,16 @@ def _judged(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def _linked(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The candidate links (u, v), u < v, that hold, as far as they tell components apart.
+    """The candidate links (u, v, d), u < v, that hold, as far as they tell components apart.
 
-    First each node is judged against its smallest candidate, at most one link for each; then the links that still lead
-    from one component to another."""
-    first = written(_judged(candidates.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), sets, similarity), "judged")
+    First each node is judged against the candidate that differs in fewest bits, at most one link for each; then the
+    links that still lead from one component to another."""
+    ends = candidates.select(F.inline(F.array(F.struct("u", "v", "d", F.col("u").alias("node")), F.struct("u", "v", "d", F.col("v").alias("node")))))
+    nearest = ends.groupBy("node").agg(F.min(F.struct("d", "u", "v")).alias("e")).select("e.u", "e.v").distinct()
+    first = written(_judged(nearest, sets, similarity), "judged")
     held = first.filter("near").select("u", "v")
     root = components(held, "near1").select(F.col("u").alias("node"), F.col("v").alias("root"))
-    rest = candidates.join(first.select("u", "v"), ["u", "v"], "left_anti")
+    rest = candidates.select("u", "v").join(first.select("u", "v"), ["u", "v"], "left_anti")
     for end in ("u", "v"):
         named = root.select(F.col("node").alias(end), F.col("root").alias(f"_{end}"))
         rest = rest.join(named, end, "left").withColumn(f"_{end}", F.coalesce(f"_{end}", end))
@@ -115,8 +117,9 @@ def near_groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILAR
     distinct = written(distinct, "distinct")
     spread_ = distinct.select("node", "bits", "w0", "w1", "w2", "w3").mapInArrow(spread(CODE, BLOCKS, 2), "anchor long, node long, bits long")
     met = link_at_anchors(spread_, CHECK)
-    candidates = written(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
-    nodes = candidates.select(F.explode(F.array("u", "v")).alias("row")).distinct()
+    candidates = written(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "d").distinct(), "candidates")
+    # Written, so that its size is known: it is sent to the texts if it is small, and they are shuffled otherwise.
+    nodes = written(candidates.select(F.explode(F.array("u", "v")).alias("row")).distinct(), "nodes")
     sets = written(_sets(docs.select("row", "text").join(nodes, "row", "left_semi"), width), "sets")
     links = components(_linked(candidates, sets, similarity), "near2").select(F.col("u").alias("node"), F.col("v").alias("root"))
     named = distinct.select("low", "high", "node").join(links, "node", "left").select("low", "high", F.coalesce("root", "node").alias("group"))

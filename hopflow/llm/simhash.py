@@ -121,24 +121,27 @@ def spread(code: Code, blocks: int, per_word: int):
     return run
 
 
-def forest(node: np.ndarray, bits: np.ndarray, threshold: int) -> list[tuple[int, int]]:
-    """Links that connect nodes exactly as all links of bits within the threshold do, one fewer than each component has
-    members.
-
-    The search starts at the first node: with nodes in order the smallest of a group is the hub at most anchors where the
-    group meets, so that the links of all anchors are few different ones."""
-    bits, out = bits.view(np.uint64), []
-    left = np.arange(len(node))
-    while len(left) > 1:
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            k = queue.pop()
-            near = np.bitwise_count(bits[left] ^ bits[k]) <= threshold
-            if near.any():
-                found = left[near]
-                out += [(int(node[k]), int(x)) for x in node[found]]
-                queue += found.tolist()
-                left = left[~near]
+def forest(node: np.ndarray, bits: np.ndarray, threshold: int) -> list[tuple[int, int, int]]:
+    """Links (node, node, differing bits) that connect nodes exactly as all links within the threshold do, one fewer than
+    each component has members: the nearest ones, a minimum spanning forest."""
+    bits, n = bits.view(np.uint64), len(node)
+    if n <= 64:
+        near = np.bitwise_count(bits[:, None] ^ bits[None, :]) <= threshold
+        if np.count_nonzero(near) == n:  # each node is near itself alone
+            return []
+    far = np.uint8(255)
+    best, parent, k, out = np.full(n, far), np.zeros(n, np.int64), 0, []
+    left = np.ones(n, bool)
+    for _ in range(n - 1):
+        left[k] = False
+        best[k] = far
+        d = np.bitwise_count(bits ^ bits[k])
+        nearer = left & (d < best)
+        best[nearer], parent[nearer] = d[nearer], k
+        j = int(np.argmin(best))
+        if best[j] <= threshold:
+            out.append((int(node[parent[j]]), int(node[j]), int(best[j])))
+        k = j if left[j] else int(np.argmax(left))
     return out
 
 
@@ -152,15 +155,16 @@ def _compare(threshold: int):
         starts = np.concatenate([[0], new])
         sizes = np.diff(np.append(starts, len(block)))
         two = starts[sizes == 2]
-        near = np.bitwise_count(block[two, 3].view(np.uint64) ^ block[two + 1, 3].view(np.uint64)) <= threshold
-        out = [np.stack([block[two, 2][near], block[two + 1, 2][near]], axis=1)]
+        apart = np.bitwise_count(block[two, 3].view(np.uint64) ^ block[two + 1, 3].view(np.uint64)).astype(np.int64)
+        near = apart <= threshold
+        out = [np.stack([block[two, 2][near], block[two + 1, 2][near], apart[near]], axis=1)]
         for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
             if found := forest(block[s : s + n, 2], np.ascontiguousarray(block[s : s + n, 3]), threshold):
                 out.append(np.asarray(found, np.int64))
         return np.concatenate(out)
 
     def batch_of(x: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, 0])), pa.array(np.ascontiguousarray(x[:, 1]))], names=["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, k])) for k in range(3)], names=["u", "v", "d"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[np.ndarray] = []
@@ -182,7 +186,7 @@ def _compare(threshold: int):
 
 
 def link_at_anchors(spread_: DataFrame, threshold: int, block: int = BLOCK) -> DataFrame:
-    """(u, v): of rows (anchor, node, bits), links that connect the nodes of each anchor as all its pairs of bits within
+    """(u, v, d): of rows (anchor, node, bits), links with their differing bits that connect the nodes of each anchor as all its pairs of bits within
     the threshold do.
 
     Anchors with more than `block` nodes are cut into blocks; every pair of blocks is a cell of its own, so no task
@@ -197,14 +201,14 @@ def link_at_anchors(spread_: DataFrame, threshold: int, block: int = BLOCK) -> D
     )
     cell = F.shiftleft(F.least("own", "other"), 31) + F.greatest("own", "other")
     together = cells.select("anchor", cell.alias("cell"), "node", "bits").repartition("anchor", "cell").sortWithinPartitions("anchor", "cell", "node")
-    return together.mapInArrow(_compare(threshold), "u long, v long")
+    return together.mapInArrow(_compare(threshold), "u long, v long, d long")
 
 
 def link_fingerprints(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     """(u, v): links that connect the distinct fingerprints of column `fp` as all pairs within the threshold do."""
     fp = F.col("fp")
     rows = distinct.select(fp.alias("node"), fp.alias("bits"), fp.alias("w")).mapInArrow(spread(HALVES, 2, 2), "anchor long, node long, bits long")
-    return link_at_anchors(rows, THRESHOLD, block)
+    return link_at_anchors(rows, THRESHOLD, block).select("u", "v")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
