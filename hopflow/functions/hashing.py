@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Modulus, start, multipliers. Products stay below 2**61.
@@ -25,6 +25,20 @@ def hash_of(*parts: Column | int) -> Column:
     return F.aggregate(F.array(*columns), F.lit(START).cast("long"), lambda h, p: _mixed((h + p % M) % M))
 
 
+def with_hash(df: DataFrame, name: str, *parts: Column | int) -> DataFrame:
+    """df with the hash in column `name`: the same value in plain arithmetic, one projection for each step, so that it is
+    compiled. For rows by the million; hash_of is an expression and fits anywhere."""
+    h: Column = F.lit(START).cast("long")
+    for p in parts:
+        part = (F.lit(p) if isinstance(p, int) else p).cast("long")
+        df = df.withColumn(name, (h + part % M) % M)
+        h = F.col(name)
+        df = df.withColumn(name, h.bitwiseXOR(F.shiftright(h, 15)) * F.lit(A).cast("long") % M)
+        df = df.withColumn(name, h.bitwiseXOR(F.shiftright(h, 12)) * F.lit(B).cast("long") % M)
+        df = df.withColumn(name, h.bitwiseXOR(F.shiftright(h, 15)))
+    return df
+
+
 def hash_sql(*parts: str | int) -> str:
     """The same as DuckDB SQL."""
     h = f"((h + x % {M}) % {M})"

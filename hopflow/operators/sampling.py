@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hopflow.functions.hashing import hash_of
+from hopflow.functions.hashing import with_hash
 
 
 def sample_sizes(in_degrees: DataFrame, fanout: int) -> DataFrame:
@@ -21,9 +21,9 @@ def sample_neighbors(frontier: DataFrame, edges: DataFrame, fanout: int, layer:
     """frontier (batch, dst), edges (src, dst) without repeats; fanout -1 takes all, 0 none."""
     both = frontier.select("batch", "dst").join(edges.select("src", "dst"), "dst").withColumn("layer", F.lit(layer))
     if fanout >= 0:
-        h = hash_of(seed, layer, F.col("batch"), F.col("dst"), F.col("src"))
+        both = with_hash(both, "h", seed, layer, F.col("batch"), F.col("dst"), F.col("src"))
         rank = F.row_number().over(Window.partitionBy("batch", "dst").orderBy("h", "src"))
-        both = both.withColumn("h", h).withColumn("rank", rank).filter(F.col("rank") <= fanout)
+        both = both.withColumn("rank", rank).filter(F.col("rank") <= fanout)
     return both.select("batch", "layer", "dst", "src")
 
 
