@@ -5,10 +5,12 @@
 with maximum-likelihood estimates of two orders and a uniform share. The weights of a bucket are learned by
 expectation-maximisation on counts that are held out of the estimates; the final estimates use all training counts.
 
-The table is cut into blocks of rows in reading order. A block counts its own n-grams and sends each distinct one
-once, as sorted runs of 64-bit keys, to the part of the key space that it falls in. There the blocks' counts are
-added, and only counts of n-grams that several blocks have go back to those blocks; all others a block knows by itself. No row
-for each token or for each n-gram of a document is ever shuffled. Whole blocks are held out to learn the weights.
+Rows are dealt into blocks by a hash of their id and text, so a row that is read again, or whose task is run again,
+comes to the same block. A block counts its own n-grams and sends each distinct one once, as sorted runs of 64-bit keys,
+to the part of the key space that it falls in. There the blocks' counts are added, and only counts of n-grams that
+several blocks have go back to those blocks; all others a block knows by itself. What is shuffled is a row for each
+block and part that meet: never more than one for each distinct n-gram of a block, far fewer while parts are few. Whole
+blocks are held out to learn the weights.
 """
 
 from __future__ import annotations
@@ -18,13 +20,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hopflow.llm.common import written
 
-#: Rows of a block at most, blocks at least (where there are so many rows), and the share of blocks held out.
-BLOCK_ROWS, LEAST_BLOCKS, HELD_EVERY = 2048, 20, 5
+#: Rows and bytes of a block in the mean at most, blocks at least, and the share of blocks held out.
+BLOCK_ROWS, BLOCK_BYTES, LEAST_BLOCKS, HELD_EVERY = 2048, 16 << 20, 20, 5
 #: Buckets of context frequency: 0, 1, 2-3, 4-7, ...; steps of the learning histogram for each doubling of a ratio.
 BUCKETS, STEPS, ROUNDS = 48, 4, 60
 NEVER = -(1 << 20)
@@ -110,7 +112,7 @@ class Block:
                 continue
             check, mask, counts = rows[kind, part]
             if check != checksum(keys):
-                raise ValueError("the table was read in another order than before")
+                raise ValueError("the table has other rows than when it was read before")
             shared = np.unpackbits(np.frombuffer(mask, np.uint8), count=len(keys)).astype(bool)
             out[kind == 1][places[shared]] = unpack_counts(counts)
         return out
@@ -147,12 +149,10 @@ def learn_weights(rows: list[tuple[int, int, int, int]]) -> np.ndarray:
     return weights
 
 
-def _number_blocks(docs: DataFrame) -> tuple[Column, int]:
-    """The block of a row, from its place in the reading order, and the number of rows in each."""
-    rows = max(1, min(BLOCK_ROWS, -(-docs.count() // LEAST_BLOCKS)))
-    at = F.monotonically_increasing_id()
-    inside = F.floor(at.bitwiseAND(F.lit((1 << 33) - 1)) / rows).cast("long")
-    return F.shiftleft(F.shiftright(at, 33), 24) + inside, rows
+def _blocks(slim: DataFrame) -> int:
+    """The number of blocks of rows (id, text): enough that none is large in rows or bytes."""
+    size = slim.agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    return max(LEAST_BLOCKS, -(-size["rows"] // BLOCK_ROWS), -(-(size["bytes"] or 0) // BLOCK_BYTES))
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, test_fold: int = 1) -> DataFrame:
@@ -161,19 +161,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     Words are lower-cased in A-Z; each text ends in an end token. The model learns from the rows whose crc32(id as text)
     mod `folds` is not `test_fold`; a row with a null id is scored, but neither learned from nor held out. A null text
     counts as empty: its end token alone. Copies are learned as often as they occur. Without rows to learn from every
-    token has the uniform share. An empty table gives no rows; other columns are ignored. docs must be read from files,
-    since it is read three times in the same order; anything else is written to the shared folder first."""
+    token has the uniform share. An empty table gives no rows; other columns are ignored. docs is read several times, in
+    any order; its rows must be the same each time. Rows that repeat both id and text share a block."""
     rest = F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(rest != test_fold, F.lit(False)).alias("train"), F.coalesce(rest == test_fold, F.lit(False)).alias("held_out"), F.col(text_col).cast("binary").alias("text"))
-    if not docs.inputFiles():
-        slim = written(slim, "texts")
-    block, _ = _number_blocks(slim)
-    slim = slim.withColumn("block", block)
-    # Every fifth block in reading order: an even share of a table of any size, which a hash gives large tables alone.
-    held_block = (F.shiftright("block", 24) + F.col("block").bitwiseAND(F.lit((1 << 24) - 1))) % HELD_EVERY == HELD_EVERY - 1
-    parts = max(32, -(-slim.count() // BLOCK_ROWS))
-
-    runs = slim.select("block", held_block.alias("held"), "train", "text").mapInArrow(_counter(parts), "part int, block long, held boolean, kind int, keys binary, counts binary")
+    blocks = _blocks(slim)
+    parts = max(32, blocks)
+    slim = slim.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)))
+    held_block = F.col("block") % HELD_EVERY == HELD_EVERY - 1
+
+    runs = slim.select("block", "train", "text").groupBy("block").applyInArrow(_counter(parts), _RUN)
     met = written(runs.groupBy("part").applyInArrow(_meet, "part int, block long, kind int, run long, shared binary, main binary, total binary, tokens_main long, tokens_held long, types_main long, types long"), "ngrams")
     sums = met.filter("block is null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens_main", "tokens_held", "types_main", "types")]).first()
     back = met.filter("block is not null").select("block", "kind", "part", "run", "shared", "main", "total")
@@ -190,30 +187,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     return done.withColumnRenamed("id", id_col)
 
 
+_RUN = "part int, block long, held boolean, kind int, keys binary, counts binary"
+
+
 def _counter(parts: int):
-    """Counts block by block over rows that come in the order of their blocks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, train, texts = None, False, [], []
-
-        def flush() -> pa.RecordBatch:
-            block = Block(texts, train)
-            out = [(p, now, held, kind, pack(keys), pack_counts((block.count2 if kind == 1 else block.count1)[places])) for kind, p, places, keys in block.runs(parts)]
-            cols = list(zip(*out, strict=True))
-            kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["part", "block", "held", "kind", "keys", "counts"])
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                for b, h, t, x in zip(*[c.to_pylist() for c in batch.slice(at, 256).columns], strict=True):
-                    if b != now:
-                        if texts:
-                            yield flush()
-                        now, held, train, texts = b, h, [], []
-                    train.append(t)
-                    texts.append(x)
-        if texts:
-            yield flush()
+    """The runs of a block, each with its counts."""
+
+    def run(docs: pa.Table) -> pa.Table:
+        now = docs.column("block")[0].as_py()
+        block = Block(docs.column("text").to_pylist(), docs.column("train").to_pylist())
+        held = now % HELD_EVERY == HELD_EVERY - 1
+        out = [(p, now, held, kind, pack(keys), pack_counts((block.count2 if kind == 1 else block.count1)[places])) for kind, p, places, keys in block.runs(parts)]
+        kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["part", "block", "held", "kind", "keys", "counts"])
 
     return run
 
