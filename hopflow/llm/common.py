@@ -99,16 +99,16 @@ def hot_keys(counts: DataFrame, keys: list[str], n: str) -> DataFrame:
     return counts.filter(F.col(n) >= max(HOT_SHARE * total, 2)).select(*keys)
 
 
-def salted_join(rows: DataFrame, found: DataFrame, keys: list[str], hot: DataFrame, by: Column, how: str = "inner") -> DataFrame:
+def salted_join(rows: DataFrame, found: DataFrame, keys: list[str], hot: DataFrame, by: Column, how: str = "inner", strategy: str | None = None) -> DataFrame:
     """rows joined with found, which has each key once, so that the rows of hot keys are dealt over SALTS tasks by `by`.
 
-    Rows of other keys, and those with null keys, have one salt."""
+    Rows of other keys, and those with null keys, have one salt. `strategy` is a join hint; without one Spark chooses."""
     few = F.broadcast(hot.select(*keys).withColumn("_hot", F.lit(True)))  # at most 1 / HOT_SHARE rows
     one = F.array(F.lit(0))
     left = rows.join(few, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(by, F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
     salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(one)
     right = found.join(few, keys, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    return left.join(right.hint(strategy) if strategy else right, [*keys, "_salt"], how).drop("_salt")
 
 
 def numbered(docs: DataFrame, name: str) -> DataFrame:

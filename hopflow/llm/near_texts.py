@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from hopflow.llm.common import hot_keys, salted_join, written
 from hopflow.llm.components import components
-from hopflow.llm.simhash import Code, link_at_anchors, shingle_hashes, spread
+from hopflow.llm.simhash import Code, dealt, link_at_anchors, shingle_hashes, spread
 
 WIDTH, SIMILARITY = 5, 0.8
 CODE, BLOCKS = Code(4, 11), 8
@@ -81,7 +81,8 @@ def _judged(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     both = edges
     for end, other in (("u", "v"), ("v", "u")):
         hot = hot_keys(edges.groupBy(end).agg(F.count("*").alias("n")), [end], "n")
-        both = salted_join(both, sets.select(F.col("node").alias(end), F.col("shingles").alias(f"_{end}")), [end], hot, F.xxhash64(other))
+        # Links and sets both grow with the texts, so neither is broadcast at any size.
+        both = salted_join(both, sets.select(F.col("node").alias(end), F.col("shingles").alias(f"_{end}")), [end], hot, F.xxhash64(other), strategy="merge")
     common, total = F.size(F.array_intersect("_u", "_v")), F.size("_u") + F.size("_v")
     return both.select("u", "v", (common * (1 + similarity) >= total * similarity - 1e-9).alias("near"))
 
@@ -115,7 +116,7 @@ def near_groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILAR
     rows = written(sketches(docs, width), "sketches")
     distinct = rows.groupBy("low", "high").agg(F.min("row").alias("node"), *[F.first(c).alias(c) for c in _NAMES[2:]])
     distinct = written(distinct, "distinct")
-    spread_ = distinct.select("node", "bits", "w0", "w1", "w2", "w3").mapInArrow(spread(CODE, BLOCKS, 2), "anchor long, node long, bits long")
+    spread_ = dealt(distinct.select("node", "bits", "w0", "w1", "w2", "w3")).mapInArrow(spread(CODE, BLOCKS, 2), "anchor long, node long, bits long")
     met = link_at_anchors(spread_, CHECK)
     candidates = written(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "d").distinct(), "candidates")
     # Written, so that its size is known: it is sent to the texts if it is small, and they are shuffled otherwise.

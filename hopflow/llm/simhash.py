@@ -23,6 +23,8 @@ from hopflow.llm.components import components
 WIDTH, SEED, THRESHOLD = 3, 42, 3
 #: Distinct fingerprints that are compared at one anchor at once; larger anchors are cut into blocks of this many.
 BLOCK = 2048
+#: Nodes that a task sends to their anchors, in the mean.
+SPREAD_ROWS = 8192
 
 
 def shingle_hashes(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -121,6 +123,11 @@ def spread(code: Code, blocks: int, per_word: int):
     return run
 
 
+def dealt(nodes: DataFrame) -> DataFrame:
+    """nodes (column node) over so many tasks that what each sends to its anchors is counted within its memory."""
+    return nodes.repartition(max(1, -(-nodes.count() // SPREAD_ROWS)), "node")
+
+
 def forest(node: np.ndarray, bits: np.ndarray, threshold: int) -> list[tuple[int, int, int]]:
     """Links (node, node, differing bits) that connect nodes exactly as all links within the threshold do, one fewer than
     each component has members: the nearest ones, a minimum spanning forest."""
@@ -207,7 +214,7 @@ def link_at_anchors(spread_: DataFrame, threshold: int, block: int = BLOCK) -> D
 def link_fingerprints(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     """(u, v): links that connect the distinct fingerprints of column `fp` as all pairs within the threshold do."""
     fp = F.col("fp")
-    rows = distinct.select(fp.alias("node"), fp.alias("bits"), fp.alias("w")).mapInArrow(spread(HALVES, 2, 2), "anchor long, node long, bits long")
+    rows = dealt(distinct.select(fp.alias("node"), fp.alias("bits"), fp.alias("w"))).mapInArrow(spread(HALVES, 2, 2), "anchor long, node long, bits long")
     return link_at_anchors(rows, THRESHOLD, block).select("u", "v")
 
 
@@ -219,7 +226,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the comparison. Texts without words have fingerprint zero and are linked like any others. Texts are read whole;
     an empty table gives no rows; other columns are ignored."""
     rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = rows.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    distinct = written(rows.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "distinct")
     links = components(link_fingerprints(distinct), "simhash")
     rooted = distinct.join(links.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # A component's fingerprints are counted where they are before they meet.
