@@ -25,7 +25,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 #: Longer runs of letters are read in parts of this many, which keeps products within floating-point range.
 LONGEST = 32
 SPACE = "▁"
-#: Documents of each language that the model is fitted on, at most: those with the smallest hash of their text.
+#: Different texts of each language that the model is fitted on, at most: those with the smallest hash.
 SAMPLE = 1500
 ROUNDS, SMOOTHING = 3, 0.05
 #: Words whose scores a worker remembers.
@@ -204,23 +204,26 @@ def _reader(model: Model) -> Reader:
 def fit(labelled: DataFrame, vocabulary_path: str, lang_col: str = "lang", text_col: str = "text", sample: int = SAMPLE) -> Model | None:
     """Learns a model from rows with a language; None if there are none with a letter.
 
-    At most `sample` documents of each language are used (more only where texts are equal), those with the smallest
-    hash of the text. What comes to the driver: a bounded histogram for each language, and a row for each piece."""
+    At most `sample` different texts of each language are used, those with the smallest hash, each once. What comes to the driver: a bounded histogram for each language, and a row for each piece."""
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     # The share of rows with a smaller hash, on a logarithmic scale: the last bins hold the smallest.
     share = (F.pmod("h", F.lit(1 << 53)) + 1) / float(1 << 53)
     binned = rows.withColumn("b", F.floor(-F.log2(share) * CUTS).cast("int"))
+    # Equal texts share a hash and take one place of the sample, however many they are.
+    texts = binned.groupBy("lang", "b", "h").agg(F.count("*").alias("copies"))
     cuts: dict[str, int] = {}
-    seen: dict[str, int] = {}
-    for r in sorted(binned.groupBy("lang", "b").agg(F.count("*").alias("n")).collect(), key=lambda r: (r["lang"], -r["b"])):
-        if seen.get(r["lang"], 0) + r["n"] <= sample or r["lang"] not in cuts:
+    seen: Counter = Counter()
+    taken: Counter = Counter()
+    for r in sorted(texts.groupBy("lang", "b").agg(F.count("*").alias("n"), F.sum("copies").alias("copies")).collect(), key=lambda r: (r["lang"], -r["b"])):
+        if taken[r["lang"]] + r["n"] <= sample or r["lang"] not in cuts:
             cuts[r["lang"]] = r["b"]
-        seen[r["lang"]] = seen.get(r["lang"], 0) + r["n"]
+        taken[r["lang"]] += r["n"]
+        seen[r["lang"]] += r["copies"]
     if not cuts:
         return None
     languages = sorted(cuts)
     limits = F.create_map(*[F.lit(x) for l in languages for x in (l, cuts[l])])
-    chosen = binned.filter(F.col("b") >= limits[F.col("lang")]).select("lang", "text")
+    chosen = binned.filter(F.col("b") >= limits[F.col("lang")]).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
     place = {l: k for k, l in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,8 +318,8 @@ def identify(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text
     """The id of every row, held_out, lang_pred, score.
 
     Learns from the rows with a language whose crc32(id as text) mod 4 is not 2; only the text is read to predict. A row
-    with a null id takes no part in learning and is not held out. Texts are read whole; copies are learned as often as
-    they occur. An empty table gives no rows, and without rows to learn from all are `und`; other columns are ignored."""
+    with a null id takes no part in learning and is not held out. Texts are read whole; equal texts of a
+    language are learned once, and each copy counts in how common the language is. An empty table gives no rows, and without rows to learn from all are `und`; other columns are ignored."""
     rest = F.crc32(F.col(id_col).cast("string").cast("binary")) % 4
     model = fit(docs.filter(rest != 2), vocabulary_path, lang_col, text_col)
     slim = docs.select(F.col(id_col).alias("_id"), F.coalesce(rest == 2, F.lit(False)).alias("_held"), F.col(text_col).alias("_text"))

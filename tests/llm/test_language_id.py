@@ -69,3 +69,12 @@ def test_edge_cases(spark):
     assert [g[2] for g in got][2:5] == ["und"] * 3 and got[6][2] == "en" and got[7][2] in ("en", "fr") and got[8][2] in ("en", "fr")
     assert L.identify(df.limit(0), PATH).collect() == []
     assert [r["lang_pred"] for r in L.identify(df.filter("lang is null"), PATH).collect()] == ["und"] * 3
+
+
+def test_hot_text_takes_one_place_of_the_sample(spark):
+    """A text with more copies than the sample has room for leaves the room to the others, and counts in the prior."""
+    rows = [("x", "gleich")] * 50 + [("x", f"wort{c}") for c in "abcdefgh"] + [("y", "other")] * 8
+    m = L.fit(spark.createDataFrame(rows, "lang string, text string"), PATH, sample=9)
+    once = L.fit(spark.createDataFrame(sorted(set(rows)), "lang string, text string"), PATH, sample=9)
+    assert m.languages == ["x", "y"] and np.allclose(m.p, once.p)
+    assert np.allclose(np.exp(m.prior), [58 / 66, 8 / 66])
