@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hopflow.llm import exact_dedup, html_extraction, language_id, lm_scoring, mixing, packing, quality_classifier, quality_rules, sharding, simhash
+from hopflow.llm import chat_format, exact_dedup, html_extraction, language_id, lm_scoring, mixing, packing, quality_classifier, quality_rules, sharding, simhash, spelling, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,7 +58,20 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(_table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_exact_dedup, op4_quality_rules, op5_lm_scoring, op6_simhash, op7_mixing, op8_quality_classifier, op9_packing, op10_html_extraction)}
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_format.digests(chat_format.format_conversations(turns.unionByName(chat_format.hostile(turns))))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_exact_dedup, op4_quality_rules, op5_lm_scoring, op6_simhash, op7_mixing, op8_quality_classifier, op9_packing, op10_html_extraction, op11_chat_format, op12_spelling, op13_whitening)}
 
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": """
@@ -68,4 +82,5 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM d
 """,
     "op4_quality_rules": quality_rules.oracle_sql(),
+    "op11_chat_format": chat_format.oracle_sql(),
 }
