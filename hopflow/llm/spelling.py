@@ -76,7 +76,7 @@ def near_words(counted: DataFrame) -> DataFrame:
     own, gap = F.col("own"), F.col("gap")
     # Of two words of equal length the smaller is the index's; of others the pair is taken at its first key.
     once = F.when(F.col("longer") == 0, own < gap).otherwise((F.col("start") == 0) | (F.substr(gap, F.lit(2)) != own))
-    pairs = index.join(probe, key).filter(once & (F.levenshtein(own, gap) == 1))
+    pairs = index.join(probe, key).filter(once & (F.levenshtein(own, gap, 1) == 1))
     whole = lambda part: F.concat(F.substr("known", F.lit(1), F.col("start")), part, F.substr("known", F.col("start") + 1))
     pairs = pairs.select(whole(own).alias("a"), F.col("own_n").alias("m"), whole(gap).alias("b"), "n")
     both = F.array(F.struct(F.col("a").alias("word"), F.col("m").alias("n"), F.col("b").alias("near"), F.col("n").alias("near_n")), F.struct(F.col("b").alias("word"), F.col("n").alias("n"), F.col("a").alias("near"), F.col("m").alias("near_n")))
