@@ -5,9 +5,13 @@ in one task is a page, a book, or one row for each book: with BOOK = PAGE = 4096
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hopflow.sources.scratch import written
+
 PAGE = BOOK = 4096
 
 
@@ -32,6 +36,22 @@ def running(rows: DataFrame, value: str, out: str, keys: list[str] | None = None
     return both.withColumn(out, F.col("_base") + F.col("_in_book") + F.col("_in_page")).drop("_page", "_book", "_base", "_in_book", "_in_page")
 
 
+def in_order(rows: DataFrame, order: list[Column], name: str, keys: list[str] | None = None, write: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
+    """rows with their 0-based place `name` in this order among the rows with equal keys (columns without nulls).
+
+    Rows are dealt over ranges of (keys, order), sorted there and written with the number of their task and their place
+    in it; places are offset by the counts of the tasks before, one row for each task and key. Rows that are equal in
+    keys and order meet in one task, so `order` must tell most rows apart. `write` makes and reads back a table."""
+    keys = keys or []
+    by = [*[F.col(k) for k in keys], *order]
+    sorted_ = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+    placed = write(sorted_.withColumn("_at", F.monotonically_increasing_id()).withColumn("_task", F.shiftright("_at", 33).cast("int")), "in_order")
+    counts = placed.groupBy(*keys, "_task").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = counts.select(*keys, "_task", (before - F.col("_first")).alias("_base"))
+    return placed.join(base, [*keys, "_task"]).withColumn(name, F.col("_base") + F.col("_at")).drop("_at", "_task", "_base")
+
+
 def top(rows: DataFrame, value: str, size: Column, keys: list[str] | None = None, page: int = PAGE) -> DataFrame:
     """rows (id, value, keys...) with `slot`, their place by value, largest first, ties by id, among the rows with equal
     keys; the first `size` of each, an expression over the keys and `_all`, their number of rows.
