@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -43,8 +44,8 @@ def _remove(spark: SparkSession, folder: str) -> None:
         pass
 
 
-#: Tables of the shared folder that nobody has released.
-_tables: list[str] = []
+#: Tables that `written` has made: the path of each, and a weak reference to what plans that read it hold.
+_tables: dict[str, object] = {}
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -53,21 +54,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     schema = df.schema
     df.write.parquet(path)
-    _tables.append(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def release(docs: DataFrame) -> None:
-    """Deletes the tables that `written` has made, but for those that docs reads. For a chain of jobs each of which
-    writes its result: what the job before it needed on the way is spent once its result is docs."""
-    spark, needed = docs.sparkSession, docs.inputFiles()
-    for path in _tables[:]:
-        name = path.rsplit("/", 1)[1]
-        if not any(f"/{name}/" in file for file in needed):
-            _tables.remove(path)
+    table = spark.read.schema(schema).parquet(path)
+    _tables[path] = spark._jvm.java.lang.ref.WeakReference(table._jdf.queryExecution().analyzed().relation())
+    return table
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the tables of `written` that no DataFrame reads any more, as Spark does with its shuffle files.
+
+    Every plan over a table, however it was derived, holds the one relation that reading it has made; once both garbage
+    collectors have found that nothing does, the table is spent. A table in use, by whomever, is never deleted, and one
+    whose relation has not been collected yet waits for the next call, or for the end of the process."""
+    gc.collect()
+    for path, relation in list(_tables.items()):
+        if relation.get() is None:
+            del _tables[path]
             _remove(spark, path)
-    # Spark deletes the files of shuffles that nothing refers to any more when the driver's JVM collects garbage.
-    spark._jvm.System.gc()
 
 
 def let(value: Column, body) -> Column:

@@ -44,16 +44,21 @@ OUTSIDE = frozenset("head header title script style noscript template iframe obj
 RAW = ("script", "style", "textarea", "title", "iframe", "noscript", "template")
 #: Containers that make up the place of a token.
 CONTAINERS = frozenset("html head body div section article main nav header footer aside form ul ol dl table figure details dialog menu".split())
-#: Words of class and id that mark such content.
+#: Words of class and id that mark such content, alone or together with words that say nothing of content.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal "
     "overlay newsletter subscribe signup sidebar aside menu nav navbar navigation breadcrumb breadcrumbs masthead footer comment comments "
-    "reply replies respond disqus discussion share sharing social related recommended recommendations widget login search toolbar skip copyright "
+    "reply replies respond disqus discussion share sharing social related recommended recommendations login search toolbar skip copyright "
     "pagination pager".split()
 )
+PLAIN = frozenset(
+    "top bottom left right main site page global primary secondary fixed sticky mobile desktop small large inner outer box block wrapper wrap container "
+    "content area section panel list item bar holder slot unit zone row column col group links link buttons button icon icons text form title body widget "
+    "widgets posts articles stories policy message settings".split()
+)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z|<[a-zA-Z][^>]*>|([^<]+|<)""", re.S)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">]+)*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z|<[a-zA-Z][^>]*>|([^<]+|<)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -79,6 +84,16 @@ class Page:
     texts: list[Text]
 
 
+def _marks(value: str) -> bool:
+    """Whether a class or id marks what is outside the article: one of its names has a word of MARKS and else only PLAIN
+    ones, so `ad-box` and `cookieNotice` do and `ad-free` or `share-price` do not. Single letters count for nothing."""
+    for name in value.split():
+        words = [w.lower() for w in SPLIT.split(name) if len(w) > 1]
+        if any(w in MARKS for w in words) and all(w in MARKS or w in PLAIN for w in words):
+            return True
+    return False
+
+
 def _attributes(name: str, source: str) -> tuple[str, bool]:
     """The class and id of a tag, for its place, and whether the element is outside the article."""
     outside = name in OUTSIDE
@@ -90,7 +105,7 @@ def _attributes(name: str, source: str) -> tuple[str, bool]:
         if k in ("class", "id"):
             label += f".{v}"
             if name not in ("html", "body", "article", "main"):
-                outside |= not MARKS.isdisjoint(w.lower() for w in SPLIT.split(v))
+                outside |= _marks(v)
             elif name == "article":
                 outside |= not {"comment", "comments", "reply"}.isdisjoint(w.lower() for w in SPLIT.split(v))
         elif k == "role":

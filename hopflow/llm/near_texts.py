@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from hopflow.llm.common import hot_keys, salted_join, written
 from hopflow.llm.components import components
 from hopflow.llm.simhash import Code, dealt, link_at_anchors, shingle_hashes, spread
+from hopflow.operators.ranking import in_order
 
 WIDTH, SIMILARITY = 5, 0.8
 CODE, BLOCKS = Code(4, 11), 8
@@ -63,7 +64,7 @@ def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """(node, shingles): the distinct hashes of the shingles of rows (row, text), by their lower 32 bits, which takes some
+    """(node, shingles): the distinct hashes of the shingles of rows (node, text), by their lower 32 bits, which takes some
     one in four billion pairs of shingles for equal."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +74,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                 sets = [np.unique(shingle_hashes(t.as_py() or b"", width).astype(np.uint32)).view(np.int32) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["node", "shingles"])
 
-    return docs.select("row", F.col("text").cast("binary")).mapInArrow(run, "node long, shingles array<int>")
+    return docs.select("node", F.col("text").cast("binary")).mapInArrow(run, "node long, shingles array<int>")
 
 
 def _judged(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -114,14 +115,18 @@ def near_groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILAR
     have equal sets. At an anchor a spanning forest of the candidates is taken, not all pairs. Texts are read whole; an
     empty table gives no rows."""
     rows = written(sketches(docs, width), "sketches")
-    distinct = rows.groupBy("low", "high").agg(F.min("row").alias("node"), *[F.first(c).alias(c) for c in _NAMES[2:]])
-    distinct = written(distinct, "distinct")
+    distinct = rows.groupBy("low", "high").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in _NAMES[2:]])
+    # Numbered by what the sets are, so that what follows does not depend on how the rows are dealt over tasks.
+    distinct = written(in_order(distinct, [F.col("low"), F.col("high")], "node", write=written), "distinct")
     spread_ = dealt(distinct.select("node", "bits", "w0", "w1", "w2", "w3")).mapInArrow(spread(CODE, BLOCKS, 2), "anchor long, node long, bits long")
     met = link_at_anchors(spread_, CHECK)
     candidates = written(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "d").distinct(), "candidates")
     # Written, so that its size is known: it is sent to the texts if it is small, and they are shuffled otherwise.
-    nodes = written(candidates.select(F.explode(F.array("u", "v")).alias("row")).distinct(), "nodes")
-    sets = written(_sets(docs.select("row", "text").join(nodes, "row", "left_semi"), width), "sets")
+    ends = candidates.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    nodes = written(distinct.select("row", "node").join(ends, "node"), "nodes")
+    sets = written(_sets(docs.select("row", "text").join(nodes, "row"), width), "sets")
     links = components(_linked(candidates, sets, similarity), "near2").select(F.col("u").alias("node"), F.col("v").alias("root"))
-    named = distinct.select("low", "high", "node").join(links, "node", "left").select("low", "high", F.coalesce("root", "node").alias("group"))
+    named = distinct.select("low", "high", "row", "node").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    smallest = named.groupBy("root").agg(F.min("row").alias("group"))
+    named = named.join(smallest, "root").select("low", "high", "group")
     return rows.select("row", "low", "high").join(named, ["low", "high"]).select("row", "group")

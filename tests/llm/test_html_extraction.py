@@ -133,3 +133,22 @@ def test_hot_host_is_dealt_over_tasks(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == {i: f"Head {w} Text {w}" for i, _, h in rows for w in [h.split("Head ")[1].split("<")[0]]}
+
+
+def test_names_that_only_contain_a_mark_are_kept():
+    kept = ("share-price", "ad-free", "social-history", "related-work", "widget", "commentary", "main-content", "menuhin", "loginless")
+    gone = ("ad", "ad-box", "ads", "cookieNotice", "top-menu", "comments", "related-posts", "sidebar-widget", "x ad", "ad-300x250", "nav_bar")
+    for name in kept:
+        assert H.main_text(f"<div class=\"{name}\">text</div>", None) == "text", name
+    for name in gone:
+        assert H.main_text(f"<div class=\"{name}\">text</div>", None) == "", name
+
+
+def test_memory_of_long_attributes():
+    import tracemalloc
+
+    for source in ("<div data-x=" + "a" * 4_000_000 + ">t</div>", "<div " + "a='b' " * 600_000 + ">t</div>", "<a <" * 1_000_000):
+        tracemalloc.start()
+        H.main_text(source, None)
+        assert tracemalloc.get_traced_memory()[1] < 100 << 20
+        tracemalloc.stop()
