@@ -1,7 +1,7 @@
 """From raw documents to packed training sequences: five stages, each a function of the table before it.
 
-The result of a stage is written before the next stage is called on it; each stage deletes what those before it have
-written on the way."""
+The result of a stage is written before the next stage is called on it; each stage deletes the tables written on the way
+that no DataFrame reads any more."""
 
 from __future__ import annotations
 
@@ -33,7 +33,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are judged by the bins that texts without words have; repeated rows are judged alike and all
     stay or go; null sources and languages are sites of their own. Without labels nothing goes but by an even prior. An
     empty table stays empty; other columns, whatever their names, are kept."""
-    release(docs)
+    release(spark)
     model = quality_classifier.fit(docs, _labels(spark, sf_dir))
     name = fresh(docs, "_quality")
     scored = quality_classifier.score(docs, model, name=name)
@@ -46,7 +46,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null counts as empty; a null doc_id is smaller than any other; of rows that repeat a doc_id and text exactly one
     stays. An empty table stays empty; other columns, whatever their names, are kept."""
-    release(docs)
+    release(spark)
     row = fresh(docs, "_row")
     rows = numbered(docs, row)
     found = exact_dedup.exact_dedup(rows.select(F.struct("doc_id", F.col(row).alias("row")).alias("id"), "text"), "id", "text")
@@ -58,7 +58,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts without words, null among them, are copies of each other; of rows that repeat a doc_id and text exactly one
     stays, and a null doc_id is smaller than any other. An empty table stays empty; other columns are kept."""
-    release(docs)
+    release(spark)
     row = fresh(docs, "_row")
     rows = numbered(docs, row)
     groups = written(near_texts.near_groups(rows.select(F.col(row).alias("row"), "text")), "groups")
@@ -74,7 +74,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no tokens and are judged by the bins that texts without words have; rows with one doc_id
     are chosen alike if their texts are. Without labels or tokens every document stays. An empty table stays empty;
     other columns, whatever their names, are kept."""
-    release(docs)
+    release(spark)
     return mixing.mixture(docs, _labels(spark, sf_dir), TARGETS)
 
 
@@ -83,7 +83,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null or empty text is the end id alone; repeated rows are packed each; an empty table gives no rows. Of the columns
     doc_id and text are read."""
-    release(docs)
+    release(spark)
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
