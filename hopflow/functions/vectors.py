@@ -1,18 +1,138 @@
-"""Vectors as array<double> columns: element-wise sums as generated columns, so that they are added up on the map side."""
+"""Vectors as array<double> columns and their element-wise sums, which are added up on the map side: as generated columns
+where vectors are narrow, in Arrow batches where they are wide."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Vectors of up to this width are summed by one generated aggregate for each dimension.
+NARROW = 128
+#: Bytes of partial sums that a task holds before it sends them on.
+HELD = 64 << 20
+
+
+def weighted_sum(rows: DataFrame, keys: list[str], vector: str, width: int, weight: Column | None = None, out: str = "x", narrow: int = NARROW) -> DataFrame:
+    """For each key the sum of weight * vector; no list of vectors is ever gathered, not even of a hub.
 
-def weighted_sum(rows: DataFrame, keys: list[str], vector: str, width: int, weight: Column | None = None, out: str = "x") -> DataFrame:
-    """For each key the sum of weight * vector. One sum for each dimension; no list of vectors is ever gathered."""
+    Rows with a null key are left out; null weights and null elements add nothing. Wider vectors than `narrow` go through
+    Arrow: their keys must be whole numbers, and a vector of another width is an error."""
+    rows = rows.dropna(subset=keys)
+    if width > narrow:
+        return _wide_sum(rows, keys, vector, width, weight, out)
     w = F.lit(1.0) if weight is None else weight
     sums = [F.sum(F.get(vector, F.lit(i)) * w).alias(f"_{i}") for i in range(width)]
     return rows.groupBy(*keys).agg(*sums).select(*keys, F.array(*[F.col(f"_{i}") for i in range(width)]).alias(out))
 
 
+def matrix(column: pa.Array, width: int) -> np.ndarray:
+    """An Arrow column of lists as rows of a matrix, without a loop; null elements are 0."""
+    flat = column.flatten()
+    if len(flat) != len(column) * width:
+        raise ValueError(f"vectors of {width} numbers are expected")
+    return pc.fill_null(flat, 0.0).to_numpy(zero_copy_only=False).reshape(len(column), width)
+
+
+def lists(x: np.ndarray) -> pa.ListArray:
+    """Rows of a matrix as an Arrow column of lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(np.ascontiguousarray(x).ravel(), pa.float64()))
+
+
+def _combined(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows with equal keys added up; keys in order."""
+    order = np.lexsort(keys.T[::-1])
+    keys = keys[order]
+    starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1)))
+    return keys[starts], np.add.reduceat(x[order], starts, axis=0)
+
+
+def _wide_sum(rows: DataFrame, keys: list[str], vector: str, width: int, weight: Column | None, out: str) -> DataFrame:
+    """Partial sums of a task's rows, at most HELD bytes at a time, dealt by key, sorted, and added up as they come."""
+    fields = [rows.schema[k] for k in keys]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{out}` array<double>"
+
+    weighted = weight is not None
+
+    def columns(batch: pa.RecordBatch) -> np.ndarray:
+        return np.stack([batch.column(k).cast(pa.int64()).to_numpy(zero_copy_only=False) for k in range(len(keys))], axis=1)
+
+    def batches_of(found: np.ndarray, x: np.ndarray, types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+        step = max(1, (16 << 20) // (width * 8))
+        for at in range(0, len(found), step):
+            part = [pa.array(np.ascontiguousarray(found[at : at + step, k]), pa.int64()).cast(types[k]) for k in range(len(keys))]
+            yield pa.RecordBatch.from_arrays([*part, lists(x[at : at + step])], names=[*keys, out])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size, types = 0, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, types = matrix(batch.column(len(keys)), width), [c.type for c in batch.columns[: len(keys)]]
+            if weighted:
+                x = x * pc.fill_null(batch.column(len(keys) + 1), 0.0).to_numpy(zero_copy_only=False)[:, None]
+            held.append(_combined(columns(batch), x))
+            size += held[-1][1].nbytes
+            if size > HELD:
+                held = [_combined(*map(np.concatenate, zip(*held)))]
+                size = held[0][1].nbytes
+                if size > HELD // 2:  # they are different keys for the most part
+                    yield from batches_of(*held.pop(), types)
+                    size = 0
+        if held:
+            yield from batches_of(*_combined(*map(np.concatenate, zip(*held))), types)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by key; the last key of a batch waits for the next one."""
+        waiting, types = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found, x, types = columns(batch), matrix(batch.column(len(keys)), width), [c.type for c in batch.columns[: len(keys)]]
+            if waiting is not None:
+                found, x = np.concatenate([waiting[0], found]), np.concatenate([waiting[1], x])
+            found, x = _combined(found, x)
+            waiting = found[-1:], x[-1:]
+            yield from batches_of(found[:-1], x[:-1], types)
+        if waiting is not None:
+            yield from batches_of(*waiting, types)
+
+    slim = rows.select(*keys, F.col(vector).cast("array<double>"), *([] if weight is None else [weight.cast("double").alias("_weight")]))
+    partials = slim.mapInArrow(partial, schema)
+    return partials.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(merged, schema)
+
+
+def applied(rows: DataFrame, function: Callable, inputs: list[str], name: str, kind: str = "array<double>") -> DataFrame:
+    """rows with column `name` of type `kind`: what a numpy function makes of the columns `inputs`, a batch of rows at a time.
+
+    Vectors come as matrices with a row for each row, numbers as arrays; a matrix or an array with as many rows comes
+    back. Vectors of a batch must have one width and no nulls."""
+    kept = [c for c in rows.columns if c != name]
+    places = [rows.columns.index(c) for c in kept]
+    at, schema = [rows.columns.index(c) for c in inputs], ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept) + f", `{name}` {kind}"
+
+    def argument(column: pa.Array) -> np.ndarray:
+        if pa.types.is_list(column.type):
+            return matrix(column, len(column[0]) if len(column) else 0)
+        return column.to_numpy(zero_copy_only=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            result = np.asarray(function(*[argument(batch.column(k)) for k in at]))
+            if len(result) != batch.num_rows:
+                raise ValueError(f"{len(result)} results for {batch.num_rows} rows")
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in places], lists(result) if result.ndim == 2 else pa.array(result)], names=[*kept, name])
+
+    return rows.mapInArrow(run, schema)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hopflow.functions import vectors as V
 from hopflow.functions.hashing import M, hash_of, hash_sql
-from hopflow.operators import batching, hotset, messages, model, nodes, partition, prepare, runlogs, sampling
+from hopflow.operators import batching, hotset, layout, messages, model, nodes, partition, prepare, runlogs, sampling
 from hopflow.sources import edges as edge_files
 from hopflow.sources import node_files
 from hopflow.sources.fixtures import VIEWS, WIDTH, Graph
@@ -55,6 +55,14 @@ def read_edges_text(g: Graph) -> DataFrame:
     return edge_files.read_edges_text(g.spark, _text(g, g.table("lineitem").select(line.alias("value"))))
 
 
+@query("SELECT CAST(l_orderkey AS VARCHAR) || ' x' || CAST(l_partkey AS VARCHAR) AS value FROM lineitem WHERE l_linenumber % 3 = 0")
+def bad_edge_lines(g: Graph) -> DataFrame:
+    """The lines of a text file whose ends are no numbers."""
+    bad = F.when(F.col("l_linenumber") % 3 == 0, " x").otherwise(" ")
+    lines = g.table("lineitem").select(F.concat(F.col("l_orderkey").cast("string"), bad, F.col("l_partkey").cast("string")).alias("value"))
+    return edge_files.bad_edge_lines(g.spark.read.text(_text(g, lines)))
+
+
 def _text(g: Graph, lines: DataFrame) -> str:
     """The path of text files with these lines."""
     path = folder(g.spark, "lines")
@@ -70,7 +78,7 @@ def _lineitem_edges(g: Graph) -> DataFrame:
 def read_edges_binary(g: Graph) -> DataFrame:
     """Binary files written from lineitem and read back."""
     path = folder(g.spark, "edges")
-    edge_files.save_edges_binary(_lineitem_edges(g), path)
+    edge_files.write_edges_binary(_lineitem_edges(g), path)
     return edge_files.read_edges_binary(g.spark, path)
 
 
@@ -78,7 +86,7 @@ def read_edges_binary(g: Graph) -> DataFrame:
 def write_edges_binary(g: Graph) -> DataFrame:
     """Binary files with the bits of a weight behind each edge."""
     path = folder(g.spark, "weighted")
-    edge_files.save_edges_binary(_lineitem_edges(g), path, weighted=True)
+    edge_files.write_edges_binary(_lineitem_edges(g), path, weighted=True)
     return rounded(edge_files.read_edges_binary(g.spark, path, weighted=True), "weight", digits=3)
 
 
@@ -216,6 +224,18 @@ def edge_weight_fn(g: Graph) -> DataFrame:
     return prepare.edge_weight_fn(g.edges(), F.lit(1.0) / (1 + F.abs(F.col("src") - F.col("dst"))))
 
 
+@query("SELECT src, dst, round(sqrt(abs(src - dst)) / (1 + src % 7), 9) + 0.0 AS weight FROM g")
+def edge_weight_function(g: Graph) -> DataFrame:
+    """Weights by a numpy function of the ends of a batch of edges."""
+
+    def weight(src, dst):
+        import numpy as np
+
+        return np.sqrt(np.abs(src - dst)) / (1 + src % 7)
+
+    return rounded(prepare.edge_weight_fn(g.edges(), weight), "weight", digits=9)
+
+
 # 2.3 partitioning
 
 # The greedy cut in SQL: one recursive step for each part over the running work of pages.
@@ -252,6 +272,32 @@ def partition_edges(g: Graph) -> DataFrame:
     return partition.partition_edges(g.edges(), _ranges(g))
 
 
+def _chunks(g: Graph) -> str:
+    path = folder(g.spark, "chunks")
+    layout.save_chunks(g.edges(), _ranges(g), path)
+    return path
+
+
+@query("SELECT src, dst, part, src_part FROM own", RANGES)
+def stored_chunks(g: Graph) -> DataFrame:
+    """The chunks of a partitioned graph, written and read back."""
+    return layout.load_chunks(g.spark, _chunks(g))
+
+
+@query("SELECT src, dst, part, src_part FROM own WHERE part = 2 AND src_part = 1", RANGES)
+def stored_chunk(g: Graph) -> DataFrame:
+    """One chunk, from its own folder."""
+    return layout.load_chunks(g.spark, _chunks(g), 2, 1)
+
+
+@query("SELECT dst, count(*) AS edges, sum(src) AS sources FROM hub GROUP BY dst")
+def stored_graph(g: Graph) -> DataFrame:
+    """A graph written in buckets and opened again, as by another session."""
+    path = folder(g.spark, "graph")
+    layout.save_graph(g.hub(), path, most=256)
+    return layout.open_graph(g.spark, path).edges.groupBy("dst").agg(F.count("*").alias("edges"), F.sum("src").alias("sources"))
+
+
 @query("SELECT part, src, row_number() OVER (PARTITION BY part ORDER BY src) - 1 AS mirror_idx FROM (SELECT DISTINCT part, src FROM own)", RANGES)
 def mirrors(g: Graph) -> DataFrame:
     return partition.mirrors(g.edges(), _ranges(g), page=100)
@@ -363,11 +409,12 @@ bw AS (SELECT batch, layer, dst, src, 1 / (sqrt(greatest(a.o, 1)) * sqrt(greates
 
 
 def _block(g: Graph) -> DataFrame:
-    return sampling.sample_khop(_batches(g).select("batch", "id"), g.hub(), list(FANOUTS), SEED)
+    return sampling.sample_khop(_batches(g).select("batch", "id"), g.stored, list(FANOUTS), SEED)
 
 
-def _weighted_block(g: Graph, kind: str = "sum") -> DataFrame:
-    return sampling.sampled_weights(_block(g), prepare.out_degree(g.hub(), g.n), prepare.in_degree(g.hub(), g.n), kind)
+def _weighted_block(g: Graph, kind: str = "sum", denominator: str = "sampled") -> DataFrame:
+    edges = g.stored.edges
+    return sampling.sampled_weights(written(_block(g), "block"), prepare.out_degree(edges, g.n), prepare.in_degree(edges, g.n), kind, denominator)
 
 
 @query("SELECT id, least(deg, 3) AS size FROM ind")
@@ -377,7 +424,7 @@ def sample_sizes(g: Graph) -> DataFrame:
 
 @query("SELECT * FROM s0", KHOP)
 def sample_neighbors(g: Graph) -> DataFrame:
-    return sampling.sample_neighbors(_batches(g).select("batch", F.col("id").alias("dst")), g.hub(), FANOUTS[0], 0, SEED)
+    return sampling.sample_neighbors(_batches(g).select("batch", F.col("id").alias("dst")), g.stored, FANOUTS[0], 0, SEED)
 
 
 @query("SELECT * FROM bk", KHOP)
@@ -387,7 +434,7 @@ def sample_khop(g: Graph) -> DataFrame:
 
 @query("SELECT * FROM s0 UNION ALL SELECT * FROM s2", f"{KHOP}, f2 AS (SELECT batch, dst FROM f1 UNION SELECT batch, dst FROM f0), {_sample('f2', 'hub', FANOUTS[1], 1, 's2')}")
 def sample_khop_merged(g: Graph) -> DataFrame:
-    return sampling.sample_khop(_batches(g).select("batch", "id"), g.hub(), list(FANOUTS), SEED, merge=True)
+    return sampling.sample_khop(_batches(g).select("batch", "id"), g.stored, list(FANOUTS), SEED, merge=True)
 
 
 @query("""SELECT batch, 0 AS layer, f0.dst, src FROM f0 JOIN g ON g.dst = f0.dst
@@ -400,7 +447,7 @@ def all_neighbors(g: Graph) -> DataFrame:
 def sample_khop_omit_hot(g: Graph) -> DataFrame:
     batches = _batches(g)
     omit = _block(g).filter("layer = 0 and src % 3 = 0").select("batch", F.col("src").alias("id")).distinct()
-    return sampling.sample_khop(batches.select("batch", "id"), g.hub(), list(FANOUTS), SEED, omit=omit)
+    return sampling.sample_khop(batches.select("batch", "id"), g.stored, list(FANOUTS), SEED, omit=omit)
 
 
 @query("""SELECT batch, layer, dst, src, dense_rank() OVER (PARTITION BY batch, layer ORDER BY src) - 1 AS src_local,
@@ -432,6 +479,12 @@ def sampled_weights(g: Graph) -> DataFrame:
     return rounded(_weighted_block(g, "mean"), "weight", digits=9)
 
 
+@query("SELECT batch, layer, dst, src, round(weight / greatest(i, 1), 9) AS weight FROM bw JOIN hd ON hd.id = dst", KHOP)
+def sampled_weights_global(g: Graph) -> DataFrame:
+    """Means divided by the in-degree in the whole graph."""
+    return rounded(_weighted_block(g, "mean", "global"), "weight", digits=9)
+
+
 @query("SELECT batch, layer, count(*) AS edges, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets FROM bk GROUP BY ALL", KHOP)
 def block_stats(g: Graph) -> DataFrame:
     return sampling.block_stats(_block(g))
@@ -457,7 +510,7 @@ def _hot(g: Graph) -> DataFrame:
 
 
 def _need(g: Graph) -> DataFrame:
-    first = sampling.sample_neighbors(_batches(g).select("batch", F.col("id").alias("dst")), g.hub(), FANOUTS[0], 0, SEED)
+    first = sampling.sample_neighbors(_batches(g).select("batch", F.col("id").alias("dst")), g.stored, FANOUTS[0], 0, SEED)
     return first.select(F.floor(F.col("batch") / PIPELINE).alias("super_batch"), F.col("src").alias("id")).distinct()
 
 
@@ -541,11 +594,19 @@ def gather_by_partition(g: Graph) -> DataFrame:
     return partition.assign_partition(_shuffled(g), _ranges(g)).join(g.labels(), "id").orderBy("part", "pos")
 
 
-@query("SELECT need.super_batch, need.id, pos, CASE WHEN hit THEN round(value * 2, 6) ELSE round(value, 6) END + 0.0 AS value FROM need JOIN fl USING (super_batch, id) JOIN x ON x.id = need.id", HOT)
+@query("""SELECT need.super_batch, need.id, x.pos, CASE WHEN hit THEN round(x.value * 2, 6) ELSE round(x.value, 6) END + 0.0 AS value,
+  CASE WHEN hit THEN round(x.value * 3, 6) ELSE round(ag.value, 6) END + 0.0 AS aggregate
+FROM need JOIN fl USING (super_batch, id) JOIN x ON x.id = need.id
+JOIN (SELECT dst AS id, pos, sum(weight * value) AS value FROM w JOIN x ON x.id = src GROUP BY ALL) ag ON ag.id = need.id AND ag.pos = x.pos""", HOT)
 def override_hot_embeddings(g: Graph) -> DataFrame:
-    rows = hotset.gather_features(_need(g), g.features())
-    ready = _hot(g).select("super_batch", "id").join(g.features(), "id").withColumn("features", F.transform("features", lambda v: v * 2))
-    return flat(hotset.override_hot_embeddings(rows, ready), "super_batch", "id", vector="features")
+    """Vectors and the sums over their in-edges, both taken from the hot set where it has them."""
+    sums = messages.gcn_aggregate(prepare.gcn_edge_weight(g.edges(), g.n), _x(g), WIDTH).withColumnRenamed("x", "aggregate")
+    rows = hotset.gather_features(_need(g), g.features()).join(sums, "id")
+    ready = _hot(g).select("super_batch", "id").join(g.features(), "id")
+    ready = ready.select("super_batch", "id", F.transform("features", lambda v: v * 2).alias("features"), F.transform("features", lambda v: v * 3).alias("aggregate"))
+    done = hotset.override_hot_embeddings(rows, ready, ("features", "aggregate"))
+    pairs = done.select("super_batch", "id", F.posexplode(F.arrays_zip("features", "aggregate")).alias("pos", "p"))
+    return rounded(pairs.select("super_batch", "id", "pos", F.col("p.features").alias("value"), F.col("p.aggregate").alias("aggregate")), "value", "aggregate")
 
 
 @query("SELECT user_id AS id, version, value FROM (SELECT user_id, epoch_us(ts) // 1000 AS version, value, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000 DESC, value DESC) AS r FROM events) WHERE r = 1")
@@ -553,10 +614,26 @@ def merge_newest(g: Graph) -> DataFrame:
     return hotset.merge_newest(g.table("events").select(F.col("user_id").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("version"), "value"))
 
 
-@query(f"SELECT super_batch, slot, round(sum(({hash_sql(3, 'layer', 'dst', 'src')} % 1000) / 1000.0), 6) AS gradient FROM bk JOIN (SELECT DISTINCT batch, super_batch FROM bt) USING (batch) JOIN hot USING (super_batch) WHERE hot.id = bk.dst GROUP BY ALL", HOT)
+def _gradients(g: Graph) -> DataFrame:
+    """A gradient vector for each edge of the blocks: that of its dst."""
+    rows = _block(g).select(F.floor(F.col("batch") / PIPELINE).alias("super_batch"), "batch", "layer", F.col("dst").alias("id"), "src")
+    return rows.join(_x(g), "id")
+
+
+GROUPED = "(SELECT DISTINCT batch, super_batch FROM bt)"
+
+
+@query(f"SELECT super_batch, slot, pos, round(sum(value), 6) + 0.0 AS value FROM bk JOIN {GROUPED} USING (batch) JOIN hot USING (super_batch) JOIN x ON x.id = bk.dst WHERE hot.id = bk.dst GROUP BY ALL", HOT)
 def accumulate_hot_gradients(g: Graph) -> DataFrame:
-    rows = _block(g).select(F.floor(F.col("batch") / PIPELINE).alias("super_batch"), F.col("dst").alias("id"), ((hash_of(3, F.col("layer"), F.col("dst"), F.col("src")) % 1000) / 1000.0).alias("gradient"))
-    return rounded(hotset.accumulate_hot_gradients(rows, _hot(g)), "gradient")
+    return flat(hotset.accumulate_hot_gradients(_gradients(g), _hot(g), WIDTH), "super_batch", "slot")
+
+
+@query(f"""SELECT batch, layer, bk.dst AS id, src, CASE WHEN hot.id IS NULL THEN round(mark, 5) ELSE 0 END + 0.0 AS mark
+FROM bk JOIN {GROUPED} USING (batch) JOIN (SELECT id, sum(value * (pos + 1)) AS mark FROM x GROUP BY id) y ON y.id = bk.dst
+LEFT JOIN hot ON hot.super_batch = bt_.super_batch AND hot.id = bk.dst""".replace(f"{GROUPED} USING (batch)", f"{GROUPED} bt_ USING (batch)"), HOT)
+def zero_hot_gradients(g: Graph) -> DataFrame:
+    """The local gradients after that: zero for cached ids."""
+    return marked(hotset.zero_hot_gradients(_gradients(g), _hot(g), WIDTH), "batch", "layer", "id", "src")
 
 
 @query(f"SELECT count(*) AS edges, round(sum(weight), 6) AS total, round(avg(weight), 9) AS mean FROM w WHERE dst IN (SELECT id FROM od ORDER BY deg DESC, id LIMIT CAST(floor({N} * {RATE}) AS BIGINT))")
@@ -587,9 +664,9 @@ def _x(g: Graph) -> DataFrame:
 MARK = "round(sum(value * (pos + 1)), 5) + 0.0 AS mark"
 
 
-def marked(edge_rows: DataFrame) -> DataFrame:
+def marked(edge_rows: DataFrame, *keys: str) -> DataFrame:
     steps = F.aggregate(F.transform("x", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, b: a + b)
-    return rounded(edge_rows.select("src", "dst", steps.alias("mark")), "mark", digits=5)
+    return rounded(edge_rows.select(*(keys or ("src", "dst")), steps.alias("mark")), "mark", digits=5)
 
 
 @query(f"SELECT src, dst, {MARK} FROM hub JOIN x ON x.id = src GROUP BY ALL")
@@ -647,6 +724,18 @@ def gcn_aggregate(g: Graph) -> DataFrame:
     return flat(messages.gcn_aggregate(prepare.gcn_edge_weight(g.edges(), g.n), _x(g), WIDTH), "id")
 
 
+WIDE = 10
+
+
+@query(f"""SELECT id, 64 * k + pos AS pos, round(v * (k + 1), 5) + 0.0 AS value FROM (SELECT dst AS id, pos, sum(weight * value) AS v FROM w JOIN x ON x.id = src GROUP BY ALL),
+(SELECT unnest(range({WIDE})) AS k)""")
+def gcn_aggregate_wide(g: Graph) -> DataFrame:
+    """Vectors of 640 numbers: those of the table once, twice, up to ten times as large."""
+    wide = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(WIDE)), lambda k: F.transform("x", lambda v: v * k)))
+    rows = _x(g).select("id", wide.alias("x"))
+    return V.exploded(messages.gcn_aggregate(prepare.gcn_edge_weight(g.edges(), g.n), rows, WIDE * WIDTH), ["id"], "x", 5)
+
+
 @query("SELECT src AS id, pos, round(sum(weight * value), 6) + 0.0 AS value FROM w JOIN x ON x.id = dst GROUP BY ALL")
 def gcn_aggregate_backward(g: Graph) -> DataFrame:
     return flat(messages.gcn_aggregate_backward(prepare.gcn_edge_weight(g.edges(), g.n), _x(g), WIDTH), "id")
@@ -711,6 +800,24 @@ def edge_softmax_backward(g: Graph) -> DataFrame:
     return rounded(messages.edge_softmax_backward(rows).select("src", "dst", "gs"), "gs", digits=9)
 
 
+HEADS = f"""hs AS (SELECT src, dst, k, ({hash_sql(4, 'src', 'dst', 'k')} % 20001 - 10000) / 1000.0 AS score FROM hub, (SELECT unnest(range(4)) AS k)),
+ha AS (SELECT src, dst, k, e / sum(e) OVER (PARTITION BY dst, k) AS a FROM (SELECT src, dst, k, exp(score - max(score) OVER (PARTITION BY dst, k)) AS e FROM hs))"""
+
+
+def _heads(g: Graph) -> DataFrame:
+    score = F.array(*[(hash_of(4, F.col("src"), F.col("dst"), k) % 20001 - 10000) / 1000.0 for k in range(4)])
+    return messages.edge_softmax(g.hub().withColumn("score", score), heads=4)
+
+
+@query("SELECT src, dst, k, round(a, 9) + 0.0 AS a, round(a * g - a * sum(a * g) OVER (PARTITION BY dst, k), 9) + 0.0 AS gs FROM (SELECT src, dst, k, a, (src % 7 - 3 + k) / 4.0 AS g FROM ha)", HEADS)
+def edge_softmax_heads(g: Graph) -> DataFrame:
+    """Scores in four columns, forward and backward."""
+    grads = F.array(*[(F.col("src") % 7 - 3 + k) / 4.0 for k in range(4)])
+    rows = messages.edge_softmax_backward(_heads(g).withColumn("g", grads), heads=4)
+    flat_ = rows.select("src", "dst", F.posexplode(F.arrays_zip("a", "gs")).alias("k", "p")).select("src", "dst", "k", F.col("p.a").alias("a"), F.col("p.gs").alias("gs"))
+    return rounded(flat_, "a", "gs", digits=9)
+
+
 # 2.9 models and metrics. Weights are sin(31 i + j + salt) / sqrt(rows).
 
 
@@ -733,10 +840,30 @@ def gcn_infer(g: Graph) -> DataFrame:
     return flat(_gcn(g), "id", vector="logp")
 
 
-@query("SELECT id, round(sum(value), 6) AS value FROM x WHERE pos % 2 = 0 GROUP BY id")
+@query("SELECT id, round(sqrt(sum(value * value)), 6) + 0.0 AS value FROM x GROUP BY id")
 def vertex_map(g: Graph) -> DataFrame:
-    even = F.aggregate(F.filter("x", lambda v, i: i % 2 == 0), F.lit(0.0), lambda a, b: a + b)
-    return rounded(model.vertex_map(_x(g), even, "value").select("id", "value"), "value")
+    """The length of each vector, by an expression."""
+    return rounded(model.vertex_map(_x(g), F.sqrt(V.dot(F.col("x"), F.col("x"))), "value").select("id", "value"), "value")
+
+
+@query("SELECT x.id, x.pos, round(x.value * ag.value + (x.pos % 3), 6) + 0.0 AS value FROM x JOIN (SELECT dst AS id, pos, sum(value) AS value FROM g JOIN x ON x.id = src GROUP BY ALL) ag ON ag.id = x.id AND ag.pos = x.pos")
+def vertex_map_two(g: Graph) -> DataFrame:
+    """A numpy function of two inputs: a vertex's vector and the sum over its in-edges."""
+
+    def both(x, y):
+        import numpy as np
+
+        return x * y + np.arange(x.shape[1]) % 3
+
+    return flat(model.vertex_map(_x(g), both, second=messages.unweighted_aggregate(g.edges(), _x(g), WIDTH)), "id")
+
+
+@query("SELECT src, dst, round(spread + src % 5, 6) + 0.0 AS value FROM g JOIN (SELECT id, max(value) - min(value) AS spread FROM x GROUP BY id) y ON y.id = src")
+def edge_map_function(g: Graph) -> DataFrame:
+    """A numpy function of edge rows: the spread of the vector and an end."""
+    spread = lambda x, src: x.max(axis=1) - x.min(axis=1) + src % 5
+    rows = messages.edge_map(messages.scatter_src(g.edges(), _x(g)), spread, "value", ["x", "src"], "double")
+    return rounded(rows.select("src", "dst", "value"), "value")
 
 
 @query("SELECT src, dst, round(sum(value * value) * 3 - 1, 6) AS value FROM g JOIN x ON x.id = src GROUP BY ALL")
@@ -748,14 +875,21 @@ def edge_map(g: Graph) -> DataFrame:
 def grouped_dst_map(g: Graph) -> DataFrame:
     """Of each dst the widest gap between sources: a function of its in-edges in order."""
 
-    def widest(rows):
+
+    def update(state, rows):
         import numpy as np
-        import pyarrow as pa
 
-        src = np.sort(rows.column("src").to_numpy())
-        return pa.table({"dst": rows.column("dst").slice(0, 1), "widest": [int(np.diff(src, prepend=src[0]).max())], "edges": [len(src)]})
+        src = rows.column(rows.schema.get_field_index("src")).to_numpy()
+        mine = {"first": int(src[0]), "last": int(src[-1]), "widest": int(np.diff(src, prepend=src[0]).max()), "edges": len(src)}
+        return mine if state is None else merge(state, mine)
+
+    def merge(a, b):
+        return {"first": a["first"], "last": b["last"], "widest": max(a["widest"], b["widest"], b["first"] - a["last"]), "edges": a["edges"] + b["edges"]}
+
+    def finish(dst, state):
+        return {"dst": dst, "widest": state["widest"], "edges": state["edges"]}
 
-    return model.grouped_dst_map(g.edges(), widest, "dst long, widest long, edges long")
+    return model.grouped_dst_map(g.edges(), update, merge, finish, "first long, last long, widest long, edges long", "dst long, widest long, edges long")
 
 
 @query("SELECT round(sum(value * value), 6) AS total FROM x WHERE id % 2 = 0")
@@ -892,13 +1026,43 @@ def _epoch(g: Graph, steps: int | None = None) -> list[tuple[int, float]]:
 
     layers = [model.Adam(np.asarray(w)) for w in model._layers([WIDTH, 8, 10])]
     batches = _batches(g) if steps is None else _batches(g).filter(F.col("super_batch") < steps)
-    return model.train_epoch(batches, g.hub(), g.n, g.features(), g.labels(), layers, list(FANOUTS), seed=SEED)
+    return model.train_epoch(batches, g.stored, g.n, g.features(), g.labels(), layers, list(FANOUTS), seed=SEED)
 
 
-@query()
+def _adam_sql(k: int, layer: int) -> str:
+    """The matrix and its state after step k (from 0), by its gradient."""
+    m, v, t = "(0.9 * p.m + 0.1 * coalesce(d.v, 0))", "(0.999 * p.s + 0.001 * coalesce(d.v, 0) * coalesce(d.v, 0))", k + 1
+    w = f"p.v - 0.01 * ({m} / (1 - pow(0.9, {t}))) / (sqrt({v} / (1 - pow(0.999, {t}))) + 1e-9)"
+    return f"w{layer}_{t} AS MATERIALIZED (SELECT p.i, p.j, {w} AS v, {m} AS m, {v} AS s FROM w{layer}_{k} p LEFT JOIN d{layer}_{k} d ON d.i = p.i AND d.j = p.j)"
+
+
+def _step_sql(k: int) -> str:
+    """The steps of training unrolled: forward, loss, backward and update over the rows of super-batch k."""
+    return f"""
+z_{k} AS MATERIALIZED (SELECT batch, id, w.j, sum(a0.v * w.v) AS v FROM a0s a0 JOIN w0_{k} w ON w.i = a0.pos WHERE super_batch = {k} GROUP BY ALL),
+e_{k} AS MATERIALIZED (SELECT bw.* FROM bw JOIN {GROUPED} b ON b.batch = bw.batch AND b.super_batch = {k} WHERE layer = 0),
+a1_{k} AS MATERIALIZED (SELECT e.batch, dst AS id, j, sum(weight * greatest(z.v, 0)) AS v FROM e_{k} e JOIN z_{k} z ON z.batch = e.batch AND z.id = e.src GROUP BY ALL),
+y_{k} AS MATERIALIZED (SELECT batch, id, w.j AS c, sum(a.v * w.v) AS v FROM a1_{k} a JOIN w1_{k} w ON w.i = a.j GROUP BY ALL),
+l_{k} AS MATERIALIZED (SELECT y.batch, y.id, c, label, v - ln(sum(exp(v)) OVER (PARTITION BY y.batch, y.id)) AS lp FROM y_{k} y JOIN lab ON lab.id = y.id),
+g_{k} AS MATERIALIZED (SELECT batch, id, c, (exp(lp) - CAST(c = label AS INT)) / (SELECT count(*) FROM l_{k} WHERE c = label) AS v FROM l_{k}),
+b_{k} AS MATERIALIZED (SELECT batch, id, w.i, sum(g.v * w.v) AS v FROM g_{k} g JOIN w1_{k} w ON w.j = g.c GROUP BY ALL),
+i_{k} AS MATERIALIZED (SELECT e.batch, src AS id, i, sum(weight * b.v) AS v FROM e_{k} e JOIN b_{k} b ON b.batch = e.batch AND b.id = e.dst GROUP BY ALL),
+d1_{k} AS MATERIALIZED (SELECT a.j AS i, g.c AS j, sum(a.v * g.v) AS v FROM a1_{k} a JOIN g_{k} g USING (batch, id) GROUP BY ALL),
+d0_{k} AS MATERIALIZED (SELECT a.pos AS i, z.j, sum(a.v * n.v) AS v FROM z_{k} z JOIN i_{k} n ON n.batch = z.batch AND n.id = z.id AND n.i = z.j AND z.v > 0 JOIN a0s a ON a.batch = z.batch AND a.id = z.id GROUP BY ALL),
+{_adam_sql(k, 0)}, {_adam_sql(k, 1)}"""
+
+
+#: Steps that the SQL of an epoch is unrolled to; the tables of up to sf0.1 have no more.
+STEPS = 12
+EPOCH = f"""{KHOP}, a0s AS MATERIALIZED (SELECT super_batch, bw.batch, dst AS id, pos, sum(weight * value) AS v FROM bw JOIN x ON x.id = src JOIN {GROUPED} b ON b.batch = bw.batch WHERE layer = 1 GROUP BY ALL),
+w0_0 AS MATERIALIZED (SELECT i, j, {_matrix(64, 0).format(i='i', j='j')} AS v, 0.0 AS m, 0.0 AS s FROM (SELECT unnest(range(64)) AS i), (SELECT unnest(range(8)) AS j)),
+w1_0 AS MATERIALIZED (SELECT i, j, {_matrix(8, 1).format(i='i', j='j')} AS v, 0.0 AS m, 0.0 AS s FROM (SELECT unnest(range(8)) AS i), (SELECT unnest(range(10)) AS j)),{','.join(map(_step_sql, range(STEPS)))}"""
+
+
+@query(" UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS super_batch, round(-avg(lp), 6) AS loss FROM l_{k} WHERE c = label HAVING count(*) > 0" for k in range(STEPS)), EPOCH)
 def train_epoch(g: Graph) -> DataFrame:
     """The losses of the steps of an epoch."""
-    return g.spark.createDataFrame(_epoch(g), "super_batch long, loss double")
+    return rounded(g.spark.createDataFrame(_epoch(g), "super_batch long, loss double"), "loss")
 
 
 @query()
@@ -972,6 +1136,13 @@ def _metric_lines(g: Graph) -> DataFrame:
 
 @query("SELECT 'gcn_' || CAST(o_custkey AS VARCHAR) || '_cache_push' AS run, CAST(max(o_orderkey) AS DOUBLE) AS seconds FROM orders GROUP BY 1")
 def epoch_time_table(g: Graph) -> DataFrame:
-    """Runs have names of four parts, of which the last comes second in the table."""
-    named = F.concat(F.lit("gcn_cache_push_"), F.col("run"))
-    return runlogs.epoch_time_table(runlogs.parse_metrics(_metric_lines(g).withColumn("run", named)))
+    """Run folders with a log each, written and read. Runs have names of four parts, of which the last comes second."""
+    path = folder(g.spark, "runs")
+    lines = _metric_lines(g).select(F.concat(F.lit("gcn_cache_push_"), F.col("run")).alias("run"), "value")
+    _save_runs(g.spark, lines, path)
+    return runlogs.epoch_time_table(runlogs.parse_metrics(runlogs.read_runs(g.spark, path, "*.txt")))
+
+
+def _save_runs(spark: SparkSession, lines: DataFrame, path: str) -> None:
+    """Log lines (run, value) as text files in a folder for each run."""
+    lines.repartition("run").write.partitionBy("run").text(path)

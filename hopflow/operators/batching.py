@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hopflow.functions.hashing import M, hash_of
+from hopflow.functions.hashing import M, hash_of, with_hash
 
 #: Ranges of hash values that positions are counted in; their counts are all that meets in one task.
 RANGES = 1024
@@ -15,7 +15,7 @@ def shuffle_nodes(seeds: DataFrame, seed: int = 0) -> DataFrame:
     """(id, pos): pos is the 0-based place of the id in the order of its hash.
 
     Rows are numbered inside equal ranges of hash values and offset by the counts of the ranges before."""
-    h = seeds.select("id", hash_of(seed, F.col("id")).alias("h")).withColumn("r", F.floor(F.col("h") / (M // RANGES)))
+    h = with_hash(seeds.select("id"), "h", seed, F.col("id")).withColumn("r", F.floor(F.col("h") / (M // RANGES)))
     counts = h.groupBy("r").agg(F.count("*").alias("c"))
     base = counts.select("r", F.coalesce(F.sum("c").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     inside = F.row_number().over(Window.partitionBy("r").orderBy("h", "id")) - 1

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hopflow.functions.vectors import weighted_sum
 from hopflow.operators import ranking
 
 
@@ -64,9 +65,12 @@ def gather_features_cached(needed: DataFrame, features: DataFrame, hot_ids: Data
     return near.unionByName(flagged.filter(F.col("_hot").isNull()).drop("_hot").join(features, "id"))
 
 
-def override_hot_embeddings(rows: DataFrame, hot: DataFrame) -> DataFrame:
-    """rows (super_batch, id, features): those in hot (super_batch, id, features) take the precomputed vector."""
-    return rows.join(hot.withColumnRenamed("features", "_f"), ["super_batch", "id"], "left").select("super_batch", "id", F.coalesce("_f", "features").alias("features"))
+def override_hot_embeddings(rows: DataFrame, hot: DataFrame, columns: tuple[str, ...] = ("features",)) -> DataFrame:
+    """rows (super_batch, id, features): those in hot (super_batch, id, features) take the precomputed vectors. With
+    columns ("features", "aggregate") they take the precomputed aggregate of their in-edges as well."""
+    ready = hot.select("super_batch", "id", F.lit(True).alias("_hot"), *[F.col(c).alias(f"_{c}") for c in columns])
+    both = rows.join(ready, ["super_batch", "id"], "left")
+    return both.select("super_batch", "id", *[F.when(F.col("_hot"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in columns])
 
 
 def merge_newest(versions: DataFrame) -> DataFrame:
@@ -75,9 +79,16 @@ def merge_newest(versions: DataFrame) -> DataFrame:
     return best.select("id", "b.version", "b.value")
 
 
-def accumulate_hot_gradients(gradients: DataFrame, cache: DataFrame) -> DataFrame:
-    """(super_batch, slot, gradient): gradients (super_batch, id, gradient) of cached ids added up by slot."""
-    return gradients.join(cache.select("super_batch", "id", "slot"), ["super_batch", "id"]).groupBy("super_batch", "slot").agg(F.sum("gradient").alias("gradient"))
+def accumulate_hot_gradients(gradients: DataFrame, cache: DataFrame, width: int) -> DataFrame:
+    """(super_batch, slot, x): gradient vectors (super_batch, id, x) of cached ids added up by slot."""
+    hot = gradients.join(cache.select("super_batch", "id", "slot"), ["super_batch", "id"])
+    return weighted_sum(hot, ["super_batch", "slot"], "x", width)
+
+
+def zero_hot_gradients(gradients: DataFrame, cache: DataFrame, width: int) -> DataFrame:
+    """The local rows after that: gradients (super_batch, id, x, ...) with those of cached ids set to zero."""
+    flagged = gradients.join(cache.select("super_batch", "id", F.lit(True).alias("_hot")), ["super_batch", "id"], "left")
+    return flagged.withColumn("x", F.when(F.col("_hot"), F.array_repeat(F.lit(0.0), width)).otherwise(F.col("x"))).drop("_hot")
 
 
 def hot_edge_weight_avg(weighted: DataFrame, hot_ids: DataFrame) -> DataFrame:

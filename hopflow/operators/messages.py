@@ -1,14 +1,16 @@
 """Message passing: joins from vertices to edges and sums back, forward and backward.
 
-Vertex rows: (id, x) with x an array of doubles of a known width; edge rows: (src, dst, x). Sums are one aggregate for
-each dimension and so combined on the map side; a hub never meets as a list of vectors."""
+Vertex rows: (id, x) with x an array of doubles of a known width; edge rows: (src, dst, x). Sums are combined on the map
+side, by generated aggregates or, from a width of over 128 on, in Arrow batches; a hub never meets as a list of vectors."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hopflow.functions.vectors import leaky_relu, weighted_sum
+from hopflow.functions.vectors import applied, leaky_relu, weighted_sum
 
 
 def scatter_src(edges: DataFrame, rows: DataFrame) -> DataFrame:
@@ -98,20 +100,27 @@ def fetch_dep_neighbors_backward(grads: DataFrame, width: int) -> DataFrame:
     return weighted_sum(grads, ["id"], "x", width)
 
 
-def edge_softmax(scores: DataFrame, score: str = "score") -> DataFrame:
+def edge_softmax(scores: DataFrame, score: str = "score", heads: int | None = None) -> DataFrame:
     """Edge scores (src, dst, score) with `a`, their softmax over the in-edges of dst, shifted by the maximum.
 
-    Two aggregates and joins rather than a window, so that a hub is not sorted in one task."""
-    top = scores.groupBy("dst").agg(F.max(score).alias("_top"))
-    raised = scores.join(top, "dst").withColumn("_e", F.exp(F.col(score) - F.col("_top"))).drop("_top")
-    total = raised.groupBy("dst").agg(F.sum("_e").alias("_sum"))
-    return raised.join(total, "dst").withColumn("a", F.col("_e") / F.col("_sum")).drop("_e", "_sum")
+    With `heads` a score is an array of so many columns, each with a softmax of its own, and so is `a`. Two aggregates
+    and joins rather than a window, so that a hub is not sorted in one task."""
+    at = (lambda c, i: F.col(c)) if heads is None else (lambda c, i: F.get(c, F.lit(i)))
+    each = range(heads or 1)
+    top = scores.groupBy("dst").agg(*[F.max(at(score, i)).alias(f"_top{i}") for i in each])
+    raised = scores.join(top, "dst").withColumns({f"_e{i}": F.exp(at(score, i) - F.col(f"_top{i}")) for i in each}).drop(*[f"_top{i}" for i in each])
+    total = raised.groupBy("dst").agg(*[F.sum(f"_e{i}").alias(f"_sum{i}") for i in each])
+    shares = [F.col(f"_e{i}") / F.col(f"_sum{i}") for i in each]
+    return raised.join(total, "dst").withColumn("a", shares[0] if heads is None else F.array(*shares)).drop(*[f"_e{i}" for i in each], *[f"_sum{i}" for i in each])
 
 
-def edge_softmax_backward(rows: DataFrame) -> DataFrame:
-    """Rows (src, dst, a, g) with `gs`, the gradient of the scores: a * g - a * sum over dst of a * g."""
-    total = rows.groupBy("dst").agg(F.sum(F.col("a") * F.col("g")).alias("_t"))
-    return rows.join(total, "dst").withColumn("gs", F.col("a") * (F.col("g") - F.col("_t"))).drop("_t")
+def edge_softmax_backward(rows: DataFrame, heads: int | None = None) -> DataFrame:
+    """Rows (src, dst, a, g) with `gs`, the gradient of the scores: a * g - a * sum over dst of a * g; arrays with `heads`."""
+    at = (lambda c, i: F.col(c)) if heads is None else (lambda c, i: F.get(c, F.lit(i)))
+    each = range(heads or 1)
+    total = rows.groupBy("dst").agg(*[F.sum(at("a", i) * at("g", i)).alias(f"_t{i}") for i in each])
+    back = [at("a", i) * (at("g", i) - F.col(f"_t{i}")) for i in each]
+    return rows.join(total, "dst").withColumn("gs", back[0] if heads is None else F.array(*back)).drop(*[f"_t{i}" for i in each])
 
 
 def attention_scores(edges: DataFrame, ends: DataFrame, slope: float = 0.2) -> DataFrame:
@@ -124,5 +133,9 @@ def attention_scores(edges: DataFrame, ends: DataFrame, slope: float = 0.2) -> D
     return both.select("src", "dst", leaky_relu(F.array(F.col("left") + F.col("right")), slope)[0].alias("score"))
 
 
-def edge_map(edge_rows: DataFrame, value: Column, name: str = "x") -> DataFrame:
-    return edge_rows.withColumn(name, value)
+def edge_map(edge_rows: DataFrame, value: Column | Callable, name: str = "x", inputs: list[str] | None = None, kind: str = "array<double>") -> DataFrame:
+    """Edge rows with a new column: an expression, or a numpy function of a batch of the columns `inputs` with results of
+    type `kind`."""
+    if isinstance(value, Column):
+        return edge_rows.withColumn(name, value)
+    return applied(edge_rows, value, inputs or ["x"], name, kind)

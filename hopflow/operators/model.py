@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from hopflow.functions import vectors as V
 from hopflow.functions.hashing import M, hash_of
-from hopflow.operators import messages, sampling
+from hopflow.operators import layout, messages, sampling
+from hopflow.operators.layout import StoredGraph
 from hopflow.operators.prepare import in_degree, out_degree
-from hopflow.sources.scratch import written
+from hopflow.sources.scratch import written, written_by
 
 
 def fixed_weights(rows: int, cols: int, salt: int = 0) -> list[list[float]]:
@@ -23,18 +28,57 @@ def fixed_weights(rows: int, cols: int, salt: int = 0) -> list[list[float]]:
     return (np.sin(i * 31.0 + j + salt) / np.sqrt(rows)).tolist()
 
 
-def vertex_map(rows: DataFrame, value: Column, name: str = "x") -> DataFrame:
-    return rows.withColumn(name, value)
+def vertex_map(rows: DataFrame, value: Column | Callable, name: str = "x", second: DataFrame | None = None, kind: str = "array<double>") -> DataFrame:
+    """Vertex rows (id, x) with a new column. value: an expression over x, and over y, the x of the rows of `second` with
+    the same id; or a numpy function of a batch of these, whose result has type `kind`."""
+    inputs = ["x"]
+    if second is not None:
+        rows, inputs = rows.join(second.select("id", F.col("x").alias("y")), "id"), ["x", "y"]
+    done = rows.withColumn(name, value) if isinstance(value, Column) else V.applied(rows, value, inputs, name, kind)
+    return done if second is None else done.drop("y")
 
 
 def vertex_reduce(rows: DataFrame, active: Column, value: Column, name: str = "total") -> DataFrame:
     return rows.filter(active).agg(F.sum(value).alias(name))
 
 
-def grouped_dst_map(edge_rows: DataFrame, function, schema: str) -> DataFrame:
-    """function(table of the in-edges of one dst) -> table. For functions that no aggregate expresses; a dst's in-edges
-    must fit in a task, so cut hubs beforehand."""
-    return edge_rows.groupBy("dst").applyInArrow(function, schema)
+def grouped_dst_map(edge_rows: DataFrame, update: Callable, merge: Callable, finish: Callable, state: str, schema: str, order: str = "src") -> DataFrame:
+    """A user's function over each dst and its in-edges in the order of a column, in parts that can be merged.
+
+    update(state or None, rows): the state, a dict of the fields of `state`, after more in-edges, an Arrow batch; merge(a,
+    b): the state of the edges of a followed by those of b; finish(dst, state): a dict of the fields of `schema`, or None
+    for no row. Edges are dealt by ranges of (dst, order), so a hub lies in as many tasks as its size asks for, and of
+    each vertex at most one state a task goes on. Edges without dst are left out."""
+    columns = [c for c in edge_rows.columns if c != "dst"]
+    ranged = edge_rows.select("dst", *columns).dropna(subset=["dst"]).repartitionByRange("dst", order).sortWithinPartitions("dst", order)
+    states = f"dst {edge_rows.schema['dst'].dataType.simpleString()}, _task int, {state}"
+    arrow, result = to_arrow_schema(StructType.fromDDL(states)), to_arrow_schema(StructType.fromDDL(schema))
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, now, held, out = TaskContext.get().partitionId(), None, None, []
+        for batch in batches:
+            dst = batch.column(0).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.append(True, dst[1:] != dst[:-1])) if len(dst) else []
+            for s, e in zip(starts, [*starts[1:], len(dst)], strict=True):
+                if dst[s] != now:
+                    if held is not None:
+                        out.append({"dst": now, "_task": task, **held})
+                    now, held = dst[s].item(), None
+                held = update(held, batch.slice(s, e - s))
+            if len(out) > 4096:
+                yield pa.RecordBatch.from_pylist(out, arrow)
+                out = []
+        if held is not None:
+            out.append({"dst": now, "_task": task, **held})
+        yield pa.RecordBatch.from_pylist(out, arrow)
+
+    def folded(parts: pa.Table) -> pa.Table:
+        rows = sorted(parts.to_pylist(), key=lambda r: r["_task"])
+        held = [{k: v for k, v in r.items() if k not in ("dst", "_task")} for r in rows]
+        row = finish(rows[0]["dst"], reduce(merge, held))
+        return pa.Table.from_pylist([] if row is None else [row], result)
+
+    return ranged.mapInArrow(partial, states).groupBy("dst").applyInArrow(folded, schema)
 
 
 def linear(rows: DataFrame, w: list[list[float]], out: str = "x", keep: str = "id") -> DataFrame:
@@ -119,9 +163,9 @@ def gat_infer(edges: DataFrame, features: DataFrame, layers: list[tuple[list[lis
 
 
 def gradient_sum(rows: DataFrame, x: str = "x", g: str = "g") -> np.ndarray:
-    """The matrix of the sum of x^T g over all rows.
+    """The matrix of the sum of x^T g over all rows; no rows give an empty one.
 
-    One partial matrix for each partition, added up by cell; the result has in * out numbers, whatever the rows."""
+    One partial matrix for each partition, added up in a tree: the driver meets a few matrices, whatever the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -130,14 +174,14 @@ def gradient_sum(rows: DataFrame, x: str = "x", g: str = "g") -> np.ndarray:
                 a, b = (c.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for c in batch.columns)
                 total = a.T @ b if total is None else total + a.T @ b
         if total is not None:
-            i, j = np.indices(total.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(i.ravel(), pa.int32()), pa.array(j.ravel(), pa.int32()), pa.array(total.ravel())], names=["i", "j", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([total.shape[1]], pa.int32())], names=["m", "cols"])
 
-    cells = rows.select(x, g).mapInArrow(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros((max((c["i"] for c in cells), default=-1) + 1, max((c["j"] for c in cells), default=-1) + 1))
-    for c in cells:
-        out[c["i"], c["j"]] = c["v"]
-    return out
+    partials = rows.select(x, g).mapInArrow(run, "m binary, cols int").rdd.map(lambda r: np.frombuffer(bytes(r["m"])).reshape(-1, r["cols"]))
+    return partials.treeAggregate(np.zeros((0, 0)), _plus, _plus)
+
+
+def _plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a + b if a.size and b.size else b if b.size else a
 
 
 @dataclass
@@ -172,73 +216,84 @@ def _matmul(rows: DataFrame, w: np.ndarray, keys: list[str]) -> DataFrame:
     return linear(rows.select(F.struct(*keys).alias("_k"), "x"), w.tolist(), keep="_k").select("_k.*", "x")
 
 
-def train_epoch(batches: DataFrame, edges: DataFrame, n: int, features: DataFrame, labels: DataFrame, layers: list[Adam], fanouts: list[int], rate: float = 0.01, seed: int = 0, drop: float = 0.0) -> list[tuple[int, float]]:
+def train_epoch(batches: DataFrame, edges: DataFrame | StoredGraph, n: int, features: DataFrame, labels: DataFrame, layers: list[Adam], fanouts: list[int], rate: float = 0.01, seed: int = 0, drop: float = 0.0) -> list[tuple[int, float]]:
     """An epoch of a GCN of two layers by sampled batches (id, batch, super_batch): (super_batch, mean loss) of each step.
 
     A step takes the batches of one super-batch: forward over their sampled blocks, loss at the seeds, backward, the sum
-    of the gradients, one Adam update of each matrix. Samples and the sums of raw features over the outer layer need no
-    weights, so all batches of the epoch have them made once, in one job each. Rows stay distributed; per step the
-    gradients of the small matrices come back, and the number of steps is seeds / (batch size * batches of a step).
-    Labels and super-batches without rows give no step. `drop`: dropout of hidden values."""
+    of the gradients, one Adam update of each matrix. Samples, the sums of raw features over the outer layer, and labels
+    need no weights, so all batches of the epoch have them made once, in one job each, and written in a folder for each
+    super-batch; a step reads its own folders and nothing else. Rows stay distributed; per step the gradients of the small
+    matrices come back, and the number of steps is seeds / (batch size * batches of a step). Labels and super-batches
+    without rows give no step. `drop`: dropout of hidden values."""
+    if not isinstance(edges, StoredGraph):
+        edges = layout.stored(edges)
     group = batches.select("batch", "super_batch").distinct()
-    block = sampling.sampled_weights(sampling.sample_khop(batches.select("batch", "id"), edges, fanouts, seed), out_degree(edges, n), in_degree(edges, n))
+    degrees = out_degree(edges.edges, n), in_degree(edges.edges, n)
+    block = sampling.sampled_weights(sampling.sample_khop(batches.select("batch", "id"), edges, fanouts, seed), *degrees)
     block = written(block.join(group, "batch"), "block")
     raw = features.select("id", F.col("features").alias("x"))
-    (w0, w1), wide = [a.w for a in layers], layers[0].w.shape[0]
-    outer = messages.block_aggregate(block.filter("layer = 1"), raw, wide).select("batch", F.col("dst").alias("id"), F.col("x").alias("a0"))
-    outer = written(outer.join(group, "batch"), "outer")
-    inner = block.filter("layer = 0").select("super_batch", "batch", "src", "dst", "weight")
-    truth = batches.select("super_batch", "batch", "id").join(labels, "id")
+    outer = messages.block_aggregate(block.filter("layer = 1"), raw, layers[0].w.shape[0]).select("batch", F.col("dst").alias("id"), F.col("x").alias("a0"))
+    outer = written_by(outer.join(group, "batch"), "outer", "super_batch", "id")
+    inner = written_by(block.filter("layer = 0").select("super_batch", "batch", "src", "dst", "weight"), "inner", "super_batch", "dst")
+    truth = written_by(batches.select("super_batch", "batch", "id").join(labels, "id"), "truth", "super_batch", "id")
     losses = []
-    for k in [r[0] for r in batches.select("super_batch").distinct().orderBy("super_batch").collect()]:
-        mine = F.col("super_batch") == k
-        w0, w1 = (a.w for a in layers)
-        z0 = _matmul(outer.filter(mine).select("batch", "id", "a0", F.col("a0").alias("x")), w0, ["batch", "id", "a0"])
-        z0 = written(dropout(z0.select("batch", "id", "a0", F.col("x").alias("z"), V.relu(F.col("x")).alias("x")), drop, seed + k), "hidden")
-        near = inner.filter(mine)
-        hidden = near.join(z0.select("batch", F.col("id").alias("src"), "x"), ["batch", "src"])
-        a1 = V.weighted_sum(hidden, ["batch", "dst"], "x", w0.shape[1], F.col("weight")).withColumnRenamed("dst", "id")
-        scored = _matmul(a1.join(truth.filter(mine), ["batch", "id"]).select("batch", "id", "label", F.col("x").alias("a"), "x"), w1, ["batch", "id", "label", "a"])
-        scored = written(scored.select("batch", "id", "label", "a", V.log_softmax(F.col("x")).alias("logp")), "scored")
-        count = scored.count()
-        if not count:
-            continue
-        losses.append((k, float(nll_loss(scored).first()["loss"])))
-        out = scored.select("batch", "id", F.col("a").alias("x"), F.transform("logp", lambda v, i: (F.exp(v) - F.when(i == F.col("label"), 1.0).otherwise(0.0)) / count).alias("g"))
-        back = _matmul(out.select("batch", "id", F.col("g").alias("x")), w1.T, ["batch", "id"])
-        into = V.weighted_sum(near.join(back.select("batch", F.col("id").alias("dst"), "x"), ["batch", "dst"]), ["batch", "src"], "x", w0.shape[1], F.col("weight"))
-        into = dropout(into.select("batch", F.col("src").alias("id"), "x"), drop, seed + k).withColumnRenamed("x", "d")
-        inside = z0.select("batch", "id", F.col("a0").alias("x"), "z").join(into, ["batch", "id"])
-        g0 = gradient_sum(inside.select("x", F.zip_with("z", "d", lambda z, d: F.when(z > 0, d).otherwise(0.0)).alias("g")))
-        for state, g in zip(layers, (g0, gradient_sum(out)), strict=True):
-            state.update(g if g.size else np.zeros_like(state.w), rate)
+    for k in [r[0] for r in group.select("super_batch").distinct().orderBy("super_batch").collect()]:
+        if all(k in t.values for t in (outer, inner, truth)):
+            loss, gradients = _step(outer.of(k), inner.of(k), truth.of(k), [a.w for a in layers], drop, seed + k)
+            losses.append((k, loss))
+            for state, g in zip(layers, gradients, strict=True):
+                state.update(g if g.size else np.zeros_like(state.w), rate)
     return losses
 
 
+def _step(outer: DataFrame, inner: DataFrame, truth: DataFrame, weights: list[np.ndarray], drop: float, seed: int) -> tuple[float, list[np.ndarray]]:
+    """The mean loss and the gradients of both matrices. outer (batch, id, a0): the sums of raw features; inner (batch,
+    src, dst, weight): the block of the seeds; truth (batch, id, label)."""
+    w0, w1 = weights
+    z0 = _matmul(outer.select("batch", "id", "a0", F.col("a0").alias("x")), w0, ["batch", "id", "a0"])
+    z0 = written(dropout(z0.select("batch", "id", "a0", F.col("x").alias("z"), V.relu(F.col("x")).alias("x")), drop, seed), "hidden")
+    hidden = inner.join(z0.select("batch", F.col("id").alias("src"), "x"), ["batch", "src"])
+    a1 = V.weighted_sum(hidden, ["batch", "dst"], "x", w0.shape[1], F.col("weight")).withColumnRenamed("dst", "id")
+    scored = _matmul(a1.join(truth, ["batch", "id"]).select("batch", "id", "label", F.col("x").alias("a"), "x"), w1, ["batch", "id", "label", "a"])
+    scored = written(scored.select("batch", "id", "label", "a", V.log_softmax(F.col("x")).alias("logp")), "scored")
+    count = scored.count()
+    if not count:
+        return 0.0, [np.zeros((0, 0))] * 2
+    out = _output_gradient(scored, count)
+    back = _matmul(out.select("batch", "id", F.col("g").alias("x")), w1.T, ["batch", "id"])
+    into = V.weighted_sum(inner.join(back.select("batch", F.col("id").alias("dst"), "x"), ["batch", "dst"]), ["batch", "src"], "x", w0.shape[1], F.col("weight"))
+    into = dropout(into.select("batch", F.col("src").alias("id"), "x"), drop, seed).withColumnRenamed("x", "d")
+    inside = z0.select("batch", "id", F.col("a0").alias("x"), "z").join(into, ["batch", "id"])
+    return float(nll_loss(scored).first()["loss"]), [gradient_sum(inside.select("x", _where_positive("z", "d").alias("g"))), gradient_sum(out)]
+
+
+def _output_gradient(scored: DataFrame, count: int) -> DataFrame:
+    """Of rows (logp, label, a, ...) the input x of the last matrix and g, the gradient of the mean loss at its output."""
+    g = F.transform("logp", lambda v, i: (F.exp(v) - F.when(i == F.col("label"), 1.0).otherwise(0.0)) / count)
+    return scored.select(*[c for c in scored.columns if c not in ("logp", "label", "a")], F.col("a").alias("x"), g.alias("g"))
+
+
+def _where_positive(z: str, d: str) -> Column:
+    return F.zip_with(z, d, lambda z, d: F.when(z > 0, d).otherwise(0.0))
+
+
 def full_batch_step(weighted: DataFrame, features: DataFrame, labels: DataFrame, seeds: DataFrame, layers: list[Adam], rate: float = 0.01) -> float:
     """One step of a GCN of two layers over the seeds (id): forward, loss, backward, an Adam update of each matrix.
 
     Returns the mean loss. Forward rows stay distributed; only the gradients of the small matrices come back."""
-    (w0, w1), rows = [a.w.tolist() for a in layers], features.select("id", F.col("features").alias("x"))
-    wide, hidden = len(w0), len(w0[0])
-    a0 = messages.gcn_aggregate(weighted, rows, wide).persist()
-    h = a0.select("id", V.relu(V.times_matrix(F.col("x"), w0)).alias("x"))
-    a1 = messages.gcn_aggregate(weighted, h, hidden)
-    scored = a1.join(seeds, "id").join(labels, "id").select("id", "x", "label", V.log_softmax(V.times_matrix(F.col("x"), w1)).alias("logp")).persist()
+    w0, w1 = (a.w for a in layers)
+    rows = features.select("id", F.col("features").alias("x"))
+    a0 = messages.gcn_aggregate(weighted, rows, w0.shape[0])
+    z0 = written(_matmul(a0.select("id", F.col("x").alias("a0"), "x"), w0, ["id", "a0"]).withColumnRenamed("x", "z"), "hidden")
+    a1 = messages.gcn_aggregate(weighted, z0.select("id", V.relu(F.col("z")).alias("x")), w0.shape[1])
+    scored = _matmul(a1.join(seeds, "id").join(labels, "id").select("id", "label", F.col("x").alias("a"), "x"), w1, ["id", "label", "a"])
+    scored = written(scored.select("id", "label", "a", V.log_softmax(F.col("x")).alias("logp")), "scored")
     n = scored.count()
     if not n:
-        a0.unpersist()
-        scored.unpersist()
         return 0.0
-    loss = nll_loss(scored).first()["loss"]
-    out = scored.select("id", "x", F.transform("logp", lambda v, i: (F.exp(v) - F.when(i == F.col("label"), 1.0).otherwise(0.0)) / n).alias("g"))
-    g1 = gradient_sum(out)
-    back = out.select("id", V.times_matrix(F.col("g"), np.asarray(w1).T.tolist()).alias("x"))
-    into = messages.gcn_aggregate_backward(weighted, back, hidden).withColumnRenamed("x", "d")
-    inner = a0.join(into, "id").select("x", V.times_matrix(F.col("x"), w0).alias("z"), "d")
-    g0 = gradient_sum(inner.select("x", F.zip_with("z", "d", lambda z, d: F.when(z > 0, d).otherwise(0.0)).alias("g")))
-    a0.unpersist()
-    scored.unpersist()
-    for state, g in zip(layers, (g0, g1), strict=True):
+    out = _output_gradient(scored, n)
+    into = messages.gcn_aggregate_backward(weighted, _matmul(out.select("id", F.col("g").alias("x")), w1.T, ["id"]), w0.shape[1]).withColumnRenamed("x", "d")
+    inner = z0.join(into, "id").select(F.col("a0").alias("x"), _where_positive("z", "d").alias("g"))
+    for state, g in zip(layers, (gradient_sum(inner), gradient_sum(out)), strict=True):
         state.update(g if g.size else np.zeros_like(state.w), rate)
-    return loss
+    return nll_loss(scored).first()["loss"]

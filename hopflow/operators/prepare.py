@@ -4,9 +4,12 @@ Ids are longs. Rows with a null end are no edges and are dropped by the operator
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hopflow.functions.vectors import applied
 from hopflow.operators import ranking
 
 #: Ids that one list of neighbours spans.
@@ -106,6 +109,8 @@ def mean_edge_weight(edges: DataFrame, n: int) -> DataFrame:
     return gcn_edge_weight(edges, n).join(counts, "dst").select("src", "dst", (F.col("weight") / F.col("c")).alias("weight"))
 
 
-def edge_weight_fn(edges: DataFrame, weight: Column) -> DataFrame:
-    """weight: an expression over src and dst."""
-    return edges.select("src", "dst", weight.alias("weight"))
+def edge_weight_fn(edges: DataFrame, weight: Column | Callable) -> DataFrame:
+    """weight: an expression over src and dst, or a numpy function of a batch of both."""
+    if isinstance(weight, Column):
+        return edges.select("src", "dst", weight.alias("weight"))
+    return applied(edges.select("src", "dst"), weight, ["src", "dst"], "weight", "double")

@@ -52,17 +52,26 @@ def in_order(rows: DataFrame, order: list[Column], name: str, keys: list[str] |
     return placed.join(base, [*keys, "_task"]).withColumn(name, F.col("_base") + F.col("_at")).drop("_at", "_task", "_base")
 
 
-def top(rows: DataFrame, value: str, size: Column, keys: list[str] | None = None, page: int = PAGE) -> DataFrame:
+#: Bins of values in each octave. A long falls into one of 63 * OCTAVE bins of its sign.
+OCTAVE = 256
+
+
+def bin_of(value: Column) -> Column:
+    """A bin in logarithmic steps that never falls where the value rises."""
+    return (F.signum(value) * F.floor(F.log2(F.abs(value.cast("double")) + 1) * OCTAVE)).cast("int")
+
+
+def top(rows: DataFrame, value: str, size: Column, keys: list[str] | None = None) -> DataFrame:
     """rows (id, value, keys...) with `slot`, their place by value, largest first, ties by id, among the rows with equal
     keys; the first `size` of each, an expression over the keys and `_all`, their number of rows.
 
-    Places come from counts of equal values, one row for each value; only rows of values that reach the top are numbered."""
+    A histogram in logarithmic bins, at most 126 * OCTAVE rows for each key, tells the bin in which a top ends; rows of
+    lower bins are left out, the others are sorted by ranges and numbered. Nothing else is in one window."""
     keys = keys or []
-    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    larger = Window.partitionBy(*keys).orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    counts = counts.withColumn("_all", F.sum("_n").over(whole)).withColumn("_larger", F.coalesce(F.sum("_n").over(larger), F.lit(0)))
-    reach = counts.withColumn("_size", size).filter("_larger < _size").select(*keys, value, "_larger", "_size")
-    met = rows.join(reach, [*keys, value]).withColumn("_one", F.lit(1))
-    placed = running(met, "_one", "_equal", [*keys, value], page).withColumn("slot", (F.col("_larger") + F.col("_equal")).cast("long"))
-    return placed.filter(F.col("slot") < F.col("_size")).drop("_one", "_equal", "_larger", "_size")
+    binned = written(rows.withColumn("_bin", bin_of(F.col(value))), "binned")
+    counts = binned.groupBy(*keys, "_bin").agg(F.count("*").alias("_n"))
+    larger = Window.partitionBy(*keys).orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys))).withColumn("_larger", F.coalesce(F.sum("_n").over(larger), F.lit(0)))
+    reach = counts.withColumn("_size", size).filter("_larger < _size").select(*keys, "_bin", "_size")
+    placed = in_order(binned.join(reach, [*keys, "_bin"]), [F.desc(value), F.col("id")], "slot", keys)
+    return placed.withColumn("slot", F.col("slot").cast("long")).filter(F.col("slot") < F.col("_size")).drop("_bin", "_size")

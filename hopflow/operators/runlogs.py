@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -55,6 +55,13 @@ def parse_metrics(lines: DataFrame, run: str = "run") -> DataFrame:
     return found.filter("name <> ''").select("run", "name", F.expr("try_cast(v AS double)").alias("value"))
 
 
+def read_runs(spark: SparkSession, path: str, file: str = "output.log") -> DataFrame:
+    """(run, value): the lines of the log of every run folder below path; the run is named by its folder, or by what
+    follows `=` in the folder's name."""
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", file).text(path)
+    return lines.select(F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), "(?:[^/=]*=)?([^/]+)/[^/]+$", 1)).alias("run"), "value")
+
+
 def reordered(run: Column) -> Column:
     """A run's name with the last of its parts (by _) put before the two that precede it; shorter names stay."""
     parts = F.split(run, "_")

@@ -1,8 +1,10 @@
 """Neighbour sampling without replacement, and the blocks it gives.
 
 A sample is the `fanout` in-edges of a vertex with the smallest hash of (seed, layer, batch, dst, src): uniform, and the
-same under any partitioning. Spark keeps at most `fanout` rows of a vertex for each task before the shuffle.
-Block edges: (batch, layer, dst, src)."""
+same under any partitioning. Edges are a stored graph or a DataFrame (src, dst) without repeats. Of a stored graph the
+frontier goes to the buckets, a hub's to all buckets that have a salt of it, and no edge moves; each task keeps the
+`fanout` smallest of a vertex before these meet, so the samples are all that is shuffled. Block edges: (batch, layer,
+dst, src)."""
 
 from __future__ import annotations
 
@@ -10,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hopflow.functions.hashing import with_hash
+from hopflow.operators.layout import StoredGraph
 
 
 def sample_sizes(in_degrees: DataFrame, fanout: int) -> DataFrame:
@@ -17,9 +20,14 @@ def sample_sizes(in_degrees: DataFrame, fanout: int) -> DataFrame:
     return in_degrees.select("id", size.alias("size"))
 
 
-def sample_neighbors(frontier: DataFrame, edges: DataFrame, fanout: int, layer: int, seed: int = 0) -> DataFrame:
-    """frontier (batch, dst), edges (src, dst) without repeats; fanout -1 takes all, 0 none."""
-    both = frontier.select("batch", "dst").join(edges.select("src", "dst"), "dst").withColumn("layer", F.lit(layer))
+def sample_neighbors(frontier: DataFrame, edges: DataFrame | StoredGraph, fanout: int, layer: int, seed: int = 0) -> DataFrame:
+    """frontier (batch, dst); fanout -1 takes all in-edges, 0 none."""
+    if isinstance(edges, StoredGraph):
+        # Merge: edges are sorted in their buckets; a broadcast frontier would be sent to every task.
+        both = edges.frontier(frontier.select("batch", "dst")).hint("merge").join(edges.edges, ["dst", "salt"]).drop("salt")
+    else:
+        both = frontier.select("batch", "dst").join(edges.select("src", "dst"), "dst")
+    both = both.withColumn("layer", F.lit(layer))
     if fanout >= 0:
         both = with_hash(both, "h", seed, layer, F.col("batch"), F.col("dst"), F.col("src"))
         rank = F.row_number().over(Window.partitionBy("batch", "dst").orderBy("h", "src"))
@@ -27,7 +35,7 @@ def sample_neighbors(frontier: DataFrame, edges: DataFrame, fanout: int, layer:
     return both.select("batch", "layer", "dst", "src")
 
 
-def sample_khop(seeds: DataFrame, edges: DataFrame, fanouts: list[int], seed: int = 0, merge: bool = False, omit: DataFrame | None = None) -> DataFrame:
+def sample_khop(seeds: DataFrame, edges: DataFrame | StoredGraph, fanouts: list[int], seed: int = 0, merge: bool = False, omit: DataFrame | None = None) -> DataFrame:
     """All layers: layer 0 samples for the seeds (batch, id), the next for the distinct sources of the one before.
 
     merge: the vertices of a layer are in the next one too. omit (batch, id): these get no samples in the last layer."""
@@ -68,13 +76,16 @@ def sampled_degrees_hot(block: DataFrame, targets: DataFrame, fanout: int) -> Da
     return targets.join(sampled_degrees(block, "dst"), ["batch", "layer", "dst"], "left").withColumn("degree", F.coalesce("degree", F.lit(fanout).cast("long")))
 
 
-def sampled_weights(block: DataFrame, out_degrees: DataFrame, in_degrees: DataFrame, kind: str = "sum") -> DataFrame:
-    """(batch, layer, dst, src, weight); kind `sum`, `mean` (divided by the samples of dst) or `none` (1)."""
+def sampled_weights(block: DataFrame, out_degrees: DataFrame, in_degrees: DataFrame, kind: str = "sum", denominator: str = "sampled") -> DataFrame:
+    """(batch, layer, dst, src, weight); kind `sum`, `mean` or `none` (1). A mean is divided by the samples of dst, or by
+    its in-edges in the whole graph where denominator is `global`."""
     if kind == "none":
         return block.withColumn("weight", F.lit(1.0))
     both = block.join(out_degrees.select(F.col("id").alias("src"), F.col("degree").alias("_o")), "src").join(in_degrees.select(F.col("id").alias("dst"), F.col("degree").alias("_i")), "dst")
     weight = 1 / (F.sqrt(F.greatest("_o", F.lit(1))) * F.sqrt(F.greatest("_i", F.lit(1))))
-    if kind == "mean":
+    if kind == "mean" and denominator == "global":
+        weight = weight / F.greatest("_i", F.lit(1))
+    elif kind == "mean":
         both = both.join(sampled_degrees(block, "dst").withColumnRenamed("degree", "_c"), ["batch", "layer", "dst"])
         weight = weight / F.col("_c")
     return both.select("batch", "layer", "dst", "src", weight.alias("weight"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopflow.operators import model, prepare
+from hopflow.operators import layout, model, prepare
+from hopflow.operators.layout import StoredGraph
 
 WIDTH = 64
 TRAIN, EVAL = 0.65, 0.10
@@ -30,6 +33,11 @@ class Graph:
     def hub(self) -> DataFrame:
         return prepare.dedup_edges(self.edges().unionByName(self.vertices().select(F.col("id").alias("src"), (F.col("id") % 5).alias("dst"))))
 
+    @cached_property
+    def stored(self) -> StoredGraph:
+        """The edges of hub(), written once in buckets; a vertex of over 1024 in-edges has its list cut."""
+        return layout.stored(self.hub(), most=1024)
+
     def vertices(self) -> DataFrame:
         return self.table("embeddings").select(F.col("vec_id").alias("id"))
 

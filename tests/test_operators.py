@@ -45,15 +45,11 @@ def test_degrees_keep_vertices_without_edges(spark, small):
 
 def test_ids_above_31_bits(spark, tmp_path):
     rows = [(2**31 + 5, 2**32 - 1), (0, 7), (3, 3)]
-    data = edge_files.write_edges_binary(edges(spark, rows).coalesce(1)).collect()
-    path = tmp_path / "e.bin"
-    path.write_bytes(b"".join(bytes(r["data"]) for r in data))
+    path = tmp_path / "e"
+    edge_files.write_edges_binary(edges(spark, rows).coalesce(1), str(path))
     assert sorted(tuple(r) for r in edge_files.read_edges_binary(spark, str(path)).collect()) == sorted(rows)
-    path.write_bytes(path.read_bytes() + b"x")
-    with pytest.raises(ValueError):
-        edge_files.read_edges_binary(spark, str(path))
     with pytest.raises(Exception, match="32 bits"):
-        edge_files.write_edges_binary(edges(spark, [(2**32, 1)])).collect()
+        edge_files.write_edges_binary(edges(spark, [(2**32, 1)]), str(tmp_path / "bad"))
 
 
 def test_text_files(spark, tmp_path):
@@ -241,7 +237,7 @@ def test_ranks_and_running_sums_by_pages(spark):
     for page in (1, 7, 4096):
         got = {(r["k"], r["id"]): r["s"] for r in ranking.running(df, "value", "s", ["k"], page).collect()}
         assert got == {(k, i): sum(w for j, h, w in rows if j == k and h < i) for k, i, _ in rows}
-        best = sorted((r["k"], r["slot"], r["id"]) for r in ranking.top(df, "value", F.floor(F.col("_all") * 0.3), ["k"], page).collect())
+        best = sorted((r["k"], r["slot"], r["id"]) for r in ranking.top(df, "value", F.floor(F.col("_all") * 0.3), ["k"]).collect())
         assert best == [(k, s, i) for k in range(3) for s, (_, i) in enumerate(sorted((-v, i) for j, i, v in rows if j == k)[:60])]
 
 
@@ -259,12 +255,6 @@ def test_lists_of_hubs_come_in_chunks(spark):
     assert [tuple(r) for r in got if r["id"] == 59] == [(59, 0, [], 51)] and len(got) == 7 + 59
 
 
-def test_binary_files_with_weights(spark, tmp_path):
-    rows = [(i, 2**32 - 1 - i, i / 4) for i in range(1000)]
-    n = edge_files.save_edges_binary(spark.createDataFrame(rows, "src long, dst long, weight double").repartition(3), str(tmp_path / "w"), weighted=True)
-    assert n == 1000 and sorted(tuple(r) for r in edge_files.read_edges_binary(spark, str(tmp_path / "w"), weighted=True).collect()) == rows
-
-
 @pytest.mark.parametrize("drop", [0.0, 0.5])
 def test_epoch_of_sampled_batches(spark, small, drop):
     """Losses and weights after an epoch of three steps against plain numpy on the same samples."""
