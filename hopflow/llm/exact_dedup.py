@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from hopflow.llm.common import ascii_lower, hot_keys, salted_join, written
 
-#: Bytes that the levels split by: the first behind the length, then one width after the other; the last repeats.
-FIRST, WIDTHS = 56, (512, 4096, 32768, 1 << 18)
+#: Bytes that the levels split by: the first behind the length, then widths that grow by 32, so that a text of L bytes takes
+#: some log L levels, and what is written of it is L for each; the last repeats.
+FIRST, WIDTHS = 56, (1 << 11, 1 << 16, 1 << 21, 1 << 26)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from hopflow.llm import exact_dedup as E
 
 
@@ -41,3 +43,14 @@ def test_edge_cases(spark):
     check(df, rows)
     assert E.exact_dedup(df.limit(0)).collect() == []
     assert E.exact_dedup(df.limit(1)).count() == 1
+
+
+def test_long_copies_take_few_tables(spark, monkeypatch):
+    """Two equal texts of 16 MB, and one that differs in its last letter."""
+    names, plain = [], E.written
+    monkeypatch.setattr(E, "written", lambda df, name: names.append(name) or plain(df, name))
+    line = F.repeat(F.lit("Some words of a long line. "), 600_000)
+    df = spark.range(3).select(F.col("id").alias("doc_id"), F.concat(line, F.when(F.col("id") == 2, "x").otherwise("y")).alias("text")).repartition(3)
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in E.exact_dedup(df).collect()}
+    assert got == {0: (1, 2, False), 1: (1, 2, True), 2: (2, 1, True)}
+    assert len(names) < 20
