@@ -113,6 +113,24 @@ def salted_join(rows: DataFrame, found: DataFrame, keys: list[str], hot: DataFra
     return left.join(right.hint(strategy) if strategy else right, [*keys, "_salt"], how).drop("_salt")
 
 
+#: Bits of the filter of maybe_in: 4 MB, whatever the tables. It tells keys apart well up to some million of them.
+FILTER_BITS = 1 << 25
+
+
+def maybe_in(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose whole-number `key` is in the column `key` of wanted, and some others: for a join that follows and
+    would else shuffle all rows. Keys are hashed to the bits of a filter of FILTER_BITS, which is broadcast; with many
+    more keys than bits it lets nearly all rows pass, and nothing is lost."""
+    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1
+    marks = wanted.select(bit.alias("_bit")).groupBy(F.bitmap_bucket_number("_bit").alias("_bucket"))
+    bits = written(marks.agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("_bits")), "filter")
+    hashed = rows.withColumn("_bit", bit)
+    place = F.bitmap_bit_position("_bit")
+    met = hashed.withColumn("_bucket", F.bitmap_bucket_number("_bit")).join(F.broadcast(bits), "_bucket")  # FILTER_BITS / 8 bytes at most
+    byte = F.conv(F.hex(F.substr("_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return met.filter(F.floor(byte / F.pow(F.lit(2), place % 8)) % 2 == 1).select(*rows.columns)
+
+
 def numbered(docs: DataFrame, name: str) -> DataFrame:
     """docs with a number for each row, as a written table: whoever reads it again meets the same numbers, whatever
     docs is made of. `name` must be no column of docs; see fresh."""

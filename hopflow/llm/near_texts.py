@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopflow.llm.common import hot_keys, salted_join, written
+from hopflow.llm.common import hot_keys, maybe_in, salted_join, written
 from hopflow.llm.components import components
 from hopflow.llm.simhash import Code, dealt, link_at_anchors, shingle_hashes, spread
 from hopflow.operators.ranking import in_order
@@ -124,7 +124,7 @@ def near_groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILAR
     # Written, so that its size is known: it is sent to the texts if it is small, and they are shuffled otherwise.
     ends = candidates.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     nodes = written(distinct.select("row", "node").join(ends, "node"), "nodes")
-    sets = written(_sets(docs.select("row", "text").join(nodes, "row"), width), "sets")
+    sets = written(_sets(maybe_in(docs.select("row", "text"), nodes, "row").join(nodes, "row"), width), "sets")
     links = components(_linked(candidates, sets, similarity), "near2").select(F.col("u").alias("node"), F.col("v").alias("root"))
     named = distinct.select("low", "high", "row", "node").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("row").alias("group"))
