@@ -75,7 +75,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     are chosen alike if their texts are. Without labels or tokens every document stays. An empty table stays empty;
     other columns, whatever their names, are kept."""
     release(spark)
-    return mixing.mixture(docs, _labels(spark, sf_dir), TARGETS)
+    return mixing.mixture(docs, _labels(spark, sf_dir), TARGETS, spare=0.0)  # no clean text is given up
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
