@@ -122,3 +122,51 @@ def test_words_tell_bad_documents_of_ordinary_shape(spark):
     labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(200)], "doc_id long, quality int, toxic int")
     kept = {r["doc_id"] for r in Q.classify(docs, labels).filter("kept").collect()}
     assert kept == {i for i in range(400) if i % 4}
+
+
+def _plain_sites(rows, prior):
+    """(host, path) -> (host share, path share) by plain loops, from the evidence of each row."""
+
+    def strength(sites):
+        n = sum(k for k, _ in sites)
+        m = min(max(sum(k * s for k, s in sites) / n, 1e-6), 1 - 1e-6)
+        spread = sum(k * (s - m) ** 2 for k, s in sites) / n
+        noise = m * (1 - m) * len(sites) / n
+        return min(max(m * (1 - m) / max(spread - noise, 1e-9) - 1, Q.WEAKEST), Q.STRONGEST)
+
+    paths, hosts = {}, {}
+    for host, path, seen in rows:
+        p = 1 / (1 + math.exp(-(seen + prior)))
+        for sites, key in ((paths, (host, path)), (hosts, host)):
+            n, good = sites.get(key, (0, 0.0))
+            sites[key] = n + 1, good + p
+    share = sum(g for _, g in paths.values()) / len(rows)
+    of_host, of_path = (strength([(n, g / n) for n, g in sites.values()]) for sites in (hosts, paths))
+    above = {h: (g + of_host * share) / (n + of_host) for h, (n, g) in hosts.items()}
+    return {(h, q): (above[h], (g + of_path * above[h]) / (n + of_path)) for (h, q), (n, g) in paths.items()}
+
+
+def test_shares_and_strengths_by_plain_loops(spark):
+    """Every share of the whole table, recomputed; and of sites that differ much, so that strengths are no bounds."""
+    tables = [tuple(spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))]
+    good, bad = "the cat and the dog of it " * 12, "x%%% y*** z### w$$$ " * 12
+    rng = np.random.default_rng(1)
+    rows = [(i, good if rng.random() < 0.2 + 0.15 * (i % 5) + 0.03 * (i % 3) else bad, f"s{i % 5}", f"l{i % 3}") for i in range(900)] + [(1000, bad, None, None), (1001, good, "tiny", None)]
+    labels = [(i, int(rows[i][1] == good), 0) for i in range(0, 900, 2)]
+    tables.append((spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")))
+    for docs, labels in tables:
+        known = [r["quality"] for r in docs.join(labels, "doc_id").collect() if r["quality"] is not None]
+        prior = math.log((known.count(1) + 1) / (known.count(0) + 1))
+        got = Q.classify(docs, labels).join(docs.select("doc_id", "source", "lang"), "doc_id").collect()
+        want = _plain_sites([(r["source"], r["lang"], r["evidence"]) for r in got], prior)
+        for r in got:
+            assert np.allclose((r["host_share"], r["path_share"]), want[r["source"], r["lang"]], rtol=1e-9)
+
+
+def test_quality_of_rows_held_out_of_the_fit(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    rows = Q.classify(docs, labels.filter(~held)).join(labels.filter(held), "doc_id").collect()
+    good, bad = [r for r in rows if r["quality"] == 1], [r for r in rows if r["quality"] == 0]
+    assert len(good) > 1000 and len(bad) > 200
+    assert sum(r["kept"] for r in good) > 0.99 * len(good) and sum(r["kept"] for r in bad) < 0.1 * len(bad)
