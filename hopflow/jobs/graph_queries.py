@@ -440,7 +440,7 @@ def sample_khop_merged(g: Graph) -> DataFrame:
 @query("""SELECT batch, 0 AS layer, f0.dst, src FROM f0 JOIN g ON g.dst = f0.dst
 UNION ALL SELECT DISTINCT f.batch, 1, f.dst, g.src FROM (SELECT DISTINCT batch, src AS dst FROM f0 JOIN g ON g.dst = f0.dst) f JOIN g ON g.dst = f.dst""", KHOP)
 def all_neighbors(g: Graph) -> DataFrame:
-    return sampling.sample_khop(_batches(g).select("batch", "id"), g.edges(), [-1, -1], SEED)
+    return sampling.sample_khop(_batches(g).select("batch", "id"), g.kept, [-1, -1], SEED)
 
 
 @query("SELECT * FROM s0 UNION ALL SELECT * FROM s1 WHERE dst % 3 <> 0", KHOP)
@@ -502,7 +502,7 @@ fl AS (SELECT need.super_batch, need.id, hot.id IS NOT NULL AS hit FROM need LEF
 
 
 def _counts(g: Graph) -> DataFrame:
-    return hotset.hop_counts(_batches(g).select("super_batch", "id"), g.edges(), 2)
+    return hotset.hop_counts(_batches(g).select("super_batch", "id"), g.kept, 2)
 
 
 def _hot(g: Graph) -> DataFrame:
@@ -768,7 +768,7 @@ def unweighted_aggregate(g: Graph) -> DataFrame:
 def pushdown_hot_aggregate(g: Graph) -> DataFrame:
     """One layer computed once for the hot ids of each super-batch."""
     frontier = _hot(g).select(F.col("super_batch").alias("batch"), F.col("id").alias("dst"))
-    block = sampling.sample_neighbors(frontier, g.edges(), FANOUTS[0], 0, SEED).withColumn("weight", F.lit(1.0))
+    block = sampling.sample_neighbors(frontier, g.kept, FANOUTS[0], 0, SEED).withColumn("weight", F.lit(1.0))
     return flat(messages.block_aggregate(block, _x(g), WIDTH).withColumnRenamed("batch", "super_batch"), "super_batch", "dst")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hopflow.functions.vectors import weighted_sum
 from hopflow.operators import ranking
+from hopflow.operators.layout import StoredGraph, in_edges
 
 
 def hot_by_degree(degrees: DataFrame, n: int, rate: float) -> DataFrame:
@@ -14,12 +15,15 @@ def hot_by_degree(degrees: DataFrame, n: int, rate: float) -> DataFrame:
     return ranking.top(degrees.select("id", "degree"), "degree", F.lit(int(n * rate))).select("id", "degree", "slot")
 
 
-def hop_counts(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
-    """(super_batch, id, count): walks of `hops` steps against the edges from the seeds (super_batch, id) to a vertex."""
-    now = seeds.select("super_batch", "id", F.lit(1).cast("long").alias("count"))
+def hop_counts(seeds: DataFrame, edges: DataFrame | StoredGraph, hops: int) -> DataFrame:
+    """(super_batch, id, count): walks of `hops` steps against the edges from the seeds (super_batch, id) to a vertex.
+
+    Counts are added up at each hop, on the map side first. Of a stored graph the edges stay in their buckets."""
+    now = seeds.select("super_batch", F.col("id").alias("dst"), F.lit(1).cast("long").alias("count"))
     for _ in range(hops):
-        now = now.join(edges.select("src", F.col("dst").alias("id")), "id").groupBy("super_batch", F.col("src").alias("id")).agg(F.sum("count").alias("count"))
-    return now
+        met = in_edges(now, edges)
+        now = met.groupBy("super_batch", F.col("src").alias("dst")).agg(F.sum("count").alias("count"))
+    return now.withColumnRenamed("dst", "id")
 
 
 def presample_hot(counts: DataFrame, rate: float) -> DataFrame:

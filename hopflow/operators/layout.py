@@ -36,6 +36,14 @@ class StoredGraph:
         return with_.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
 
 
+def in_edges(frontier: DataFrame, edges: DataFrame | StoredGraph) -> DataFrame:
+    """frontier (dst, ...) joined with its in-edges: (dst, ..., src). Of a stored graph only the frontier is shuffled."""
+    if isinstance(edges, StoredGraph):
+        # Merge: a broadcast frontier would be sent to every task.
+        return edges.frontier(frontier).hint("merge").join(edges.edges, ["dst", "salt"]).drop("salt")
+    return frontier.join(edges.select("src", "dst"), "dst")
+
+
 def hubs_of(edges: DataFrame, most: int = MOST) -> DataFrame:
     """(dst, salts) of the vertices with more than `most` in-edges."""
     counts = edges.groupBy("dst").agg(F.count("*").alias("n")).filter(F.col("n") > most)

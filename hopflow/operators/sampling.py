@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hopflow.functions.hashing import with_hash
-from hopflow.operators.layout import StoredGraph
+from hopflow.operators.layout import StoredGraph, in_edges
 
 
 def sample_sizes(in_degrees: DataFrame, fanout: int) -> DataFrame:
@@ -22,12 +22,7 @@ def sample_sizes(in_degrees: DataFrame, fanout: int) -> DataFrame:
 
 def sample_neighbors(frontier: DataFrame, edges: DataFrame | StoredGraph, fanout: int, layer: int, seed: int = 0) -> DataFrame:
     """frontier (batch, dst); fanout -1 takes all in-edges, 0 none."""
-    if isinstance(edges, StoredGraph):
-        # Merge: edges are sorted in their buckets; a broadcast frontier would be sent to every task.
-        both = edges.frontier(frontier.select("batch", "dst")).hint("merge").join(edges.edges, ["dst", "salt"]).drop("salt")
-    else:
-        both = frontier.select("batch", "dst").join(edges.select("src", "dst"), "dst")
-    both = both.withColumn("layer", F.lit(layer))
+    both = in_edges(frontier.select("batch", "dst"), edges).withColumn("layer", F.lit(layer))
     if fanout >= 0:
         both = with_hash(both, "h", seed, layer, F.col("batch"), F.col("dst"), F.col("src"))
         rank = F.row_number().over(Window.partitionBy("batch", "dst").orderBy("h", "src"))

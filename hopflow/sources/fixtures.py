@@ -33,6 +33,11 @@ class Graph:
     def hub(self) -> DataFrame:
         return prepare.dedup_edges(self.edges().unionByName(self.vertices().select(F.col("id").alias("src"), (F.col("id") % 5).alias("dst"))))
 
+    @cached_property
+    def kept(self) -> StoredGraph:
+        """The edges of edges(), written once in buckets."""
+        return layout.stored(self.edges(), most=1024)
+
     @cached_property
     def stored(self) -> StoredGraph:
         """The edges of hub(), written once in buckets; a vertex of over 1024 in-edges has its list cut."""

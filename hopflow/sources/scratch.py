@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -14,14 +15,31 @@ from pyspark.sql.types import StructType
 SLICES = 8
 
 
+#: The folder of each application.
+_bases: dict[str, str] = {}
+
+
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; below a temporary folder where that is unset, in local sessions only."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="hopflow-graph-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path below spark.checkpoint.dir; below a temporary folder where that is unset, in local sessions only. What
+    an application has written there is removed when its Python process ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _bases:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="hopflow-graph-")
+        _bases[app] = f"{base.rstrip('/')}/graph-{app}-{uuid.uuid4().hex[:8]}"
+        atexit.register(_remove, spark, _bases[app])
+    return f"{_bases[app]}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session may be gone already; the folder is then left to the cluster's cleaner
+        pass
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
