@@ -628,9 +628,9 @@ def accumulate_hot_gradients(g: Graph) -> DataFrame:
     return flat(hotset.accumulate_hot_gradients(_gradients(g), _hot(g), WIDTH), "super_batch", "slot")
 
 
-@query(f"""SELECT batch, layer, bk.dst AS id, src, CASE WHEN hot.id IS NULL THEN round(mark, 5) ELSE 0 END + 0.0 AS mark
-FROM bk JOIN {GROUPED} USING (batch) JOIN (SELECT id, sum(value * (pos + 1)) AS mark FROM x GROUP BY id) y ON y.id = bk.dst
-LEFT JOIN hot ON hot.super_batch = bt_.super_batch AND hot.id = bk.dst""".replace(f"{GROUPED} USING (batch)", f"{GROUPED} bt_ USING (batch)"), HOT)
+@query(f"""SELECT bk.batch, layer, bk.dst AS id, src, CASE WHEN hot.id IS NULL THEN round(mark, 5) ELSE 0 END + 0.0 AS mark
+FROM bk JOIN {GROUPED} b ON b.batch = bk.batch JOIN (SELECT id, sum(value * (pos + 1)) AS mark FROM x GROUP BY id) y ON y.id = bk.dst
+LEFT JOIN hot ON hot.super_batch = b.super_batch AND hot.id = bk.dst""", HOT)
 def zero_hot_gradients(g: Graph) -> DataFrame:
     """The local gradients after that: zero for cached ids."""
     return marked(hotset.zero_hot_gradients(_gradients(g), _hot(g), WIDTH), "batch", "layer", "id", "src")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopflow.operators.partition import owned_edges
-from hopflow.sources.scratch import folder
+from hopflow.sources.scratch import folder, written
 
 #: In-edges that one salt of a vertex has, in the mean, at most.
 MOST = 1 << 16
@@ -57,23 +57,25 @@ def salted(edges: DataFrame, hubs: DataFrame) -> DataFrame:
 
 
 def save_graph(edges: DataFrame, path: str, buckets: int | None = None, most: int = MOST) -> StoredGraph:
-    """Writes edges (src, dst), null ends left out, below path, and opens them: one file for each bucket."""
+    """Writes edges (src, dst), null ends left out, below path, and opens them: one file for each bucket.
+
+    Edges are read twice, to find the hubs and to deal them, and so they are written as they come before that."""
     spark = edges.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    edges = edges.select("src", "dst").dropna()
+    edges = written(edges.select("src", "dst").dropna(), "edges")
     hubs_of(edges, most).write.parquet(f"{path}/hubs")
     rows = salted(edges, spark.read.schema("dst long, salts int").parquet(f"{path}/hubs"))
     name = _name()
     dealt = rows.repartition(buckets, "dst", "salt")
     dealt.write.format("parquet").option("path", f"{path}/edges").bucketBy(buckets, "dst", "salt").sortBy("dst", "salt", "src").saveAsTable(name)
     about = json.dumps({"buckets": buckets, "most": most})
-    spark.createDataFrame([(about,)], "value string").coalesce(1).write.text(f"{path}/about")
+    spark.range(1).select(F.lit(about).alias("value")).write.text(f"{path}/about")
     return StoredGraph(spark.table(name), spark.read.schema("dst long, salts int").parquet(f"{path}/hubs"), buckets)
 
 
 def open_graph(spark: SparkSession, path: str) -> StoredGraph:
     """A graph that save_graph has written, in this session or another."""
-    about, name = json.loads(spark.read.text(f"{path}/about").first()["value"]), _name()
+    about, name = json.loads(spark.read.text(f"{path}/about").agg(F.max("value")).first()[0]), _name()
     spark.sql(f"CREATE TABLE {name} (src BIGINT, dst BIGINT, salt INT) USING parquet CLUSTERED BY (dst, salt) SORTED BY (dst, salt, src) INTO {about['buckets']} BUCKETS LOCATION '{path}/edges'")
     return StoredGraph(spark.table(name), spark.read.schema("dst long, salts int").parquet(f"{path}/hubs"), about["buckets"])
 

@@ -31,7 +31,9 @@ class Graph:
         return prepare.prepare_graph(self.raw(), self.n)
 
     def hub(self) -> DataFrame:
-        return prepare.dedup_edges(self.edges().unionByName(self.vertices().select(F.col("id").alias("src"), (F.col("id") % 5).alias("dst"))))
+        """edges() and five hubs. Duplicates are dropped once, behind both."""
+        loops = [self.vertices().select(F.col("id").alias("src"), end.alias("dst")) for end in (F.col("id"), F.col("id") % 5)]
+        return prepare.dedup_edges(prepare.add_reverse_edges(self.raw()).unionByName(loops[0]).unionByName(loops[1]))
 
     @cached_property
     def kept(self) -> StoredGraph:
