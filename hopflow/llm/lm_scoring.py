@@ -6,11 +6,13 @@ with maximum-likelihood estimates of two orders and a uniform share. The weights
 expectation-maximisation on counts that are held out of the estimates; the final estimates use all training counts.
 
 Rows are dealt into blocks by a hash of their id and text, so a row that is read again, or whose task is run again,
-comes to the same block. A block counts its own n-grams and sends each distinct one once, as sorted runs of 64-bit keys,
-to the part of the key space that it falls in. There the blocks' counts are added, and only counts of n-grams that
-several blocks have go back to those blocks; all others a block knows by itself. What is shuffled is a row for each
-block and part that meet: never more than one for each distinct n-gram of a block, far fewer while parts are few. Whole
-blocks are held out to learn the weights.
+comes to the same block. Blocks are merged in levels. A block counts its own n-grams and sends each distinct one once, as
+sorted runs of 64-bit keys, to the nodes of its group of `fan` blocks, one node for each of `fan` parts of the key space.
+A node adds what it receives and sends it on in the same way: the nodes of a part and of `fan` neighbouring groups meet,
+and cut the part into `fan` again. At the last level all groups have met. There are as many nodes at a level as blocks, a
+node receives at most `fan` runs of a kind, each a share of its sender's n-grams, and the levels are few: of FAN**2
+blocks there are two. So rows and bytes that are exchanged grow with the input. Counts come back the same way, but only
+for n-grams that others have too; all others a sender knows by itself. Whole blocks are held out to learn the weights.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ BLOCK_ROWS, BLOCK_BYTES, LEAST_BLOCKS, HELD_EVERY = 2048, 16 << 20, 20, 5
 #: Buckets of context frequency: 0, 1, 2-3, 4-7, ...; steps of the learning histogram for each doubling of a ratio.
 BUCKETS, STEPS, ROUNDS = 48, 4, 60
 NEVER = -(1 << 20)
+#: Blocks, or groups of them, that meet at a node at most, and parts of the key space at least.
+FAN, LEAST_PARTS = 256, 32
 START, END = b" start", b" end"  # no word has a space
 
 _SALT = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -63,6 +67,17 @@ def unpack_counts(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel().astype(np.int64)
 
 
+def cuts(keys: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
+    """(part, from, to): where ascending keys fall into equal parts of the key space; parts without keys are left out.
+    Cutting into a * b parts refines the cut into a."""
+    if not len(keys):
+        return
+    part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    for a, b in zip(starts, [*starts[1:], len(part)], strict=True):
+        yield int(part[a]), int(a), int(b)
+
+
 class Block:
     """Tokens of some documents, their distinct words and word pairs, and the keys of these."""
 
@@ -98,11 +113,8 @@ class Block:
         """(kind, part, places, ascending keys): 0 words, 1 pairs, 2 the start of a document."""
         for kind, places, keys in ((0, np.delete(np.arange(len(self.keys1)), 1), self.keys1), (1, np.arange(len(self.keys2)), self.keys2), (2, np.asarray([1]), self.keys1)):
             places = places[np.argsort(keys[places])]
-            part = ((keys[places] >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-            cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
-            for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                if a < b:
-                    yield kind, p, places[a:b], keys[places[a:b]]
+            for p, a, b in cuts(keys[places], parts):
+                yield kind, p, places[a:b], keys[places[a:b]]
 
     def take(self, rows: dict[tuple[int, int], tuple[int, bytes, bytes]], parts: int, own: bool) -> tuple[np.ndarray, np.ndarray]:
         """Counts of words and of pairs: from `rows` where several blocks have them; else the block's own, or none."""
@@ -155,6 +167,16 @@ def _blocks(slim: DataFrame) -> int:
     return max(LEAST_BLOCKS, -(-size["rows"] // BLOCK_ROWS), -(-(size["bytes"] or 0) // BLOCK_BYTES))
 
 
+def tree(blocks: int) -> tuple[int, int]:
+    """(levels, fan): the fewest levels of at most FAN senders a node, and the smallest fan that they need."""
+    levels = fan = 1
+    while FAN**levels < blocks:
+        levels += 1
+    while fan**levels < blocks:
+        fan += 1
+    return levels, fan if levels > 1 else max(fan, LEAST_PARTS)
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, test_fold: int = 1) -> DataFrame:
     """The id of every row, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of P of the text).
 
@@ -166,14 +188,21 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     rest = F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(rest != test_fold, F.lit(False)).alias("train"), F.coalesce(rest == test_fold, F.lit(False)).alias("held_out"), F.col(text_col).cast("binary").alias("text"))
     blocks = _blocks(slim)
-    parts = max(32, blocks)
+    levels, parts = tree(blocks)
     slim = slim.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)))
     held_block = F.col("block") % HELD_EVERY == HELD_EVERY - 1
 
-    runs = slim.select("block", "train", "text").groupBy("block").applyInArrow(_counter(parts), _RUN)
-    met = written(runs.groupBy("part").applyInArrow(_meet, "part int, block long, kind int, run long, shared binary, main binary, total binary, tokens_main long, tokens_held long, types_main long, types long"), "ngrams")
-    sums = met.filter("block is null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens_main", "tokens_held", "types_main", "types")]).first()
-    back = met.filter("block is not null").select("block", "kind", "part", "run", "shared", "main", "total")
+    sent = [slim.select("block", "train", "text").groupBy("block").applyInArrow(_counter(parts), _RUN)]
+    for level in range(1, levels):
+        sent[-1] = written(sent[-1], "ngrams")
+        sent.append(sent[-1].groupBy("family", "part").applyInArrow(_merger(parts, level), _RUN))
+    top = written(sent[-1].groupBy("family", "part").applyInArrow(lambda rows: _answer(rows, None, parts, levels), _ANSWER), "answers")
+    sums = top.filter("sender is null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens_main", "tokens_held", "types_main", "types")]).first()
+    back = top.filter("sender is not null")
+    for level in range(levels - 1, 0, -1):
+        above = back.withColumnsRenamed({"sender": "family", "part": "run_part", "sender_part": "part"})
+        back = written(sent[level - 1].groupBy("family", "part").cogroup(above.groupBy("family", "part")).applyInArrow(_answerer(parts, level), _ANSWER), "answers")
+    back = back.select(F.col("sender").alias("block"), "kind", F.col("part").alias("run_part"), "run", "shared", "main", "total")
 
     learning = slim.filter(held_block).select("block", "train", "text")
     seen = learning.groupBy("block").cogroup(back.filter(held_block).groupBy("block")).applyInArrow(_observer(parts, sums["tokens_main"], sums["types_main"]), "b int, q2 int, q1 int, n long")
@@ -187,62 +216,118 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     return done.withColumnRenamed("id", id_col)
 
 
-_RUN = "part int, block long, held boolean, kind int, keys binary, counts binary"
+#: What a sender gives to the node (family, part): a run of keys and its counts, over all training rows and over those of
+#: main blocks; without the latter they are none if the sender is a held-out block, and all otherwise.
+_RUN = "family long, part long, sender long, held boolean, kind int, keys binary, main binary, total binary"
+_SENT = pa.schema([("family", pa.int64()), ("part", pa.int64()), ("sender", pa.int64()), ("held", pa.bool_()), ("kind", pa.int32()), ("keys", pa.binary()), ("main", pa.binary()), ("total", pa.binary())])
+#: What a node gives back to (sender, sender_part), for the run that it sent to the node's part.
+_ANSWER = "sender long, sender_part long, part long, kind int, run long, shared binary, main binary, total binary, tokens_main long, tokens_held long, types_main long, types long"
+_ANSWERED = pa.schema([(c, pa.int64()) for c in ("sender", "sender_part", "part")] + [("kind", pa.int32()), ("run", pa.int64())] + [(c, pa.binary()) for c in ("shared", "main", "total")] + [(c, pa.int64()) for c in ("tokens_main", "tokens_held", "types_main", "types")])
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def _counter(parts: int):
+def _counter(fan: int):
     """The runs of a block, each with its counts."""
 
     def run(docs: pa.Table) -> pa.Table:
         now = docs.column("block")[0].as_py()
         block = Block(docs.column("text").to_pylist(), docs.column("train").to_pylist())
         held = now % HELD_EVERY == HELD_EVERY - 1
-        out = [(p, now, held, kind, pack(keys), pack_counts((block.count2 if kind == 1 else block.count1)[places])) for kind, p, places, keys in block.runs(parts)]
-        kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary())
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["part", "block", "held", "kind", "keys", "counts"])
+        out = [(now // fan, p, now, held, kind, pack(keys), None, pack_counts((block.count2 if kind == 1 else block.count1)[places])) for kind, p, places, keys in block.runs(fan)]
+        return _table(out, _SENT)
 
     return run
 
 
-_MET = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("run", pa.int64()), ("shared", pa.binary()), ("main", pa.binary()), ("total", pa.binary())] + [(c, pa.int64()) for c in ("tokens_main", "tokens_held", "types_main", "types")])
+class Node:
+    """The runs of one kind that a node has received, added up by key."""
 
-
-def _meet(table: pa.Table) -> pa.Table:
-    """Adds the counts of one part of the key space. What several blocks have goes back to each of them, as a mask over
-    the run that it sent and the counts of what the mask marks."""
-    rows = table.select(["part", "block", "held", "kind", "keys", "counts"]).to_pylist()
-    out = []
-    for kind in (0, 1, 2):
-        mine = [r for r in rows if r["kind"] == kind]
-        if not mine:
-            continue
-        each = [unpack(r["keys"]) for r in mine]
-        keys, counts = np.concatenate(each), np.concatenate([unpack_counts(r["counts"]) for r in mine])
-        is_held = np.repeat(np.asarray([r["held"] for r in mine]), [len(k) for k in each])
+    def __init__(self, rows: list[dict]):
+        self.rows, self.each = rows, [unpack(r["keys"]) for r in rows]
+        keys, totals = np.concatenate(self.each), [unpack_counts(r["total"]) for r in rows]
+        mains = [unpack_counts(r["main"]) if r["main"] is not None else np.zeros_like(t) if r["held"] else t for r, t in zip(rows, totals, strict=True)]
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
         starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         sizes = np.diff(np.append(starts, len(keys)))
-        total = np.add.reduceat(counts[order], starts)
-        main = np.add.reduceat(np.where(is_held, 0, counts)[order], starts)
-        if kind == 0:
-            out.append((rows[0]["part"], None, None, None, None, None, None, int(main.sum()), int((total - main).sum()), int((main > 0).sum()), int((total > 0).sum())))
-        group = np.empty(len(keys), np.int64)
-        group[order] = np.repeat(np.arange(len(starts)), sizes)
+        self.keys, self.others = keys[starts], sizes > 1
+        self.total, self.main = (np.add.reduceat(np.concatenate(x)[order], starts) for x in (totals, mains))
+        self.place = np.empty(len(keys), np.int64)
+        self.place[order] = np.repeat(np.arange(len(starts)), sizes)
+
+    def learn(self, answers: dict[int, tuple[int, bytes, bytes, bytes]], parts: int) -> None:
+        """Takes over the counts of the level above, where others have an n-gram too."""
+        for p, a, b in cuts(self.keys, parts):
+            if p in answers:
+                check, mask, main, total = answers[p]
+                if check != checksum(self.keys[a:b]):
+                    raise ValueError("a node has other n-grams than when it sent them")
+                shared = a + np.flatnonzero(np.unpackbits(np.frombuffer(mask, np.uint8), count=b - a))
+                self.main[shared], self.total[shared], self.others[shared] = unpack_counts(main), unpack_counts(total), True
+
+    def answers(self) -> Iterator[tuple[dict, int, np.ndarray, np.ndarray]]:
+        """(row, checksum, mask, places): for each run received, what of it others have."""
         at = 0
-        for r, k in zip(mine, each, strict=True):
-            g = group[at : at + len(k)]
+        for r, k in zip(self.rows, self.each, strict=True):
+            g = self.place[at : at + len(k)]
             at += len(k)
-            shared = sizes[g] > 1
+            shared = self.others[g]
             if shared.any():
-                g = g[shared]
-                out.append((r["part"], r["block"], kind, checksum(k), np.packbits(shared).tobytes(), pack_counts(main[g]) if r["held"] else None, pack_counts(total[g]), 0, 0, 0, 0))
-    cols = list(zip(*out, strict=True)) if out else [[] for _ in _MET]
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _MET, strict=True)], schema=_MET)
+                yield r, checksum(k), shared, g[shared]
+
+
+def _nodes(table: pa.Table) -> Iterator[tuple[int, Node]]:
+    rows = table.select(["sender", "held", "kind", "keys", "main", "total"]).to_pylist()
+    for kind in (0, 1, 2):
+        mine = [r for r in rows if r["kind"] == kind]
+        if mine:
+            yield kind, Node(mine)
+
+
+def _merger(fan: int, level: int):
+    """What a node of a level sends to the next."""
+
+    def run(table: pa.Table) -> pa.Table:
+        family = table.column("family")[0].as_py()
+        out = [
+            (family // fan, p, family, None, kind, pack(x.keys[a:b]), pack_counts(x.main[a:b]), pack_counts(x.total[a:b]))
+            for kind, x in _nodes(table)
+            for p, a, b in cuts(x.keys, fan ** (level + 1))
+        ]
+        return _table(out, _SENT)
+
+    return run
+
+
+def _answer(table: pa.Table, above: pa.Table | None, fan: int, level: int) -> pa.Table:
+    """What a node gives back to its senders: a mask over the run that each sent and the counts of what the mask marks.
+    `above`: what the next level gave back to the node. Where there is none, counts are final, and the sums over the
+    node's words go in a row without sender."""
+    if not table.num_rows:
+        return _table([], _ANSWERED)
+    part, out = table.column("part")[0].as_py(), []
+    learned = above.select(["kind", "run_part", "run", "shared", "main", "total"]).to_pylist() if above is not None else []
+    for kind, x in _nodes(table):
+        if above is not None:
+            x.learn({r["run_part"]: (r["run"], r["shared"], r["main"], r["total"]) for r in learned if r["kind"] == kind}, fan ** (level + 1))
+        elif kind == 0:
+            out.append((None, None, part, None, None, None, None, None, int(x.main.sum()), int((x.total - x.main).sum()), int((x.main > 0).sum()), int((x.total > 0).sum())))
+        for r, check, shared, g in x.answers():
+            main = None if r["held"] is False else pack_counts(x.main[g])
+            out.append((r["sender"], part // fan, part, kind, check, np.packbits(shared).tobytes(), main, pack_counts(x.total[g]), 0, 0, 0, 0))
+    return _table(out, _ANSWERED)
+
+
+def _answerer(fan: int, level: int):
+    return lambda rows, above: _answer(rows, above, fan, level)
 
 
 def _rows(back: pa.Table, counts: str) -> dict[tuple[int, int], tuple[int, bytes, bytes]]:
-    columns = [back.column(c).to_pylist() for c in ("kind", "part", "run", "shared", counts)]
+    columns = [back.column(c).to_pylist() for c in ("kind", "run_part", "run", "shared", counts)]
     return {(k, p): (check, mask, c) for k, p, check, mask, c in zip(*columns, strict=True)}
 
 

@@ -104,3 +104,34 @@ def test_same_in_any_order(spark, monkeypatch):
         got = sorted(tuple(r) for r in M.score(other).collect())
         assert [g[:5] for g in got] == [w[:5] for w in want]
         assert np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9)
+
+
+def test_tree():
+    for blocks in (20, 256, 257, 65_536, 65_537, 10**7):
+        levels, fan = M.tree(blocks)
+        assert fan**levels >= blocks and fan <= M.FAN and (levels == 1 or M.FAN ** (levels - 1) < blocks)
+    keys = np.sort(np.random.default_rng(1).integers(0, 2**64, 1000, dtype=np.uint64))
+    fine = {p: (a, b) for p, a, b in M.cuts(keys, 7**3)}
+    for p, a, b in M.cuts(keys, 7**2):
+        inside = sorted(v for q, v in fine.items() if q // 7 == p)
+        assert inside[0][0] == a and inside[-1][1] == b
+    assert list(M.cuts(keys[:0], 5)) == []
+
+
+def test_levels(spark, monkeypatch):
+    """Any number of levels gives the same figures, and each exchanges a bounded number of rows for a block."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in df.collect()]
+    made, write = [], M.written
+    monkeypatch.setattr(M, "written", lambda df, name: made.append(write(df, name)) or made[-1])
+    exchanged = {}
+    for blocks, fan in ((20, 256), (64, 8), (60, 4)):
+        made.clear()
+        monkeypatch.setattr(M, "LEAST_BLOCKS", blocks)
+        monkeypatch.setattr(M, "FAN", fan)
+        got, weights = run(df, monkeypatch)
+        same(got, brute(rows, weights))
+        exchanged[blocks] = [t.count() for t in made]
+    for blocks, levels, fan in ((64, 2, 8), (60, 3, 4)):
+        assert len(exchanged[blocks]) == 2 * levels - 1
+        assert max(exchanged[blocks]) <= (3 * fan + 1) * fan**levels
