@@ -25,6 +25,11 @@ def hash_of(*parts: Column | int) -> Column:
     return F.aggregate(F.array(*columns), F.lit(START).cast("long"), lambda h, p: _mixed((h + p % M) % M))
 
 
+def continued(h: Column, part: Column) -> Column:
+    """The hash of some parts and one more, by the hash h of those."""
+    return F.aggregate(F.array(part.cast("long")), h, lambda h, p: _mixed((h + p % M) % M))
+
+
 def with_hash(df: DataFrame, name: str, *parts: Column | int) -> DataFrame:
     """df with the hash in column `name`: the same value in plain arithmetic, one projection for each step, so that it is
     compiled. For rows by the million; hash_of is an expression and fits anywhere."""

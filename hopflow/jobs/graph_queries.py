@@ -1036,27 +1036,34 @@ def _adam_sql(k: int, layer: int) -> str:
     return f"w{layer}_{t} AS MATERIALIZED (SELECT p.i, p.j, {w} AS v, {m} AS m, {v} AS s FROM w{layer}_{k} p LEFT JOIN d{layer}_{k} d ON d.i = p.i AND d.j = p.j)"
 
 
-def _step_sql(k: int) -> str:
-    """The steps of training unrolled: forward, loss, backward and update over the rows of super-batch k."""
+def _step_sql(k: int, outer: str, inner: str, truth: str = "lab") -> str:
+    """A step of training unrolled: forward, loss, backward and update. outer: the sums of raw features (batch, id, pos,
+    v) that the step reads; inner: its edges (batch, src, dst, weight); truth: the labels of its seeds."""
     return f"""
-z_{k} AS MATERIALIZED (SELECT batch, id, w.j, sum(a0.v * w.v) AS v FROM a0s a0 JOIN w0_{k} w ON w.i = a0.pos WHERE super_batch = {k} GROUP BY ALL),
-e_{k} AS MATERIALIZED (SELECT bw.* FROM bw JOIN {GROUPED} b ON b.batch = bw.batch AND b.super_batch = {k} WHERE layer = 0),
+z_{k} AS MATERIALIZED (SELECT batch, id, w.j, sum(a0.v * w.v) AS v FROM {outer} a0 JOIN w0_{k} w ON w.i = a0.pos GROUP BY ALL),
+e_{k} AS MATERIALIZED ({inner}),
 a1_{k} AS MATERIALIZED (SELECT e.batch, dst AS id, j, sum(weight * greatest(z.v, 0)) AS v FROM e_{k} e JOIN z_{k} z ON z.batch = e.batch AND z.id = e.src GROUP BY ALL),
 y_{k} AS MATERIALIZED (SELECT batch, id, w.j AS c, sum(a.v * w.v) AS v FROM a1_{k} a JOIN w1_{k} w ON w.i = a.j GROUP BY ALL),
-l_{k} AS MATERIALIZED (SELECT y.batch, y.id, c, label, v - ln(sum(exp(v)) OVER (PARTITION BY y.batch, y.id)) AS lp FROM y_{k} y JOIN lab ON lab.id = y.id),
+l_{k} AS MATERIALIZED (SELECT y.batch, y.id, c, label, v - ln(sum(exp(v)) OVER (PARTITION BY y.batch, y.id)) AS lp FROM y_{k} y JOIN {truth} lab ON lab.id = y.id),
 g_{k} AS MATERIALIZED (SELECT batch, id, c, (exp(lp) - CAST(c = label AS INT)) / (SELECT count(*) FROM l_{k} WHERE c = label) AS v FROM l_{k}),
 b_{k} AS MATERIALIZED (SELECT batch, id, w.i, sum(g.v * w.v) AS v FROM g_{k} g JOIN w1_{k} w ON w.j = g.c GROUP BY ALL),
 i_{k} AS MATERIALIZED (SELECT e.batch, src AS id, i, sum(weight * b.v) AS v FROM e_{k} e JOIN b_{k} b ON b.batch = e.batch AND b.id = e.dst GROUP BY ALL),
 d1_{k} AS MATERIALIZED (SELECT a.j AS i, g.c AS j, sum(a.v * g.v) AS v FROM a1_{k} a JOIN g_{k} g USING (batch, id) GROUP BY ALL),
-d0_{k} AS MATERIALIZED (SELECT a.pos AS i, z.j, sum(a.v * n.v) AS v FROM z_{k} z JOIN i_{k} n ON n.batch = z.batch AND n.id = z.id AND n.i = z.j AND z.v > 0 JOIN a0s a ON a.batch = z.batch AND a.id = z.id GROUP BY ALL),
+d0_{k} AS MATERIALIZED (SELECT a.pos AS i, z.j, sum(a.v * n.v) AS v FROM z_{k} z JOIN i_{k} n ON n.batch = z.batch AND n.id = z.id AND n.i = z.j AND z.v > 0 JOIN {outer} a ON a.batch = z.batch AND a.id = z.id GROUP BY ALL),
 {_adam_sql(k, 0)}, {_adam_sql(k, 1)}"""
 
 
+def _batch_step_sql(k: int) -> str:
+    """The step over the batches of super-batch k."""
+    return _step_sql(k, f"(SELECT * FROM a0s WHERE super_batch = {k})", f"SELECT bw.* FROM bw JOIN {GROUPED} b ON b.batch = bw.batch AND b.super_batch = {k} WHERE layer = 0")
+
+
+START = f"""w0_0 AS MATERIALIZED (SELECT i, j, {_matrix(64, 0).format(i='i', j='j')} AS v, 0.0 AS m, 0.0 AS s FROM (SELECT unnest(range(64)) AS i), (SELECT unnest(range(8)) AS j)),
+w1_0 AS MATERIALIZED (SELECT i, j, {_matrix(8, 1).format(i='i', j='j')} AS v, 0.0 AS m, 0.0 AS s FROM (SELECT unnest(range(8)) AS i), (SELECT unnest(range(10)) AS j))"""
 #: Steps that the SQL of an epoch is unrolled to; the tables of up to sf0.1 have no more.
 STEPS = 12
 EPOCH = f"""{KHOP}, a0s AS MATERIALIZED (SELECT super_batch, bw.batch, dst AS id, pos, sum(weight * value) AS v FROM bw JOIN x ON x.id = src JOIN {GROUPED} b ON b.batch = bw.batch WHERE layer = 1 GROUP BY ALL),
-w0_0 AS MATERIALIZED (SELECT i, j, {_matrix(64, 0).format(i='i', j='j')} AS v, 0.0 AS m, 0.0 AS s FROM (SELECT unnest(range(64)) AS i), (SELECT unnest(range(8)) AS j)),
-w1_0 AS MATERIALIZED (SELECT i, j, {_matrix(8, 1).format(i='i', j='j')} AS v, 0.0 AS m, 0.0 AS s FROM (SELECT unnest(range(8)) AS i), (SELECT unnest(range(10)) AS j)),{','.join(map(_step_sql, range(STEPS)))}"""
+{START},{','.join(map(_batch_step_sql, range(STEPS)))}"""
 
 
 @query(" UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS super_batch, round(-avg(lp), 6) AS loss FROM l_{k} WHERE c = label HAVING count(*) > 0" for k in range(STEPS)), EPOCH)
@@ -1065,7 +1072,11 @@ def train_epoch(g: Graph) -> DataFrame:
     return rounded(g.spark.createDataFrame(_epoch(g), "super_batch long, loss double"), "loss")
 
 
-@query()
+WHOLE = f"""a0s AS MATERIALIZED (SELECT 0 AS batch, dst AS id, pos, sum(weight * value) AS v FROM w JOIN x ON x.id = src GROUP BY ALL),
+{START},{','.join(_step_sql(k, 'a0s', 'SELECT 0 AS batch, src, dst, weight FROM w', '(SELECT lab.* FROM lab JOIN m ON m.id = lab.id WHERE mask = 0)') for k in range(2))}"""
+
+
+@query(" UNION ALL ".join(f"SELECT {k} AS epoch, round(-avg(lp), 6) AS loss FROM l_{k} WHERE c = label" for k in range(2)), WHOLE)
 def full_batch_step(g: Graph) -> DataFrame:
     """The losses of two steps on the whole graph."""
     import numpy as np
@@ -1073,7 +1084,7 @@ def full_batch_step(g: Graph) -> DataFrame:
     layers = [model.Adam(np.asarray(w)) for w in model._layers([WIDTH, 8, 10])]
     weighted = written(prepare.gcn_edge_weight(g.edges(), g.n), "weighted")
     losses = [(k, float(model.full_batch_step(weighted, g.features(), g.labels(), g.seeds(), layers))) for k in range(2)]
-    return g.spark.createDataFrame(losses, "epoch int, loss double")
+    return rounded(g.spark.createDataFrame(losses, "epoch int, loss double"), "loss")
 
 
 # 2.10 run logs, over the events table

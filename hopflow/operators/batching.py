@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hopflow.functions.hashing import M, hash_of, with_hash
+from hopflow.functions.hashing import M, with_hash
 
 #: Ranges of hash values that positions are counted in; their counts are all that meets in one task.
 RANGES = 1024
 
 
-def shuffle_nodes(seeds: DataFrame, seed: int = 0) -> DataFrame:
-    """(id, pos): pos is the 0-based place of the id in the order of its hash.
+def places(rows: DataFrame, key: str, *parts: Column | int) -> DataFrame:
+    """(key, pos): pos is the 0-based place of the row in the order of the hash of parts, then of the key.
 
     Rows are numbered inside equal ranges of hash values and offset by the counts of the ranges before."""
-    h = with_hash(seeds.select("id"), "h", seed, F.col("id")).withColumn("r", F.floor(F.col("h") / (M // RANGES)))
+    h = with_hash(rows.select(key), "h", *parts).withColumn("r", F.floor(F.col("h") / (M // RANGES)))
     counts = h.groupBy("r").agg(F.count("*").alias("c"))
     base = counts.select("r", F.coalesce(F.sum("c").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    inside = F.row_number().over(Window.partitionBy("r").orderBy("h", "id")) - 1
-    return h.withColumn("k", inside).join(F.broadcast(base), "r").select("id", (F.col("base") + F.col("k")).alias("pos"))  # RANGES rows at most
+    inside = F.row_number().over(Window.partitionBy("r").orderBy("h", key)) - 1
+    return h.withColumn("k", inside).join(F.broadcast(base), "r").select(key, (F.col("base") + F.col("k")).alias("pos"))  # RANGES rows at most
+
+
+def shuffle_nodes(seeds: DataFrame, seed: int = 0) -> DataFrame:
+    """(id, pos): pos is the 0-based place of the id in the order of its hash."""
+    return places(seeds, "id", seed, F.col("id"))
 
 
 def make_batches(shuffled: DataFrame, batch_size: int, pipeline: int = 1) -> DataFrame:
@@ -33,17 +38,20 @@ def local_shuffle(shuffled: DataFrame, super_size: int, total: int, seed: int =
     whole = total // super_size
     sb = F.floor(F.col("pos") / super_size)
     rows = shuffled.withColumn("sb", sb)
-    names = shuffled.sparkSession.range(whole).select(F.col("id").alias("sb"), hash_of(seed, 1, F.col("id")).alias("h"))
-    order = names.select("sb", (F.row_number().over(Window.orderBy("h", "sb")) - 1).alias("place"))  # one row for each super-batch
-    inside = F.row_number().over(Window.partitionBy("sb").orderBy(hash_of(seed, 2, F.col("id")), "id")) - 1
-    moved = rows.filter(F.col("sb") < whole).withColumn("k", inside).join(order, "sb").select("id", (F.col("place") * super_size + F.col("k")).alias("pos"))
+    order = _super_places(shuffled.sparkSession, whole, seed)
+    inside = F.row_number().over(Window.partitionBy("sb").orderBy("h", "id")) - 1
+    moved = with_hash(rows.filter(F.col("sb") < whole), "h", seed, 2, F.col("id")).withColumn("k", inside).join(order, "sb").select("id", (F.col("place") * super_size + F.col("k")).alias("pos"))
     return moved.unionByName(rows.filter(F.col("sb") >= whole).select("id", "pos"))
 
 
+def _super_places(spark: SparkSession, whole: int, seed: int) -> DataFrame:
+    """(sb, place): where each whole super-batch goes."""
+    return places(spark.range(whole).withColumnRenamed("id", "sb"), "sb", seed, 1, F.col("sb")).withColumnRenamed("pos", "place")
+
+
 def move_hot_lists(hot: DataFrame, whole: int, seed: int = 0) -> DataFrame:
     """The hot lists (super_batch, slot, id) after the same change of places; a list beyond the whole ones stays."""
-    names = hot.sparkSession.range(whole).select(F.col("id").alias("super_batch"), hash_of(seed, 1, F.col("id")).alias("h"))
-    order = names.select("super_batch", (F.row_number().over(Window.orderBy("h", "super_batch")) - 1).alias("place"))
+    order = _super_places(hot.sparkSession, whole, seed).withColumnRenamed("sb", "super_batch")
     return hot.join(order, "super_batch", "left").select(F.coalesce("place", "super_batch").cast("long").alias("super_batch"), "slot", "id")
 
 

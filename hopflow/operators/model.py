@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from hopflow.functions import vectors as V
-from hopflow.functions.hashing import M, hash_of
+from hopflow.functions.hashing import M, continued, with_hash
 from hopflow.operators import layout, messages, sampling
 from hopflow.operators.layout import StoredGraph
 from hopflow.operators.prepare import in_degree, out_degree
@@ -99,8 +99,8 @@ def dropout(rows: DataFrame, p: float, seed: int = 0, training: bool = True) ->
     """Elements zeroed by a hash of (id, position), the others scaled by 1 / (1 - p); as is in evaluation."""
     if not training or p <= 0:
         return rows
-    kept = lambda v, i: F.when(hash_of(seed, F.col("id"), i) >= int(p * M), v / (1 - p)).otherwise(0.0)
-    return rows.withColumn("x", F.transform("x", kept))
+    kept = lambda v, i: F.when(continued(F.col("_h"), i) >= int(p * M), v / (1 - p)).otherwise(0.0)
+    return with_hash(rows, "_h", seed, F.col("id")).withColumn("x", F.transform("x", kept)).drop("_h")
 
 
 def nll_loss(scored: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopflow.functions.hashing import hash_of
+from hopflow.functions.hashing import with_hash
 
 
 def join_node_tables(features: DataFrame, labels: DataFrame, masks: DataFrame) -> DataFrame:
@@ -23,7 +23,8 @@ def split_by_range(vertices: DataFrame, n: int, train: float = 0.65, eval_: floa
 
 
 def synthetic_nodes(vertices: DataFrame, width: int, classes: int, seed: int = 5) -> DataFrame:
-    return vertices.select("id", F.array_repeat(F.lit(1.0), width).alias("features"), (hash_of(seed, F.col("id")) % classes).alias("label"))
+    hashed = with_hash(vertices.select("id"), "h", seed, F.col("id"))
+    return hashed.select("id", F.array_repeat(F.lit(1.0), width).alias("features"), (F.col("h") % classes).alias("label"))
 
 
 def tag_union_splits(train: DataFrame, eval_: DataFrame, test: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from hopflow.functions import hashing
 from hopflow.functions import vectors as V
 from hopflow.functions.hashing import hash_of, hash_py
 from hopflow.operators import batching, hotset, messages, model, nodes, partition, prepare, ranking, runlogs, sampling
@@ -295,3 +296,13 @@ def test_epoch_of_sampled_batches(spark, small, drop):
         for state, g in zip(plain, gradients, strict=True):
             state.update(g / count)
     assert all(np.allclose(p.w, m.w) for p, m in zip(plain, mine, strict=True))
+
+
+def test_hash_continued(spark):
+    """The hash of parts and one more, and places in the order of a hash."""
+    rows = hashing.with_hash(spark.range(200), "h", 7, F.col("id")).withColumn("more", hashing.continued(F.col("h"), F.col("id") * 3))
+    assert all(r["more"] == hashing.hash_py(7, r["id"], 3 * r["id"]) for r in rows.collect())
+    placed = batching.places(spark.range(200).withColumnRenamed("id", "key"), "key", 7, 1, F.col("key")).orderBy("pos").collect()
+    assert [r["pos"] for r in placed] == list(range(200))
+    assert [r["key"] for r in placed] == sorted(range(200), key=lambda i: (hashing.hash_py(7, 1, i), i))
+    assert batching.places(spark.range(0), "id", 7, F.col("id")).collect() == []
