@@ -28,12 +28,13 @@ from pyspark.sql import functions as F
 from hopflow.llm.common import written
 
 #: Rows and bytes of a block in the mean at most, blocks at least, and the share of blocks held out.
-BLOCK_ROWS, BLOCK_BYTES, LEAST_BLOCKS, HELD_EVERY = 2048, 16 << 20, 20, 5
+BLOCK_ROWS, BLOCK_BYTES, LEAST_BLOCKS, HELD_EVERY = 4096, 16 << 20, 32, 5
 #: Buckets of context frequency: 0, 1, 2-3, 4-7, ...; steps of the learning histogram for each doubling of a ratio.
 BUCKETS, STEPS, ROUNDS = 48, 4, 60
 NEVER = -(1 << 20)
-#: Blocks, or groups of them, that meet at a node at most, and parts of the key space at least.
-FAN, LEAST_PARTS = 256, 32
+#: Blocks, or groups of them, that meet at a node at most, and parts of the key space at least. A second level writes and
+#: sends the n-grams of blocks once more (some 2 x the text), so it comes late: from FAN blocks on, 32 GB of average text.
+FAN, LEAST_PARTS = 4096, 32
 START, END = b" start", b" end"  # no word has a space
 
 _SALT = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
