@@ -10,8 +10,9 @@ comes to the same block. Blocks are merged in levels. A block counts its own n-g
 sorted runs of 64-bit keys, to the nodes of its group of `fan` blocks, one node for each of `fan` parts of the key space.
 A node adds what it receives and sends it on in the same way: the nodes of a part and of `fan` neighbouring groups meet,
 and cut the part into `fan` again. At the last level all groups have met. There are as many nodes at a level as blocks, a
-node receives at most `fan` runs of a kind, each a share of its sender's n-grams, and the levels are few: of FAN**2
-blocks there are two. So rows and bytes that are exchanged grow with the input. Counts come back the same way, but only
+node receives at most `fan` runs of a kind, each a share of its sender's n-grams, and the levels are few: up to
+FAN blocks there is one, up to FAN**2 there are two. Within one level the rows exchanged grow with the square of the
+blocks, to 3 * FAN for a block at most; from there on they grow with the input. Counts come back the same way, but only
 for n-grams that others have too; all others a sender knows by itself. Whole blocks are held out to learn the weights.
 """
 
