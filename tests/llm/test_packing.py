@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -96,3 +97,35 @@ def test_stretches_lose_nothing(spark, monkeypatch):
             assert start == len(got.get(d, [])) and n == d * 100 + 1
             got.setdefault(d, []).extend(ids.tolist())
     assert got == {k: list(range(k * 100 + 1)) for k in range(30)}
+
+
+ODD = [None, b"", b" ", b"a", b"it's they're 'S x's 'll-'tis don't, o'clock", b"<|endoftext|> A.b <|STARTOFTEXT|> foo<|endoftext|>.. B<| c|>", "É’s Ünï\u00a0code wide\u2003nb e\u0301 ﬁ ß. straße!!! İI ΑΣ. Σ ÿ÷ÿ ö×".encode(), b'12 3a a3 a.b a..b ...a "quoted," (par) [x] {y}~ z^_` a+b=c', b"\x0b\x0c\r\n\tA\x00B\x1cC", b"x" * 5000, b"word " * 3000]
+
+
+@pytest.mark.parametrize("kind", [pa.binary(), pa.large_binary()])
+@pytest.mark.parametrize("chunk", [1, 1000, 1 << 23])
+def test_ids_are_those_of_the_tokenizer(monkeypatch, kind, chunk):
+    monkeypatch.setattr(packing, "CHUNK", chunk)
+    t, vocabulary = Tokenizer.from_file(PATH), open(PATH, encoding="utf-8").read()
+    want = [[*t.encode((x or b"").decode(), add_special_tokens=False).ids, packing.END_ID] for x in ODD]
+    assert [x.tolist() for x in packing.encode(pa.array([b"-", *ODD], kind).slice(1), vocabulary)] == want
+    broken = b"bad \xff\xfe utf8 \xc3( caf\xc3 X\xe2\x82."
+    [ids] = packing.encode(pa.array([broken], kind), vocabulary)
+    assert ids.tolist() == [*t.encode(broken.decode("utf-8", "replace"), add_special_tokens=False).ids, packing.END_ID]
+
+
+def test_a_word_is_tokenized_once_whatever_follows_it(monkeypatch):
+    vocabulary = open(PATH, encoding="utf-8").read()
+    words = [a + b + c for a in ("ba", "no", "té") for b in ("ri", "lu", "ßa") for c in ("ma", "k", "o")]
+    texts = [" ".join(w + mark for w in words) for mark in ("", ".", ",", "?!", '"', ")", "%%%")] * 3
+    asked = {"_plain_ids": [], "_other_ids": []}
+    for name, seen in asked.items():
+        tokenize = getattr(packing, name)
+        monkeypatch.setattr(packing, name, lambda parts, known, tokenize=tokenize, seen=seen: seen.extend(parts) or tokenize(parts, known))
+    monkeypatch.setattr(packing, "_words", {})
+    monkeypatch.setattr(packing, "CHUNK", 500)
+    ids = list(packing.encode(pa.array([x.encode() for x in texts], pa.binary()), vocabulary))
+    t = Tokenizer.from_file(PATH)
+    assert [x.tolist() for x in ids] == [[*t.encode(x, add_special_tokens=False).ids, packing.END_ID] for x in texts]
+    assert sorted(asked["_plain_ids"]) == sorted(w.encode() for w in words)
+    assert sorted(asked["_other_ids"]) == sorted([b".", b",", b"?!", b'"', b")", b"%%%"])
