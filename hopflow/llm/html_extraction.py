@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +34,8 @@ from hopflow.llm.common import hot_keys, salted_join, written
 LEAST_PAGES, LEAST_SHARE = 5, 0.6
 #: A place counts as one of the host's layouts from this share of the host's pages on, which bounds the template.
 LEAST_LAYOUT = 0.05
+#: Templates of up to this many bytes in all go to every task, so that no page is shuffled; more are joined by host.
+BROADCAST_BYTES = 4 << 20
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -257,10 +259,14 @@ def counted(page: Page) -> dict[int, list]:
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """(host, token, at, signature, pages, place) over columns host, html; at is the token of the token's place."""
+    """(host, token, at, signature, pages, place) over columns host, html; at is the token of the token's place.
+
+    A page is named by its task, its host, a hash of its html and which copy it is there, so a task that runs again gives
+    the same signatures in whatever order it meets its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, n = TaskContext.get().partitionId(), 0
+        task = TaskContext.get().partitionId()
+        copies: Counter = Counter()
         seen: dict[tuple[str, int], list] = {}
 
         def out() -> pa.RecordBatch:
@@ -273,11 +279,14 @@ def occurrences(pages: DataFrame) -> DataFrame:
             return batch
 
         for batch in batches:
-            for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n += 1
-                for t, (c, place, at) in counted(read_page(source or "")).items():
+            for host, source in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                source = source.as_py() or ""
+                page = _hash(f"{host}\0{source}")
+                copies[page] += 1
+                name = f"{task}:{page}:{copies[page]}"
+                for t, (c, place, at) in counted(read_page(source)).items():
                     mine = seen.setdefault((host, t), [at, 0, 0, 0.0])
-                    mine[1] ^= _hash(f"{task}:{n}:{c}")
+                    mine[1] ^= _hash(f"{name}:{c}")
                     mine[2] += 1
                     mine[3] += place
                 if len(seen) > 200_000:
@@ -299,24 +308,37 @@ def domain(host: Column) -> Column:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, pages, classes): the token lists of each host's valid classes, in page order.
+    """(host, pages, classes): the token lists of each host's valid classes, in page order, as a written table.
 
     A class has two tokens or more, and the pages that LEAST_PAGES, LEAST_SHARE and LEAST_LAYOUT ask for; the lists of a
     host hold at most 1 / (LEAST_SHARE * LEAST_LAYOUT) times the tokens of a mean page. Hosts with fewer pages than
-    LEAST_PAGES are counted together as one host for each domain, `*.domain`; vectors are sums, so nothing is read again."""
-    found = written(occurrences(pages), "tokens")
+    LEAST_PAGES are counted together as one host for each domain, `*.domain`; vectors are sums, so nothing is read again.
+    The counts are kept on the executors' disks until then, not written as tables: those would have a file, which takes
+    processes to set its mode where the store is a local folder, for each partition."""
+    tokens = found = occurrences(pages).persist(StorageLevel.DISK_ONLY)
     size = found.filter("token = 0").select("host", F.col("pages").alias("host_pages"))
     few = size.filter(F.col("host_pages") < LEAST_PAGES).select("host")
     together = _added(found.join(few, "host").withColumn("domain", domain(F.col("host"))), "domain")
-    found = found.join(few, "host", "left_anti").unionByName(together).filter(F.col("pages") >= LEAST_PAGES)
-    found = written(found, "template_tokens")
+    found = found.join(few, "host", "left_anti").unionByName(together).filter(F.col("pages") >= LEAST_PAGES).persist(StorageLevel.DISK_ONLY)
     size = found.filter("token = 0").select("host", F.col("pages").alias("host_pages"))
     layouts = found.filter("at is null and token <> 0").join(size, "host").filter(F.col("pages") >= F.col("host_pages") * LEAST_LAYOUT)
     layouts = layouts.select("host", F.col("token").alias("at"), F.col("pages").alias("layout_pages"))
     frequent = found.join(layouts, ["host", "at"]).filter(F.col("pages") >= F.col("layout_pages") * LEAST_SHARE)
     classes = frequent.groupBy("host", "signature").agg(F.sort_array(F.collect_list(F.struct((F.col("place") / F.col("pages")).alias("place"), "token"))).alias("t")).filter(F.size("t") > 1)
     lists = classes.groupBy("host").agg(F.collect_list("t.token").alias("classes"))
-    return size.join(lists, "host", "left").select("host", F.col("host_pages").alias("pages"), F.coalesce("classes", F.array().cast("array<array<bigint>>")).alias("classes"))
+    known = size.join(lists, "host", "left").select("host", F.col("host_pages").alias("pages"), F.coalesce("classes", F.array().cast("array<array<bigint>>")).alias("classes"))
+    try:
+        return written(known, "templates")
+    finally:
+        found.unpersist()
+        tokens.unpersist()
+
+
+def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, url, text, n_chars) of batches of id, url, html, classes; Python holds one page and its classes at a time."""
+    for batch in batches:
+        texts = [main_text(source.as_py() or "", classes.as_py()) for source, classes in zip(batch.column(2), batch.column(3), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -328,17 +350,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     read whole. An empty table gives no rows; other columns are ignored."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), HOST, 1))
     slim = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).alias("html"))
-    known = written(templates(slim), "templates")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [main_text(source or "", classes) for source, classes in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
-
+    known = templates(slim)
     kind = pages.schema[id_col].dataType.simpleString()
-    hot = hot_keys(known, ["host"], "pages")
-    own = salted_join(slim.withColumn("_domain", domain(F.col("host"))), known.select("host", "classes"), ["host"], hot, F.xxhash64("html"), "left")
     shared = known.filter(F.col("host").startswith("*.")).select(F.col("host").alias("_domain"), F.col("classes").alias("_shared"))
-    both = salted_join(own, shared, ["_domain"], hot.withColumnRenamed("host", "_domain"), F.xxhash64("html"), "left")
-    done = both.select("id", "url", "html", F.coalesce("classes", "_shared").alias("classes")).mapInArrow(run, f"id {kind}, url {pages.schema[url_col].dataType.simpleString()}, text string, n_chars long")
+    own, rows = known.select("host", "classes"), slim.withColumn("_domain", domain(F.col("host")))
+    if (known.agg(F.sum(F.octet_length("host") + 8 * F.size(F.flatten("classes")))).first()[0] or 0) <= BROADCAST_BYTES:
+        both = rows.join(F.broadcast(own), "host", "left").join(F.broadcast(shared), "_domain", "left")
+    else:
+        hot = hot_keys(known, ["host"], "pages")
+        both = salted_join(rows, own, ["host"], hot, F.xxhash64("html"), "left")
+        both = salted_join(both, shared, ["_domain"], hot.withColumnRenamed("host", "_domain"), F.xxhash64("html"), "left")
+    done = both.select("id", "url", "html", F.coalesce("classes", "_shared").alias("classes")).mapInArrow(extracted, f"id {kind}, url {pages.schema[url_col].dataType.simpleString()}, text string, n_chars long")
     return done.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")

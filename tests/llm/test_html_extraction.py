@@ -152,3 +152,69 @@ def test_memory_of_long_attributes():
         H.main_text(source, None)
         assert tracemalloc.get_traced_memory()[1] < 100 << 20
         tracemalloc.stop()
+
+
+def test_tables_have_files_for_hosts_not_for_partitions(spark):
+    """Of 60 partitions that all have tokens, only the templates of three hosts are written, and nothing stays cached."""
+    from pathlib import Path
+
+    from hopflow.llm.common import shared_dir
+
+    rows = [(i, f"http://h{i % 3}.example/", MARKED.format(f"w{i}")) for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder, cached = Path(shared_dir(spark).removeprefix("file://")), spark.sparkContext._jsc.getPersistentRDDs().size()
+    before = set(folder.rglob("*.parquet"))
+    changed = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        found = H.extract(df.repartition(60))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    files = [p for p in set(folder.rglob("*.parquet")) - before if p.is_file()]
+    assert len(files) <= 4  # with tables of tokens: 68
+    assert {r["page_id"]: r["text"] for r in found.collect()} == {i: f"Head w{i} Text w{i}" for i in range(300)}
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == cached
+
+
+def test_pages_are_shuffled_only_for_large_templates(spark, monkeypatch):
+    df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    plans, texts = [], []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for most in (H.BROADCAST_BYTES, -1):
+            monkeypatch.setattr(H, "BROADCAST_BYTES", most)
+            found = H.extract(df)
+            plans.append(found._jdf.queryExecution().executedPlan().toString())
+            texts.append({r["page_id"]: (r["url"], r["text"], r["n_chars"]) for r in found.collect()})
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning" not in plans[0] and "hashpartitioning" in plans[1]
+    assert texts[0] == texts[1] and len(texts[0]) == df.count()
+
+
+def test_signatures_do_not_depend_on_the_order_of_rows(spark):
+    rows = [(f"h{i % 2}.example", MARKED.format(f"w{i // 6}")) for i in range(60)]  # three copies of each page in each host
+    got = []
+    for some in (rows, rows[::-1]):
+        found = H.occurrences(spark.createDataFrame(some, "host string, html string").coalesce(1))
+        got.append({(r["host"], r["token"], r["at"]): (r["signature"], r["pages"]) for r in found.collect()})
+    assert got[0] == got[1] and len(got[0]) > 20
+
+
+def test_memory_of_templates_in_a_batch():
+    """2000 pages of one host, whose template has 2000 tokens, are read one by one."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n = 2000
+    classes = pa.array([[list(range(1 << 40, (1 << 40) + n))]], pa.list_(pa.list_(pa.int64()))).take(pa.array([0] * n))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(["u"] * n), pa.array(["<p>t</p>"] * n), classes], names=["id", "url", "html", "classes"])
+    tracemalloc.start()
+    (out,) = H.extracted(iter([batch]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.column(2).to_pylist() == ["t"] * n and most < 10 << 20
