@@ -35,12 +35,13 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     flat = column.flatten()
     if len(flat) != len(column) * width:
         raise ValueError(f"vectors of {width} numbers are expected")
-    return pc.fill_null(flat, 0.0).to_numpy(zero_copy_only=False).reshape(len(column), width)
+    return pc.fill_null(flat, 0).to_numpy(zero_copy_only=False).reshape(len(column), width)
 
 
-def lists(x: np.ndarray) -> pa.ListArray:
-    """Rows of a matrix as an Arrow column of lists."""
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(np.ascontiguousarray(x).ravel(), pa.float64()))
+def lists(x: np.ndarray, whole: bool = False) -> pa.ListArray:
+    """Rows of a matrix as an Arrow column of lists of doubles, or of longs."""
+    kind = pa.int64() if whole else pa.float64()
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(np.ascontiguousarray(x).ravel(), kind))
 
 
 def _combined(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,6 +52,19 @@ def _combined(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[starts], np.add.reduceat(x[order], starts, axis=0)
 
 
+def _columns(batch: pa.RecordBatch, n: int) -> np.ndarray:
+    """The first n columns, whole numbers, as a matrix."""
+    return np.stack([batch.column(k).cast(pa.int64()).to_numpy(zero_copy_only=False) for k in range(n)], axis=1)
+
+
+def _batches_of(found: np.ndarray, x: np.ndarray, types: list[pa.DataType], names: list[str], whole: bool = False) -> Iterator[pa.RecordBatch]:
+    """Keys of these types and their vectors in Arrow batches of 16 MB."""
+    step = max(1, (16 << 20) // (x.shape[1] * 8))
+    for at in range(0, len(found), step):
+        part = [pa.array(np.ascontiguousarray(found[at : at + step, k]), pa.int64()).cast(types[k]) for k in range(len(types))]
+        yield pa.RecordBatch.from_arrays([*part, lists(x[at : at + step], whole)], names=names)
+
+
 def _wide_sum(rows: DataFrame, keys: list[str], vector: str, width: int, weight: Column | None, out: str) -> DataFrame:
     """Partial sums of a task's rows, at most HELD bytes at a time, dealt by key, sorted, and added up as they come."""
     fields = [rows.schema[k] for k in keys]
@@ -58,15 +72,6 @@ def _wide_sum(rows: DataFrame, keys: list[str], vector: str, width: int, weight:
 
     weighted = weight is not None
 
-    def columns(batch: pa.RecordBatch) -> np.ndarray:
-        return np.stack([batch.column(k).cast(pa.int64()).to_numpy(zero_copy_only=False) for k in range(len(keys))], axis=1)
-
-    def batches_of(found: np.ndarray, x: np.ndarray, types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
-        step = max(1, (16 << 20) // (width * 8))
-        for at in range(0, len(found), step):
-            part = [pa.array(np.ascontiguousarray(found[at : at + step, k]), pa.int64()).cast(types[k]) for k in range(len(keys))]
-            yield pa.RecordBatch.from_arrays([*part, lists(x[at : at + step])], names=[*keys, out])
-
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size, types = 0, []
@@ -76,16 +81,25 @@ def _wide_sum(rows: DataFrame, keys: list[str], vector: str, width: int, weight:
             x, types = matrix(batch.column(len(keys)), width), [c.type for c in batch.columns[: len(keys)]]
             if weighted:
                 x = x * pc.fill_null(batch.column(len(keys) + 1), 0.0).to_numpy(zero_copy_only=False)[:, None]
-            held.append(_combined(columns(batch), x))
+            held.append(_combined(_columns(batch, len(keys)), x))
             size += held[-1][1].nbytes
             if size > HELD:
                 held = [_combined(*map(np.concatenate, zip(*held)))]
                 size = held[0][1].nbytes
                 if size > HELD // 2:  # they are different keys for the most part
-                    yield from batches_of(*held.pop(), types)
+                    yield from _batches_of(*held.pop(), types, [*keys, out])
                     size = 0
         if held:
-            yield from batches_of(*_combined(*map(np.concatenate, zip(*held))), types)
+            yield from _batches_of(*_combined(*map(np.concatenate, zip(*held))), types, [*keys, out])
+
+    slim = rows.select(*keys, F.col(vector).cast("array<double>"), *([] if weight is None else [weight.cast("double").alias("_weight")]))
+    partials = slim.mapInArrow(partial, schema)
+    return merged_sum(partials, keys, out, width)
+
+
+def merged_sum(partials: DataFrame, keys: list[str], out: str, width: int) -> DataFrame:
+    """Vectors of doubles or longs added up by key: dealt by key, sorted, and added up as they come."""
+    whole = partials.schema[out].dataType.elementType.simpleString() == "bigint"
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by key; the last key of a batch waits for the next one."""
@@ -93,18 +107,18 @@ def _wide_sum(rows: DataFrame, keys: list[str], vector: str, width: int, weight:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            found, x, types = columns(batch), matrix(batch.column(len(keys)), width), [c.type for c in batch.columns[: len(keys)]]
+            found, x, types = _columns(batch, len(keys)), matrix(batch.column(len(keys)), width), [c.type for c in batch.columns[: len(keys)]]
             if waiting is not None:
                 found, x = np.concatenate([waiting[0], found]), np.concatenate([waiting[1], x])
             found, x = _combined(found, x)
             waiting = found[-1:], x[-1:]
-            yield from batches_of(found[:-1], x[:-1], types)
+            yield from _batches_of(found[:-1], x[:-1], types, [*keys, out], whole)
         if waiting is not None:
-            yield from batches_of(*waiting, types)
+            yield from _batches_of(*waiting, types, [*keys, out], whole)
 
-    slim = rows.select(*keys, F.col(vector).cast("array<double>"), *([] if weight is None else [weight.cast("double").alias("_weight")]))
-    partials = slim.mapInArrow(partial, schema)
-    return partials.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(merged, schema)
+    slim = partials.select(*keys, out)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields)
+    return slim.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(merged, schema)
 
 
 def applied(rows: DataFrame, function: Callable, inputs: list[str], name: str, kind: str = "array<double>") -> DataFrame:

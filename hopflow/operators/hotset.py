@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hopflow.functions import vectors as V
 from hopflow.functions.vectors import weighted_sum
-from hopflow.operators import ranking
+from hopflow.operators import grid, ranking
 from hopflow.operators.layout import StoredGraph, in_edges
+from hopflow.sources.scratch import written
+
+#: Super-batches that meet a vertex, in the mean, from which on their counts are a vector.
+DENSE = 16
+#: Counts that a vector has at most.
+WIDE = 512
 
 
 def hot_by_degree(degrees: DataFrame, n: int, rate: float) -> DataFrame:
@@ -18,14 +29,63 @@ def hot_by_degree(degrees: DataFrame, n: int, rate: float) -> DataFrame:
 def hop_counts(seeds: DataFrame, edges: DataFrame | StoredGraph, hops: int) -> DataFrame:
     """(super_batch, id, count): walks of `hops` steps against the edges from the seeds (super_batch, id) to a vertex.
 
-    Counts are added up at each hop, on the map side first. Of a stored graph the edges stay in their buckets."""
+    The first hop is a join: of a stored graph the edges stay in their buckets, and counts are added up on the map side
+    first. Later ones are joins while a vertex is met by few super-batches. Where it is met by over DENSE of them, a join
+    would have a row for each edge and each of these; the counts of a vertex are one vector then (`_dense_hop`)."""
     now = seeds.select("super_batch", F.col("id").alias("dst"), F.lit(1).cast("long").alias("count"))
-    for _ in range(hops):
+    if not isinstance(edges, StoredGraph):
+        edges = edges.select("src", "dst").dropna()
+    for hop in range(hops):
+        dense = None
+        if hop:
+            now = written(now, "counts")
+            about = now.agg(F.count("super_batch"), F.approx_count_distinct("dst"), F.min("super_batch"), F.max("super_batch")).first()
+            if about[0] > DENSE * about[1]:
+                dense = _dense_hop(now.dropna(), edges.edges if isinstance(edges, StoredGraph) else edges, about[2], about[3])
+                now = now.filter(F.col("super_batch").isNull())
         met = in_edges(now, edges)
         now = met.groupBy("super_batch", F.col("src").alias("dst")).agg(F.sum("count").alias("count"))
+        now = now if dense is None else dense.unionByName(now)
     return now.withColumnRenamed("dst", "id")
 
 
+def _packed_counts(column: pa.Array) -> list[bytes]:
+    """For lists of (at, count): the counts as longs, then their places as ints."""
+    flat, offsets = column.values, column.offsets.to_numpy()
+    at, count = flat.field("at").to_numpy(), flat.field("count").to_numpy()
+    return [count[a:b].tobytes() + at[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+def _dense_hop(counts: DataFrame, edges: DataFrame, first: int, last: int) -> DataFrame:
+    """A hop of counts (super_batch, dst, count), super-batches from first to last, with a vector of counts, one for each
+    super-batch, in place of rows. Vectors have WIDE numbers at most; more super-batches are cut into tiles of so many."""
+    width = min(WIDE, last - first + 1)
+    tiles = (last - first) // width + 1
+    at = F.col("super_batch") - first
+    sparse = counts.groupBy(F.col("dst").alias("id"), F.floor(at / width).alias("_tile")).agg(F.collect_list(F.struct((at % width).cast("int").alias("at"), "count")).alias("x"))
+    sparse = written(grid.packed(sparse, _packed_counts), "vectors")
+    slim = edges.select(F.col("dst").alias("_give"), F.col("src").alias("_take"))
+    blocks = grid.shape(sparse, -(-sparse.count() // tiles) * width * 8)
+    cells = grid.dealt(slim, sparse, blocks, "_give", "_take", tiles=tiles)
+    cells = cells.select("_give", "_take", F.lit(None).alias("_weight"), "x", F.col("_tile") if tiles > 1 else F.lit(0).cast("long").alias("_tile"))
+
+    def dense(column: pa.Array) -> np.ndarray:
+        x = np.zeros((len(column), width), np.int64)
+        for row, data in zip(x, column.to_pylist(), strict=True):
+            n = len(data) // 12
+            row[np.frombuffer(data, np.int32, n, 8 * n)] = np.frombuffer(data, np.int64, n)
+        return x
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, to, sums in grid.partial_sums(batches, dense):
+            tile = pa.array(np.full(len(to), part.column(4)[0].as_py()))
+            yield pa.RecordBatch.from_arrays([tile, pa.array(to), V.lists(sums, whole=True)], names=["_tile", "dst", "x"])
+
+    sums = V.merged_sum(cells.mapInArrow(partial, "_tile long, dst long, x array<long>"), ["_tile", "dst"], "x", width)
+    rows = sums.select("_tile", "dst", F.posexplode("x").alias("at", "count")).filter(F.col("count") > 0)
+    return rows.select((F.col("_tile") * width + F.col("at") + first).cast(counts.schema["super_batch"].dataType).alias("super_batch"), F.col("dst").cast(edges.schema["src"].dataType).alias("dst"), "count")
+
+
 def presample_hot(counts: DataFrame, rate: float) -> DataFrame:
     """(super_batch, slot, id, count): of each super-batch the int((vertices + 1) * rate) most counted; ties by id."""
     size = F.floor((F.col("_all") + 1) * rate)
