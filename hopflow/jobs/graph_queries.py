@@ -733,7 +733,8 @@ def gcn_aggregate_wide(g: Graph) -> DataFrame:
     """Vectors of 640 numbers: those of the table once, twice, up to ten times as large."""
     wide = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(WIDE)), lambda k: F.transform("x", lambda v: v * k)))
     rows = _x(g).select("id", wide.alias("x"))
-    return V.exploded(messages.gcn_aggregate(prepare.gcn_edge_weight(g.edges(), g.n), rows, WIDE * WIDTH), ["id"], "x", 5)
+    weighted = prepare.gcn_edge_weight(written(g.edges(), "edges"), g.n)
+    return V.exploded(messages.gcn_aggregate(weighted, rows, WIDE * WIDTH), ["id"], "x", 5)
 
 
 @query("SELECT src AS id, pos, round(sum(weight * value), 6) + 0.0 AS value FROM w JOIN x ON x.id = dst GROUP BY ALL")

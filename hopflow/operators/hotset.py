@@ -18,7 +18,7 @@ from hopflow.sources.scratch import written
 #: Super-batches that meet a vertex, in the mean, from which on their counts are a vector.
 DENSE = 16
 #: Counts that a vector has at most.
-WIDE = 512
+WIDE = 1024
 
 
 def hot_by_degree(degrees: DataFrame, n: int, rate: float) -> DataFrame:
@@ -58,9 +58,9 @@ def _packed_counts(column: pa.Array) -> list[bytes]:
 
 def _dense_hop(counts: DataFrame, edges: DataFrame, first: int, last: int) -> DataFrame:
     """A hop of counts (super_batch, dst, count), super-batches from first to last, with a vector of counts, one for each
-    super-batch, in place of rows. Vectors have WIDE numbers at most; more super-batches are cut into tiles of so many."""
-    width = min(WIDE, last - first + 1)
-    tiles = (last - first) // width + 1
+    super-batch, in place of rows. Vectors have WIDE numbers at most; more super-batches are cut into tiles of equal width."""
+    tiles = (last - first) // WIDE + 1
+    width = (last - first) // tiles + 1
     at = F.col("super_batch") - first
     sparse = counts.groupBy(F.col("dst").alias("id"), F.floor(at / width).alias("_tile")).agg(F.collect_list(F.struct((at % width).cast("int").alias("at"), "count")).alias("x"))
     sparse = written(grid.packed(sparse, _packed_counts), "vectors")

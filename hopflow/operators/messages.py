@@ -1,7 +1,8 @@
 """Message passing: joins from vertices to edges and sums back, forward and backward.
 
 Vertex rows: (id, x) with x an array of doubles of a known width; edge rows: (src, dst, x). Sums are combined on the map
-side, by generated aggregates or, from a width of over 128 on, in Arrow batches; a hub never meets as a list of vectors."""
+side, by generated aggregates or, from a width of over 128 on, in Arrow batches; a hub never meets as a list of vectors.
+Sums of wide vectors over edges are made in a grid of blocks, where no edge carries a vector."""
 
 from __future__ import annotations
 
@@ -10,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hopflow.functions.vectors import applied, leaky_relu, weighted_sum
+from hopflow.functions.vectors import NARROW, applied, leaky_relu, weighted_sum
+from hopflow.operators import grid
 
 
 def scatter_src(edges: DataFrame, rows: DataFrame) -> DataFrame:
@@ -60,15 +62,21 @@ def aggregate_dst_extreme_backward(winners: DataFrame, grads: DataFrame) -> Data
 
 def gcn_aggregate(weighted: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     """(id, x): sum of weight * x over the in-edges (src, dst, weight)."""
+    if width > NARROW:
+        return grid.summed(weighted, rows, width, weight=F.col("weight"))
     return weighted_sum(scatter_src(weighted, rows), ["dst"], "x", width, F.col("weight")).withColumnRenamed("dst", "id")
 
 
 def gcn_aggregate_backward(weighted: DataFrame, grads: DataFrame, width: int) -> DataFrame:
     """(id, x): sum of weight * gradient over the out-edges; the adjoint of gcn_aggregate."""
+    if width > NARROW:
+        return grid.summed(weighted, grads, width, "dst", "src", F.col("weight"))
     return weighted_sum(scatter_dst(weighted, grads), ["src"], "x", width, F.col("weight")).withColumnRenamed("src", "id")
 
 
 def unweighted_aggregate(edges: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    if width > NARROW:
+        return grid.summed(edges, rows, width)
     return weighted_sum(scatter_src(edges, rows), ["dst"], "x", width).withColumnRenamed("dst", "id")
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hopflow.operators import grid, hotset, layout
+from hopflow.operators import grid, hotset, layout, messages
 
 
 def pairs(seed=1, n=60, many=800):
@@ -58,3 +58,23 @@ def test_cells_are_partitions(spark):
 def test_repeated_and_missing_ids(spark):
     key, at = grid.met(np.array([2, 2, 5, 7]), np.array([1, 2, 5, 5, 6, 7, 9]))
     assert list(zip(key, at)) == [(1, 0), (1, 1), (2, 2), (3, 2), (5, 3)]
+
+
+@pytest.mark.parametrize("block", [64 << 20, 4000])
+def test_wide_sums(spark, monkeypatch, block):
+    """Vectors of 200 numbers, with null weights and elements, forward and backward, in blocks of a few vectors too."""
+    monkeypatch.setattr(grid, "BLOCK", block)
+    weight = lambda a, b: None if a % 5 == 0 else b * 0.5
+    edges = [(a, b, None if a is None or b is None else weight(a, b)) for a, b in pairs()]
+    x = {i: [None if (i, k) == (3, 5) else float(i * k % 7) for k in range(200)] for i in range(58)}
+    table, rows = spark.createDataFrame(edges, "src long, dst long, weight double"), spark.createDataFrame(list(x.items()), "id long, x array<double>")
+    for made, ends in ((messages.gcn_aggregate(table, rows, 200), (0, 1)), (messages.gcn_aggregate_backward(table, rows, 200), (1, 0))):
+        want = {}
+        for e in edges:
+            give, take = e[ends[0]], e[ends[1]]
+            if give in x and take is not None:
+                want[take] = want.get(take, 0) + (e[2] or 0) * np.array([v or 0 for v in x[give]])
+        got = {r.id: r.x for r in made.collect()}
+        assert set(got) == set(want)
+        assert all(np.allclose(got[k], want[k]) for k in want)
+        assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
