@@ -2,7 +2,7 @@
 
 Vertex rows: (id, x) with x an array of doubles of a known width; edge rows: (src, dst, x). Sums are combined on the map
 side, by generated aggregates or, from a width of over 128 on, in Arrow batches; a hub never meets as a list of vectors.
-Sums of wide vectors over edges are made in a grid of blocks, where no edge carries a vector."""
+Sums of wide vectors over edges, and edge rows of both ends, are made in a grid of blocks, where no edge carries a vector."""
 
 from __future__ import annotations
 
@@ -25,8 +25,9 @@ def scatter_dst(edges: DataFrame, rows: DataFrame) -> DataFrame:
 
 def scatter_src_dst(edges: DataFrame, rows: DataFrame) -> DataFrame:
     """x of an edge: that of its src followed by that of its dst."""
-    a, b = rows.select(F.col("id").alias("src"), F.col("x").alias("_a")), rows.select(F.col("id").alias("dst"), F.col("x").alias("_b"))
-    return edges.join(a, "src").join(b, "dst").withColumn("x", F.concat("_a", "_b")).drop("_a", "_b")
+    edges = edges.drop("x")
+    others = [c for c in edges.columns if c not in ("src", "dst")]
+    return grid.joined(edges, rows).select("dst", "src", *others, F.concat("_a", "_b").alias("x"))
 
 
 def scatter_src_dst_backward(grads: DataFrame, width: int) -> DataFrame:

@@ -78,3 +78,16 @@ def test_wide_sums(spark, monkeypatch, block):
         assert set(got) == set(want)
         assert all(np.allclose(got[k], want[k]) for k in want)
         assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("block", [64 << 20, 4000])
+def test_edges_of_both_ends(spark, monkeypatch, block):
+    """Every edge with both vectors and its other columns; odd lengths, null elements, a null vector and a repeated id."""
+    monkeypatch.setattr(grid, "BLOCK", block)
+    rows = [(i, None if i == 9 else [None if (i, k) == (3, 5) else float(i * k) for k in range(3 if i == 7 else 20)]) for i in range(58)] + [(4, [1.0, 2.0])]
+    edges = [(a, b, f"{a}-{b}") for a, b in pairs()]
+    got = messages.scatter_src_dst(spark.createDataFrame(edges, "src long, dst int, name string"), spark.createDataFrame(rows, "id long, x array<double>"))
+    assert got.dtypes == [("dst", "int"), ("src", "bigint"), ("name", "string"), ("x", "array<double>")]
+    want = [(b, a, name, None if x is None or y is None else [*x, *y]) for a, b, name in edges for i, x in rows if i == a for j, y in rows if j == b]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
