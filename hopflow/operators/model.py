@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 
 from hopflow.functions import vectors as V
 from hopflow.functions.hashing import M, continued, with_hash
-from hopflow.operators import layout, messages, sampling
+from hopflow.operators import grid, layout, messages, sampling
 from hopflow.operators.layout import StoredGraph
 from hopflow.operators.prepare import in_degree, out_degree
 from hopflow.sources.scratch import written, written_by
@@ -147,16 +147,18 @@ def gcn_infer(weighted: DataFrame, features: DataFrame, layers: list[list[list[f
 
 
 def gat_layer(edges: DataFrame, rows: DataFrame, w: list[list[float]], left: list[float], right: list[float], slope: float = 0.2) -> DataFrame:
-    """(id, x): relu of the attention-weighted sum of h = x W over the in-edges; scores from left . h_src + right . h_dst."""
+    """(id, x): relu of the attention-weighted sum of h = x W over the in-edges; scores from left . h_src + right . h_dst.
+
+    Scores, their softmax and the sum are made in one pass over the edges, in a grid of blocks (`grid.attended`)."""
     h = linear(rows, w)
     numbers = lambda a: F.array(*[F.lit(float(v)) for v in a])
-    ends = h.select("id", V.dot(F.col("x"), numbers(left)).alias("left"), V.dot(F.col("x"), numbers(right)).alias("right"))
-    attended = messages.edge_softmax(messages.attention_scores(edges, ends, slope)).select("src", "dst", F.col("a").alias("weight"))
-    return messages.gcn_aggregate(attended, h, len(w[0])).select("id", V.relu(F.col("x")).alias("x"))
+    left_, right_ = V.dot(F.col("x"), numbers(left)), V.dot(F.col("x"), numbers(right))
+    given = written(h.select("id", F.concat(F.array(left_, right_), "x").alias("x")), "ends")
+    return grid.attended(edges, given, len(w[0]), slope).select("id", V.relu(F.col("x")).alias("x"))
 
 
 def gat_infer(edges: DataFrame, features: DataFrame, layers: list[tuple[list[list[float]], list[float], list[float]]]) -> DataFrame:
-    rows = features.select("id", F.col("features").alias("x"))
+    rows, edges = features.select("id", F.col("features").alias("x")), written(edges.select("src", "dst"), "edges")
     for w, left, right in layers:
         rows = gat_layer(edges, rows, w, left, right)
     return rows.select("id", V.log_softmax(F.col("x")).alias("logp"))
@@ -277,22 +279,28 @@ def _where_positive(z: str, d: str) -> Column:
     return F.zip_with(z, d, lambda z, d: F.when(z > 0, d).otherwise(0.0))
 
 
-def full_batch_step(weighted: DataFrame, features: DataFrame, labels: DataFrame, seeds: DataFrame, layers: list[Adam], rate: float = 0.01) -> float:
+def full_batch_sums(weighted: DataFrame, features: DataFrame, width: int) -> DataFrame:
+    """(id, x): the sums of raw features that every step begins with; they need no weights of the model."""
+    return grid.summed(weighted, features.select("id", F.col("features").alias("x")), width, weight=F.col("weight"))
+
+
+def full_batch_step(weighted: DataFrame, features: DataFrame, labels: DataFrame, seeds: DataFrame, layers: list[Adam], rate: float = 0.01, sums: DataFrame | None = None) -> float:
     """One step of a GCN of two layers over the seeds (id): forward, loss, backward, an Adam update of each matrix.
 
-    Returns the mean loss. Forward rows stay distributed; only the gradients of the small matrices come back."""
+    Returns the mean loss. Forward rows stay distributed; only the gradients of the small matrices come back. sums: those
+    of full_batch_sums, where several steps share them. Edges are summed over in a grid of blocks at every width, so that
+    no task sends partial sums of nearly all vertices."""
     w0, w1 = (a.w for a in layers)
-    rows = features.select("id", F.col("features").alias("x"))
-    a0 = messages.gcn_aggregate(weighted, rows, w0.shape[0])
+    a0 = full_batch_sums(weighted, features, w0.shape[0]) if sums is None else sums
     z0 = written(_matmul(a0.select("id", F.col("x").alias("a0"), "x"), w0, ["id", "a0"]).withColumnRenamed("x", "z"), "hidden")
-    a1 = messages.gcn_aggregate(weighted, z0.select("id", V.relu(F.col("z")).alias("x")), w0.shape[1])
+    a1 = grid.summed(weighted, z0.select("id", V.relu(F.col("z")).alias("x")), w0.shape[1], weight=F.col("weight"))
     scored = _matmul(a1.join(seeds, "id").join(labels, "id").select("id", "label", F.col("x").alias("a"), "x"), w1, ["id", "label", "a"])
     scored = written(scored.select("id", "label", "a", V.log_softmax(F.col("x")).alias("logp")), "scored")
     n = scored.count()
     if not n:
         return 0.0
     out = _output_gradient(scored, n)
-    into = messages.gcn_aggregate_backward(weighted, _matmul(out.select("id", F.col("g").alias("x")), w1.T, ["id"]), w0.shape[1]).withColumnRenamed("x", "d")
+    into = grid.summed(weighted, _matmul(out.select("id", F.col("g").alias("x")), w1.T, ["id"]), w0.shape[1], "dst", "src", F.col("weight")).withColumnRenamed("x", "d")
     inner = z0.join(into, "id").select(F.col("a0").alias("x"), _where_positive("z", "d").alias("g"))
     for state, g in zip(layers, (gradient_sum(inner), gradient_sum(out)), strict=True):
         state.update(g if g.size else np.zeros_like(state.w), rate)

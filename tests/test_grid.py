@@ -91,3 +91,22 @@ def test_edges_of_both_ends(spark, monkeypatch, block):
     want = [(b, a, name, None if x is None or y is None else [*x, *y]) for a, b, name in edges for i, x in rows if i == a for j, y in rows if j == b]
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("block", [64 << 20, 400])
+def test_attention_in_one_pass(spark, monkeypatch, block):
+    """The softmax over the cells of a hub, with scores of up to 1000, equals that of joined edges."""
+    monkeypatch.setattr(grid, "BLOCK", block)
+    rows = np.random.default_rng(2).uniform(-500, 500, (58, 5))
+    edges = [(a, b) for a, b in pairs() if a is not None and b is not None]
+    want = {}
+    for dst in {b for _, b in edges if b < 58}:
+        met = np.array([rows[a] for a, b in edges if b == dst and a < 58])
+        score = met[:, 0] + rows[dst, 1]
+        score = np.where(score > 0, score, score * 0.2)
+        e = np.exp(score - score.max())
+        want[dst] = (met[:, 2:] * e[:, None]).sum(axis=0) / e.sum()
+    table = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "id long, x array<double>")
+    got = {r.id: r.x for r in grid.attended(spark.createDataFrame(pairs(), "src long, dst long"), table, 3, 0.2).collect()}
+    assert set(got) == set(want)
+    assert all(np.allclose(got[k], want[k]) for k in want)
