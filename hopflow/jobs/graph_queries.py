@@ -1083,8 +1083,9 @@ def full_batch_step(g: Graph) -> DataFrame:
     import numpy as np
 
     layers = [model.Adam(np.asarray(w)) for w in model._layers([WIDTH, 8, 10])]
-    weighted = written(prepare.gcn_edge_weight(g.edges(), g.n), "weighted")
-    losses = [(k, float(model.full_batch_step(weighted, g.features(), g.labels(), g.seeds(), layers))) for k in range(2)]
+    weighted = written(prepare.gcn_edge_weight(written(g.edges(), "edges"), g.n), "weighted")
+    sums = written(model.full_batch_sums(weighted, g.features(), WIDTH), "sums")
+    losses = [(k, float(model.full_batch_step(weighted, g.features(), g.labels(), g.seeds(), layers, sums=sums))) for k in range(2)]
     return rounded(g.spark.createDataFrame(losses, "epoch int, loss double"), "loss")
 
 
